@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from evidex.plans import q_compounds, q_literature
+
+MODULES = (q_literature, q_compounds)
+
+
+def flagship(spark, sf_dir):
+    return q_literature.search(spark, sf_dir)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: s for m in MODULES for name, s in m.SQL.items()}
