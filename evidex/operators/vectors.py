@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -158,8 +159,6 @@ def embed_hashed_table(df: DataFrame, key: str, text: str, dims: int = 64) -> Da
 
 def embed_with(encoder: Callable, batch_size: int = 32):
     """A column function from any encoder of a pandas Series of texts to arrays of floats."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:

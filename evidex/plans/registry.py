@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evidex.plans import q_compounds, q_literature
+from evidex.plans import q_compounds, q_graph, q_literature
 
-MODULES = (q_literature, q_compounds)
+MODULES = (q_literature, q_compounds, q_graph)
 
 
 def flagship(spark, sf_dir):
