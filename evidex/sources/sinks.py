@@ -21,7 +21,7 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    flat(df).write.csv(path, header=True, escape='"', mode="overwrite")
+    flat(df).write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, mode="overwrite")
 
 
 def export_json(df: DataFrame, path: str) -> None:
