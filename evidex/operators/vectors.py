@@ -257,25 +257,29 @@ def threshold_pairs(store: DataFrame, threshold: float) -> DataFrame:
     return found if found is not None else spark.createDataFrame([], "a long, b long")
 
 
-def cluster_leader(store: DataFrame, threshold: float = 0.75, order: Column | None = None) -> DataFrame:
+def cluster_leader(store: DataFrame, threshold: float = 0.75) -> DataFrame:
     """(id, leader): the first row without a leader leads all later free rows that are near enough.
 
-    Rounds: a row leads once every earlier neighbour is known to follow another; rows near a leader
-    then follow the earliest one. This gives the sequential loop's result; each round is written.
+    Rounds decide which rows lead: a row leads once every earlier neighbour is known to follow, and
+    follows once an earlier neighbour leads. Then each follower takes its earliest leading neighbour,
+    which is the sequential loop's result. Each round is written.
     """
     from evidex.operators.graph import cut
 
     pairs = cut(threshold_pairs(store, threshold))
-    state = cut(store.select("id", F.lit(None).cast("long").alias("leader")))
+    state = cut(store.select("id", F.lit(None).cast("boolean").alias("leads")))
     while True:
-        free = state.filter("leader is null").select("id")
+        free = state.filter("leads is null").select("id")
         if free.isEmpty():
-            return state
-        blocked = pairs.join(free.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        leads = free.join(blocked, "id", "left_anti").withColumn("new", F.col("id"))
-        follow = pairs.join(leads.select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("new"))
-        news = leads.union(follow.select("id", "new"))
-        state = cut(state.join(news, "id", "left").select("id", F.coalesce("leader", "new").alias("leader")))
+            break
+        blocked = pairs.join(state.filter("leads is null or leads").select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        new = cut(free.join(blocked, "id", "left_anti"))
+        under = pairs.join(new.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        news = new.withColumn("new", F.lit(True)).union(under.join(new, "id", "left_anti").withColumn("new", F.lit(False)))
+        state = cut(state.join(news, "id", "left").select("id", F.coalesce("leads", "new").alias("leads")))
+    heads = state.filter("leads").select("id")
+    first = pairs.join(heads.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("first"))
+    return state.join(first, "id", "left").select("id", F.when(F.col("leads"), F.col("id")).otherwise(F.col("first")).alias("leader"))
 
 
 def layout_2d(store: DataFrame, width: float = 400.0) -> DataFrame:

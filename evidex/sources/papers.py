@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 TEXT = "array<string>"
 #: The columns that all sources have.
@@ -51,7 +50,7 @@ def scan_pmc_ids(ids: DataFrame, column: str) -> DataFrame:
     )
 
 
-_PUBMED = T.StructType.fromDDL(
+_PUBMED = (
     "MedlineCitation struct<PMID:struct<_VALUE:string,_Version:string>,Article:struct<ArticleTitle:string,Abstract:struct<AbstractText:array<struct<_VALUE:string,_Label:string>>>,"
     "AuthorList:struct<Author:array<struct<LastName:string,ForeName:string,AffiliationInfo:array<struct<Affiliation:string>>>>>,"
     "Journal:struct<Title:string,JournalIssue:struct<Volume:string,Issue:string,PubDate:struct<Year:string>>>,PublicationTypeList:struct<PublicationType:array<struct<_VALUE:string,_UI:string>>>>,"
