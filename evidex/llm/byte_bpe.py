@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from evidex.llm.common import filesystem, shared_dir, without
+from evidex.llm.common import filesystem, shared_dir, small_batches, without
 
 #: Bytes of text in a block, about; a longer text is a block by itself.
 BLOCK_BYTES = 16 << 20
@@ -180,6 +180,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...]
     falls, so a word that all documents hold costs one entry for each block.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = without(docs, "ids")
     keep = tuple(c for c in docs.columns if c != "text") if keep is None else keep
     columns = [f"c{docs.columns.index(k)}" for k in keep]

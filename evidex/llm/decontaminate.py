@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.common import coded, cut, slices, without, word_table, words_of
+from evidex.llm.common import coded, cut, slices, small_batches, without, word_table, words_of
 
 WINDOW = 10
 #: Most windows that are sent to the executors at once; more are searched for block by block.
@@ -126,6 +126,7 @@ def _search(docs: DataFrame, text: str, patterns: list) -> DataFrame:
 
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_windows: int) -> DataFrame:
     """``docs`` with columns c0, c1 ... for its own, and n, spans, items."""
+    small_batches(docs.sparkSession)
     windows = cut(windows_of(benchmark, window))
     blocks = max(1, -(-windows.count() // block_windows))
     windows = windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks)))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidex.llm.common import cut, slices, without
+from evidex.llm.common import cut, slices, small_batches, without
 
 MIN_WORDS = 50
 
@@ -149,6 +149,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     and all get the same result. Columns named n_lines or n_deleted are replaced. Lines are told apart
     by 128 bits of hash.
     """
+    small_batches(docs.sparkSession)
     docs = without(docs, "n_lines", "n_deleted")
     runs = repeated_runs(docs, min_words).groupBy("d", "t").agg(F.collect_list(F.struct("pos", "len")).alias("runs"))
     named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])

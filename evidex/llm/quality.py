@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.common import SPACES, coded, pairs, slices, text_bytes, without, word_table, words_of
+from evidex.llm.common import SPACES, coded, pairs, slices, small_batches, text_bytes, without, word_table, words_of
 
 BUCKETS = 1 << 18
 PRIOR = 2_500_000.0
@@ -70,6 +70,7 @@ def count_model(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
             some = at[k : k + (1 << 16)]
             yield pa.record_batch({"bucket": pa.array(some), "raw": pa.array(raw[some]), "trusted": pa.array(trust[some])})
 
+    small_batches(docs.sparkSession)
     ids = trusted.select(F.col("doc_id").alias("_trusted")).filter("_trusted is not null").distinct()
     marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_trusted"), "left").select("text", F.col("_trusted").isNotNull().alias("trusted"))
     parts = marked.mapInArrow(count, "bucket long, raw long, trusted long")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.common import SPACES, cut, slices, text_bytes, without, word_table
+from evidex.llm.common import SPACES, cut, slices, small_batches, text_bytes, without, word_table
 
 LIMIT = 3
 SHINGLE = 3
@@ -154,6 +154,7 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def _classes(docs: DataFrame, shingle: int, limit: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, fp) of every row, and (fp, component_id, n_links, root) of every fingerprint."""
+    small_batches(docs.sparkSession)
     fps = cut(with_fingerprints(docs, shingle))
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     pairs = cut(links(nodes.select("fp"), limit))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.common import slices, without
+from evidex.llm.common import slices, small_batches, without
 
 MARK = "▁"
 #: How far below the lowest score an unknown character stands.
@@ -108,6 +108,7 @@ def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]], bytes_for_unk
     each get their result. The vocabulary is sent to the executors: its size is the model's, whatever
     the documents are. A worker keeps at most ``CACHED`` segments, which bounds memory and not results.
     """
+    small_batches(docs.sparkSession)
     docs = without(docs, "n_tokens", "best_score")
     sent = docs.sparkSession.sparkContext.broadcast((pieces, bytes_for_unknown))
     text = f"c{docs.columns.index('text')}"

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.common import SPACES, coded, filesystem, open_write, shared_dir, slices, word_table, words_of
+from evidex.llm.common import SPACES, coded, filesystem, open_write, shared_dir, slices, small_batches, word_table, words_of
 
 #: Most words that a worker keeps encoded between batches.
 CACHED_WORDS = 1_000_000
@@ -117,6 +117,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
     The order is dealt by range of doc_id, so a file's size depends on its range, not on any key's
     frequency, and a task that runs again writes the same file under the same name.
     """
+    small_batches(docs.sparkSession)
     vocab = _tokenizer(tokenizer_path).get_vocab_size()
     dtype = np.dtype(np.uint16 if max(vocab - 1, end_id) < 1 << 16 else np.uint32)
     out_dir = out_dir.rstrip("/")
