@@ -132,6 +132,17 @@ def links(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:
     return pairs.filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= limit)).select("a", "b").distinct()
 
 
+#: Parts that the rows of one key are dealt into where a key can be a large group's.
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``one`` (a row for each key), a key's rows dealt by ``by`` over SALTS tasks."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    copies = one.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(copies, [key, "salt"], how).drop("salt")
+
+
 def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that links reach, for every node of ``pairs`` (a, b).
 
@@ -144,8 +155,8 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         seen = both.join(roots.select(F.col("node").alias("other"), F.col("root").alias("theirs")), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
         lower = roots.join(seen, "node", "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("theirs", "root")).alias("root"))
-        jump = lower.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
-        moved = cut(lower.join(jump, "root", "left").select("node", F.least("root", F.coalesce("beyond", "root")).alias("root"), "was"))
+        jump = lower.filter("root <> node").select(F.col("node").alias("root"), F.col("root").alias("beyond"))
+        moved = cut(salted_join(lower, jump, "root", "node", "left").select("node", F.least("root", F.coalesce("beyond", "root")).alias("root"), "was"))
         if moved.filter(F.col("root") != F.col("was")).isEmpty():
             return moved.select("node", "root")
         roots = moved.select("node", "root")
@@ -163,7 +174,7 @@ def _classes(docs: DataFrame, shingle: int, limit: int) -> tuple[DataFrame, Data
     joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").join(degree, "fp", "left")
     joined = joined.select("fp", "least_id", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return fps, joined.join(least, "root").select("fp", "component_id", "n_links", "root")
+    return fps, salted_join(joined, least, "root", "fp").select("fp", "component_id", "n_links", "root")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
