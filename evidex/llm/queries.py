@@ -148,5 +148,30 @@ from d left join places using (rid) left join items using (rid)
 """
 
 
+def _op8() -> str:
+    """Spans from the lengths of what a pattern matches and of what lies between, for all patterns; then windows."""
+    quoted = lambda p: p.replace("'", "''")
+    each = """
+select rid, '{kind}' as kind, {rank} as rank, value, start_at, start_at + length(value) as end_at from (
+  select rid, unnest(ms) as value, unnest(gs) as g, unnest(list_transform(range(1, len(ms) + 1), lambda i: coalesce(list_sum(list_transform(parts[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))) as start_at
+  from (select rid, regexp_extract_all(text, '{p}') as ms, regexp_extract_all(text, '{p}', {group}) as gs, regexp_split_to_array(text, '{p}') as parts from docs where regexp_matches(text, '{p}'))
+) where length(g) >= {least}"""
+    base = " union all ".join(each.format(kind=k, rank=r, p=quoted(p), group=g, least=n) for r, (k, p, g, n) in enumerate(secrets.PATTERNS))
+    found = each.format(kind="entropy", rank=len(secrets.PATTERNS), p=quoted(secrets.CANDIDATE), group=0, least=secrets.WINDOW)
+    allowed = " or ".join("len(list_distinct(string_split(value, ''))) = 1" if "\\1" in a else f"regexp_matches(value, '{quoted(a)}')" for a in secrets.ALLOW)
+    limit = "case " + " ".join(f"when regexp_matches(value, '{p}') then {x}::double" for _, p, x in secrets.CLASSES) + " end"
+    entropy = f"list_max(list_transform(range(1, length(value) - {secrets.WINDOW} + 2), lambda i: list_sum(list_transform(list_distinct(string_split(substr(value, i, {secrets.WINDOW}), '')), lambda ch: -(length(substr(value, i, {secrets.WINDOW})) - length(replace(substr(value, i, {secrets.WINDOW}), ch, ''))) / {secrets.WINDOW}.0::double * log2((length(substr(value, i, {secrets.WINDOW})) - length(replace(substr(value, i, {secrets.WINDOW}), ch, ''))) / {secrets.WINDOW}.0::double)))))"
+    return f"""
+with docs as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+base as ({base}),
+fresh as (select * from ({found}) c where not ({allowed}) and not exists (select 1 from base b where b.rid = c.rid and b.start_at < c.end_at and c.start_at < b.end_at)),
+added as (select * from fresh where {entropy} >= {limit} - 1e-9),
+b as (select rid, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex, string_agg(kind || ':' || start_at || ':' || end_at, ',' order by start_at, rank) as shown from base group by rid),
+e as (select rid, count(*) filter (kind = 'entropy') as n_entropy, string_agg(kind || ':' || start_at || ':' || end_at, ',' order by start_at, rank) as spans from (select * from base union all select * from added) group by rid)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, coalesce(n_entropy, 0) as n_entropy, sha256(coalesce(shown, '')) as base_sha256, coalesce(spans, '') as spans
+from docs left join b using (rid) left join e using (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": _OP3, "op5_decontaminate": _OP5}
+    return {"op3_chat_format": _OP3, "op5_decontaminate": _OP5, "op8_secret_scan": _op8()}
