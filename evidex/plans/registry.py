@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evidex.plans import q_compounds, q_graph, q_literature, q_memory, q_streams
+from evidex.plans import q_compounds, q_graph, q_literature, q_memory, q_sources, q_streams
 
-MODULES = (q_literature, q_compounds, q_graph, q_memory, q_streams)
+MODULES = (q_sources, q_literature, q_compounds, q_graph, q_memory, q_streams)
 
 
 def flagship(spark, sf_dir):
