@@ -31,7 +31,7 @@ from evidex.llm.common import filesystem, shared_dir, small_batches, without
 #: Bytes of text in a block, about; a longer text is a block by itself.
 BLOCK_BYTES = 16 << 20
 #: Most words that a task keeps encoded in step 2.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -52,6 +52,9 @@ def _unpack(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
+#: Words that are replaced by their ids at a time.
+_PIECE = 1 << 18
+
 _BLOCK = "block string, carried binary, codes binary, counts binary, parts array<binary>"
 _PART = "block string, part int, words binary"
 
@@ -152,21 +155,23 @@ def _assemble(block: pa.Table, parts: pa.Table, schema: pa.Schema) -> pa.Table:
     carried = _unpack(row["carried"])
     counts = np.frombuffer(row["counts"], "<u4").astype(np.int64)
     total = int(counts.sum())
-    codes = _numbers(row["codes"], total).astype(np.int64) if total else np.zeros(0, np.int64)
+    codes = _numbers(row["codes"], total) if total else np.zeros(0, "<u4")
     sizes, bodies = [], []
     for p in sorted(parts.to_pylist(), key=lambda p: p["part"]):
         if p["n_words"]:
             both = _numbers(p["ids"], p["n_words"] + p["n_ids"])
             sizes.append(both[: p["n_words"]])
             bodies.append(both[p["n_words"] :])
-    size = np.concatenate([*sizes, np.zeros(0, "<u4")]).astype(np.int64)
+    size = np.concatenate([*sizes, np.zeros(0, "<u4")]).astype(np.int32)
     body = np.concatenate([*bodies, np.zeros(0, "<u4")]).astype(np.int32)
-    first = np.cumsum(size) - size
-    each = size[codes]
-    ends = np.cumsum(each)
-    n = int(ends[-1]) if len(ends) else 0
-    ids = body[np.repeat(first[codes] - (ends - each), each) + np.arange(n)]
-    offsets = np.append(0, ends)[np.append(0, np.cumsum(counts))].astype(np.int32)
+    first = (np.cumsum(size) - size).astype(np.int32)
+    ends = np.append(0, np.cumsum(size[codes], dtype=np.int64))
+    ids = np.empty(int(ends[-1]), np.int32)
+    for k in range(0, total, _PIECE):  # piece by piece, as the places of all ids would take many times their room
+        some = codes[k : k + _PIECE]
+        a, b = int(ends[k]), int(ends[k + len(some)])
+        ids[a:b] = body[np.repeat(first[some] - (ends[k : k + len(some)] - a), size[some]) + np.arange(b - a)]
+    offsets = ends[np.append(0, np.cumsum(counts))].astype(np.int32)
     column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
     return carried.append_column("ids", column).cast(schema)
 
