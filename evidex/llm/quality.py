@@ -48,42 +48,62 @@ def features(codes: np.ndarray, distinct: pa.Array, before: np.ndarray, buckets:
     return (grams % np.uint64(buckets)).astype(np.int64), np.concatenate([doc, doc[1:][both]])
 
 
+#: Buckets whose counts travel in one row.
+CHUNK = 1024
+
+
+def _pack(counts: np.ndarray) -> bytes:
+    return pa.compress(counts.astype("<i8").tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, size * 8, "zstd", asbytes=True), "<i8")
+
+
 def count_model(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, raw, trusted): n-gram counts over all ``docs`` and over those whose doc_id ``trusted`` has.
+    """(chunk, counts): n-gram counts over all ``docs`` and over those whose doc_id ``trusted`` has.
 
-    Each task counts into two arrays of ``buckets`` numbers and sends what is not zero, so a common
-    word costs a row for each task. Null texts count nothing; a row is trusted once however often
-    ``trusted`` names it; null doc_ids are never trusted.
+    Each task counts into two arrays of ``buckets`` numbers and sends them in compressed rows of
+    ``CHUNK`` buckets, which are added up where their number falls. Texts meet the trusted ids by a
+    shuffle whatever the sizes, so the plan is the same at every scale. Null texts count nothing; a
+    row is trusted once however often ``trusted`` names it; null doc_ids are never trusted.
     """
+    size = min(CHUNK, buckets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, trust = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        both = np.zeros((2, buckets), np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 words, before = words_of(part.column("text"), WORDS)
                 grams, doc = features(*coded(words), before, buckets)
-                raw += np.bincount(grams, minlength=buckets)
+                both[0] += np.bincount(grams, minlength=buckets)
                 own = part.column("trusted").to_numpy(zero_copy_only=False)
-                trust += np.bincount(grams[own[doc]], minlength=buckets)
-        at = np.flatnonzero(raw)
-        for k in range(0, len(at), 1 << 16):
-            some = at[k : k + (1 << 16)]
-            yield pa.record_batch({"bucket": pa.array(some), "raw": pa.array(raw[some]), "trusted": pa.array(trust[some])})
+                both[1] += np.bincount(grams[own[doc]], minlength=buckets)
+        if both.any():
+            rows = [_pack(both[:, k : k + size]) for k in range(0, buckets, size)]
+            yield pa.record_batch({"chunk": pa.array(range(len(rows)), pa.int32()), "counts": pa.array(rows, pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+                sums[chunk] = sums.get(chunk, 0) + _unpack(packed, 2 * min(size, buckets - chunk * size))
+        yield pa.record_batch({"chunk": pa.array(list(sums), pa.int32()), "counts": pa.array([_pack(x) for x in sums.values()], pa.binary())})
 
     small_batches(docs.sparkSession)
-    ids = trusted.select(F.col("doc_id").alias("_trusted")).filter("_trusted is not null").distinct()
+    ids = trusted.select(F.col("doc_id").alias("_trusted")).filter("_trusted is not null").distinct().hint("shuffle_hash")
     marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_trusted"), "left").select("text", F.col("_trusted").isNotNull().alias("trusted"))
-    parts = marked.mapInArrow(count, "bucket long, raw long, trusted long")
-    return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
+    return marked.mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
 
 
 def weights_of(model: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> np.ndarray:
     """log p_trusted - log p_raw of each bucket: ``buckets`` numbers, the only ones the driver gets."""
-    table = model.toArrow()
-    raw, trust = np.ones(buckets), np.zeros(buckets)
-    at = table.column("bucket").to_numpy()
-    raw[at] += table.column("raw").to_numpy()
-    trust[at] = table.column("trusted").to_numpy()
+    size = min(CHUNK, buckets)
+    both = np.zeros((2, buckets))
+    for chunk, packed in model.collect():  # buckets / CHUNK rows
+        end = min(buckets, (chunk + 1) * size)
+        both[:, chunk * size : end] = _unpack(packed, 2 * (end - chunk * size)).reshape(2, -1)
+    raw, trust = both[0] + 1, both[1]
     p_raw = raw / raw.sum()
     return np.log(trust + prior * p_raw) - np.log(trust.sum() + prior) - np.log(p_raw)
 
