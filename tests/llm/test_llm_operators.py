@@ -196,6 +196,17 @@ def test_components_of_a_chain(spark):
     assert {r.root for r in simhash.components(pairs).collect()} == {0}
 
 
+def test_components_of_long_paths(spark):
+    import random
+
+    n = 3000
+    shuffled = random.Random(1).sample(range(n), n)
+    valley = [2 * k if k < n // 2 else 2 * (n - 1 - k) + 1 for k in range(n)]  # smallest at both ends
+    pairs = [(path * n + order[k], path * n + order[k + 1]) for path, order in enumerate((shuffled, valley)) for k in range(n - 1)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {k: k // n * n for k in range(2 * n)}
+
+
 def test_simhash_empty(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
