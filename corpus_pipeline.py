@@ -15,7 +15,7 @@ from evidex.llm.queries import encoded_digests, trusted_ids
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the counted rules and the likelihood ratio."""
-    return quality.quality(docs, trusted_ids(spark, sf_dir)).filter("kept").select(*docs.columns)
+    return quality.quality(docs, trusted_ids(spark, sf_dir), smooth=None).filter("kept").select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

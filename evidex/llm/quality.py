@@ -2,10 +2,12 @@
 
 Words and pairs of neighbouring words are hashed to ``BUCKETS`` buckets. Two multinomials over the
 buckets are counted: one over all documents, one over the trusted documents among them. A document's
-score is the mean, over its n-grams, of log p_trusted - log p_raw, so it doesn't depend on length.
-The trusted multinomial has the raw one as its prior with a weight of ``PRIOR`` n-grams: little
-evidence moves scores little, whatever the corpus's size. Every document gets a score from the same
-table of weights and the same threshold.
+score is the mean, over its n-grams, of a log ratio of the two, so it doesn't depend on length. In
+each bucket the trusted count and the count to be expected from the raw share are both smoothed by
+``SMOOTH``: a rare n-gram moves scores little and a frequent one fully, whatever the corpus's size.
+With ``smooth=None`` the trusted multinomial has the raw one as its prior instead, with a weight of
+``PRIOR`` n-grams, under which small corpora reject nothing. Every document gets a score from the
+same table of weights and the same threshold.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from evidex.llm.common import SPACES, coded, pairs, slices, small_batches, text_
 
 BUCKETS = 1 << 18
 PRIOR = 2_500_000.0
+#: Added to a bucket's trusted count and to its expected count.
+SMOOTH = 16.0
 #: Mean log-likelihood ratio for an n-gram below which a document is rejected.
 THRESHOLD = -0.1
 #: Repeated windows have so many words.
@@ -96,13 +100,16 @@ def count_model(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
     return marked.mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
 
 
-def weights_of(model: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> np.ndarray:
-    """log p_trusted - log p_raw of each bucket: ``buckets`` numbers, the only ones the driver gets."""
+def weights_of(model: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, smooth: float | None = None) -> np.ndarray:
+    """The log ratio of each bucket, by ``smooth`` or else by ``prior``: ``buckets`` numbers, the only ones the driver gets."""
     size = min(CHUNK, buckets)
     both = np.zeros((2, buckets))
     for chunk, packed in model.collect():  # buckets / CHUNK rows
         end = min(buckets, (chunk + 1) * size)
         both[:, chunk * size : end] = _unpack(packed, 2 * (end - chunk * size)).reshape(2, -1)
+    if smooth is not None:
+        expected = both[0] * (both[1].sum() / max(1, both[0].sum()))
+        return np.log((both[1] + smooth) / (expected + smooth))
     raw, trust = both[0] + 1, both[1]
     p_raw = raw / raw.sum()
     return np.log(trust + prior * p_raw) - np.log(trust.sum() + prior) - np.log(p_raw)
@@ -175,6 +182,6 @@ def score_documents(docs: DataFrame, weights: np.ndarray, threshold: float = THR
     return named.mapInArrow(score, named.withColumns(more).schema).toDF(*docs.columns, *names)
 
 
-def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, smooth: float | None = SMOOTH) -> DataFrame:
     """Count the model over ``docs`` and ``trusted`` (doc_id), then score every document with it."""
-    return score_documents(docs, weights_of(count_model(docs, trusted, buckets), buckets), threshold)
+    return score_documents(docs, weights_of(count_model(docs, trusted, buckets), buckets, smooth=smooth), threshold)

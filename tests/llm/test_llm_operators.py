@@ -87,6 +87,18 @@ def test_quality_counts_and_ratio(spark, docs, rows):
     assert collections.Counter((r.doc_id, *(r[k] for k in quality.COUNTS), r.base_failed, round(r.ratio, 6), r.kept) for r in got) == expected
 
 
+@pytest.mark.parametrize("times", [1, 10])
+def test_quality_rejects_junk_at_every_size(spark, times):
+    import random
+
+    rng = random.Random(4)
+    clean, junk = (["%s%d" % (kind, k) for k in range(20)] for kind in ("clean", "junk"))
+    rows = [(k, " ".join(rng.choice(junk if k % 7 == 0 else clean) for _ in range(60))) for k in range(35 * times)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = quality.quality(docs, docs.filter("doc_id % 7 > 3").select("doc_id")).collect()
+    assert {(r.doc_id, r.kept) for r in got if not r.base_failed} == {(k, k % 7 > 0) for k, _ in rows}
+
+
 def test_quality_empty(spark, empty):
     assert quality.quality(empty, spark.createDataFrame([], "doc_id long")).count() == 0
 
