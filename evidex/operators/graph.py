@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -176,11 +177,11 @@ def neighbors(edges: DataFrame) -> DataFrame:
     return out.join(into, "id", "full").select("id", F.coalesce("predecessors", F.lit(0)).alias("predecessors"), F.coalesce("successors", F.lit(0)).alias("successors"))
 
 
-def shortest_path(edges: DataFrame, a: str, b: str, most_steps: int = 50) -> DataFrame:
+def shortest_path(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(found, path, length): breadth first from a; among shortest paths the least by its nodes in order.
 
     The frontier holds a row for each newly reached node, joined with the edges and kept out of what
-    was reached before; every round is written to the shared folder.
+    was reached before; every round is written to the shared folder, and rounds end with the frontier.
     """
     spark = edges.sparkSession
     a, b = " ".join(a.split()).lower(), " ".join(b.split()).lower()
@@ -193,7 +194,7 @@ def shortest_path(edges: DataFrame, a: str, b: str, most_steps: int = 50) -> Dat
         return spark.createDataFrame([(True, [a], 0)], "found boolean, path array<string>, length int")
     frontier = spark.createDataFrame([(a, [a])], "id string, path array<string>")
     seen = frontier.select("id")
-    for step in range(1, most_steps + 1):
+    for step in itertools.count(1):
         reached = links.join(frontier.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
         frontier = cut(reached.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
         hit = frontier.filter(F.col("id") == b).select(F.lit(True).alias("found"), "path", F.lit(step).alias("length"))
@@ -202,7 +203,6 @@ def shortest_path(edges: DataFrame, a: str, b: str, most_steps: int = 50) -> Dat
         if frontier.isEmpty():
             return none
         seen = cut(seen.union(frontier.select("id")))
-    return none
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -219,3 +219,9 @@ def test_federated_union_reports_failures(spark):
     union, status = L.federated_union({"one": a, "two": a.filter("ord > 5")}, ["one", "two", "three"])
     assert union.count() == 1
     assert {r.source: r.status for r in status.collect()} == {"one": "OK (1 results)", "two": "No results", "three": "Failed: unknown source"}
+
+
+def test_shortest_path_of_many_steps(spark):
+    edges = spark.createDataFrame([("n%02d" % k, "n%02d" % (k + 1)) for k in range(52)], "src string, dst string").coalesce(1)
+    row = G.shortest_path(edges, "n00", "n52").first()
+    assert (row.found, row.length, row.path) == (True, 52, ["n%02d" % k for k in range(53)])
