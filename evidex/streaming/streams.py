@@ -79,7 +79,7 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def upsert(stream: DataFrame, step: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
+def upsert(stream: DataFrame, step: Callable[[DataFrame | None, DataFrame], DataFrame], mode: str = "append") -> DataFrame:
     """Fold a stream into a table: ``step(table or None, batch)`` gives the next version.
 
     Each version is its own folder named by the batch, so a repeated batch starts from the version
@@ -94,7 +94,7 @@ def upsert(stream: DataFrame, step: Callable[[DataFrame | None, DataFrame], Data
         step(before, batch).write.parquet(f"{path}/v{batch_id}", mode="overwrite")
         last["version"] = batch_id
 
-    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{path}/v{last['version']}")
 

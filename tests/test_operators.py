@@ -225,3 +225,13 @@ def test_shortest_path_of_many_steps(spark):
     edges = spark.createDataFrame([("n%02d" % k, "n%02d" % (k + 1)) for k in range(52)], "src string, dst string").coalesce(1)
     row = G.shortest_path(edges, "n00", "n52").first()
     assert (row.found, row.length, row.path) == (True, 52, ["n%02d" % k for k in range(53)])
+
+
+def test_session_stream_returns_the_tail(spark, sf):
+    from evidex.plans import q_streams
+    from evidex.streaming import streams as X
+
+    rows = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = q_streams.QUERIES["x02_stream_session_windows"](spark, sf)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, X.session_windows(rows, "user_id").collect()))
+    assert got.agg(F.sum("n")).first()[0] == rows.count()
