@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -19,27 +20,65 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below the folder that driver and executors share.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Where that is unset (a local session)
-    a temporary folder takes its place and becomes the session's checkpoint folder.
+    The cluster names the folder in ``spark.checkpoint.dir``. Only a local session may leave it unset:
+    a temporary folder takes its place and becomes the session's checkpoint folder. What stands below
+    the path belongs to the innermost ``scratch``, if there is one.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None)
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
-        used = spark.sparkContext.getCheckpointDir()
-        if used is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-            used = spark.sparkContext.getCheckpointDir()
-        top = used
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        top = spark.sparkContext.getCheckpointDir()
+    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _owned:
+        _owned[-1].append(path)
+    return path
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Paths of each open ``scratch``, innermost last.
+_owned: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes, at its end, what operators wrote to the shared folder inside it; results that read it
+    must be written by then. Paths that the caller asks for before the block stay."""
+    _owned.append([])
+    try:
+        yield
+    finally:
+        for path in _owned.pop():
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            spark.sql(f"drop table if exists `{path.rsplit('/', 1)[1].replace('-', '_')}`")
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends here."""
     spark = df.sparkSession
     path = shared_dir(spark, "cut")
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most keys that hot_join sends to all tasks.
+HOT_KEYS = 2000
+
+
+def hot_join(rows: DataFrame, classes: DataFrame, key: list[str], n: int) -> DataFrame:
+    """``rows`` (``n`` of them) joined with ``classes``, a row for each key with ``size``, how many rows have it.
+
+    Keys of more than one in ``HOT_KEYS`` rows can't be more than ``HOT_KEYS``: they go to all tasks,
+    and their rows stay where they are. Other rows meet their key by a shuffle, in which no key has
+    more than that share. ``size`` is dropped.
+    """
+    hot = classes.filter(F.col("size") > n / HOT_KEYS).drop("size").withColumn("_hot", F.lit(True))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    cold = marked.filter("_hot is null").select(*rows.columns).join(classes.filter(F.col("size") <= n / HOT_KEYS).drop("size"), key)
+    return marked.filter("_hot").drop("_hot").unionByName(cold)
+
+
 #: Rows of a batch that goes to Python: with long texts, Spark's own 10,000 take hundreds of MB in each task.
 BATCH_ROWS = 1000
 
@@ -47,7 +86,7 @@ BATCH_ROWS = 1000
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of batches of texts, unless the session sets its own number of rows."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
+    if spark.conf.get(name, "-1") == "-1":  # nobody has set it
         spark.conf.set(name, BATCH_ROWS)
 
 

@@ -1,13 +1,15 @@
 """Quality rules: counted rules, and a hashed n-gram log-likelihood ratio of trusted against raw text.
 
 Words and pairs of neighbouring words are hashed to ``BUCKETS`` buckets. Two multinomials over the
-buckets are counted: one over all documents, one over the trusted documents among them. A document's
-score is the mean, over its n-grams, of a log ratio of the two, so it doesn't depend on length. In
-each bucket the trusted count and the count to be expected from the raw share are both smoothed by
-``SMOOTH``: a rare n-gram moves scores little and a frequent one fully, whatever the corpus's size.
-With ``smooth=None`` the trusted multinomial has the raw one as its prior instead, with a weight of
-``PRIOR`` n-grams, under which small corpora reject nothing. Every document gets a score from the
-same table of weights and the same threshold.
+buckets are counted: one over all documents, one over the trusted documents among them. The trusted
+one has the raw one as its prior, with ``PRIOR`` times the weight of the trusted text itself, so a
+bucket's log ratio depends on shares only: a corpus twice over has the same ratios. A document's score
+is the mean over its n-grams, which doesn't depend on its length either.
+
+The threshold comes from the trusted documents: they are dealt into folds by doc_id, each is scored by
+the trusted text of the other folds, as a document is that nobody has labelled, and at most
+``QUANTILE`` of them may lie below the threshold. Every document is then scored by one table of weights
+and held against that one number.
 """
 
 from __future__ import annotations
@@ -20,14 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.common import SPACES, coded, pairs, slices, small_batches, text_bytes, without, word_table, words_of
+from evidex.llm.common import SPACES, coded, cut, pairs, slices, small_batches, text_bytes, without, word_table, words_of
 
 BUCKETS = 1 << 18
-PRIOR = 2_500_000.0
-#: Added to a bucket's trusted count and to its expected count.
-SMOOTH = 16.0
-#: Mean log-likelihood ratio for an n-gram below which a document is rejected.
-THRESHOLD = -0.1
+#: Weight of the raw multinomial in the trusted one, in trusted n-grams for each trusted n-gram.
+PRIOR = 0.3
+#: Most of the trusted documents that may score below the threshold, as a share.
+QUANTILE = 0.01
+#: Parts of the trusted documents; each is scored by the others.
+FOLDS = 4
+#: Steps of the threshold for one unit of score.
+STEPS = 1000
 #: Repeated windows have so many words.
 WINDOW = 5
 #: Rules: fewest words, and most percent of words in repeated windows.
@@ -54,6 +59,8 @@ def features(codes: np.ndarray, distinct: pa.Array, before: np.ndarray, buckets:
 
 #: Buckets whose counts travel in one row.
 CHUNK = 1024
+#: Tasks that rows with one doc_id are dealt over when they meet the trusted ids.
+SALTS = 4
 
 
 def _pack(counts: np.ndarray) -> bytes:
@@ -64,55 +71,100 @@ def _unpack(packed: bytes, size: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(packed, size * 8, "zstd", asbytes=True), "<i8")
 
 
-def count_model(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(chunk, counts): n-gram counts over all ``docs`` and over those whose doc_id ``trusted`` has.
+def trusted_texts(docs: DataFrame, trusted: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """(text, fold) of the rows of ``docs`` whose doc_id ``trusted`` has, written to the shared folder.
 
-    Each task counts into two arrays of ``buckets`` numbers and sends them in compressed rows of
-    ``CHUNK`` buckets, which are added up where their number falls. Texts meet the trusted ids by a
-    shuffle whatever the sizes, so the plan is the same at every scale. Null texts count nothing; a
-    row is trusted once however often ``trusted`` names it; null doc_ids are never trusted.
+    A row comes once however often ``trusted`` names it; null doc_ids are never trusted; rows with one
+    doc_id are in one fold. Texts meet the trusted ids by a shuffle whatever the sizes, so the plan is
+    the same at every scale; rows with one doc_id are dealt over ``SALTS`` tasks by their text.
+    """
+    salt = F.pmod(F.xxhash64("text"), F.lit(SALTS))
+    ids = trusted.select(F.col("doc_id").alias("_trusted")).filter("_trusted is not null").distinct()
+    ids = ids.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).hint("shuffle_hash")
+    own = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    own = own.join(ids, (F.col("doc_id") == F.col("_trusted")) & (salt == F.col("_salt")), "left_semi")
+    return cut(own.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int").alias("fold")), "zstd")
+
+
+def count_grams(rows: DataFrame, groups: int = 1, buckets: int = BUCKETS) -> np.ndarray:
+    """n-grams of ``rows`` (text, fold: 0 to groups - 1) by fold and bucket; the driver gets no more than that.
+
+    Each task counts into one array and sends it in compressed rows of ``CHUNK`` buckets, which are
+    added up where their number falls. Null texts count nothing.
     """
     size = min(CHUNK, buckets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.zeros((2, buckets), np.int64)
+        sums = np.zeros((groups, buckets), np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 words, before = words_of(part.column("text"), WORDS)
                 grams, doc = features(*coded(words), before, buckets)
-                both[0] += np.bincount(grams, minlength=buckets)
-                own = part.column("trusted").to_numpy(zero_copy_only=False)
-                both[1] += np.bincount(grams[own[doc]], minlength=buckets)
-        if both.any():
-            rows = [_pack(both[:, k : k + size]) for k in range(0, buckets, size)]
-            yield pa.record_batch({"chunk": pa.array(range(len(rows)), pa.int32()), "counts": pa.array(rows, pa.binary())})
+                fold = part.column("fold").to_numpy()[doc]
+                sums += np.bincount(fold * buckets + grams, minlength=groups * buckets).reshape(groups, buckets)
+        if sums.any():
+            packed = [_pack(sums[:, k : k + size]) for k in range(0, buckets, size)]
+            yield pa.record_batch({"chunk": pa.array(range(len(packed)), pa.int32()), "counts": pa.array(packed, pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-                sums[chunk] = sums.get(chunk, 0) + _unpack(packed, 2 * min(size, buckets - chunk * size))
+                sums[chunk] = sums.get(chunk, 0) + _unpack(packed, groups * min(size, buckets - chunk * size))
         yield pa.record_batch({"chunk": pa.array(list(sums), pa.int32()), "counts": pa.array([_pack(x) for x in sums.values()], pa.binary())})
 
-    small_batches(docs.sparkSession)
-    ids = trusted.select(F.col("doc_id").alias("_trusted")).filter("_trusted is not null").distinct().hint("shuffle_hash")
-    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_trusted"), "left").select("text", F.col("_trusted").isNotNull().alias("trusted"))
-    return marked.mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
-
-
-def weights_of(model: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, smooth: float | None = None) -> np.ndarray:
-    """The log ratio of each bucket, by ``smooth`` or else by ``prior``: ``buckets`` numbers, the only ones the driver gets."""
-    size = min(CHUNK, buckets)
-    both = np.zeros((2, buckets))
+    small_batches(rows.sparkSession)
+    model = rows.mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
+    sums = np.zeros((groups, buckets), np.int64)
     for chunk, packed in model.collect():  # buckets / CHUNK rows
         end = min(buckets, (chunk + 1) * size)
-        both[:, chunk * size : end] = _unpack(packed, 2 * (end - chunk * size)).reshape(2, -1)
-    if smooth is not None:
-        expected = both[0] * (both[1].sum() / max(1, both[0].sum()))
-        return np.log((both[1] + smooth) / (expected + smooth))
-    raw, trust = both[0] + 1, both[1]
-    p_raw = raw / raw.sum()
-    return np.log(trust + prior * p_raw) - np.log(trust.sum() + prior) - np.log(p_raw)
+        sums[:, chunk * size : end] = _unpack(packed, groups * (end - chunk * size)).reshape(groups, -1)
+    return sums
+
+
+def weights_of(raw: np.ndarray, trust: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """The log ratio of each bucket; 0 where nothing is counted, and everywhere without trusted text."""
+    if not trust.sum():
+        return np.zeros(len(raw))
+    p_raw = np.where(raw > 0, raw, 1) / max(1, raw.sum())
+    return np.where(raw > 0, np.log((trust / trust.sum() + prior * p_raw) / ((1 + prior) * p_raw)), 0.0)
+
+
+def ratios(grams: np.ndarray, doc: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
+    """The mean weight of each of ``n`` documents' n-grams; 0 for none."""
+    return np.round(np.bincount(doc, weights=table[grams], minlength=n) / np.maximum(np.bincount(doc, minlength=n), 1), 9)
+
+
+def threshold_of(own: DataFrame, tables: list[np.ndarray | None], quantile: float = QUANTILE) -> float:
+    """The highest step that at most ``quantile`` of ``own`` (text, fold) lie below, each scored by its fold's table.
+
+    Texts that fail the rule for fewest words don't count, nor do folds without a table. Without any
+    text there is nothing to hold others against: minus infinity. The driver gets a count for each step.
+    """
+    sent = own.sparkSession.sparkContext.broadcast(tables)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words, before = words_of(part.column("text"), WORDS)
+                fold = part.column("fold").to_numpy()
+                grams, doc = features(*coded(words), before, next(len(t) for t in sent.value if t is not None))
+                at = np.zeros(len(part))
+                for k, table in enumerate(sent.value):
+                    if table is not None:
+                        at = np.where(fold == k, ratios(grams, doc, len(part), table), at)
+                counted = (np.diff(before) >= LEAST_WORDS) & np.array([t is not None for t in sent.value])[fold]
+                yield pa.record_batch({"step": pa.array(np.floor(at[counted] * STEPS).astype(np.int64))})
+
+    if all(t is None for t in tables):
+        return float("-inf")
+    counts = sorted(own.mapInArrow(place, "step long").groupBy("step").count().collect())
+    below, best, total = 0, float("-inf"), sum(n for _, n in counts)
+    for step, n in counts:
+        if below <= quantile * total:
+            best = step / STEPS
+        below += n
+    return best
 
 
 def per_text(flags: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -153,12 +205,13 @@ def rule_counts(texts: pa.Array, words=None) -> dict[str, np.ndarray]:
     return out
 
 
-def score_documents(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+def score_documents(docs: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
     """``docs`` with the counts, base_failed, ratio (double; 0 without words) and kept.
 
     Null and empty texts have no words, so they fail the rules. Columns with the names of results are
     replaced; other columns pass; repeated rows each get their result.
     """
+    small_batches(docs.sparkSession)
     names = (*COUNTS, "base_failed", "ratio", "kept")
     docs = without(docs, *names)
     text = f"c{docs.columns.index('text')}"
@@ -170,9 +223,7 @@ def score_documents(docs: DataFrame, weights: np.ndarray, threshold: float = THR
             for part in slices(batch, text, 4 << 20):
                 words, before = words_of(part.column(text), WORDS)
                 counts = rule_counts(part.column(text), (words, before))
-                grams, doc = features(*coded(words), before, len(table))
-                n = np.bincount(doc, minlength=len(part))
-                ratio = np.round(np.bincount(doc, weights=table[grams], minlength=len(part)) / np.maximum(n, 1), 9)
+                ratio = ratios(*features(*coded(words), before, len(table)), len(part), table)
                 failed = (counts["n_words"] < LEAST_WORDS) | (100 * counts["n_repeat_words"] > MOST_REPEATED * counts["n_words"])
                 columns = {c: part.column(c) for c in part.schema.names} | {k: pa.array(counts[k].astype(np.int64)) for k in COUNTS}
                 yield pa.record_batch(columns | {"base_failed": pa.array(failed), "ratio": pa.array(ratio), "kept": pa.array(~failed & (ratio >= threshold))})
@@ -182,6 +233,19 @@ def score_documents(docs: DataFrame, weights: np.ndarray, threshold: float = THR
     return named.mapInArrow(score, named.withColumns(more).schema).toDF(*docs.columns, *names)
 
 
-def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, smooth: float | None = SMOOTH) -> DataFrame:
-    """Count the model over ``docs`` and ``trusted`` (doc_id), then score every document with it."""
-    return score_documents(docs, weights_of(count_model(docs, trusted, buckets), buckets, smooth=smooth), threshold)
+def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, quantile: float = QUANTILE, folds: int = FOLDS) -> tuple[np.ndarray, float]:
+    """(weights, threshold) from all of ``docs`` and from ``trusted`` (doc_id)."""
+    raw = count_grams(docs.select("text", F.lit(0).alias("fold")), 1, buckets)[0]
+    own = trusted_texts(docs, trusted, folds)
+    trust = count_grams(own, folds, buckets)
+    others = [trust.sum(axis=0) - trust[k] for k in range(folds)]
+    threshold = threshold_of(own, [weights_of(raw, o, prior) if o.any() else None for o in others], quantile)
+    return weights_of(raw, trust.sum(axis=0), prior), threshold
+
+
+def quality(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
+    """Fit the weights and the threshold on ``docs`` and ``trusted`` (doc_id), then score every document.
+
+    Without trusted documents every ratio is 0 and the counted rules alone decide.
+    """
+    return score_documents(docs, *fit(docs, trusted, **options))

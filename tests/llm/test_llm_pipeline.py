@@ -1,55 +1,24 @@
 """The pipeline against its stages done by brute force, and how stages treat odd rows."""
 
-import collections
 import hashlib
-import math
 import re
-import zlib
 
 import public_tokenizers as P
-from test_llm_operators import SPLIT, brute_components, brute_dedup, brute_hits, brute_rules, brute_simhash
+from test_llm_operators import brute_components, brute_dedup, brute_hits, brute_quality, brute_simhash
 
 import corpus_pipeline
-from evidex.llm import byte_bpe, quality
+from evidex.llm import byte_bpe
 
 SF = "/root/testdata/sf0.001"
 
 
-def brute_quality(docs, trusted):
-    mix, m = 0xFF51AFD7ED558CCD, (1 << 64) - 1
-
-    def grams(text):
-        h = [zlib.crc32(w.encode()) for w in SPLIT.findall(text or "")]
-        two = [(((a * 0x9E3779B97F4A7C15 + b) & m) * mix & m) >> 40 for a, b in zip(h, h[1:])]
-        return [x % quality.BUCKETS for x in [(x * mix & m) >> 40 for x in h] + two]
-
-    raw, good = collections.Counter(), collections.Counter()
-    for doc_id, text in docs:
-        g = grams(text)
-        raw.update(g)
-        if doc_id in trusted:
-            good.update(g)
-    total, total_good = sum(raw.values()) + quality.BUCKETS, sum(good.values())
-
-    def weight(b):
-        p = (raw[b] + 1) / total
-        return math.log((good[b] + quality.PRIOR * p) / (total_good + quality.PRIOR)) - math.log(p)
-
-    kept = []
-    for doc_id, text in docs:
-        n, *_, repeated = brute_rules(text)
-        g = grams(text)
-        if n >= 10 and 100 * repeated <= 20 * n and round(sum(map(weight, g)) / max(1, len(g)), 9) >= quality.THRESHOLD:
-            kept.append((doc_id, text))
-    return kept
-
-
 def test_pipeline_equals_brute_force(spark):
     import tiktoken
 
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     trusted = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1").collect()}
-    docs = brute_quality(docs, trusted)
+    kept = {r[0] for r in brute_quality(docs, trusted) if r[-1]}
+    docs = [r for r in docs if r[0] in kept]
     lines = brute_dedup(docs, 50)
     deduped = []
     for doc_id, text in docs:
