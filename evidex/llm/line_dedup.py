@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidex.llm.common import cut, slices, small_batches, without
+from evidex.llm.common import cut, hot_join, slices, small_batches, without
 
 MIN_WORDS = 50
 
@@ -96,9 +96,9 @@ def _ranks(classes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _repeated(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Keys ``by`` that rows at different places have, with the first of these places."""
+    """Keys ``by`` that rows at different places have, with the first of these places and the number of rows."""
     place = F.struct(*PLACE)
-    return rows.groupBy(*by).agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").drop("last")
+    return rows.groupBy(*by).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("size")).filter("first <> last").drop("last")
 
 
 def _later(rows: DataFrame) -> DataFrame:
@@ -111,8 +111,9 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     if min_words < 1:
         raise ValueError("min_words is 1 at least")
     lines = cut(_lines(docs, min_words))
+    n = lines.count()  # no round has more than two rows for a line
     ranked = _ranks(_repeated(lines, ["h"]), ["h"])
-    level = cut(lines.join(ranked, "h").groupBy(*PLACE).agg(F.first("rank").alias("rank"), F.first("first").alias("first"), F.first("lens").alias("lens")))
+    level = cut(hot_join(lines, ranked, ["h"], n).groupBy(*PLACE).agg(F.first("rank").alias("rank"), F.first("first").alias("first"), F.first("lens").alias("lens")))
     found, k = [], 1
     while True:
         sized = level.select(*PLACE, "rank", "first", F.explode(F.filter("lens", lambda x: (x >= k) & (x < 2 * k))).alias("len"))
@@ -122,14 +123,14 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             far = level.select("d", "t", F.col("pos").alias("far"), F.col("rank").alias("rank2"))
             both = cut(longer.withColumn("far", F.col("pos") + F.col("len") - k).join(far, ["d", "t", "far"]).select(*PLACE, "len", "rank", "rank2"))
             key = ["len", "rank", "rank2"]
-            found.append(_later(both.join(_repeated(both, key), key)))
+            found.append(_later(hot_join(both, _repeated(both, key), key, n)))
         if 2 * k > min_words:
             break
         ahead = F.max("rank").over(Window.partitionBy("d", "t").orderBy("pos").rangeBetween(k, k))
         pairs = cut(level.select(*PLACE, "lens", "rank", ahead.alias("rank2")).filter("rank2 is not null"))
-        classes = _repeated(pairs, ["rank", "rank2"]).select(F.col("rank").alias("r1"), F.col("rank2").alias("r2"), "first")
+        classes = _repeated(pairs, ["rank", "rank2"]).select(F.col("rank").alias("r1"), F.col("rank2").alias("r2"), "first", "size")
         classes = _ranks(classes, ["r1", "r2"]).withColumnsRenamed({"rank": "next", "r1": "rank", "r2": "rank2"})
-        level = cut(pairs.join(classes, ["rank", "rank2"]).select(*PLACE, F.col("next").alias("rank"), "first", "lens"))
+        level = cut(hot_join(pairs, classes, ["rank", "rank2"], n).select(*PLACE, F.col("next").alias("rank"), "first", "lens"))
         k *= 2
         if level.isEmpty():
             break
