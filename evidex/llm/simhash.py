@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.common import SPACES, cut, slices, small_batches, text_bytes, without, word_table
+from evidex.llm.common import SPACES, cut, hot_join, slices, small_batches, text_bytes, word_table
 
 LIMIT = 3
 SHINGLE = 3
@@ -167,18 +167,20 @@ def components(pairs: DataFrame) -> DataFrame:
         roots = moved.select("node", "root")
 
 
-def _classes(docs: DataFrame, shingle: int, limit: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_hash, fp) of every row, and (fp, component_id, n_links, root) of every fingerprint."""
+def _classes(docs: DataFrame, shingle: int, limit: int) -> tuple[DataFrame, int]:
+    """(doc_id, text_hash, fp, component_id, n_links, root) of every row, and the number of rows."""
     small_batches(docs.sparkSession)
     fps = cut(with_fingerprints(docs, shingle))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("size")))
     pairs = cut(links(nodes.select("fp"), limit))
     roots = components(pairs)
     degree = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").join(degree, "fp", "left")
-    joined = joined.select("fp", "least_id", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    joined = joined.select("fp", "size", "least_id", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return fps, salted_join(joined, least, "root", "fp").select("fp", "component_id", "n_links", "root")
+    classes = salted_join(joined, least, "root", "fp").select("fp", "size", "component_id", "n_links", "root")
+    n = fps.count()
+    return hot_join(fps, classes, ["fp"], n), n
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
@@ -190,8 +192,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT)
     that reaches no doc_id has a null component_id. Repeated rows share a fingerprint and so a
     component. An empty table gives no rows; other columns are not read.
     """
-    fps, classes = _classes(docs, shingle, limit)
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    return _classes(docs, shingle, limit)[0].select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
@@ -200,13 +201,15 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT) -> Dat
     A null doc_id counts as the largest; rows with one doc_id go by the hash of their texts, and of
     repeated rows one stays.
     """
-    fps, classes = _classes(docs, shingle, limit)
+    rows, n = _classes(docs, shingle, limit)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    rows = fps.join(classes, "fp").groupBy("root", order.alias("row")).agg(F.count("*").alias("n"))
-    kept = cut(rows.groupBy("root").agg(F.min(F.struct("row", "n")).alias("first")).select("first.row.*", F.col("first.n").alias("n")))
-    keys = kept.select(F.col("doc_id").alias("_keep_id"), F.col("text_hash").alias("_keep_hash"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")) & (_text_hash() == F.col("_keep_hash"))
-    out = docs.join(keys, same, "left_semi")
-    if kept.filter("n > 1").isEmpty():
-        return out
-    return out.withColumn("_keep_hash", _text_hash()).dropDuplicates(["doc_id", "_keep_hash"]).drop("_keep_hash")
+    rows = rows.groupBy("root", order.alias("row")).agg(F.count("*").alias("size"))
+    kept = cut(rows.groupBy("root").agg(F.min(F.struct("row", "size")).alias("first")).select("first.row.*", "first.size"))
+    key = ["none", "id", "hash"]
+    keys = kept.select("none", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("hash"), "size")
+    doc_id = F.col("doc_id").cast("long")
+    named = docs.select(doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"), _text_hash().alias("hash"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    out = hot_join(named, keys, key, n)
+    if not kept.filter("size > 1").isEmpty():
+        out = out.dropDuplicates(key)
+    return out.drop(*key).toDF(*docs.columns)
