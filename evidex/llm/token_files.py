@@ -4,19 +4,22 @@ A file is an Arrow IPC file (the stream format plus a footer of batch positions)
 ``rows_per_batch`` rows of two fixed-size lists: ``ids`` (uint16 where the vocabulary fits, else
 uint32) and ``mask`` (true where an id counts). All ids of a file's documents follow one another
 through the rows; only the last row is padded. Because rows have one size, id ``k`` of a file stands
-in row ``k // length`` at ``k % length`` and is reached by memory mapping, without reading before it.
+in row ``k // length`` at ``k % length`` and is reached without reading before it (``SequenceFile``).
 Beside each ``.arrow`` file an ``.index.arrow`` file holds (doc_id, start, n_tokens) with starts
 counted within the file; the manifest adds each file's place in the whole order.
 """
 
 from __future__ import annotations
 
+import contextlib
+import json
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import LocalFileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +42,22 @@ def _kinds() -> np.ndarray:
     return kinds
 
 
+#: The normalisers and the pieces of the kind of vocabulary that ``encode_texts`` can take word by word.
+NORMALISERS = ("NFC", "Replace", "Lowercase")
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_file(path)
+    rules = json.loads(tokenizer.to_str())
+    normalisers = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
+    split = next(iter((rules["pre_tokenizer"] or {}).get("pretokenizers", [])), {})
+    if tuple(normalisers) != NORMALISERS or split.get("pattern") != {"Regex": PIECES} or not split.get("invert"):
+        raise ValueError("texts are encoded word by word, which needs a vocabulary that folds case and drops white space")
+    return tokenizer
 
 
 def encode_texts(texts: pa.Array, tokenizer, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -108,14 +122,15 @@ class SequenceWriter:
         self.out.close()
 
 
-def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int = 1, length: int = 2048, rows_per_batch: int = 64) -> DataFrame:
+def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int = 1, length: int = 2048, rows_per_batch: int = 64, n_files: int | None = None) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write them in ascending doc_id order; returns the manifest.
 
     Null and empty texts have only the end id. Null doc_ids come first; rows with one doc_id stand
-    in the order of their texts, so repeated rows are all kept. An empty table writes no file.
+    in the order of their texts' hashes, so repeated rows are all kept. An empty table writes no file.
     Other columns are not read. Manifest: file, n_docs, n_tokens, start (ids in all files before).
-    The order is dealt by range of doc_id, so a file's size depends on its range, not on any key's
-    frequency, and a task that runs again writes the same file under the same name.
+    Rows are dealt by range of doc_id, hash of text and, among equal rows, the input split they come
+    from, into ``n_files`` parts or as many as Spark finds fit; so one doc_id's rows fill as many files
+    as they need. A task that runs again writes the same file under the same name.
     """
     small_batches(docs.sparkSession)
     vocab = _tokenizer(tokenizer_path).get_vocab_size()
@@ -123,29 +138,32 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
     out_dir = out_dir.rstrip("/")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, ids_file, writer, path, shard = _tokenizer(tokenizer_path), None, None, "", -1
+        tokenizer, writer, path, shard = _tokenizer(tokenizer_path), None, "", -1
         docs_in, counts = [], []
-        for batch in batches:
-            for part in slices(batch, "text"):
-                if writer is None:
-                    shard = part.column("shard")[0].as_py()
-                    path = f"{out_dir}/part-{shard:06d}"
-                    ids_file = open_write(path + ".arrow")
-                    writer = SequenceWriter(ids_file.__enter__(), dtype, length, rows_per_batch)
-                ids, before = encode_texts(part.column("text"), tokenizer, tokenizer_path)
-                writer.write(np.insert(ids, before[1:], end_id))
-                docs_in.append(part.column("doc_id"))
-                counts.append(np.diff(before) + 1)
+        with contextlib.ExitStack() as files:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    if writer is None:
+                        shard = part.column("shard")[0].as_py()
+                        path = f"{out_dir}/part-{shard:06d}"
+                        writer = SequenceWriter(files.enter_context(open_write(path + ".arrow")), dtype, length, rows_per_batch)
+                    ids, before = encode_texts(part.column("text"), tokenizer, tokenizer_path)
+                    writer.write(np.insert(ids, before[1:], end_id))
+                    docs_in.append(part.column("doc_id"))
+                    counts.append(np.diff(before) + 1)
+            if writer is not None:
+                writer.close()
         if writer is not None:
-            writer.close()
-            ids_file.__exit__(None, None, None)
             n = np.concatenate(counts)
             index = pa.table({"doc_id": pa.chunked_array(docs_in).cast(pa.int64()), "start": np.cumsum(n) - n, "n_tokens": n})
             with open_write(path + ".index.arrow") as sink, pa.ipc.new_file(sink, index.schema) as out:
                 out.write_table(index, max_chunksize=1 << 16)
             yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "file": [path], "n_docs": [len(n)], "n_tokens": [int(n.sum())]})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").withColumn("shard", F.spark_partition_id()).sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", "hash", "split")
+    split = F.xxhash64(F.input_file_name(), F.input_file_block_start())
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), split.alias("split"))
+    ordered = keyed.repartitionByRange(*([n_files] if n_files else []), *order).select("doc_id", "text", F.spark_partition_id().alias("shard"), "hash", "split").sortWithinPartitions(*order).drop("hash", "split")
     files = sorted(ordered.mapInArrow(write, "shard int, file string, n_docs long, n_tokens long").collect())  # a row for each file
     rows, start = [], 0
     for f in files:
@@ -154,22 +172,53 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
     return docs.sparkSession.createDataFrame(rows, "file string, n_docs long, n_tokens long, start long")
 
 
-def read_tokens(path: str, start: int, n: int, reader=None) -> np.ndarray:
-    """Ids ``start`` to ``start + n`` of one file: only the batches that hold them are opened."""
-    if reader is None:
+class SequenceFile:
+    """Random access to a file's rows and ids. Where the file system is local the file is memory-mapped,
+    and rows, and ids that one batch holds, are views of the map: no byte of them is copied. The mask is
+    one bit an id, so it comes as an Arrow array, which reads bits in place."""
+
+    def __init__(self, path: str):
         fs, at = filesystem(path + ".arrow")
-        reader = pa.ipc.open_file(fs.open_input_file(at))
-    length = reader.schema.field("ids").type.list_size
-    rows = reader.get_batch(0).num_rows
-    per, found = rows * length, []
-    for b in range(start // per, -(-(start + n) // per)):
-        flat = reader.get_batch(b).column("ids").flatten().to_numpy()
-        found.append(flat[max(0, start - b * per) : start + n - b * per])
-    return np.concatenate(found)
+        self.source = pa.memory_map(at) if isinstance(fs, LocalFileSystem) else fs.open_input_file(at)
+        self.reader = pa.ipc.open_file(self.source)
+        self.length = self.reader.schema.field("ids").type.list_size
+        self.per = self.reader.get_batch(0).num_rows * self.length if self.reader.num_record_batches else 0
+        self.last = -1, None, None
+
+    def batch(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """All ids of a batch in a row, and their mask."""
+        if self.last[0] != k:
+            batch = self.reader.get_batch(k)
+            self.last = k, batch.column("ids").flatten().to_numpy(), batch.column("mask").flatten()
+        return self.last[1:]
+
+    def row(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Row ``k`` of all rows: its ids and its mask."""
+        b, at = divmod(k * self.length, self.per)
+        ids, mask = self.batch(b)
+        return ids[at : at + self.length], mask.slice(at, self.length)
+
+    def tokens(self, start: int, n: int) -> np.ndarray:
+        """Ids ``start`` to ``start + n``: only the batches that hold them are opened."""
+        found = [self.batch(b)[0][max(0, start - b * self.per) : start + n - b * self.per] for b in range(start // self.per, -(-(start + n) // self.per))]
+        return found[0] if len(found) == 1 else np.concatenate(found)
+
+    def marked(self, start: int, n: int) -> int:
+        """How many of these ids the mask marks."""
+        return sum(self.batch(b)[1][max(0, start - b * self.per) : start + n - b * self.per].true_count for b in range(start // self.per, -(-(start + n) // self.per)))
+
+    def close(self) -> None:
+        self.last = -1, None, None
+        self.source.close()
+
+
+def read_tokens(path: str, start: int, n: int) -> np.ndarray:
+    """Ids ``start`` to ``start + n`` of one file."""
+    return SequenceFile(path).tokens(start, n)
 
 
 def read_token_files(manifest: DataFrame, files_per_task: int = 1) -> DataFrame:
-    """Each document as its files hold it: doc_id, start, n_tokens, ids_crc32, file, masked.
+    """Each document as its files hold it, by random access: doc_id, start, n_tokens, ids_crc32, file, masked.
 
     ``masked`` counts the document's ids that the mask marks; it equals n_tokens.
     """
@@ -178,26 +227,17 @@ def read_token_files(manifest: DataFrame, files_per_task: int = 1) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 fs, at = filesystem(row["file"] + ".index.arrow")
-                index = pa.ipc.open_file(fs.open_input_file(at))
-                fs, at = filesystem(row["file"] + ".arrow")
+                body = SequenceFile(row["file"])
                 with fs.open_input_file(at) as source:
-                    body = pa.ipc.open_file(source)
-                    at_batch, ids, mask, base = -1, np.zeros(0, np.uint32), np.zeros(0, bool), 0
+                    index = pa.ipc.open_file(source)
                     for k in range(index.num_record_batches):
                         part = index.get_batch(k)
                         starts, ns = part.column("start").to_numpy(), part.column("n_tokens").to_numpy()
-                        crcs, masked = np.zeros(len(ns), np.int64), np.zeros(len(ns), np.int64)
-                        for i, (s, n) in enumerate(zip(starts.tolist(), ns.tolist())):
-                            while base + len(ids) < s + n:  # the next batch, keeping the ids from this start on
-                                at_batch += 1
-                                more = body.get_batch(at_batch)
-                                cut = min(max(0, s - base), len(ids))
-                                ids = np.concatenate([ids[cut:], more.column("ids").flatten().to_numpy().astype(np.uint32)])
-                                mask = np.concatenate([mask[cut:], more.column("mask").flatten().to_numpy(zero_copy_only=False)])
-                                base += cut
-                            crcs[i] = zlib.crc32(ids[s - base : s - base + n].astype("<u4").tobytes())
-                            masked[i] = mask[s - base : s - base + n].sum()
-                        yield pa.record_batch({"doc_id": part.column("doc_id"), "start": pa.array(starts + row["start"]), "n_tokens": pa.array(ns), "ids_crc32": pa.array(crcs), "file": pa.array([row["file"]] * len(ns)), "masked": pa.array(masked)})
+                        places = list(zip(starts.tolist(), ns.tolist()))
+                        crcs = [zlib.crc32(body.tokens(s, n).astype("<u4").tobytes()) for s, n in places]
+                        masked = [body.marked(s, n) for s, n in places]
+                        yield pa.record_batch({"doc_id": part.column("doc_id"), "start": pa.array(starts + row["start"]), "n_tokens": pa.array(ns), "ids_crc32": pa.array(crcs, pa.int64()), "file": pa.array([row["file"]] * len(ns)), "masked": pa.array(masked, pa.int64())})
+                body.close()
 
     n = max(1, -(-manifest.count() // files_per_task))
     return manifest.repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, file string, masked long")
