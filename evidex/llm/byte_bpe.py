@@ -30,6 +30,8 @@ from evidex.llm.common import filesystem, shared_dir, small_batches, without
 
 #: Bytes of text in a block, about; a longer text is a block by itself.
 BLOCK_BYTES = 16 << 20
+#: Most parts that words are dealt into by hash, and so most tasks of step 2.
+WORD_PARTS = 2048
 #: Most words that a task keeps encoded in step 2.
 CACHED_WORDS = 500_000
 
@@ -194,12 +196,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...]
     named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     carry = columns or [text]
 
-    name = "bpe_blocks_" + uuid.uuid4().hex
-    blocks = _make_blocks(named, text, carry, pattern, n)
-    blocks.write.bucketBy(n, "block").option("path", shared_dir(spark, name)).saveAsTable(name)
+    path = shared_dir(spark, "bpe_blocks")
+    name = path.rsplit("/", 1)[1].replace("-", "_")  # common.scratch drops the table with its folder
+    n_parts = min(n, WORD_PARTS)
+    blocks = _make_blocks(named, text, carry, pattern, n_parts)
+    blocks.write.bucketBy(n, "block").option("path", path).saveAsTable(name)
     blocks = spark.table(name)
-    parts = blocks.select("block", F.posexplode("parts").alias("part", "words"))
-    encoded = _encode_parts(parts.repartition(n, "part"), ranks_path, pattern).repartition(n, "block")
+    parts = blocks.select("block", F.posexplode("parts").alias("part", "words")).filter(F.length("words") > 4)  # more than a count of 0
+    encoded = _encode_parts(parts.repartition(n_parts, "part"), ranks_path, pattern).repartition(n, "block")
 
     out = named.select(*carry).withColumn("ids", F.lit(None).cast("array<int>")).schema
     arrow = to_arrow_schema(out)
