@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evidex.llm import decontaminate, line_dedup, quality, simhash
-from evidex.llm.common import shared_dir
+from evidex.llm.common import scratch, shared_dir
 from evidex.llm.queries import encoded_digests, trusted_ids
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the counted rules and the likelihood ratio."""
-    return quality.quality(docs, trusted_ids(spark, sf_dir), smooth=None).filter("kept").select(*docs.columns)
+    return quality.quality(docs, trusted_ids(spark, sf_dir)).filter("kept").select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         path = shared_dir(spark, f"stage{k}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):  # what a stage writes for itself goes with it
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
