@@ -26,7 +26,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The literature table of ``documents``: ord, title, abstract, keys, year, counts, authors and flags."""
     return table(spark, sf_dir, "documents").selectExpr(
         "doc_id as ord",
-        "substring(substring_index(text, '\n', 1), 1, 120) as title",
+        "substring_index(text, '\n', 1) as title",
         "text as abstract",
         f"element_at(array({_array(SOURCES)}), cast(doc_id % 9 as int) + 1) as source",
         "case when doc_id % 5 < 2 then concat('10.1/', doc_id div 2) end as doi",
@@ -125,7 +125,7 @@ def latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
-    "papers": f"""select doc_id as ord, substr(split_part(text, chr(10), 1), 1, 120) as title, text as abstract,
+    "papers": f"""select doc_id as ord, split_part(text, chr(10), 1) as title, text as abstract,
   ([{_array(SOURCES)}])[doc_id % 9 + 1] as source,
   case when doc_id % 5 < 2 then '10.1/' || (doc_id // 2) end as doi,
   case when doc_id % 5 = 2 then cast(doc_id // 3 as varchar) end as pmid,
@@ -165,4 +165,6 @@ def with_views(query: str, *views: str) -> str:
     """``query`` behind the views that it names."""
     bodies = ",\n".join(f"{v} as (\n{SQL[v]}\n)" for v in views)
     joined = query.lstrip()
+    if joined.lower().startswith("with recursive "):
+        return f"with recursive {bodies},\n{joined[15:]}"
     return f"with {bodies},\n{joined[5:]}" if joined.lower().startswith("with ") else f"with {bodies}\n{joined}"

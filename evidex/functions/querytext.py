@@ -64,18 +64,30 @@ def looks_biomedical(q: Column) -> Column:
     return any_in(F.lower(q), HINTS) | F.exists(tokens, lambda t: t.rlike("^[A-Z0-9]{2,8}$")) | (F.size(tokens) <= 6)
 
 
+#: What is said to a query that fails a check, in the order of the checks.
+MESSAGES = {
+    "null": "Please enter a search term.",
+    "empty": "Search query cannot be empty. Try a term like 'EGFR' or 'lung cancer'.",
+    "short": "Your query is too short (minimum {least} characters). Try something more specific, e.g. 'BRCA1' or 'aspirin'.",
+    "number": "A purely numeric query won't return meaningful results. Try a disease name, gene symbol, or drug name instead.",
+    "letterless": "Your query needs to contain at least one letter or word.",
+    "no term": "This doesn't look like a valid search term. Please try a biomedical keyword or phrase.",
+    "typo": "This query looks like it might be a typo. Please double check the spelling.",
+}
+
+
 def validate_query(q: Column, least: int = 3) -> list[Column]:
     """[is_valid, message, looks_biomedical]: the first failing check names the message."""
     t = F.trim(q)
     letters = F.regexp_replace(t, "[^a-zA-Z]", "")
     message = (
-        F.when(q.isNull(), "Please enter a search term.")
-        .when(t == "", "The query is empty.")
-        .when((F.length(t) < least) & ~t.rlike("^[A-Z0-9]{2,10}$"), "The query is too short.")
-        .when(t.rlike("^[0-9]+$"), "The query is only a number.")
-        .when(~t.rlike("[a-zA-Z]"), "The query has no letter.")
-        .when(F.length(letters) < 2, "The query is no search term.")
-        .when((F.length(letters) >= 6) & ~letters.rlike("[aeiouAEIOU]"), "The query looks misspelt.")
+        F.when(q.isNull(), MESSAGES["null"])
+        .when(t == "", MESSAGES["empty"])
+        .when((F.length(t) < least) & ~t.rlike("^[A-Z0-9]{2,10}$"), MESSAGES["short"].format(least=least))
+        .when(t.rlike("^[0-9]+$"), MESSAGES["number"])
+        .when(~t.rlike("[a-zA-Z]"), MESSAGES["letterless"])
+        .when(F.length(letters) < 2, MESSAGES["no term"])
+        .when((F.length(letters) >= 6) & ~letters.rlike("[aeiouAEIOU]"), MESSAGES["typo"])
         .otherwise("")
     )
     valid = message == ""
@@ -111,10 +123,24 @@ def boolean_match(text: Column, parsed: Column) -> Column:
     return needed & ~F.exists(parsed["must_not"], has) & ((F.size(parsed["should"]) == 0) | F.exists(parsed["should"], has))
 
 
+#: Most queries that documents are matched with at a time.
+MOST_QUERIES = 1000
+
+
 def match_queries(docs: DataFrame, text: str, queries: DataFrame) -> DataFrame:
-    """(docs' columns, query_id) for each match; ``queries`` (query_id, query) is a stated set, sent to all tasks."""
-    parsed = queries.select("query_id", parse_boolean_query(F.col("query")).alias("p"))
-    return docs.crossJoin(F.broadcast(parsed)).filter(boolean_match(F.col(text), F.col("p"))).drop("p")
+    """(docs' columns, query_id) for each match.
+
+    ``queries`` (query_id, query) is a stated set of up to ``MOST_QUERIES``, more is an error; each row
+    holds them as one literal array and keeps those that it matches.
+    """
+    stated = queries.select("query_id", "query").limit(MOST_QUERIES + 1).collect()
+    if len(stated) > MOST_QUERIES:
+        raise ValueError(f"at most {MOST_QUERIES} queries at a time")
+    if not stated:
+        return docs.withColumn("query_id", F.lit(None).cast(queries.schema["query_id"].dataType)).limit(0)
+    each = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), parse_boolean_query(F.lit(r.query)).alias("p")) for r in stated])
+    hits = F.transform(F.filter(each, lambda x: boolean_match(F.col(text), x["p"])), lambda x: x["query_id"])
+    return docs.withColumn("query_id", F.explode(hits))
 
 
 def intents(q: Column) -> Column:

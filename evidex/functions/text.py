@@ -98,11 +98,28 @@ def snippet(c: Column, most: int = 160) -> Column:
 
 
 def _top_words(df: DataFrame, key: str, words: Column, top: int) -> DataFrame:
-    """(key, keywords): the most frequent words of the array, first seen first among equals."""
-    each = df.select(key, F.posexplode(words).alias("pos", "word"))
-    counted = each.groupBy(key, "word").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    ranked = counted.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "pos", "word"))), 1, top).alias("top"))
-    return ranked.select(key, F.transform("top", lambda t: t["word"]).alias("keywords"))
+    """(key, keywords): the most frequent words of a row's array, first seen first among equals.
+
+    Rows are worked on by themselves: the array is sorted, and a fold over it counts runs of equal words
+    and holds the ``top`` best so far. Rows without words are left out.
+    """
+    best = F.expr("cast(array() as array<struct<n:int,pos:int,word:string>>)")
+    start = F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).alias("n"), F.lit(0).alias("pos"), best.alias("best"))
+
+    def pushed(a: Column) -> Column:
+        own = F.struct((-a["n"]).alias("n"), a["pos"].alias("pos"), a["word"].alias("word"))
+        full = (F.size(a["best"]) == top) & (F.get(a["best"], F.lit(top - 1)) < own)
+        return F.when(a["word"].isNull() | F.coalesce(full, F.lit(False)), a["best"]).otherwise(F.slice(F.array_sort(F.concat(a["best"], F.array(own))), 1, top))
+
+    def step(a: Column, x: Column) -> Column:
+        more = F.struct(a["word"].alias("word"), (a["n"] + 1).alias("n"), a["pos"].alias("pos"), a["best"].alias("best"))
+        new = F.struct(x["word"].alias("word"), F.lit(1).alias("n"), x["pos"].alias("pos"), pushed(a).alias("best"))
+        return F.when(a["word"] == x["word"], more).otherwise(new)
+
+    runs = F.array_sort(F.transform("_words", lambda w, i: F.struct(w.alias("word"), i.alias("pos"))))
+    found = F.aggregate(runs, start, step, pushed)
+    rows = df.select(key, words.alias("_words")).filter(F.size("_words") > 0)
+    return rows.select(key, F.transform(found, lambda t: t["word"]).alias("keywords"))
 
 
 def extract_keywords_4(df: DataFrame, key: str, text: str, top: int = 6) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.functions.text import normalize_text, score_to_confidence
+from evidex.operators.blocks import overlap_search
 
 #: The eight default target rules, by number: target id, name, type, gene, base confidence.
 TARGET_RULES = (
@@ -76,18 +77,15 @@ def tanimoto(a: Column, b: Column, empty: float = 0.0) -> Column:
 
 
 def similar_compounds(queries: DataFrame, bits: DataFrame, threshold: float = 0.0, top: int | None = None) -> DataFrame:
-    """(query, compound_id, similarity, rank) by Tanimoto of bit sets, through an inverted-bit join.
+    """(query, compound_id, similarity, rank) by Tanimoto of bit sets, blocks of queries against blocks of compounds.
 
     ``queries`` (query) are compound ids of ``bits`` (compound_id, bit); pairs that share no bit are
-    left out unless ``threshold`` is below 0. Only the queries' bits are joined.
+    left out, whatever the threshold. A bit that all compounds have makes no rows.
     """
-    sizes = bits.groupBy("compound_id").agg(F.count("*").alias("n"))
-    own = bits.join(queries.select(F.col("query").alias("compound_id")), "compound_id", "left_semi").select(F.col("compound_id").alias("query"), "bit")
-    shared = bits.join(own, "bit").filter(F.col("compound_id") != F.col("query")).groupBy("query", "compound_id").agg(F.count("*").alias("c"))
-    both = shared.join(sizes, "compound_id").join(sizes.select(F.col("compound_id").alias("query"), F.col("n").alias("m")), "query")
-    scored = both.select("query", "compound_id", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("similarity")).filter(F.col("similarity") >= threshold)
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "compound_id")).cast("long"))
-    return ranked if top is None else ranked.filter(F.col("rank") <= top)
+    sets = bits.groupBy("compound_id").agg(F.collect_set(F.col("bit").cast("long")).alias("keys"))
+    own = sets.join(queries.select(F.col("query").alias("compound_id")).distinct(), "compound_id", "left_semi").withColumnRenamed("compound_id", "query")
+    found = overlap_search(own, sets.withColumnRenamed("compound_id", "id"), top, "tanimoto", threshold)
+    return found.select("query", F.col("id").alias("compound_id"), F.col("score").alias("similarity"), "rank")
 
 
 def similarity_join(bits: DataFrame, threshold: float) -> DataFrame:
@@ -122,7 +120,7 @@ def rules_table(spark) -> DataFrame:
 def rule_target_prediction(matches: DataFrame, rules: DataFrame, top: int = 5, least: float = 0.0) -> DataFrame:
     """Predictions for each compound: base confidence and 0.05 for each further match, at most 1."""
     confidence = F.least(F.lit(1.0), F.round(F.col("base") + 0.05 * (F.col("match_count") - 1), 6))
-    scored = matches.filter("match_count > 0").join(F.broadcast(rules), "rule").withColumn("confidence", confidence).filter(F.col("confidence") >= least)
+    scored = matches.filter("match_count > 0").join(rules, "rule").withColumn("confidence", confidence).filter(F.col("confidence") >= least)
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("compound_id").orderBy(F.desc("confidence"), "target_id")).cast("long")).filter(F.col("rank") <= top)
     return ranked.select("compound_id", "target_id", "target_type", "confidence", score_to_confidence(F.col("confidence")).alias("level"), "rank")
 

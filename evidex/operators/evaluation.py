@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.functions.text import strings
+from evidex.operators.blocks import quantiles
 
 
 def _hits(runs: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -67,15 +68,12 @@ def accuracy(rows: DataFrame, predicted: str, truth: str) -> DataFrame:
 def latency_stats(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Mean, median, minimum, maximum, and p95 and p99 as the value at place int(n q) of the sorted ones.
 
-    The places come from value counts and their running sums within a group, so equal values are one row.
+    The places come from value counts in order over all tasks, so a group may have any number of rows.
     """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.withColumn("end", F.sum("c").over(w)).join(counts.groupBy(group).agg(F.sum("c").alias("n")), group)
-    at = lambda q: F.max(F.when((F.floor(F.col("n") * q) < F.col("end")) & (F.floor(F.col("n") * q) >= F.col("end") - F.col("c")), F.col("v")))
-    places = run.groupBy(group).agg(at(0.95).alias("p95"), at(0.99).alias("p99"))
-    base = rows.groupBy(group).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.min(value).alias("lowest"), F.max(value).alias("highest"))
-    return base.join(places, group)
+    at = lambda q: lambda n: F.floor(n * q).cast("double")
+    places = quantiles(rows, group, value, {"median": lambda n: (n - 1) / 2, "p95": at(0.95), "p99": at(0.99)})
+    base = rows.groupBy(group).agg(F.avg(value).alias("mean"), F.min(value).alias("lowest"), F.max(value).alias("highest"))
+    return base.join(places, group, "left")
 
 
 def error_analysis(rows: DataFrame, success: str, kind: str) -> DataFrame:
@@ -109,7 +107,3 @@ def gold_title_match(papers: DataFrame, phrases: list[str], top: int = 20) -> Da
     first = papers.orderBy("ord").limit(top)
     gold = strings([p.lower() for p in phrases])
     return first.agg(F.count_if(F.exists(gold, lambda g: F.contains(F.lower("title"), g))).alias("found_relevant"))
-
-
-def share(c: Column) -> Column:
-    return F.avg(c.cast("int"))

@@ -3,63 +3,90 @@
 from __future__ import annotations
 
 import itertools
+import re
 import tempfile
 import uuid
+import zlib
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidex.functions.text import clamp, is_meaningful_label, normalize_text, split_sentences
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a session without one gets a temporary folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of ``spark.checkpoint.dir``; only a local session may leave it unset, and gets a temporary one."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         top = spark.sparkContext.getCheckpointDir()
     return top.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again, so that loops don't grow their plan."""
+def write_cut(df: DataFrame) -> str:
+    """``df`` written to the shared folder; its path."""
     path = f"{shared_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that loops don't grow their plan."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_cut(df))
 
 
 def normalize_node_id(c: Column) -> Column:
     return F.lower(normalize_text(c))
 
 
+#: Slots of the filter that phrases of texts pass before they meet the dictionary.
+SLOTS = 1 << 20
+
+
 def extract_mentions(docs: DataFrame, key: str, text: str, patterns: DataFrame) -> DataFrame:
     """(key, label, text, start_char, end_char): exact phrases of a (label, pattern) dictionary.
 
-    Texts become runs of up to as many words as the longest pattern has, which meet the dictionary by
-    equality, so the work doesn't grow with patterns times documents. Matching ignores case; blank
-    patterns are left out.
+    Each row of ``docs`` is cut into words by itself, so rows that share a key don't mix and no word is
+    shuffled. Its runs of as many words as some pattern has pass a filter of ``SLOTS`` bits, made from
+    the patterns' hashes, and only what passes meets the dictionary, by equality. Matching ignores
+    case; blank patterns are left out; null texts have no mentions.
     """
     words = F.regexp_extract_all(F.lower("pattern"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     known = patterns.select("label", words.alias("w")).filter(F.size("w") > 0).select("label", F.array_join("w", " ").alias("gram"), F.size("w").alias("n")).distinct()
-    sizes = [r.n for r in known.select("n").distinct().orderBy("n").collect()]  # as many rows as pattern lengths
-    word = r"[\p{L}\p{N}]+"
-    gaps = F.transform(F.split(F.col(text), word, -1), lambda g: F.length(g))
-    toks = F.regexp_extract_all(F.col(text), F.lit(word), F.lit(0))
-    rows = docs.select(key, F.posexplode(F.arrays_zip(F.slice(gaps, 1, F.size(toks)).alias("g"), toks.alias("t"))).alias("pos", "z")).select(key, "pos", F.col("z.g").alias("g"), F.col("z.t").alias("t"))
-    w = Window.partitionBy(key).orderBy("pos")
-    end = F.sum(F.col("g") + F.length("t")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    placed = rows.select(key, "pos", "t", (end - F.length("t")).alias("start"), end.alias("end"))
-    # every window of each pattern length, from neighbouring rows of one document
-    grams = None
-    for n in sizes:
-        run = F.collect_list(F.lower("t")).over(w.rowsBetween(0, n - 1))
-        last = F.last("end").over(w.rowsBetween(0, n - 1))
-        part = placed.select(key, F.array_join(run, " ").alias("gram"), F.size(run).alias("n"), F.col("start").alias("start_char"), last.alias("end_char")).filter(F.col("n") == n)
-        grams = part if grams is None else grams.union(part)
-    if grams is None:
-        return docs.sparkSession.createDataFrame([], docs.select(key).withColumns({"label": F.lit(""), "text": F.lit(""), "start_char": F.lit(0).cast("long"), "end_char": F.lit(0).cast("long")}).schema)
-    return grams.join(known, ["gram", "n"]).select(key, "label", F.col("gram").alias("text"), "start_char", "end_char")
+    spark = docs.sparkSession
+    sizes = sorted(r.n for r in known.select("n").distinct().collect())  # a row for each pattern length
+    slots = np.zeros(SLOTS, bool)
+    slots[[r.slot for r in known.select(F.pmod(F.crc32("gram"), F.lit(SLOTS)).alias("slot")).distinct().collect()]] = True  # SLOTS rows at most
+    sent = spark.sparkContext.broadcast(np.packbits(slots))
+    named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        tokens, passes = regex.compile(r"[\p{L}\p{N}]+"), np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            row, grams, counts, starts, ends = [], [], [], [], []
+            for i, t in enumerate(batch.column("text").to_pylist()):
+                spans = [m.span() for m in tokens.finditer(t or "")]
+                own = [t[a:b].lower() for a, b in spans]
+                for n in sizes:
+                    for k in range(len(own) - n + 1):
+                        gram = own[k] if n == 1 else " ".join(own[k : k + n])
+                        if passes[zlib.crc32(gram.encode("utf-8", "surrogatepass")) % SLOTS]:
+                            row.append(i)
+                            grams.append(gram)
+                            counts.append(n)
+                            starts.append(spans[k][0])
+                            ends.append(spans[k + n - 1][1])
+            yield pa.record_batch({"key": batch.column("key").take(pa.array(row, pa.int64())), "gram": pa.array(grams, pa.string()), "n": pa.array(counts, pa.int32()), "start_char": pa.array(starts, pa.int64()), "end_char": pa.array(ends, pa.int64())})
+
+    schema = named.select("key", F.lit("").alias("gram"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("start_char"), F.lit(0).cast("long").alias("end_char")).schema
+    return named.mapInArrow(find, schema).join(known, ["gram", "n"]).select(F.col("key").alias(key), "label", F.col("gram").alias("text"), "start_char", "end_char")
 
 
 def bucket_entities(mentions: DataFrame, key: str, groups: dict[str, str], least: float = 0.5) -> DataFrame:
@@ -91,29 +118,50 @@ def relation_confidence(prep: Column, passive: Column, negated: Column) -> Colum
     return clamp(F.round(0.75 - 0.15 * prep.cast("int") - 0.05 * passive.cast("int") - 0.20 * negated.cast("int"), 2))
 
 
-def build_nodes(mentions: DataFrame, relations: DataFrame) -> DataFrame:
+def build_nodes(mentions: DataFrame, relations: DataFrame, lists: bool = False) -> DataFrame:
     """One row for each id; both ends of a relation count as mentions with label UNKNOWN.
 
-    ``mentions``: text, label, source, ts; ``relations``: subject, object, source, ts.
+    ``mentions``: text, label, source, ts; ``relations``: subject, object, source, ts. With ``lists``
+    a node also has its sources as a sorted array, which one row must be able to hold;
+    ``node_sources`` has them as rows.
     """
-    end = lambda c: relations.select(F.col(c).alias("text"), F.lit("UNKNOWN").alias("label"), "source", "ts")
-    rows = mentions.select("text", "label", "source", "ts").union(end("subject")).union(end("object")).withColumn("id", normalize_node_id(F.col("text"))).filter("id is not null")
+    rows = _ends(mentions, relations)
+    more = [F.array_sort(F.collect_set("source")).alias("sources")] if lists else []
     return rows.groupBy("id").agg(
         F.min_by("text", F.struct("ts", "text")).alias("canonical_name"), F.array_sort(F.collect_set("label")).alias("labels"), F.count("*").alias("mention_count"),
-        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count_distinct("source").alias("n_sources"),
+        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count_distinct("source").alias("n_sources"), *more,
     )
 
 
+def _ends(mentions: DataFrame, relations: DataFrame) -> DataFrame:
+    end = lambda c: relations.select(F.col(c).alias("text"), F.lit("UNKNOWN").alias("label"), "source", "ts")
+    return mentions.select("text", "label", "source", "ts").union(end("subject")).union(end("object")).withColumn("id", normalize_node_id(F.col("text"))).filter("id is not null")
+
+
+def node_sources(mentions: DataFrame, relations: DataFrame) -> DataFrame:
+    """(id, source): where each node was seen, a row for each."""
+    return _ends(mentions, relations).select("id", "source").filter("source is not null").distinct()
+
+
+def edge_sources(relations: DataFrame) -> DataFrame:
+    """(src, dst, relation, source): where each edge was seen, a row for each."""
+    return _full(relations).select("src", "dst", "relation", "source").filter("source is not null").distinct()
+
+
 def _full(relations: DataFrame) -> DataFrame:
     rows = relations.withColumns({"src": normalize_node_id(F.col("subject")), "dst": normalize_node_id(F.col("object")), "relation": F.lower(normalize_text(F.col("verb")))})
     return rows.filter("src is not null and dst is not null and relation is not null")
 
 
-def build_edges(relations: DataFrame) -> DataFrame:
-    """One row for each (src, dst, relation): the highest confidence, the latest source, how often merged."""
+def build_edges(relations: DataFrame, lists: bool = False) -> DataFrame:
+    """One row for each (src, dst, relation): the highest confidence, the latest source, how often merged.
+
+    With ``lists`` an edge also has all_sources, a sorted array; ``edge_sources`` has them as rows.
+    """
+    more = [F.array_sort(F.collect_set("source")).alias("all_sources")] if lists else []
     return _full(relations).groupBy("src", "dst", "relation").agg(
         F.max("confidence").alias("confidence"), F.max("ts").alias("timestamp"), F.max_by("source", F.struct("ts", "source")).alias("source"),
-        F.count("*").alias("merge_count"), F.count_distinct("source").alias("n_sources"),
+        F.count("*").alias("merge_count"), F.count_distinct("source").alias("n_sources"), *more,
     )
 
 
@@ -127,15 +175,34 @@ def remove_entity(nodes: DataFrame, edges: DataFrame, name: str) -> tuple[DataFr
     return nodes.filter(F.col("id") != gone), edges.filter((F.col("src") != gone) & (F.col("dst") != gone))
 
 
+def _united(name: str) -> Column:
+    """The sorted distinct elements of the arrays of a group; here one for each of two tables."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(name))))
+
+
 def merge_edges(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two edge tables as one, by the rules that build them."""
-    rows = a.unionByName(b)
-    return rows.groupBy("src", "dst", "relation").agg(F.max("confidence").alias("confidence"), F.max("timestamp").alias("timestamp"), F.max_by("source", F.struct("timestamp", "source")).alias("source"), F.sum("merge_count").alias("merge_count"))
+    """Two edge tables as one, by the rules that build them.
+
+    Where both have all_sources, so has the result, with n_sources; otherwise sources can't be told
+    apart by their number, and n_sources is left to ``edge_sources``.
+    """
+    rows = a.unionByName(b, allowMissingColumns=True)
+    lists = "all_sources" in a.columns and "all_sources" in b.columns
+    merged = rows.groupBy("src", "dst", "relation").agg(
+        F.max("confidence").alias("confidence"), F.max("timestamp").alias("timestamp"), F.max_by("source", F.struct("timestamp", "source")).alias("source"), F.sum("merge_count").alias("merge_count"), *([_united("all_sources").alias("all_sources")] if lists else []),
+    )
+    return merged.withColumn("n_sources", F.size("all_sources").cast("long")) if lists else merged
 
 
 def merge_nodes(a: DataFrame, b: DataFrame) -> DataFrame:
-    rows = a.unionByName(b)
-    return rows.groupBy("id").agg(F.min_by("canonical_name", F.struct("first_seen", "canonical_name")).alias("canonical_name"), F.sum("mention_count").alias("mention_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    """Two node tables as one: the first name, all labels, added mentions, first and last sight; sources as in merge_edges."""
+    rows = a.unionByName(b, allowMissingColumns=True)
+    lists = "sources" in a.columns and "sources" in b.columns
+    merged = rows.groupBy("id").agg(
+        F.min_by("canonical_name", F.struct("first_seen", "canonical_name")).alias("canonical_name"), _united("labels").alias("labels"), F.sum("mention_count").alias("mention_count"),
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), *([_united("sources").alias("sources")] if lists else []),
+    )
+    return merged.withColumn("n_sources", F.size("sources").cast("long")) if lists else merged
 
 
 def process_papers(papers: DataFrame, relations: DataFrame) -> DataFrame:
@@ -181,10 +248,10 @@ def shortest_path(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(found, path, length): breadth first from a; among shortest paths the least by its nodes in order.
 
     The frontier holds a row for each newly reached node, joined with the edges and kept out of what
-    was reached before; every round is written to the shared folder, and rounds end with the frontier.
+    was reached before. A round writes its frontier and looks at it once; rounds end with the frontier.
     """
     spark = edges.sparkSession
-    a, b = " ".join(a.split()).lower(), " ".join(b.split()).lower()
+    a, b = normalize_of(a), normalize_of(b)
     links = edges.select("src", "dst").distinct()
     known = links.filter((F.col("src").isin(a, b)) | F.col("dst").isin(a, b)).selectExpr("explode(array(src, dst)) as id").filter(F.col("id").isin(a, b)).distinct().count()
     none = spark.createDataFrame([(False, [], 0)], "found boolean, path array<string>, length int")
@@ -192,31 +259,46 @@ def shortest_path(edges: DataFrame, a: str, b: str) -> DataFrame:
         return none
     if a == b:
         return spark.createDataFrame([(True, [a], 0)], "found boolean, path array<string>, length int")
+    links = cut(links)
     frontier = spark.createDataFrame([(a, [a])], "id string, path array<string>")
-    seen = frontier.select("id")
+    written = [write_cut(frontier)]
     for step in itertools.count(1):
+        seen = spark.read.schema("id string").parquet(*written)
         reached = links.join(frontier.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
-        frontier = cut(reached.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
-        hit = frontier.filter(F.col("id") == b).select(F.lit(True).alias("found"), "path", F.lit(step).alias("length"))
-        if not hit.isEmpty():
-            return hit
-        if frontier.isEmpty():
+        written.append(write_cut(reached.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path"))))
+        frontier = spark.read.schema("id string, path array<string>").parquet(written[-1])
+        state = frontier.agg(F.count("*").alias("n"), F.max(F.when(F.col("id") == b, F.col("path"))).alias("path")).first()
+        if state.path is not None:
+            return spark.createDataFrame([(True, state.path, step)], "found boolean, path array<string>, length int")
+        if not state.n:
             return none
-        seen = cut(seen.union(frontier.select("id")))
+
+
+#: Parts that the rows of one component are dealt into when they look up its root.
+SALTS = 16
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): weakly connected, by the least id; label propagation with pointer jumping."""
+    """(id, component): weakly connected, by the least id.
+
+    Each round hands a node, and also its root, the least root of a root among itself and its
+    neighbours, so whole trees hook onto smaller ones beside them; rounds go on until nothing changes.
+    """
     links = edges.select("src", "dst").distinct()
     both = cut(links.union(links.select("dst", "src")).toDF("id", "other").filter("id <> other"))
-    state = cut(nodes.select("id", F.col("id").alias("component")).distinct())
+    state = cut(nodes.select("id", F.col("id").alias("root")).distinct())
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
     while True:
-        near = both.join(state.withColumnsRenamed({"id": "other", "component": "c"}), "other").groupBy("id").agg(F.min("c").alias("c"))
-        lower = state.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("c", "component")).alias("component"))
-        jump = lower.select(F.col("id").alias("component"), F.col("component").alias("beyond"))
-        state = cut(lower.join(jump, "component", "left").select("id", "was", F.least("component", F.coalesce("beyond", "component")).alias("component")))
-        if state.filter("component <> was").isEmpty():
-            return state.select("id", "component")
+        jump = state.filter("root <> id").select(F.col("id").alias("root"), F.col("root").alias("beyond"), salts.alias("salt"))
+        dealt = state.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+        grand = dealt.join(jump, ["root", "salt"], "left").select("id", "root", F.coalesce("beyond", "root").alias("grand"))
+        near = both.join(grand.select(F.col("id").alias("other"), F.col("grand").alias("c")), "other").groupBy("id").agg(F.min("c").alias("c"))
+        low = grand.join(near, "id", "left").select("id", F.col("root").alias("was"), F.least("grand", F.coalesce("c", "grand")).alias("low"))
+        own, hook = F.struct("id", "was", "low"), F.struct(F.col("was").alias("id"), F.lit(None).cast("string").alias("was"), "low")
+        moved = cut(low.select(F.inline(F.array(own, hook))).groupBy("id").agg(F.min("low").alias("root"), F.max("was").alias("was")))
+        if moved.filter("root <> was").isEmpty():
+            return moved.select("id", F.col("root").alias("component"))
+        state = moved.select("id", "root")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -249,17 +331,18 @@ def node_importance(nodes: DataFrame, edges: DataFrame, weight: str = "mention_c
 
 
 def filtered_subgraph(nodes: DataFrame, edges: DataFrame, max_nodes: int = 50, max_edges: int = 100, least: float = 0.0, weight: str = "mention_count") -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) worth showing: real labels, the most important nodes, the strongest edges between
-    them, and five important ones without edges. Ties go by id; parallel edges are one."""
+    """(nodes, edges) worth showing: real labels, the ``max_nodes`` most important nodes, the ``max_edges``
+    strongest edges between them, and five important ones without edges. Ties go by id; parallel edges
+    are one. The screens that this was made for ask for 50 and 100 at most."""
     named = nodes.filter(is_meaningful_label(F.col("canonical_name")))
     scored = node_importance(named, edges.join(named.select(F.col("id").alias("src")), "src", "left_semi").join(named.select(F.col("id").alias("dst")), "dst", "left_semi"), weight)
     enough = scored.filter(F.col("importance") >= least)
     scored = scored if enough.isEmpty() else enough
-    top = cut(scored.orderBy(F.desc("importance"), "id").limit(min(max_nodes, 50)))
+    top = cut(scored.orderBy(F.desc("importance"), "id").limit(max_nodes))
     a, b = top.toDF("src", "ia"), top.toDF("dst", "ib")
     pairs = edges.groupBy("src", "dst").agg(F.max("confidence").alias("weight"))
-    shown = pairs.join(F.broadcast(a), "src").join(F.broadcast(b), "dst").withColumn("score", F.round(F.col("ia") + F.col("ib") + F.col("weight"), 6))
-    shown = cut(shown.orderBy(F.desc("score"), "src", "dst").limit(min(max_edges, 100)).select("src", "dst", "score"))
+    shown = pairs.join(a, "src").join(b, "dst").withColumn("score", F.round(F.col("ia") + F.col("ib") + F.col("weight"), 6))
+    shown = cut(shown.orderBy(F.desc("score"), "src", "dst").limit(max_edges).select("src", "dst", "score"))
     linked = shown.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     alone = top.join(linked, "id", "left_anti").orderBy(F.desc("importance"), "id").limit(5)
     return top.join(linked, "id", "left_semi").union(alone), shown
@@ -279,13 +362,34 @@ def edge_label(attributes: Column, default: str = "related_to") -> Column:
     return first_present(attributes, ("relation", "relation_type", "label", "predicate", "type"), default)
 
 
-def entity_pair_report(nodes: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: degrees of both, up to ten shared successors, and the shortest path."""
-    x, y = normalize_of(a), normalize_of(b)
-    own = lambda e: edges.filter(F.col("src") == e).select("dst").distinct()
-    shared = own(x).join(own(y), "dst").orderBy("dst").limit(10).agg(F.array_sort(F.collect_list("dst")).alias("shared"))
-    deg = degrees(nodes, edges).filter(F.col("id").isin(x, y)).agg(F.max(F.when(F.col("id") == x, F.col("degree"))).alias("degree_a"), F.max(F.when(F.col("id") == y, F.col("degree"))).alias("degree_b"))
-    return deg.crossJoin(shared).crossJoin(shortest_path(edges, a, b))  # tables of one row
+def typed(nodes: DataFrame) -> DataFrame:
+    """(id, type): a node's first label as its type."""
+    return nodes.select("id", node_type(F.create_map(F.lit("type"), F.get("labels", F.lit(0)))).alias("type"))
+
+
+def _info(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, importance, degree, type) of every node, written once for a report."""
+    return cut(node_importance(nodes, edges).join(degrees(nodes, edges), "id").join(typed(nodes), "id"))
+
+
+def _least(rows: DataFrame, name: str, most: int) -> DataFrame:
+    """One row: the first ``most`` values in order, as an array."""
+    return rows.select(name).distinct().orderBy(name).limit(most).agg(F.array_sort(F.collect_list(name)).alias(name))
+
+
+def entity_pair_report(nodes: DataFrame, edges: DataFrame, a: str, b: str, most: int = 10, top: int = 20) -> DataFrame:
+    """One row about two entities: degree, importance, type and up to ``most`` successors of both, up to
+    ``most`` shared ones, the shortest path, the ``top`` entities by importance, and the graph's size.
+    What an entity that the graph lacks would have is null or empty."""
+    ends, info = {"a": normalize_of(a), "b": normalize_of(b)}, _info(nodes, edges)
+    after = {k: edges.filter(F.col("src") == e).select("dst").distinct() for k, e in ends.items()}
+    own = info.agg(*[F.max(F.when(F.col("id") == e, F.col(c))).alias(f"{c}_{k}") for k, e in ends.items() for c in ("degree", "importance", "type")], F.count("*").alias("total_nodes"))
+    best = info.orderBy(F.desc("importance"), "id").limit(top).agg(F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("i"), "id"))).alias("top"))
+    parts = [_least(after["a"].join(after["b"], "dst"), "dst", most).toDF("shared"), _least(after["a"], "dst", most).toDF("neighbors_a"), _least(after["b"], "dst", most).toDF("neighbors_b")]
+    parts += [best.select(F.transform("top", lambda x: x["id"]).alias("top_entities")), edges.agg(F.count("*").alias("total_edges")), shortest_path(edges, a, b)]
+    for part in parts:
+        own = own.crossJoin(part)  # tables of one row
+    return own
 
 
 def normalize_of(name: str) -> str:
@@ -293,10 +397,11 @@ def normalize_of(name: str) -> str:
 
 
 def neighbor_report(nodes: DataFrame, edges: DataFrame, name: str, top: int = 20) -> DataFrame:
-    """(dst, relation, importance): up to ``top`` successors, the most important first."""
-    out = edges.filter(F.col("src") == normalize_of(name)).select("dst", "relation")
-    scored = node_importance(nodes, edges)
-    return out.join(scored.withColumnRenamed("id", "dst"), "dst").orderBy(F.desc("importance"), "dst", "relation").limit(top)
+    """(degree, dst, type, relation, importance): the entity's degree and up to ``top`` successors, the most important first."""
+    entity, info = normalize_of(name), _info(nodes, edges)
+    own = info.filter(F.col("id") == entity).select("degree")
+    out = edges.filter(F.col("src") == entity).select("dst", "relation").join(info.drop("degree").withColumnRenamed("id", "dst"), "dst")
+    return out.orderBy(F.desc("importance"), "dst", "relation").limit(top).crossJoin(own).select("degree", "dst", "type", "relation", "importance")  # a table of one row
 
 
 def cluster_report(clusters: DataFrame) -> DataFrame:
@@ -304,9 +409,21 @@ def cluster_report(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("leader").agg(F.count("*").alias("size")).filter("size > 1")
 
 
+def label_texts(nodes: DataFrame) -> DataFrame:
+    """(text): each node as "name (type)"."""
+    return nodes.select(F.format_string("%s (%s)", "canonical_name", node_type(F.create_map(F.lit("type"), F.get("labels", F.lit(0))))).alias("text"))
+
+
+def relation_texts(edges: DataFrame) -> DataFrame:
+    """(text, key): each edge as "subject relation object", and the string that names it, "subject|relation|object"."""
+    return edges.select(F.concat_ws(" ", "src", "relation", "dst").alias("text"), F.concat_ws("|", "src", "relation", "dst").alias("key"))
+
+
 def sync_embeddings(texts: DataFrame, stored: DataFrame) -> DataFrame:
-    """(source_id, text) of graph labels or relations that the store lacks; source_id is the text's hash."""
-    rows = texts.select(F.sha2(normalize_text(F.col("text")), 256).alias("source_id"), "text").filter("source_id is not null").dropDuplicates(["source_id"])
+    """(source_id, text) of graph labels or relations that the store lacks; source_id is the hash of the
+    text, or of its key where ``texts`` has one."""
+    named = F.col("key") if "key" in texts.columns else F.col("text")
+    rows = texts.select(F.sha2(normalize_text(named), 256).alias("source_id"), "text").filter("source_id is not null").dropDuplicates(["source_id"])
     return rows.join(stored.select("source_id").distinct(), "source_id", "left_anti")
 
 

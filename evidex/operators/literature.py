@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.adapters import SOURCES
-from evidex.functions.text import any_in, count_occurrences, title_key
+from evidex.functions.text import any_in, count_occurrences
+from evidex.operators.blocks import overlap_search
 
 MERGED = ("title", "abstract", "doi", "pmid", "pmcid", "year", "influential_citations", "reference_count", "is_open_access", "journal", "authors", "publication_type", "keywords", "pdf_url")
 
@@ -48,26 +50,39 @@ def dedupe_by_identifier(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return merge_papers(keyed.filter("key is not null"), "key").drop("key"), keyed.filter("key is null").drop("key")
 
 
-def title_pairs(left: DataFrame, right: DataFrame, least: float = 0.9, grams: int = 8) -> DataFrame:
-    """(ord, other) of titles whose edit similarity passes ``least``.
+def title_pairs(left: DataFrame, right: DataFrame, least: float = 0.9) -> DataFrame:
+    """(ord, other) of titles whose edit similarity passes ``least`` (over a half, under one).
 
-    Two titles of similarity over 0.9 differ in less than a tenth of their characters, so of ten or
-    more equal pieces of the one, some stands in the other at an offset within that tenth: pieces are
-    the blocks, and length and exact similarity follow. Equal titles are compared once.
+    A title within k edits keeps one of k + 1 equal pieces of the other whole, moved by k places at
+    most, so pieces are the blocks. Lengths fall into bands a factor of ``least`` wide and places into
+    buckets as wide as any title of the band can move; both are part of the key, so a piece that is
+    frequent meets only titles of its length that have it near its place. Candidates are compared
+    exactly; equal titles are compared once.
     """
+    if not 0.5 < least < 1:
+        raise ValueError("least lies between 0.5 and 1")
     distinct = lambda d: d.select(F.lower("title").alias("t")).filter("t <> ''").distinct()
-    # a title within distance k keeps one of k + 1 equal pieces whole, moved by k places at most
-    size = F.length("t")
-    k = F.ceil(size * (1 - least) / least).cast("int")
-    piece = F.greatest(F.floor(size / (k + 1)), F.lit(1)).cast("int")
-    pieces = distinct(left).select("t", F.explode(F.transform(F.sequence(F.lit(0), k), lambda i: F.struct((i * piece + 1).alias("at"), F.substring(F.col("t"), i * piece + 1, piece).alias("gram")))).alias("p"))
-    pieces = pieces.select(F.col("t").alias("a"), F.col("p.gram").alias("gram"), F.length("p.gram").alias("n"), F.col("p.at").alias("at"))
-    lengths = pieces.select("n").distinct()
-    spread = distinct(right).crossJoin(F.broadcast(lengths)).filter(F.length("t") >= F.col("n"))  # a row for each piece length, which are few
-    grams_of = spread.select(F.col("t").alias("b"), "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("t") - F.col("n") + 1), lambda i: F.substring(F.col("t"), i, F.col("n")))).alias("p", "gram"))
-    close = pieces.join(grams_of, ["n", "gram"]).filter(F.abs(F.col("p") + 1 - F.col("at")) <= F.ceil(F.greatest(F.length("a"), F.length("b")) * (1 - least)))
-    similar = 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))
-    same = close.select("a", "b").distinct().filter(similar > least)
+    size, step, share = F.length("t"), -math.log(least), (1 - least) / least
+    band = F.floor(F.log(size.cast("double")) / step).cast("int")
+    # how far a title of the band can lie from any it may match: all edits of the longest one
+    width = lambda b: F.ceil(F.exp((b + 1) * step) / least * share).cast("int")
+    k = (F.ceil(size * share) - 1).cast("int")
+    piece = F.floor(size / (k + 1)).cast("int")
+    cut_up = F.transform(F.sequence(F.lit(0), k), lambda i: F.struct((i * piece).alias("at"), F.substring(F.col("t"), i * piece + 1, piece).alias("gram")))
+    near = F.sequence(band - 1, band + 1)
+    pieces = distinct(left).select(F.col("t").alias("a"), piece.alias("n"), k.alias("k"), near.alias("bands"), cut_up.alias("ps"))
+    pieces = pieces.select("a", "n", "k", "ps", F.explode("bands").alias("band")).select("a", "n", "k", "band", F.explode("ps").alias("p"))
+    place = F.floor(F.col("p.at") / width(F.col("band")))
+    pieces = pieces.select("a", "n", "k", "band", F.col("p.at").alias("at"), F.col("p.gram").alias("gram"), F.explode(F.sequence(place - 1, place + 1)).alias("bucket"))
+    sizes = distinct(left).select(piece.alias("n"), F.explode(near).alias("band")).distinct()  # a few piece lengths for each of about 200 bands
+    spread = distinct(right).withColumn("band", band).join(F.broadcast(sizes), "band").filter(F.length("t") >= F.col("n"))
+    grams = F.transform(F.sequence(F.lit(0), F.length("t") - F.col("n")), lambda i: F.struct(i.alias("at2"), F.substring(F.col("t"), i + 1, F.col("n")).alias("gram")))
+    placed = spread.select(F.col("t").alias("b"), "n", "band", F.explode(grams).alias("g")).select("b", "n", "band", "g.*").withColumn("bucket", F.floor(F.col("at2") / width(F.col("band"))))
+    close = pieces.join(placed, ["band", "bucket", "n", "gram"]).filter(F.abs(F.col("at") - F.col("at2")) <= F.col("k")).select("a", "b").distinct()
+    longest = F.greatest(F.length("a"), F.length("b"))
+    limit = F.ceil(longest * (1 - least)).cast("int")
+    found = close.withColumn("edits", F.call_function("levenshtein", F.col("a"), F.col("b"), limit)).filter(F.col("edits") >= 0)
+    same = found.filter(1 - F.col("edits") / longest > least).select("a", "b")
     return same.join(left.select(F.lower("title").alias("a"), "ord"), "a").join(right.select(F.lower("title").alias("b"), F.col("ord").alias("other")), "b").select("ord", "other")
 
 
@@ -150,21 +165,22 @@ def search_papers(papers: DataFrame, query: str, as_of_year: int, max_results: i
 
 
 def paper_terms(papers: DataFrame) -> DataFrame:
-    """(ord, term): distinct words of four letters or more of title and abstract."""
+    """(ord, keys): hashes of the distinct words of four letters or more of title and abstract."""
     text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))))
-    return papers.select("ord", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("[a-zA-Z]{4,}"), F.lit(0)))).alias("term"))
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit("[a-zA-Z]{4,}"), F.lit(0)))
+    return papers.select("ord", F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))).alias("keys"))
 
 
 def find_similar_papers(papers: DataFrame, targets: DataFrame, top: int = 5) -> DataFrame:
     """(target, ord, overlap, rank): for each of ``targets`` (ord) the papers that share most terms.
 
-    An inverted-index join from the targets' terms; only targets' terms are shuffled to.
+    Blocks of targets meet blocks of papers (see ``overlap_search``), so a term that every paper has
+    makes no rows. Terms are told apart by 64 bits of hash.
     """
     terms = paper_terms(papers)
-    wanted = paper_terms(papers.join(targets, "ord", "left_semi")).select(F.col("ord").alias("target"), "term")
-    shared = terms.join(wanted, "term").filter(F.col("ord") != F.col("target")).groupBy("target", "ord").agg(F.count("*").alias("overlap"))
-    w = Window.partitionBy("target").orderBy(F.desc("overlap"), "ord")
-    return shared.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    wanted = terms.join(targets.select("ord").distinct(), "ord", "left_semi").withColumnRenamed("ord", "query")
+    found = overlap_search(wanted, terms.withColumnRenamed("ord", "id"), top)
+    return found.select(F.col("query").alias("target"), F.col("id").alias("ord"), F.col("score").cast("long").alias("overlap"), "rank")
 
 
 def citation_summary(papers: DataFrame) -> DataFrame:

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.functions.text import clamp, score_to_confidence
+from evidex.operators.blocks import block_join, quantiles
+from evidex.operators.graph import cut
 
 #: Order of toxicity levels and of confidence levels.
 TOXICITY_ORDER = ("low", "moderate", "high", "severe", "unknown")
@@ -44,11 +48,6 @@ def normalize_min_max(long: DataFrame) -> DataFrame:
     return _ends(long, F.min("value").alias("lo"), F.max("value").alias("hi")).withColumn("normalized", _flip(placed)).drop("lo", "hi")
 
 
-def min_max_scalar(c: Column, low: Column, high: Column) -> Column:
-    """The helper's form: 0.5 where all are equal, clamped."""
-    return F.when(high == low, 0.5).otherwise(clamp((c - low) / (high - low)))
-
-
 def normalize_clamp(long: DataFrame) -> DataFrame:
     return long.withColumn("normalized", _flip(clamp(F.col("value"))))
 
@@ -110,42 +109,56 @@ def explanations(normalized: DataFrame, scored: DataFrame, key: str) -> DataFram
 
 
 def ranking_statistics(scored: DataFrame, score: str = "composite") -> DataFrame:
-    return scored.agg(
-        F.count("*").alias("n"), F.avg(score).alias("mean"), F.median(score).alias("median"), F.coalesce(F.stddev_pop(score), F.lit(0.0)).alias("std"), F.min(score).alias("lowest"), F.max(score).alias("highest"),
-    )
+    one = scored.agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.coalesce(F.stddev_pop(score), F.lit(0.0)).alias("std"), F.min(score).alias("lowest"), F.max(score).alias("highest"))
+    middle = quantiles(scored.withColumn("_all", F.lit(0)), "_all", score, {"median": lambda n: (n - 1) / 2}).agg(F.max("median").alias("median"))
+    return one.crossJoin(middle).select("n", "mean", "median", "std", "lowest", "highest")  # two tables of one row
+
+
+def _front(rows: np.ndarray) -> np.ndarray:
+    """The distinct rows that no other dominates: by falling sums, as what dominates a row has a higher one."""
+    rows = np.unique(rows, axis=0)
+    rows, best = rows[np.argsort(-rows.sum(axis=1), kind="stable")], []
+    while len(rows):
+        best.append(rows[0])
+        rows = rows[1:][~(rows[:1] >= rows[1:]).all(axis=1)]
+    return np.array(best).reshape(len(best), -1)
 
 
 def pareto_frontier(wide: DataFrame, key: str, criteria: list[str]) -> DataFrame:
     """Keys of rows that no other row dominates: as good on every criterion that both have, better on one.
 
     Higher is better. Equal rows are compared once. Rows with every criterion are first thinned out by
-    the skyline of each task's own rows; what is left of them, and rows with gaps, meet all distinct
-    rows that may dominate, the thinned rows and those with gaps, as dominance is not transitive there.
+    the front of each task's own rows. What is left of them, and rows with gaps, are compared block
+    with block, as dominance is not transitive among rows with gaps.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    distinct = wide.select(*criteria).distinct()
+    distinct = wide.select(*[F.col(c).cast("double").alias(c) for c in criteria]).distinct()
     complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in criteria])
+    schema = ", ".join(f"`{c}` double" for c in criteria)
+    table = lambda rows: pa.table([pa.array(rows[:, i], pa.float64(), from_pandas=True) for i in range(len(criteria))], criteria)
+    values = lambda t: np.column_stack([t.column(c).to_numpy(zero_copy_only=False).astype(float) for c in criteria])
 
-    def skyline(batches):
+    def thin(batches):
         best = np.zeros((0, len(criteria)))
         for batch in batches:
-            rows = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in criteria])
-            for row in rows[np.argsort(-rows.sum(axis=1), kind="stable")]:
-                if not ((best >= row).all(axis=1) & (best > row).any(axis=1)).any():
-                    best = np.vstack([best[~((row >= best).all(axis=1) & (row > best).any(axis=1))], row])
-        yield pa.record_batch([pa.array(best[:, i], pa.float64()) for i in range(len(criteria))], criteria)
-
-    thinned = distinct.select(*[F.col(c).cast("double").alias(c) for c in criteria]).filter(complete).mapInArrow(skyline, ", ".join(f"{c} double" for c in criteria))
-    gaps = distinct.select(*[F.col(c).cast("double").alias(c) for c in criteria]).filter(~complete)
-    rivals = thinned.union(gaps).toDF(*["o_" + c for c in criteria])
-    tried = thinned.union(gaps)
-    as_good = reduce(lambda a, b: a & b, [F.coalesce(F.col("o_" + c) >= F.col(c), F.lit(True)) for c in criteria])
-    better = reduce(lambda a, b: a | b, [F.coalesce(F.col("o_" + c) > F.col(c), F.lit(False)) for c in criteria])
-    left = tried.join(rivals, as_good & better, "left_anti")
-    same = reduce(lambda a, b: a & b, [wide[c].cast("double").eqNullSafe(left[c]) for c in criteria])
-    return wide.join(left, same, "left_semi").select(key)
+            best = _front(np.vstack([best, values(batch)]))
+        yield from table(best).to_batches()
+
+    def beaten(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not len(asked) or not len(held):
+            return table(np.zeros((0, len(criteria))))
+        mine, theirs = values(asked.select(criteria)), values(held.select(["o_" + c for c in criteria]).rename_columns(criteria))
+        lost = np.zeros(len(mine), bool)
+        for k in range(0, len(mine), 256):
+            own = mine[k : k + 256, None, :]
+            gap = np.isnan(own) | np.isnan(theirs[None])
+            lost[k : k + 256] = (((theirs[None] >= own) | gap).all(axis=2) & ((theirs[None] > own) & ~gap).any(axis=2)).any(axis=1)
+        return table(mine[lost])
+
+    tried = cut(distinct.filter(complete).mapInArrow(thin, schema).union(distinct.filter(~complete)))
+    lost = block_join(tried, tried.toDF(*["o_" + c for c in criteria]), beaten, schema, 4096, 4096).distinct()
+    same = lambda x, y: reduce(lambda a, b: a & b, [x[c].cast("double").eqNullSafe(y[c]) for c in criteria])
+    left = tried.join(lost, same(tried, lost), "left_anti")
+    return wide.join(left, same(wide, left), "left_semi").select(key)
 
 
 def ranked_candidates(candidates: DataFrame, rankings: DataFrame, key: str, order: str) -> DataFrame:
@@ -153,9 +166,12 @@ def ranked_candidates(candidates: DataFrame, rankings: DataFrame, key: str, orde
     return candidates.join(rankings.select(key, "rank"), key, "left").orderBy(F.col("rank").asc_nulls_last(), order)
 
 
-def percentile(c: Column | str, p: float) -> Column:
-    """Linear interpolation at p / 100 of the sorted values; 0 where there is none."""
-    return F.coalesce(F.percentile(c, p / 100), F.lit(0.0))
+def percentiles(rows: DataFrame, group: str, value: str, asked: dict[str, float]) -> DataFrame:
+    """(group, names of ``asked``): linear interpolation at p / 100 of each group's sorted values; 0 where there is none."""
+    at = lambda p: lambda n: (n - 1) * (p / 100)
+    found = quantiles(rows, group, value, {n: at(p) for n, p in asked.items()})
+    every = rows.select(group).distinct().join(found, group, "left")
+    return every.select(group, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in asked])
 
 
 def level(score: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.functions.text import clamp, score_to_confidence
+from evidex.operators.blocks import numbered
 from evidex.operators.compounds import similar_compounds
 
 #: Weights of the four kinds of evidence.
@@ -57,5 +58,7 @@ def repurposing_candidates(candidates: DataFrame, evidence: dict[str, DataFrame]
     criteria = F.create_map(*[x for k, c in parts.items() for x in (F.lit(k), c)])
     scored = joined.select("compound_id", score.alias("score"), criteria.alias("criteria")).filter(F.col("score") >= least)
     order = [F.desc("score"), F.asc("compound_id")]
-    scored = scored.orderBy(*order).limit(top) if top else scored
-    return scored.withColumn("level", score_to_confidence(F.col("score"))).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    scored = scored.withColumn("level", score_to_confidence(F.col("score")))
+    if top:
+        return scored.orderBy(*order).limit(top).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return numbered(scored, "rank", *order).withColumn("rank", F.col("rank") + 1)

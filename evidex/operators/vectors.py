@@ -11,9 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.functions.text import normalize_text, sentences_with
-
-#: Most query rows that are sent to all tasks at once; more go block by block.
-BLOCK_QUERIES = 4096
+from evidex.operators.blocks import Best, block_join, lists
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,73 +32,69 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)))
 
 
+def _matrix(table: pa.Table) -> np.ndarray:
+    flat, begins = lists(table.column("vector"))
+    return flat.astype(np.float64).reshape(len(begins) - 1, -1)
+
+
+#: Rows of a block that are scored at a time.
+_PIECE = 1024
+
+
+def _scores(q: np.ndarray, m: np.ndarray, metric: str) -> np.ndarray:
+    s = q @ m.T
+    if metric == "cosine":
+        scale = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(m, axis=1)[None]
+        s = np.divide(s, scale, out=np.zeros_like(s), where=scale > 0)
+    elif metric == "euclidean":
+        s = -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (m**2).sum(1)[None] - 2 * s, 0))
+    return np.round(s, 9)
+
+
+def _sized(df: DataFrame, name: str) -> DataFrame:
+    return df.select(F.col(name).cast("long").alias(name), "vector", F.size("vector").alias("dims")).filter("vector is not null and dims > 0")
+
+
 def vector_search(store: DataFrame, queries: DataFrame, top_k: int, source_type: str | None = None, metric: str = "cosine", exclude_self: bool = True) -> DataFrame:
     """(query, id, score, rank): the best ``top_k`` of ``store`` (id, vector) for each of ``queries`` (query, vector).
 
-    Exact. Queries are sent in blocks of a fixed size; each task scores its vectors against a block by
-    one matrix product and keeps ``top_k`` for each query, so the shuffle carries top_k rows for a
-    query and task, and no pair is ever a row. Scores tie by id; vectors of another length are skipped.
+    Exact. Blocks of queries meet blocks of the store in tasks, which score them by one matrix product
+    and keep ``top_k`` for each query, so the last shuffle carries top_k rows for a query and block, and
+    no pair is ever a row. Scores tie by id; only vectors of one length meet.
     """
     rows = store if source_type is None else store.filter(F.col("source_type") == source_type)
-    rows = rows.select("id", "vector").filter(F.col("vector").isNotNull())
-    wanted = queries.select("query", "vector").filter("vector is not null")
-    spark = store.sparkSession
-    n = wanted.count()
-    blocks = max(1, -(-n // BLOCK_QUERIES))
-    numbered = wanted.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
-    found = None
-    for k in range(blocks):
-        block = numbered.filter(F.col("block") == k).select("query", "vector").toPandas() if n else None
-        if block is None or not len(block):
-            continue
-        sent = spark.sparkContext.broadcast((block["query"].tolist(), np.array(block["vector"].tolist(), np.float64)))
-
-        def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, q = sent.value
-            if q.ndim != 2:
-                raise ValueError("queries differ in length")
-            ids = np.zeros((len(names), 0), np.int64)
-            best = np.zeros((len(names), 0))
-            own = np.array(names, dtype=np.int64)
-            for batch in batches:
-                v = batch.column("vector")
-                fits = np.array([x == q.shape[1] for x in (v.value_lengths().to_pylist())])
-                at = batch.column("id").to_numpy()[fits]
-                if not len(at):
-                    continue
-                m = v.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
-                s = q @ m.T
-                if metric == "cosine":
-                    scale = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(m, axis=1)[None]
-                    s = np.divide(s, scale, out=np.zeros_like(s), where=scale > 0)
-                elif metric == "euclidean":
-                    s = -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (m**2).sum(1)[None] - 2 * s, 0))
-                s = np.round(s, 9)
+
+    def work(asked: pa.Table, held: pa.Table) -> pa.Table:
+        names, ids = asked.column("query").to_numpy(), held.column("id").to_numpy()
+        best = Best(len(names), top_k)
+        if len(names) and len(ids):
+            q, m = _matrix(asked), _matrix(held)
+            for k in range(0, len(ids), _PIECE):
+                s, at = _scores(q, m[k : k + _PIECE], metric), ids[k : k + _PIECE]
                 if exclude_self:
-                    s[own[:, None] == at[None]] = -np.inf
-                best = np.hstack([best, s])
-                ids = np.hstack([ids, np.broadcast_to(at, s.shape)])
-                if best.shape[1] > top_k:
-                    order = np.lexsort((ids, -best), axis=1)[:, :top_k]
-                    best, ids = np.take_along_axis(best, order, 1), np.take_along_axis(ids, order, 1)
-            keep = np.isfinite(best)
-            yield pa.record_batch({"query": pa.array(np.repeat(own, keep.sum(axis=1))), "id": pa.array(ids[keep]), "score": pa.array(best[keep])})
-
-        part = rows.mapInArrow(score, "query long, id long, score double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = spark.createDataFrame([], "query long, id long, score double")
+                    s[names[:, None] == at[None]] = -np.inf
+                best.add(s, at)
+        return pa.table({"query": pa.array(names[best.query], pa.int64()), "id": pa.array(best.id, pa.int64()), "score": pa.array(best.score, pa.float64())})
+
+    found = block_join(_sized(queries, "query"), _sized(rows, "id"), work, "query long, id long, score double", key="dims")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= top_k)
 
 
-def find_similar(store: DataFrame, ids: list[int], top_k: int) -> DataFrame:
-    """As vector_search, from stored vectors; an unknown id is an error."""
-    queries = store.filter(F.col("id").isin(*ids)).select(F.col("id").alias("query"), "vector")
-    missing = set(ids) - {r.query for r in queries.select("query").collect()}
+def stored(store: DataFrame, ids: DataFrame | list[int], name: str = "id") -> DataFrame:
+    """Rows of ``store`` whose ``name`` is among ``ids`` (a table with that column, or a list); an unknown one is an error."""
+    if isinstance(ids, list):
+        ids = store.sparkSession.createDataFrame([(i,) for i in ids], f"{name} long")
+    ids = ids.select(name).distinct()
+    missing = ids.join(store, name, "left_anti").limit(5).collect()
     if missing:
-        raise KeyError(f"not in the store: {sorted(missing)}")
-    return vector_search(store, queries, top_k)
+        raise KeyError(f"not in the store: {[r[0] for r in missing]}")
+    return store.join(ids, name, "left_semi")
+
+
+def find_similar(store: DataFrame, ids: DataFrame | list[int], top_k: int) -> DataFrame:
+    """As vector_search, from stored vectors; an unknown id is an error."""
+    return vector_search(store, stored(store, ids).select(F.col("id").alias("query"), "vector"), top_k)
 
 
 def knn_all_pairs(store: DataFrame, k: int) -> DataFrame:
@@ -139,14 +133,6 @@ def embed_keywords(text: Column, vocab) -> Column:
     return F.transform(F.array(*[F.lit(v) for v in vocab]), lambda k: F.when(F.contains(F.lower(text), k), 1.0).otherwise(0.0))
 
 
-def embed_hashed(text: Column, dims: int = 64) -> Column:
-    """Term frequencies in hashed buckets, to length 1; null for blank text."""
-    words = F.filter(F.split(F.lower(normalize_text(text)), " "), lambda w: w != "")
-    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))
-    return F.when(normalize_text(text).isNotNull(), F.transform(counts, lambda x: x / norm(counts)))
-
-
 def embed_hashed_table(df: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:
     """(key, vector): hashed term frequencies by MLlib, to length 1; blank texts are left out."""
     from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
@@ -213,48 +199,38 @@ def changed_profiles(fields: DataFrame, stored: DataFrame, key: str) -> DataFram
     return fields.withColumn("h", F.sha2("text", 256)).join(known, [key, "field", "h"], "left_anti").drop("h")
 
 
-def similar_profiles(store: DataFrame, source_ids: list[int], top_k: int) -> DataFrame:
+def similar_profiles(store: DataFrame, source_ids: DataFrame | list[int], top_k: int) -> DataFrame:
     """(source, source_id, score, rank): other sources by their best chunk among 4 k neighbours of the first chunk."""
-    first = store.filter(F.col("source_id").isin(*source_ids)).groupBy("source_id").agg(F.min_by("id", "chunk_index").alias("query"), F.min_by("vector", "chunk_index").alias("vector"))
+    first = stored(store, source_ids, "source_id").groupBy("source_id").agg(F.min_by("id", "chunk_index").alias("query"), F.min_by("vector", "chunk_index").alias("vector"))
     near = vector_search(store, first, 4 * top_k).join(first.select("query", F.col("source_id").alias("source")), "query").join(store.select("id", "source_id"), "id")
     best = near.filter(F.col("source_id") != F.col("source")).groupBy("source", "source_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("source").orderBy(F.desc("score"), "source_id")
     return best.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= top_k)
 
 
-def suggest_expansion(store: DataFrame, query_id: int, present: DataFrame, k: int = 8, reach: int = 20) -> DataFrame:
-    """Of the ``reach`` nearest, the first ``k`` that ``present`` (id) lacks."""
-    near = find_similar(store, [query_id], reach).join(present, "id", "left_anti")
-    return near.orderBy("rank").limit(k).select("id", "score")
+def suggest_expansion(store: DataFrame, query_ids: DataFrame | list[int], present: DataFrame, k: int = 8, reach: int = 20) -> DataFrame:
+    """(query, id, score): of the ``reach`` nearest of each query, the first ``k`` that ``present`` (id) lacks."""
+    near = find_similar(store, query_ids, reach).join(present, "id", "left_anti")
+    place = F.row_number().over(Window.partitionBy("query").orderBy("rank"))
+    return near.withColumn("place", place).filter(F.col("place") <= k).select("query", "id", "score")
 
 
 def threshold_pairs(store: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): ids with a < b whose cosine reaches the threshold, all rows as queries in blocks."""
-    rows = store.select("id", "vector")
-    spark = store.sparkSession
-    n = rows.count()
-    blocks = max(1, -(-n // BLOCK_QUERIES))
-    numbered = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    found = None
-    for k in range(blocks):
-        block = numbered.filter(F.col("block") == k).select("id", "vector").toPandas()
-        if not len(block):
-            continue
-        sent = spark.sparkContext.broadcast((np.array(block["id"]), np.array(block["vector"].tolist(), np.float64)))
-
-        def near(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            q = q / np.maximum(np.linalg.norm(q, axis=1), 1e-300)[:, None]
-            for batch in batches:
-                m = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
-                m = m / np.maximum(np.linalg.norm(m, axis=1), 1e-300)[:, None]
-                at = batch.column("id").to_numpy()
-                i, j = np.nonzero((np.round(q @ m.T, 9) >= threshold) & (ids[:, None] < at[None]))
-                yield pa.record_batch({"a": pa.array(ids[i]), "b": pa.array(at[j])})
-
-        part = rows.mapInArrow(near, "a long, b long")
-        found = part if found is None else found.union(part)
-    return found if found is not None else spark.createDataFrame([], "a long, b long")
+    """(a, b): ids with a < b whose cosine reaches the threshold, blocks of rows against blocks of rows."""
+
+    def work(asked: pa.Table, held: pa.Table) -> pa.Table:
+        names, ids, found = asked.column("query").to_numpy(), held.column("id").to_numpy(), [(np.zeros(0, np.int64),) * 2]
+        if len(names) and len(ids):
+            q, m = _matrix(asked), _matrix(held)
+            for k in range(0, len(ids), _PIECE):
+                at = ids[k : k + _PIECE]
+                i, j = np.nonzero((_scores(q, m[k : k + _PIECE], "cosine") >= threshold) & (names[:, None] < at[None]))
+                found.append((names[i], at[j]))
+        a, b = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    rows = _sized(store, "id")
+    return block_join(rows.withColumnRenamed("id", "query"), rows, work, "a long, b long", key="dims")
 
 
 def cluster_leader(store: DataFrame, threshold: float = 0.75) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evidex import adapters as A
 from evidex.operators import compounds as C
 from evidex.operators import ranking as M
 from evidex.operators import repurposing as R
+from evidex.operators.graph import shared_folder
 
 QUERIES, SQL = {}, {}
 
@@ -348,9 +351,18 @@ def _(s, d):
     return discovery(scored(s, d), structural(s, d), overlap(s, d), R.embedding_evidence(A.compounds(s, d).select("compound_id"), similarities(s, d)), top=25)
 
 
+@query("m15_discovery_pipeline_compat", f"with {_ALL}, final as (select compound_id, composite from scored_all where {_KEPT}) select compound_id, composite, row_number() over (order by composite desc, compound_id) as rank from final qualify rank <= 25", "compounds", "matches", "alerts")
+def _(s, d):
+    from evidex.plans.discovery import discovery
+
+    return discovery(scored(s, d), structural(s, d), overlap(s, d), R.embedding_evidence(A.compounds(s, d).select("compound_id"), similarities(s, d)), top=25, compat=True)
+
+
 @query("m17_percentile", "select l_returnflag, round(quantile_cont(l_extendedprice, 0.95), 6) as p95, round(quantile_cont(l_quantity, 0.5), 6) as p50 from lineitem group by 1")
 def _(s, d):
-    return A.table(s, d, "lineitem").groupBy("l_returnflag").agg(F.round(M.percentile("l_extendedprice", 95), 6).alias("p95"), F.round(M.percentile("l_quantity", 50), 6).alias("p50"))
+    line = A.table(s, d, "lineitem")
+    price, quantity = M.percentiles(line, "l_returnflag", "l_extendedprice", {"p95": 95}), M.percentiles(line, "l_returnflag", "l_quantity", {"p50": 50})
+    return price.join(quantity, "l_returnflag").select("l_returnflag", F.round("p95", 6).alias("p95"), F.round("p50", 6).alias("p50"))
 
 
 @query("u03_pluggable_engines", f"with {_PRED} select compound_id, target_id, confidence from predictions union all select compound_id, 'TGT_LIGHT', 0.5 from compounds where mw < 300", "matches", "compounds")
@@ -365,6 +377,8 @@ def _(s, d):
     from evidex.sources import sinks
 
     r = M.rank_top_k(composite(s, d).withColumn("composite", F.round("composite", 6)), "compound_id", 100)
-    return sinks.ranking_rows(r, A.compounds(s, d), assessed(s, d)).select("rank", "compound_id", "name", "composite", "mw", "logp", "toxicity_level")
+    path = f"{shared_folder(s)}/ranking-{uuid.uuid4().hex}"
+    sinks.export_csv(sinks.ranking_rows(r, A.compounds(s, d), assessed(s, d)).select("rank", "compound_id", "name", "composite", "mw", "logp", "toxicity_level"), path)
+    return s.read.schema("rank long, compound_id long, name string, composite double, mw double, logp double, toxicity_level string").csv(path, header=True, escape='"')
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evidex import adapters as A
 from evidex.functions import text as T
 from evidex.operators import graph as G
 from evidex.operators import vectors as V
+from evidex.plans.q_literature import LABEL_SQL
 
 QUERIES, SQL = {}, {}
 
@@ -50,15 +53,25 @@ _KNN = "select q.id as query, s.id, {c} as score, row_number() over (partition b
 _C = _COS.format("q.vector", "s.vector")
 
 
-@query("e03_vector_search", _KNN.format(c=_C, w="q.id % 20 = 0 and s.source_type in ('1', '2', '3')", k=10), "store")
+def asked(store):
+    """The stated query set: every row whose id is divisible by 20."""
+    return store.filter("id % 20 = 0").select(F.col("id").alias("query"), "vector")
+
+
+@query("e03_vector_search", _KNN.format(c=_C, w="q.id % 20 = 0", k=10), "store")
 def _(s, d):
-    e = A.store(s, d)
-    return V.vector_search(e.filter("source_type in ('1', '2', '3')"), e.filter("id % 20 = 0").select(F.col("id").alias("query"), "vector"), 10)
+    return V.vector_search(A.store(s, d), asked(A.store(s, d)), 10)
 
 
-@query("e04_find_similar", _KNN.format(c=_C, w="q.id in (3, 4)", k=10), "store")
+@query("e03_vector_search_by_type", _KNN.format(c=_C, w="q.id % 20 = 0 and s.source_type = '2'", k=10), "store")
 def _(s, d):
-    return V.find_similar(A.store(s, d), [3, 4], 10)
+    return V.vector_search(A.store(s, d), asked(A.store(s, d)), 10, "2")
+
+
+@query("e04_find_similar", _KNN.format(c=_C, w="q.id % 20 = 0", k=10), "store")
+def _(s, d):
+    e = A.store(s, d)
+    return V.find_similar(e, e.select("id").filter("id % 20 = 0"), 10)
 
 
 @query("e05_knn_all_pairs", _KNN.format(c=_C, w="true", k=5), "store")
@@ -71,12 +84,13 @@ def _(s, d):
     return V.get_by_source(A.store(s, d), 7).select("id", "chunk_index")
 
 
-@query("e07_get_delete_unknown", "select 'got' as what, count(*) as n from store where id % 3 = 0 union all select 'left', count(*) from store where id % 3 <> 0 union all select 'unknown', count(*) from store where id % 3 = 0 and id + 1000000 not in (select id from store)", "store")
+@query("e07_get_delete_unknown", "select 'got' as what, id, chunk_index from store where id % 3 = 0 union all select 'left', id, chunk_index from store where id % 3 <> 0 union all select 'unknown', id + 1000000, null from store where id % 3 = 0 and id + 1000000 not in (select id from store)", "store")
 def _(s, d):
     e = A.store(s, d)
     ids = e.filter("id % 3 = 0").select("id")
-    n = lambda what, df: df.agg(F.lit(what).alias("what"), F.count("*").alias("n"))
-    return n("got", V.get(e, ids)).union(n("left", V.delete(e, ids))).union(n("unknown", V.unknown(e, ids.selectExpr("id + 1000000 as id"))))
+    part = lambda what, df: df.select(F.lit(what).alias("what"), "id", F.col("chunk_index").cast("int").alias("chunk_index"))
+    unknown = V.unknown(e, ids.selectExpr("id + 1000000 as id")).withColumn("chunk_index", F.lit(None))
+    return part("got", V.get(e, ids)).union(part("left", V.delete(e, ids))).union(part("unknown", unknown))
 
 
 @query("e08_ingest_new_only", "select ord, case when trim(title || ' ' || abstract) = '' then 'skipped_no_text' when ord % 2 = 0 then 'skipped_duplicate' else 'new' end as status from papers", "papers")
@@ -119,13 +133,21 @@ def _(s, d):
     return V.changed_profiles(fields, fields.filter("compound_id % 2 = 0 and field = 'name'"), "compound_id")
 
 
-@query("e13_similar_profiles", f"""with f as (select source_id, id as query, vector from store where chunk_index = 0 and source_id in (1, 2, 3)), n as (select f.source_id as source, s.source_id, {_COS.format('f.vector', 's.vector')} as score, s.id, row_number() over (partition by query order by {_COS.format('f.vector', 's.vector')} desc, s.id) as r from f, store s where s.id <> f.query qualify r <= 20)
+@query("e13_similar_profiles", f"""with f as (select source_id, id as query, vector from store where chunk_index = 0 and source_id % 20 = 0), n as (select f.source_id as source, s.source_id, {_COS.format('f.vector', 's.vector')} as score, s.id, row_number() over (partition by query order by {_COS.format('f.vector', 's.vector')} desc, s.id) as r from f, store s where s.id <> f.query qualify r <= 20)
 select source, source_id, max(score) as score, row_number() over (partition by source order by max(score) desc, source_id) as rank from n where source <> source_id group by 1, 2 qualify rank <= 5""", "store")
 def _(s, d):
-    return V.similar_profiles(A.store(s, d), [1, 2, 3], 5)
+    e = A.store(s, d)
+    return V.similar_profiles(e, e.select("source_id").filter("source_id % 20 = 0"), 5)
+
 
+#: The sequential loop itself: row after row, the list of leaders so far in hand.
+_LEADERS = f"""with recursive near as (select b.id, list(a.id order by a.id) as earlier from store a join store b on a.id < b.id where {_COS.format('a.vector', 'b.vector')} >= 0.3 group by 1),
+turn as (select s.id, row_number() over (order by s.id) as i, coalesce(n.earlier, []) as earlier from store s left join near n using (id)),
+led(i, id, leader, leaders) as (select 0::bigint, null::bigint, null::bigint, []::bigint[] union all
+  select i, id, coalesce(first, id), case when first is null then list_append(leaders, id) else leaders end from (select t.i, t.id, led.leaders, list_filter(t.earlier, lambda x: list_contains(led.leaders, x))[1] as first from led join turn t on t.i = led.i + 1))"""
 
-@query("e14_cluster_leader", None)
+
+@query("e14_cluster_leader", f"{_LEADERS} select id, leader from led where id is not null", "store")
 def _(s, d):
     return V.cluster_leader(A.store(s, d), 0.3)
 
@@ -135,10 +157,10 @@ def _(s, d):
     return V.layout_2d(A.store(s, d)).select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
-@query("e16_suggest_expansion", f"select id, score from ({_KNN.format(c=_C, w='q.id = 5', k=20)}) where id % 3 <> 0 order by score desc, id limit 8", "store")
+@query("e16_suggest_expansion", f"select query, id, score from ({_KNN.format(c=_C, w='q.id % 20 = 0', k=20)}) where id % 3 <> 0 qualify row_number() over (partition by query order by rank) <= 8", "store")
 def _(s, d):
     e = A.store(s, d)
-    return V.suggest_expansion(e, 5, e.filter("id % 3 = 0").select("id"))
+    return V.suggest_expansion(e, e.select("id").filter("id % 20 = 0"), e.filter("id % 3 = 0").select("id"))
 
 
 @query("e17_store_stats", "select source_type, count(*) as n, min(len(vector)) as dims, count(distinct source_id) as n_sources from store group by 1", "store")
@@ -152,13 +174,23 @@ def _(s, d):
     return A.table(s, d, "documents").select("doc_id", encode("text").alias("v"))
 
 
-@query("k09_upsert_embedding_store", "select case when id % 2 = 0 then 'already stored' else 'new' end as what, count(*) as n from store group by 1", "store")
+@query("k09_upsert_embedding_store", "select id, len(vector) as dims from store", "store")
 def _(s, d):
     from evidex.sources import sinks
 
-    e = A.store(s, d)
-    fresh, rejected = sinks.new_embeddings(e.select("id", "vector"), e.filter("id % 2 = 0"))
-    return fresh.agg(F.lit("new").alias("what"), F.count("*").alias("n")).union(rejected.groupBy(F.col("reason").alias("what")).agg(F.count("*").alias("n")))
+    e, path = A.store(s, d).select("id", "vector"), f"{G.shared_folder(s)}/store-{uuid.uuid4().hex}"
+    e.filter("id % 2 = 0").write.parquet(path)
+    fresh, _ = sinks.new_embeddings(e, s.read.parquet(path))
+    sinks.upsert_embedding_store(fresh, path)
+    return s.read.parquet(path).select("id", F.size("vector").cast("long").alias("dims"))
+
+
+@query("k09_upsert_embedding_store_rejects", "select id, case when id % 2 = 0 then 'already stored' else 'repeated in the batch' end as reason from store where id % 2 = 0 or id % 5 = 0 union all select id, 'repeated in the batch' from store where id % 2 = 1 and id % 5 = 0 union all select id, 'already stored' from store where id % 2 = 0 and id % 5 = 0", "store")
+def _(s, d):
+    from evidex.sources import sinks
+
+    e = A.store(s, d).select("id", "vector")
+    return sinks.new_embeddings(e.union(e.filter("id % 5 = 0")), e.filter("id % 2 = 0"))[1].select("id", "reason")
 
 
 @query("g01_extract_mentions", r"""with p as (select * from (values ('CONJ', 'and the', 2), ('PREP', 'of', 1), ('NOUN', 'la', 1)) v(label, words, n)),
@@ -178,7 +210,12 @@ def _(s, d):
     return G.bucket_entities(m, "user_id", {"click": "drugs", "view": "diseases", "signup": "genes"})
 
 
-@query("g03_extract_svo", None)
+_SVO = r"(?i)((?:[\p{L}\p{N}-]+\s+){1,3}?)((?:is|was|are|were)\s+)?((?:not|no)\s+)?\b(was|are|is)\b(?:\s+by)?\s+((?:[\p{L}\p{N}-]+\s*){1,3})"
+_SPACED = r"nullif(trim(regexp_replace(regexp_extract(sentence, '{0}', {1}), '\s+', ' ', 'g')), '')"
+
+
+@query("g03_extract_svo", f"""with sent as (select doc_id, unnest(l) as sentence, unnest(range(len(l))) as sentence_no from (select doc_id, {_SENT.replace('(t)', '(text)')} as l from documents))
+select doc_id, cast(sentence_no as int) as sentence_no, {_SPACED.format(_SVO, 1)} as subject, 'be' as verb, {_SPACED.format(_SVO, 5)} as object, regexp_extract(sentence, '{_SVO}', 2) <> '' as passive, regexp_extract(sentence, '{_SVO}', 3) <> '' as negated from sent where regexp_matches(sentence, '{_SVO}')""")
 def _(s, d):
     return G.extract_svo(A.table(s, d, "documents"), "doc_id", "text", {"was": "be", "is": "be", "are": "be"})
 
@@ -193,30 +230,44 @@ def _(s, d):
     return A.table(s, d, "supplier").select("s_suppkey", G.normalize_node_id(F.concat(F.lit("  "), "s_name", F.lit(" "))).alias("id"))
 
 
-_NODES = "nodes as (select lower(text) as id, arg_min(text, (ts, text)) as canonical_name, list_sort(list(distinct label)) as labels, count(*) as mention_count, min(ts) as first_seen, max(ts) as last_seen, count(distinct source) as n_sources from (select subject as text, 'UNKNOWN' as label, source, ts from {0} union all select object, 'UNKNOWN', source, ts from {0}) group by 1)"
-_EDGES = "edges as (select lower(subject) as src, lower(object) as dst, lower(verb) as relation, max(confidence) as confidence, max(ts) as timestamp, arg_max(source, (ts, source)) as source, count(*) as merge_count, count(distinct source) as n_sources from {0} group by 1, 2, 3)"
-_GRAPH = _NODES.format("graph_relations") + ",\n" + _EDGES.format("graph_relations")
+_NODES = "nodes as (select lower(text) as id, arg_min(text, (ts, text)) as canonical_name, list_sort(list(distinct label)) as labels, count(*) as mention_count, min(ts) as first_seen, max(ts) as last_seen, list_sort(list(distinct source)) as sources from (select subject as text, 'UNKNOWN' as label, source, ts from {0} union all select object, 'UNKNOWN', source, ts from {0}{1}) group by 1)"
+_EDGES = "edges as (select lower(subject) as src, lower(object) as dst, lower(verb) as relation, max(confidence) as confidence, max(ts) as timestamp, arg_max(source, (ts, source)) as source, count(*) as merge_count, list_sort(list(distinct source)) as all_sources from {0} group by 1, 2, 3)"
+#: Mentions of suppliers and parts, in capitals, with their own labels and sources.
+_MENTIONS = " union all select upper(s_name), 'SUPPLIER', 'm' || s_suppkey % 3, timestamp '1980-01-01' from supplier union all select upper(p_name), 'PART', 'n' || p_size % 3, timestamp '1980-01-01' from part where p_size % 2 = 0"
+_GRAPH = _NODES.format("graph_relations", _MENTIONS) + ",\n" + _EDGES.format("graph_relations")
 _VIEWS = ("relations", "graph_relations")
 
 
-def mentions(r):
-    return r.select(F.col("subject").alias("text"), F.lit("X").alias("label"), "source", "ts").limit(0)
+def mentions(s, d):
+    ts = F.to_timestamp(F.lit("1980-01-01 00:00:00")).alias("ts")
+    named = lambda t, name, label, source: t.select(F.upper(name).alias("text"), F.lit(label).alias("label"), source.alias("source"), ts)
+    tag = lambda letter, c: F.concat(F.lit(letter), (F.col(c) % 3).cast("string"))
+    return named(A.table(s, d, "supplier"), "s_name", "SUPPLIER", tag("m", "s_suppkey")).union(named(A.table(s, d, "part").filter("p_size % 2 = 0"), "p_name", "PART", tag("n", "p_size")))
 
 
 def graph(s, d):
     r = A.graph_relations(s, d)
-    return G.build_nodes(mentions(r), r), G.build_edges(r)
+    return G.build_nodes(mentions(s, d), r), G.build_edges(r)
 
 
-@query("g06_build_nodes", f"with {_NODES.format('relations')} select id, canonical_name, labels, mention_count, cast(epoch(first_seen) as bigint) as first_seen, cast(epoch(last_seen) as bigint) as last_seen, n_sources from nodes", "relations")
+@query("g06_build_nodes", f"with {_NODES.format('relations', _MENTIONS)} select id, canonical_name, labels, mention_count, cast(epoch(first_seen) as bigint) as first_seen, cast(epoch(last_seen) as bigint) as last_seen, sources, len(sources) as n_sources from nodes", "relations")
 def _(s, d):
-    r = A.relations(s, d)
-    return G.build_nodes(mentions(r), r).withColumns({"first_seen": F.unix_timestamp("first_seen"), "last_seen": F.unix_timestamp("last_seen")})
+    return G.build_nodes(mentions(s, d), A.relations(s, d), lists=True).withColumns({"first_seen": F.unix_timestamp("first_seen"), "last_seen": F.unix_timestamp("last_seen")})
 
 
-@query("g07_build_edges", f"with {_EDGES.format('relations')} select src, dst, relation, confidence, cast(epoch(timestamp) as bigint) as timestamp, source, merge_count, n_sources from edges", "relations")
+@query("g06_node_sources", f"with {_NODES.format('graph_relations', _MENTIONS)} select id, unnest(sources) as source from nodes", *_VIEWS)
 def _(s, d):
-    return G.build_edges(A.relations(s, d)).withColumn("timestamp", F.unix_timestamp("timestamp"))
+    return G.node_sources(mentions(s, d), A.graph_relations(s, d))
+
+
+@query("g07_build_edges", f"with {_EDGES.format('relations')} select src, dst, relation, confidence, cast(epoch(timestamp) as bigint) as timestamp, source, merge_count, all_sources, len(all_sources) as n_sources from edges", "relations")
+def _(s, d):
+    return G.build_edges(A.relations(s, d), lists=True).withColumn("timestamp", F.unix_timestamp("timestamp"))
+
+
+@query("g07_edge_sources", f"with {_EDGES.format('graph_relations')} select src, dst, relation, unnest(all_sources) as source from edges", *_VIEWS)
+def _(s, d):
+    return G.edge_sources(A.graph_relations(s, d))
 
 
 @query("g08_build_summary", "select count(*) filter (cast(source as bigint) % 7 <> 0) as relations_added, count(*) filter (cast(source as bigint) % 7 = 0) as relations_skipped from relations", "relations")
@@ -224,10 +275,10 @@ def _(s, d):
     return G.build_summary(A.relations(s, d).withColumn("subject", F.when(F.col("source").cast("long") % 7 == 0, " ").otherwise(F.col("subject"))))
 
 
-@query("g09_process_papers", "select ord, coalesce(pmid, doi, 'unknown') as source, 'processed' as status, ord % 5 as n_relations from papers", "papers")
+@query("g09_process_papers", "with r as (select doc_id as ord, k from documents, range(1, 6) t(k) where k <= doc_id % 5) select ord, coalesce(pmid, doi, 'unknown') as source, case when trim(abstract) = '' then 'skipped' else 'processed' end as status, count(k) as n_relations from papers left join r using (ord) group by all", "papers")
 def _(s, d):
     p = A.papers(s, d)
-    return G.process_papers(p, p.select("ord", F.explode(F.sequence(F.lit(1), (F.col("ord") % 5).cast("int"))).alias("k")).filter("k <= ord % 5 and ord % 5 > 0"))
+    return G.process_papers(p, p.select("ord", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k")).filter("k <= ord % 5"))
 
 
 @query("g10_remove_entity", f"with {_GRAPH} select (select count(*) from nodes where id <> 'france') as n_nodes, (select count(*) from edges where src <> 'france' and dst <> 'france') as n_edges", *_VIEWS)
@@ -236,14 +287,22 @@ def _(s, d):
     return n.agg(F.count("*").alias("n_nodes")).crossJoin(e.agg(F.count("*").alias("n_edges")))
 
 
-@query("g11_merge_graphs", f"with {_EDGES.format('relations')} select src, dst, relation, confidence, merge_count, source from edges", "relations")
+@query("g11_merge_graphs", f"with {_EDGES.format('relations')} select src, dst, relation, confidence, merge_count, source, all_sources, len(all_sources) as n_sources from edges", "relations")
 def _(s, d):
     r = A.relations(s, d)
     half = F.col("source").cast("long") % 2
-    return G.merge_edges(G.build_edges(r.filter(half == 0)).drop("n_sources"), G.build_edges(r.filter(half == 1)).drop("n_sources")).select("src", "dst", "relation", "confidence", "merge_count", "source")
+    return G.merge_edges(G.build_edges(r.filter(half == 0), True), G.build_edges(r.filter(half == 1), True)).drop("timestamp")
+
+
+@query("g11_merge_graph_nodes", f"with {_NODES.format('relations', _MENTIONS)} select id, canonical_name, labels, mention_count, cast(epoch(first_seen) as bigint) as first_seen, cast(epoch(last_seen) as bigint) as last_seen, sources, len(sources) as n_sources from nodes", "relations")
+def _(s, d):
+    r, m = A.relations(s, d), mentions(s, d)
+    half = F.col("source").cast("long") % 2
+    merged = G.merge_nodes(G.build_nodes(m.limit(0), r.filter(half == 0), True), G.build_nodes(m, r.filter(half == 1), True))
+    return merged.withColumns({"first_seen": F.unix_timestamp("first_seen"), "last_seen": F.unix_timestamp("last_seen")})
 
 
-@query("g20_node_exists", "select s_name as name, true as exists from supplier union all select 'No ' || s_name, false from supplier", *_VIEWS)
+@query("g20_node_exists", f"with {_GRAPH} select name, lower(name) in (select id from nodes) as exists from (select s_name as name from supplier union all select 'No ' || s_name from supplier)", *_VIEWS)
 def _(s, d):
     names = A.table(s, d, "supplier").select(F.explode(F.array("s_name", F.concat(F.lit("No "), "s_name"))).alias("name"))
     return G.node_exists(graph(s, d)[0], names)
@@ -277,25 +336,34 @@ def _(s, d):
     return G.neighbors(graph(s, d)[1])
 
 
-@query("g25_shortest_path", f"""with recursive {A.with_views(f'with {_GRAPH} select 1', *_VIEWS)[5:].rsplit('select 1', 1)[0]}, ends as (select (select lower(min(s_name)) from supplier) as a, (select lower(max(p_type)) from part) as b),
-walk as (select a as id, [a] as path, 0 as length from ends union select distinct e.dst, list_append(path, e.dst), length + 1 from walk join (select distinct src, dst from edges) e on src = id where length < 3 and not list_contains(path, e.dst))
-select true as found, min(path) as path, cast(3 as int) as length from walk where id = (select b from ends) and length = 3""")
+def recursive(query, *views):
+    """``query``, a recursive common table expression, behind the graph's tables and the views that they read."""
+    return "with recursive " + A.with_views(f"with {_GRAPH}, {query}", *views)[5:]
+
+
+_ENDS = "(select lower(min(s_name)) from supplier)"
+
+
+@query("g25_shortest_path", recursive(f"""ends as (select {_ENDS} as a, (select lower(max(p_type)) from part) as b),
+walk as (select a as id, [a] as path, 0 as length from ends union select distinct e.dst, list_append(path, e.dst), length + 1 from walk join (select distinct src, dst from edges) e on src = id where not list_contains(path, e.dst)),
+best as (select path, length from walk where id = (select b from ends) order by length, path limit 1)
+select (select count(*) from best) > 0 as found, coalesce((select path from best), []) as path, cast(coalesce((select length from best), 0) as int) as length""", *_VIEWS))
 def _(s, d):
     a = A.table(s, d, "supplier").agg(F.min("s_name")).first()[0]
     b = A.table(s, d, "part").agg(F.max("p_type")).first()[0]
     return G.shortest_path(graph(s, d)[1], a, b)
 
 
-@query("g26_connected_components", None)
-def _(s, d):
-    n, e = graph(s, d)
-    return G.connected_components(n, e.filter("relation in ('located_in', 'part_of')"))
+#: Every node takes its neighbours' least label, twenty times over.
+_LABELS = "links as (select id, id as other from nodes union select src, dst from edges union select dst, src from edges), lp as (select id, id as c, 0 as k from nodes union all select l.id, min(lp.c), max(lp.k) + 1 from lp join links l on l.other = lp.id where lp.k < 20 group by l.id), comp as (select id, c as component from lp where k = 20)"
 
 
-SQL["g26_connected_components"] = A.with_views(f"with {_GRAPH}, region_of as (select lower(r_name) as rid, lower(n_name) as nid, lower(s_name) as sid from region join nation on r_regionkey = n_regionkey left join supplier on s_nationkey = n_nationkey), member as (select rid, rid as id from region_of union select rid, nid from region_of union select rid, sid from region_of where sid is not null), least_of as (select rid, min(id) as component from member group by 1) select n.id, coalesce(l.component, n.id) as component from nodes n left join member m using (id) left join least_of l using (rid)", *_VIEWS)
+@query("g26_connected_components", recursive(f"{_LABELS} select id, component from comp", *_VIEWS))
+def _(s, d):
+    return G.connected_components(*graph(s, d))
 
 
-@query("g27_graph_statistics", f"with {_GRAPH}, c as (select (select count(*) from nodes) as n, (select count(*) from edges) as m) select n as n_nodes, m as n_edges, round(m / (n * (n - 1)), 4) as density, 1 as n_components, true as connected, round(m / n, 4) as edges_per_node, (select list(id order by g desc, id) from (select id, count(*) as g from (select src as id from edges union all select dst from edges) group by 1 order by g desc, id limit 5)) as top from c", *_VIEWS)
+@query("g27_graph_statistics", recursive(f"{_LABELS}, c as (select (select count(*) from nodes) as n, (select count(*) from edges) as m, (select count(distinct component) from comp) as p) select n as n_nodes, m as n_edges, round(m / (n * (n - 1)), 4) as density, p as n_components, p = 1 as connected, round(m / n, 4) as edges_per_node, (select list(id order by g desc, id) from (select id, count(*) as g from (select src as id from edges union all select dst from edges) group by 1 order by g desc, id limit 5)) as top from c", *_VIEWS))
 def _(s, d):
     return G.graph_statistics(*graph(s, d))
 
@@ -314,14 +382,28 @@ def _(s, d):
     return G.node_importance(*graph(s, d))
 
 
-_CATALOG = "catalog as (select * from graph_relations where source = 'catalog'),\n" + _NODES.format("catalog") + ",\n" + _EDGES.format("catalog")
+@query("g29_node_importance_compat", f"with {_GRAPH}, {_DEG} select id, round(0.6::double * centrality + 0.4::double, 9) as importance from deg", *_VIEWS)
+def _(s, d):
+    return G.node_importance(*graph(s, d), compat=True)
 
 
-@query("g30_filtered_subgraph", f"""with {_CATALOG}, {_DEG}, {_IMP}, top as (select id, importance from imp order by importance desc, id limit 50), pairs as (select src, dst, max(confidence) as w from edges group by 1, 2)
-select src, dst, round(a.importance + b.importance + w, 6) as score from pairs join top a on a.id = src join top b on b.id = dst order by score desc, src, dst limit 100""", *_VIEWS)
+#: Nodes with real labels, their edges and importance, and what is shown of them.
+_SHOWN = f"""named as (select * from nodes where id in (select id from ({LABEL_SQL.format(key='id', source="select id, trim(regexp_replace(canonical_name, '\\s+', ' ', 'g')) as n from nodes")}) where ok)),
+inside as (select * from edges where src in (select id from named) and dst in (select id from named)),
+deg as (select n.id, n.mention_count, count(e.id) / (select count(*) - 1 from named) as centrality from named n left join (select src as id from inside union all select dst from inside) e on e.id = n.id group by all), {_IMP},
+top as (select id, importance from imp order by importance desc, id limit 50), pairs as (select src, dst, max(confidence) as w from edges group by 1, 2),
+shown as (select src, dst, round(a.importance + b.importance + w, 6) as score from pairs join top a on a.id = src join top b on b.id = dst order by score desc, src, dst limit 100),
+alone as (select * from top where id not in (select src from shown union select dst from shown) order by importance desc, id limit 5)"""
+
+
+@query("g30_filtered_subgraph", f"with {_GRAPH}, {_SHOWN} select src, dst, score from shown", *_VIEWS)
 def _(s, d):
-    r = A.graph_relations(s, d).filter("source = 'catalog'")
-    return G.filtered_subgraph(G.build_nodes(mentions(r), r), G.build_edges(r))[1]
+    return G.filtered_subgraph(*graph(s, d))[1]
+
+
+@query("g30_filtered_subgraph_nodes", f"with {_GRAPH}, {_SHOWN} select * from top where id in (select src from shown union select dst from shown) union all select * from alone", *_VIEWS)
+def _(s, d):
+    return G.filtered_subgraph(*graph(s, d))[0]
 
 
 @query("g31_node_type", "select event_id, case when event_type = 'view' then 'view' when event_id % 2 = 0 then 'even' else 'default' end as t from events")
@@ -330,55 +412,88 @@ def _(s, d):
     return A.table(s, d, "events").select("event_id", G.node_type(attributes).alias("t"))
 
 
-@query("g32_entity_pair_report", None)
+@query("g31_edge_label", "select event_id, case when event_id % 3 = 0 then event_type when event_id % 3 = 1 then 'odd one' else 'related_to' end as t from events")
+def _(s, d):
+    kind = F.col("event_id") % 3
+    attributes = F.create_map(F.lit("relation"), F.when(kind == 0, F.upper("event_type")).otherwise(" "), F.lit("predicate"), F.when(kind == 1, " Odd one"))
+    return A.table(s, d, "events").select("event_id", G.edge_label(attributes).alias("t"))
+
+
+_REPORTED = f"{_DEG}, {_IMP}, kind as (select id, lower(labels[1]) as type from nodes)"
+#: The second of the two suppliers: the first one in the nation of the first.
+_OTHER = f"(select lower(min(b.s_name)) from supplier a join supplier b using (s_nationkey) where lower(a.s_name) = {_ENDS} and a.s_suppkey <> b.s_suppkey)"
+
+
+@query("g32_entity_pair_report", recursive(f"""{_REPORTED}, pair as (select {_ENDS} as a, {_OTHER} as b), info as (select id, degree, importance, type from imp join kind using (id)), x as (select info.* from info, pair where id = a), y as (select info.* from info, pair where id = b),
+na as (select distinct dst from edges, pair where src = a), nb as (select distinct dst from edges, pair where src = b), reach as (select a as id from pair union select e.dst from reach join edges e on e.src = reach.id)
+select (select degree from x) as degree_a, (select importance from x) as importance_a, (select type from x) as type_a, (select degree from y) as degree_b, (select importance from y) as importance_b, (select type from y) as type_b, (select count(*) from nodes) as total_nodes,
+  coalesce((select list(dst order by dst)[1:10] from na join nb using (dst)), []) as shared, coalesce((select list(dst order by dst)[1:10] from na), []) as neighbors_a, coalesce((select list(dst order by dst)[1:10] from nb), []) as neighbors_b, (select list(id order by importance desc, id)[1:20] from imp) as top_entities, (select count(*) from edges) as total_edges,
+  coalesce(b in (select id from reach), false) as found, []::varchar[] as path, cast(0 as int) as length from pair""", *_VIEWS))
 def _(s, d):
-    names = [r.s_name for r in A.table(s, d, "supplier").orderBy("s_suppkey").limit(2).collect()]
-    return G.entity_pair_report(*graph(s, d), names[0], names[1])
+    t = A.table(s, d, "supplier")
+    first = t.agg(F.min(F.struct("s_name", "s_nationkey")).alias("x")).select("x.*").first()
+    other = t.filter((F.col("s_nationkey") == first.s_nationkey) & (F.col("s_name") != first.s_name)).agg(F.min("s_name")).first()[0]
+    return G.entity_pair_report(*graph(s, d), first.s_name, other or "nobody")
 
 
-@query("g33_neighbor_report", f"with {_GRAPH}, {_DEG}, {_IMP} select dst, relation, importance from edges join imp on id = dst where src = (select lower(min(s_name)) from supplier) order by importance desc, dst, relation limit 20", *_VIEWS)
+@query("g33_neighbor_report", f"with {_GRAPH}, {_REPORTED} select (select degree from deg where id = {_ENDS}) as degree, dst, type, relation, importance from edges join imp on imp.id = dst join kind on kind.id = dst where src = {_ENDS} order by importance desc, dst, relation limit 20", *_VIEWS)
 def _(s, d):
     return G.neighbor_report(*graph(s, d), A.table(s, d, "supplier").agg(F.min("s_name")).first()[0])
 
 
-@query("g34_cluster_report", None)
+@query("g34_cluster_report", f"{_LEADERS} select leader, count(*) as size from led where id is not null group by 1 having count(*) > 1", "store")
 def _(s, d):
     return G.cluster_report(V.cluster_leader(A.store(s, d), 0.3))
 
 
-@query("g35_semantic_node_search", _KNN.format(c="round(" + _C + ", 3)", w="q.id in (1, 2) and s.source_type = '4'", k=10).replace("round(round(", "round(round("), "store")
+@query("g35_semantic_node_search", f"select query, id, round(score, 3) as score, rank from ({_KNN.format(c=_C, w=chr(113) + '.id % 20 = 0 and s.source_type = ' + chr(39) + '4' + chr(39), k=10)})", "store")
 def _(s, d):
-    e = A.store(s, d)
-    found = V.vector_search(e, e.filter("id in (1, 2)").select(F.col("id").alias("query"), "vector"), 10, "4")
-    return found.withColumn("score", F.round("score", 3))
+    return V.vector_search(A.store(s, d), asked(A.store(s, d)), 10, "4").withColumn("score", F.round("score", 3))
 
 
-SQL["g35_semantic_node_search"] = A.with_views(f"select query, id, round(score, 3) as score, rank from ({_KNN.format(c=_C, w=chr(113) + '.id in (1, 2) and s.source_type = ' + chr(39) + '4' + chr(39), k=10)})", "store")
+_LABELLED = "canonical_name || ' (' || lower(labels[1]) || ')'"
 
 
-@query("g36_sync_embeddings", f"with {_GRAPH} select sha256(canonical_name || ' (node)') as source_id, canonical_name || ' (node)' as text from nodes where id not in (select lower(s_name) from supplier)", *_VIEWS)
+@query("g36_sync_embeddings", f"with {_GRAPH} select sha256({_LABELLED}) as source_id, {_LABELLED} as text from nodes where id not in (select lower(s_name) from supplier where s_suppkey % 2 = 0)", *_VIEWS)
 def _(s, d):
-    text = lambda c: F.concat(c, F.lit(" (node)"))
-    stored = A.table(s, d, "supplier").select(T.text_hash(text(F.col("s_name"))).alias("source_id"))
-    return G.sync_embeddings(graph(s, d)[0].select(text(F.col("canonical_name")).alias("text")), stored)
+    stored = A.table(s, d, "supplier").filter("s_suppkey % 2 = 0").select(T.text_hash(F.concat(F.upper("s_name"), F.lit(" (supplier)"))).alias("source_id"))
+    return G.sync_embeddings(G.label_texts(graph(s, d)[0]), stored)
 
 
-@query("g37_question_support", f"with {_GRAPH}, l as (select src as id, dst as n from edges union select dst, src from edges) select 1 as query, lower(n_name) as id, (select list_sort(list(distinct n)) from l where l.id = lower(n_name)) as neighbors from nation where n_nationkey < 5", *_VIEWS)
+@query("g36_sync_relation_embeddings", f"with {_GRAPH} select sha256(src || '|' || relation || '|' || dst) as source_id, src || ' ' || relation || ' ' || dst as text from edges where relation <> 'has_type'", *_VIEWS)
 def _(s, d):
-    hits = A.table(s, d, "nation").filter("n_nationkey < 5").select(F.lit(1).alias("query"), F.lower("n_name").alias("id"))
+    edges = graph(s, d)[1]
+    stored = edges.filter("relation = 'has_type'").select(T.text_hash(F.concat_ws("|", "src", "relation", "dst")).alias("source_id"))
+    return G.sync_embeddings(G.relation_texts(edges), stored)
+
+
+@query("g37_question_support", f"with {_GRAPH}, l as (select src as id, dst as n from edges union select dst, src from edges) select n_regionkey as query, lower(n_name) as id, (select list_sort(list(distinct n)) from l where l.id = lower(n_name)) as neighbors from nation", *_VIEWS)
+def _(s, d):
+    hits = A.table(s, d, "nation").select(F.col("n_regionkey").alias("query"), F.lower("n_name").alias("id"))
     return G.question_support(hits, graph(s, d)[1])
 
 
+def exported(s, d):
+    """The graph written as node-link files, and where."""
+    from evidex.sources import sinks
+
+    path = f"{G.shared_folder(s)}/graph-{uuid.uuid4().hex}"
+    sinks.export_graph_node_link(*graph(s, d), path)
+    return path
+
+
 @query("k06_export_graph_node_link", f"with {_GRAPH} select src as source, dst as target, relation as key, confidence, merge_count from edges", *_VIEWS)
 def _(s, d):
-    from evidex.sources import sinks
+    return s.read.schema("source string, target string, key string, confidence double, merge_count long").json(exported(s, d) + "/links")
 
-    return sinks.node_link(*graph(s, d))[1].select("source", "target", "key", "confidence", "merge_count")
+
+@query("k06_export_graph_nodes", f"with {_GRAPH} select id, canonical_name, labels, mention_count, len(sources) as n_sources from nodes", *_VIEWS)
+def _(s, d):
+    return s.read.schema("id string, canonical_name string, labels array<string>, mention_count long, n_sources long").json(exported(s, d) + "/nodes")
 
 
-@query("k07_graph_scalar_attributes", f"with {_NODES.format('relations')} select id, '[\"UNKNOWN\"]' as labels, mention_count from nodes", "relations")
+@query("k07_graph_scalar_attributes", f"with {_GRAPH} select id, '[' || list_aggregate(list_transform(labels, lambda x: '\"' || x || '\"'), 'string_agg', ',') || ']' as labels, mention_count from nodes", *_VIEWS)
 def _(s, d):
     from evidex.sources import sinks
 
-    r = A.relations(s, d)
-    return sinks.scalar_attributes(G.build_nodes(mentions(r), r)).select("id", "labels", "mention_count")
+    return sinks.scalar_attributes(graph(s, d)[0]).select("id", "labels", "mention_count")

@@ -21,7 +21,7 @@ def _t(name, columns, sql):
 
 _NORM = r"nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '')"
 _SENT = r"string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(31), 'g'), chr(31))"
-_FIRST = "substr(split_part(text, chr(10), 1), 1, 120)"
+_FIRST = "split_part(text, chr(10), 1)"
 
 
 def _list(words):
@@ -29,7 +29,17 @@ def _list(words):
 
 
 def first_line():
-    return F.substring(F.substring_index("text", "\n", 1), 1, 120)
+    return F.substring_index("text", "\n", 1)
+
+
+_TOKENS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+')"
+_DRUG = "(?i)^[A-Za-z]{3,}(mab|nib|prazole|statin|cillin|azole|olol|pril|sartan|vir|umab|ximab)$"
+#: Up to five surroundings of each disease, disease after disease.
+_NEAR = "flatten([" + ", ".join(rf"regexp_extract_all(text, '(?i)\b[A-Za-z0-9_\s]{{0,20}}{d}[A-Za-z0-9_\s]{{0,20}}\b')[1:5]" for d in T.DISEASES + T.DISEASES_MORE) + "])"
+
+
+def _named(kind, compat=False):
+    return F.coalesce(F.element_at(T.entities_context(F.col("text"), compat), kind), F.array().cast("array<string>"))
 
 
 PROJECTIONS = [
@@ -42,7 +52,8 @@ PROJECTIONS = [
         f"md5(coalesce(case when doc_id % 5 < 2 then '10.1/' || (doc_id // 2) end, substr(regexp_replace(lower({_FIRST}), '[^a-z0-9]', '', 'g'), 1, 120))) as uid, substr(regexp_replace(lower({_FIRST}), '[^a-z0-9]', '', 'g'), 1, 120) as k",
     ),
     _t("t07_truncate_text", {"t": lambda: T.truncate_text(F.col("text"), 80)}, "case when length(text) > 80 then substr(text, 1, 77) || '...' else text end as t"),
-    _t("t12_extract_entities_context", {"genes": lambda: F.coalesce(F.element_at(T.entities_context(F.col("text")), "genes"), F.array().cast("array<string>"))}, r"list_sort(list_distinct(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: length(x) >= 3 and regexp_matches(x, '^[A-Z][A-Z0-9]{1,7}[0-9]?$'))))[1:10] as genes"),
+    _t("t12_extract_entities_context", {k: (lambda k=k: _named(k)) for k in ("genes", "drugs", "diseases")}, f"list_sort(list_distinct(list_filter({_TOKENS}, lambda x: length(x) >= 3 and regexp_matches(x, '^[A-Z][A-Z0-9]{{1,7}}[0-9]?$'))))[1:10] as genes, list_sort(list_distinct(list_filter({_TOKENS}, lambda x: regexp_matches(x, '{_DRUG}'))))[1:10] as drugs, list_sort(list_distinct(list_transform({_NEAR}, lambda x: trim(x))))[1:10] as diseases"),
+    _t("t12_extract_entities_context_compat", {"drugs": lambda: _named("drugs", True)}, f"list_sort(list_distinct(list_transform(list_filter({_TOKENS}, lambda x: regexp_matches(x, '{_DRUG}')), lambda x: regexp_extract(x, '{_DRUG}', 1))))[1:10] as drugs"),
     _t("t13_split_sentences", {"n": lambda: F.size(T.split_sentences(F.col("text"))), "h": lambda: F.md5(F.array_join(T.split_sentences(F.col("text")), "|"))}, f"cast(len({_SENT}) as int) as n, md5(array_to_string({_SENT}, '|')) as h"),
     _t("t15_sentences_with_keywords", {"h": lambda: F.md5(T.sentences_with(F.col("text"), ("that", "from")))}, f"md5(array_to_string(list_filter({_SENT}, lambda s: contains(lower(s), 'that') or contains(lower(s), 'from')), ' ')) as h"),
     _t("t16_count_occurrences", {"n": lambda: T.count_occurrences(F.col("text"), "th")}, "cast((length(text) - length(replace(text, 'th', ''))) / 2 as int) as n"),
@@ -123,13 +134,13 @@ def _(s, d):
     return T.summaries(A.papers(s, d)).select("ord", F.md5("short_summary").alias("short"), F.md5("detailed_summary").alias("detailed"))
 
 
-_LABEL_SQL = rf"""select {{key}}, n <> '' and length(n) <= 50 and not regexp_matches(n, '<[^>]+>') and not regexp_matches(lower(n), '{T._STATISTIC}') and not regexp_matches(n, '^[0-9.\-+%,/]+$')
+LABEL_SQL = rf"""select {{key}}, n <> '' and length(n) <= 50 and not regexp_matches(n, '<[^>]+>') and not regexp_matches(lower(n), '{T._STATISTIC}') and not regexp_matches(n, '^[0-9.\-+%,/]+$')
   and regexp_matches(n, '[A-Za-z]') and not (words = 1 and (list_contains({_list(T.STOP_LABEL)}, bare) or length(bare) <= 2)) and words <= 6
   and length(regexp_replace(n, '[^\p{{{{L}}}}]', '', 'g')) >= greatest(2, length(n) * 0.4) as ok
 from (select *, len(string_split(n, ' ')) as words, regexp_replace(lower(n), '^[.,;:()\[\]]+|[.,;:()\[\]]+$', '', 'g') as bare from ({{source}}))"""
 
 
-@query("t17_is_meaningful_label", _LABEL_SQL.format(key="doc_id", source=rf"select doc_id, coalesce(nullif(trim(regexp_replace({_FIRST}, '\s+', ' ', 'g')), ''), '') as n from documents"))
+@query("t17_is_meaningful_label", LABEL_SQL.format(key="doc_id", source=rf"select doc_id, coalesce(nullif(trim(regexp_replace({_FIRST}, '\s+', ' ', 'g')), ''), '') as n from documents"))
 def _(s, d):
     return docs(s, d).select("doc_id", T.is_meaningful_label(first_line()).alias("ok"))
 
@@ -310,6 +321,11 @@ def _(s, d):
     return L.federated_union(L.split_by_source(A.papers(s, d)), ["pubmed", "crossref", "elsewhere"])[1]
 
 
+@query("s11_federated_union_rows", "select ord, title, year, source from papers where source in ('pubmed', 'crossref')", "papers")
+def _(s, d):
+    return L.federated_union(L.split_by_source(A.papers(s, d)), ["pubmed", "crossref", "elsewhere"])[0].select("ord", "title", "year", "source")
+
+
 @query("s02_scan_pmc_ids", "select doc_id as ord, 'PMC Article ' || doc_id as title, cast(doc_id as varchar) as pmcid, true as is_open_access, 'https://www.ncbi.nlm.nih.gov/pmc/articles/' || doc_id || '/' as url from documents")
 def _(s, d):
     from evidex.sources import papers as P

@@ -32,17 +32,20 @@ def _any(text, words):
 
 
 def lines(s, d):
-    return A.table(s, d, "documents").select("doc_id", F.substring(F.substring_index("text", "\n", 1), 1, 120).alias("q"))
+    return A.table(s, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("q"))
 
 
-_LINES = "lines as (select doc_id, substr(split_part(text, chr(10), 1), 1, 120) as q from documents)"
+_LINES = "lines as (select doc_id, split_part(text, chr(10), 1) as q from documents)"
 _TOKS = "regexp_extract_all(trim(q), '[A-Za-z0-9]+')"
 _BIO = f"({_any('lower(trim(q))', Q.HINTS)} or coalesce(list_bool_or(list_transform({_TOKS}, lambda t: regexp_matches(t, '^[A-Z0-9]{{2,8}}$'))), false) or len({_TOKS}) <= 6)"
 
 
-@query("q01_validate_query", f"""with {_LINES}, m as (select doc_id, q, case when trim(q) = '' then 'The query is empty.' when length(trim(q)) < 3 and not regexp_matches(trim(q), '^[A-Z0-9]{{2,10}}$') then 'The query is too short.'
-  when regexp_matches(trim(q), '^[0-9]+$') then 'The query is only a number.' when not regexp_matches(trim(q), '[a-zA-Z]') then 'The query has no letter.' when length(regexp_replace(q, '[^a-zA-Z]', '', 'g')) < 2 then 'The query is no search term.'
-  when length(regexp_replace(q, '[^a-zA-Z]', '', 'g')) >= 6 and not regexp_matches(q, '[aeiouAEIOU]') then 'The query looks misspelt.' else '' end as message from lines)
+_SAY = {k: "'" + m.format(least=3).replace("'", "''") + "'" for k, m in Q.MESSAGES.items()}
+
+
+@query("q01_validate_query", f"""with {_LINES}, m as (select doc_id, q, case when q is null then {_SAY['null']} when trim(q) = '' then {_SAY['empty']} when length(trim(q)) < 3 and not regexp_matches(trim(q), '^[A-Z0-9]{{2,10}}$') then {_SAY['short']}
+  when regexp_matches(trim(q), '^[0-9]+$') then {_SAY['number']} when not regexp_matches(trim(q), '[a-zA-Z]') then {_SAY['letterless']} when length(regexp_replace(q, '[^a-zA-Z]', '', 'g')) < 2 then {_SAY['no term']}
+  when length(regexp_replace(q, '[^a-zA-Z]', '', 'g')) >= 6 and not regexp_matches(q, '[aeiouAEIOU]') then {_SAY['typo']} else '' end as message from lines)
 select doc_id, message = '' as is_valid, message, case when message = '' then {_BIO} else true end as looks_biomedical from m""")
 def _(s, d):
     return lines(s, d).select("doc_id", *Q.validate_query(F.col("q")))
@@ -72,10 +75,10 @@ def _(s, d):
 
 
 def turns(s, d):
-    return A.table(s, d, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.substring("text", 1, 60).alias("q"))
+    return A.table(s, d, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("q"))
 
 
-_TURNS = "turns as (select conv_id * 1000 + turn as id, substr(text, 1, 60) as q from conversations where role = 'user')"
+_TURNS = "turns as (select conv_id * 1000 + turn as id, text as q from conversations where role = 'user')"
 
 
 def _intent(i):
@@ -106,15 +109,15 @@ def _(s, d):
 
 def runs(s, d):
     e = A.store(s, d)
-    own = e.filter("id < 20").select(F.col("id").alias("query"), "vector")
+    own = e.filter("id % 20 = 0").select(F.col("id").alias("query"), "vector")
     found = V.vector_search(e, own, 10).select("query", F.col("id").alias("item"), "rank")
     label = e.select("id", "source_type")
-    rel = label.toDF("query", "t").filter("query < 20").join(label.toDF("item", "t"), "t").filter("query <> item").select("query", "item")
+    rel = label.toDF("query", "t").filter("query % 20 = 0").join(label.toDF("item", "t"), "t").filter("query <> item").select("query", "item")
     return found, rel
 
 
-_RUNS = """runs as (select q.id as query, s.id as item, row_number() over (partition by q.id order by round(list_cosine_similarity(q.vector, s.vector), 9) desc, s.id) as rank from store q, store s where q.id < 20 and q.id <> s.id qualify rank <= 10),
-qrels as (select q.id as query, s.id as item from store q join store s on q.source_type = s.source_type and q.id <> s.id where q.id < 20),
+_RUNS = """runs as (select q.id as query, s.id as item, row_number() over (partition by q.id order by round(list_cosine_similarity(q.vector, s.vector), 9) desc, s.id) as rank from store q, store s where q.id % 20 = 0 and q.id <> s.id qualify rank <= 10),
+qrels as (select q.id as query, s.id as item from store q join store s on q.source_type = s.source_type and q.id <> s.id where q.id % 20 = 0),
 hits as (select r.*, q.item is not null as hit from runs r left join qrels q using (query, item)), rel as (select query, count(*) as n_rel from qrels group by 1)"""
 
 
@@ -193,6 +196,11 @@ def _(s, d):
     return M.retain_last_n(A.messages(s, d), 4)[1]
 
 
+@query("w02_retain_last_n_rows", "select id, role from messages qualify row_number() over (partition by conversation_id order by created_at desc, id desc) <= 4", "messages")
+def _(s, d):
+    return M.retain_last_n(A.messages(s, d), 4)[0].select("id", "role")
+
+
 @query("w03_prune_expired", "select id from messages where created_at >= timestamp '2024-01-03 00:00:00' - to_seconds(90000)", "messages")
 def _(s, d):
     return M.prune_expired(A.messages(s, d), 90000, F.to_timestamp(F.lit("2024-01-03 00:00:00"))).select("id")
@@ -224,14 +232,11 @@ def _(s, d):
     return M.list_conversations(M.sessions_of(A.messages(s, d)), 10, 20).select("conversation_id", "n_messages")
 
 
-@query("w07_conversation_summary", "select conversation_id, count(*) filter (role = 'user') as n_user, count(*) filter (role = 'assistant') as n_assistant, count(*) as n, cast(epoch(min(created_at)) as bigint) as first_at, cast(epoch(max(created_at)) as bigint) as last_at, case when length(f) > 50 then substr(f, 1, 50) || '...' else coalesce(f, '') end as title from (select *, first(content order by created_at, id) filter (role = 'user') over (partition by conversation_id) as f from messages) group by conversation_id, f", "messages")
+@query("w07_conversation_summary", "with f as (select conversation_id, arg_min(content, (created_at, id)) as f from messages where role = 'user' group by 1) select m.conversation_id, count(*) filter (role = 'user') as n_user, count(*) filter (role = 'assistant') as n_assistant, count(*) as n, cast(epoch(min(created_at)) as bigint) as first_at, cast(epoch(max(created_at)) as bigint) as last_at, any_value(case when length(f) > 50 then substr(f, 1, 50) || '...' else coalesce(f, '') end) as title from messages m left join f using (conversation_id) group by m.conversation_id", "messages")
 def _(s, d):
     return M.conversation_summary(A.messages(s, d)).withColumns({"first_at": F.unix_timestamp("first_at"), "last_at": F.unix_timestamp("last_at")})
 
 
-SQL["w07_conversation_summary"] = A.with_views("with f as (select conversation_id, arg_min(content, (created_at, id)) as f from messages where role = 'user' group by 1) select m.conversation_id, count(*) filter (role = 'user') as n_user, count(*) filter (role = 'assistant') as n_assistant, count(*) as n, cast(epoch(min(created_at)) as bigint) as first_at, cast(epoch(max(created_at)) as bigint) as last_at, any_value(case when length(f) > 50 then substr(f, 1, 50) || '...' else coalesce(f, '') end) as title from messages m left join f using (conversation_id) group by m.conversation_id", "messages")
-
-
 @query("w08_conversation_stats", f"with {_SESS} select count(*) as n_conversations, cast(sum(n_messages) as bigint) as n_messages, round(avg(n_messages), 6) as mean_messages from sess", "messages")
 def _(s, d):
     return M.conversation_stats(M.sessions_of(A.messages(s, d)))
@@ -247,6 +252,11 @@ def _(s, d):
     return M.render_transcript(A.messages(s, d)).select("conversation_id", F.md5("transcript").alias("h"))
 
 
+@query("w10_render_last_turns", "select conversation_id, string_agg('[' || upper(role) || '] ' || substr(content, 1, 100), chr(10) order by created_at, id) as transcript from (select * from messages qualify row_number() over (partition by conversation_id order by created_at desc, id desc) <= 4) group by 1", "messages")
+def _(s, d):
+    return M.render_transcript(A.messages(s, d), last_turns=2)
+
+
 @query("w11_user_limits", "select user_id, count(*) as n from events group by 1 having count(*) >= 70")
 def _(s, d):
     return M.user_limits(A.table(s, d, "events"), "user_id", 70)
@@ -326,11 +336,3 @@ def _(s, d):
     from evidex.sources import sinks
 
     return _exported(s, d, sinks.export_json, lambda p: s.read.schema("ord long, title string, authors array<string>, doi string, year int").json(p))
-
-
-@query("s08_scan_preprint_match", "select doc_id, title from (select doc_id, substr(split_part(text, chr(10), 1), 1, 120) as title, text, date '2024-01-01' + cast(doc_id % 400 as int) as dt from documents) where dt between date '2024-12-01' - 180 and date '2024-12-01' and (contains(lower(title || ' ' || text), 'thand') or contains(lower(title || ' ' || text), 'quell'))")
-def _(s, d):
-    from evidex.sources.papers import preprint_match
-
-    rows = A.table(s, d, "documents").select("doc_id", F.substring(F.substring_index("text", "\n", 1), 1, 120).alias("title"), F.col("text").alias("abstract"), F.expr("date_add(date'2024-01-01', cast(doc_id % 400 as int))").alias("date"))
-    return preprint_match(rows, "thand quell", "2024-12-01").select("doc_id", "title")

@@ -42,10 +42,12 @@ def named(**fields: Column | str) -> Column:
 
 
 _NUMBER = "case when ord % 10 = 0 then 'n.d.' else cast(year as string) end"
+#: Authors of two names or more come back as the first two.
+_PEOPLE = "list_transform(authors, lambda a: split_part(a, ' ', 1) || ' ' || split_part(a, ' ', 2)) as authors"
 _TITLE = "coalesce(nullif(trim(title), ''), '(untitled)') as title"
 
 
-@query("s01_scan_pubmed_xml", f"select cast(ord as varchar) as pmid, {_TITLE}, case when ord % 10 <> 0 then year end as year, doi, pmcid, authors, publication_type || ', Article' as publication_type, pmcid is not null as is_open_access, keywords as mesh_terms from papers", "papers")
+@query("s01_scan_pubmed_xml", f"select cast(ord as varchar) as pmid, {_TITLE}, case when ord % 10 <> 0 then year end as year, doi, pmcid, {_PEOPLE}, publication_type || ', Article' as publication_type, pmcid is not null as is_open_access, keywords as mesh_terms from papers", "papers")
 def _(s, d):
     p = A.papers(s, d)
     ids = F.array_compact(F.array(F.when(F.col("doi").isNotNull(), named(_VALUE="doi", _IdType=F.lit("doi"))), F.when(F.col("pmcid").isNotNull(), named(_VALUE="pmcid", _IdType=F.lit("pmc")))))
@@ -60,9 +62,6 @@ def _(s, d):
     return P.scan_pubmed_xml(s, path).select("pmid", "title", "year", "doi", "pmcid", "authors", "publication_type", "is_open_access", "mesh_terms")
 
 
-SQL["s01_scan_pubmed_xml"] = SQL["s01_scan_pubmed_xml"].replace(" authors, publication_type ||", " list_transform(authors, lambda a: split_part(a, ' ', 1) || ' ' || split_part(a, ' ', 2)) as authors, publication_type ||")
-
-
 @query("s03_scan_europepmc_json", f"select doi, pmid, {_TITLE}, authors, case when ord % 10 <> 0 then year end as year, citation_count, is_open_access, abstract from papers", "papers")
 def _(s, d):
     item = named(title="title", authorString=F.concat(F.array_join("authors", ", "), F.lit(", ")), pubYear=F.expr(_NUMBER), doi="doi", pmid="pmid", citedByCount=F.col("citation_count").cast("string"), isOpenAccess=F.when(F.col("is_open_access"), "Y").otherwise("N"), abstractText="abstract")
@@ -70,7 +69,7 @@ def _(s, d):
     return P.scan_europepmc_json(s, path).select("doi", "pmid", "title", "authors", "year", "citation_count", "is_open_access", "abstract")
 
 
-@query("s04_scan_crossref_json", "select doi, 'Part ' || ord as title, authors, year, journal, citation_count, reference_count from papers", "papers")
+@query("s04_scan_crossref_json", "select doi, 'Part ' || ord as title, " + _PEOPLE + ", year, journal, citation_count, reference_count from papers", "papers")
 def _(s, d):
     people = F.transform("authors", lambda a: F.struct(F.substring_index(a, " ", 1).alias("given"), F.substring_index(a, " ", -1).alias("family")))
     date = named(**{"date__parts": F.array(F.array("year"))})
@@ -82,9 +81,6 @@ def _(s, d):
     return P.scan_crossref_json(s, path).select("doi", "title", "authors", "year", "journal", "citation_count", "reference_count")
 
 
-SQL["s04_scan_crossref_json"] = SQL["s04_scan_crossref_json"].replace(" as title, authors,", " as title, list_transform(authors, lambda a: split_part(a, ' ', 1) || ' ' || split_part(a, ' ', 2)) as authors,")
-
-
 @query("s05_scan_semantic_scholar_json", f"select doi, pmid, {_TITLE}, year, citation_count, influential_citations, reference_count, keywords, pdf_url from papers", "papers")
 def _(s, d):
     item = named(title="title", year="year", externalIds=named(DOI="doi", PubMed="pmid"), citationCount="citation_count", influentialCitationCount="influential_citations", referenceCount="reference_count", fieldsOfStudy="keywords", openAccessPdf=F.when(F.col("pdf_url").isNotNull(), named(url="pdf_url")))
@@ -109,6 +105,14 @@ def _(s, d):
     return P.scan_doaj_json(s, path).select("doi", "title", "year", "journal", "keywords", "url", "is_open_access")
 
 
+@query("s08_scan_preprint_json", f"select {_TITLE}, abstract, authors, cast(year(dt) as int) as year, doi, keywords from (select *, date '2024-01-01' + cast(ord % 400 as int) as dt from papers) where dt between date '2024-12-01' - 180 and date '2024-12-01' and (contains(lower(title || ' ' || abstract), 'thand') or contains(lower(title || ' ' || abstract), 'quell'))", "papers")
+def _(s, d):
+    date = F.date_format(F.expr("date_add(date'2024-01-01', cast(ord % 400 as int))"), "yyyy-MM-dd")
+    item = named(title="title", abstract="abstract", date=date, authors=F.array_join("authors", "; "), doi="doi", category=F.element_at("keywords", 1))
+    path = land(A.papers(s, d), "ord", item, lambda x: named(collection=x))
+    return P.scan_preprint_json(s, path, "biorxiv", "thand quell", "2024-12-01").select("title", "abstract", "authors", "year", "doi", "keywords")
+
+
 @query("s09_scan_compound_properties_json", "select compound_id, mw as \"MolecularWeight\", case when compound_id % 5 <> 0 then logp end as \"XLogP\", hbd as \"HBondDonorCount\", coalesce(nullif(case when compound_id % 3 > 0 then name end, ''), 'N/A') as \"IUPACName\", cast(least(compound_id % 30, 20) as int) as n_synonyms, case when compound_id % 4 = 0 then 'No description available.' else brand end as description from compounds", "compounds")
 def _(s, d):
     synonyms = F.when(F.col("compound_id") % 30 > 0, F.transform(F.sequence(F.lit(1), (F.col("compound_id") % 30).cast("int")), lambda i: i.cast("string")))

@@ -1,8 +1,8 @@
 """Structured Streaming forms: deduplication, sessions, keyed histories, table upserts and window metrics.
 
 Streams carry event time ``ts`` (a timestamp) and a watermark that bounds their state. Table upserts
-go through ``foreachBatch`` with the batch id in the path or key, so a batch that runs again writes
-the same rows.
+go through ``foreachBatch`` into buckets of a hash of their keys, with the batch id in the path: a batch
+rewrites the buckets that it touches, and one that runs again writes the same rows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from evidex.operators.graph import shared_folder
 
 def file_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The files of a table as a stream, with ``ts`` cast to a timestamp."""
-    path = f"{sf_dir}/{table}*"
+    path = f"{sf_dir}/{table}.[p]arquet"  # a glob of this one name
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
     rows = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path)
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
@@ -79,39 +79,92 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def upsert(stream: DataFrame, step: Callable[[DataFrame | None, DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """Fold a stream into a table: ``step(table or None, batch)`` gives the next version.
+def run_complete(stream: DataFrame) -> DataFrame:
+    """Drain a stream of aggregates, open windows too: each batch writes all of them, and the last table is read."""
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/complete-{uuid.uuid4().hex}"
+    last = {}
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.parquet(f"{path}/v{batch_id}", mode="overwrite")
+        delete(batch.sparkSession, f"{path}/v{batch_id - 2}")
+        last["version"] = batch_id
+
+    q = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/v{last['version']}") if last else spark.createDataFrame([], stream.schema)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
-    Each version is its own folder named by the batch, so a repeated batch starts from the version
-    before it and replaces its own.
+
+def upsert(stream: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], keys: list[str], prepare: Callable[[DataFrame], DataFrame] | None = None, mode: str = "append", buckets: int = 16, path: str | None = None, **trigger) -> DataFrame:
+    """Fold a stream into a table of rows by ``keys``, and read it.
+
+    ``prepare`` turns a batch into the table's rows, each key once; ``merge(held, new)`` joins them with
+    the rows of the same buckets. Rows are in one of ``buckets`` by a hash of their keys. A batch reads
+    and rewrites only the buckets of its rows, in a folder of its own, and then writes which folder
+    holds each bucket; a batch that runs again starts from the list before it. Buckets that the last
+    list but one no longer names are deleted. A ``path`` from before is gone on with. ``trigger`` is
+    availableNow unless given; state with expiry never runs out of batches and needs another.
     """
     spark = stream.sparkSession
-    path = f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}"
+    path = path or f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}"
+    trigger = trigger or {"availableNow": True}
     last = {"version": -1}
 
+    def listed(session: SparkSession, version: int) -> dict[int, int]:
+        return {} if version < 0 else {r.bucket: r.version for r in session.read.schema("bucket int, version long").json(f"{path}/list/v{version}").collect()}
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        before = batch.sparkSession.read.parquet(f"{path}/v{batch_id - 1}") if batch_id > 0 else None
-        step(before, batch).write.parquet(f"{path}/v{batch_id}", mode="overwrite")
+        session = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        fresh = (prepare(batch) if prepare else batch).withColumn("bucket", bucket).persist()
+        try:
+            before = listed(session, batch_id - 1)
+            touched = {r.bucket for r in fresh.select("bucket").distinct().collect()}  # ``buckets`` rows at most
+            old = [f"{path}/v{before[b]}/bucket={b}" for b in sorted(touched & before.keys())]
+            rows = merge(session.read.parquet(*old), fresh.drop("bucket")).withColumn("bucket", bucket) if old else fresh
+            rows.write.partitionBy("bucket").parquet(f"{path}/v{batch_id}", mode="overwrite")
+            now = before | dict.fromkeys(touched, batch_id)
+            session.createDataFrame(list(now.items()), "bucket int, version long").coalesce(1).write.json(f"{path}/list/v{batch_id}", mode="overwrite")
+            for b, version in listed(session, batch_id - 2).items():
+                if before.get(b) != version:
+                    delete(session, f"{path}/v{version}/bucket={b}")
+        finally:
+            fresh.unpersist()
         last["version"] = batch_id
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(**trigger).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{path}/v{last['version']}")
+    paths = [f"{path}/v{version}/bucket={b}" for b, version in sorted(listed(spark, last["version"]).items())]
+    if paths:
+        return spark.read.parquet(*paths)
+    none = spark.createDataFrame([], stream.schema)
+    return prepare(none) if prepare else none
+
+
+def merge_graph(held: DataFrame, new: DataFrame) -> DataFrame:
+    """Edge tables as one; a source list would grow without bound, so edges carry none."""
+    from evidex.operators import graph as G
+
+    return G.merge_edges(held, new)
 
 
-def graph_step(table: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Merge a batch of relations into the edge table."""
+def graph_rows(batch: DataFrame) -> DataFrame:
+    """The edges of a batch of relations."""
     from evidex.operators import graph as G
 
-    edges = G.build_edges(batch).drop("n_sources")
-    return edges if table is None else G.merge_edges(table, edges)
+    return G.build_edges(batch).drop("n_sources")
 
 
-def new_only_step(key: str) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
-    """Append rows whose key the table lacks; of equal keys in a batch one is kept."""
+def new_only(keys: list[str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """Held rows, and new ones whose key is not among them."""
+    return lambda held, new: held.unionByName(new.join(held.select(*keys), keys, "left_anti"))
 
-    def step(table: DataFrame | None, batch: DataFrame) -> DataFrame:
-        rows = batch.dropDuplicates([key])
-        return rows if table is None else table.unionByName(rows.join(table.select(key), key, "left_anti"))
 
-    return step
+def replace(keys: list[str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """New rows, and held ones whose key is not among them."""
+    return lambda held, new: new.unionByName(held.join(new.select(*keys), keys, "left_anti"))

@@ -83,9 +83,9 @@ def test_pareto_with_gaps_matches_brute_force(spark):
 
 
 def test_percentile_interpolates(spark):
-    df = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 4)], "v double")
-    assert df.agg(M.percentile("v", 50)).first()[0] == 2.5
-    assert df.filter("v > 9").agg(M.percentile("v", 50)).first()[0] == 0.0
+    rows = [("a", float(v)) for v in (1, 2, 3, 4)] + [("b", None), ("c", 7.0), ("c", 7.0), ("c", 9.0)]
+    got = M.percentiles(spark.createDataFrame(rows, "g string, v double").repartition(3), "g", "v", {"mid": 50, "high": 95}).collect()
+    assert {r.g: (r.mid, round(r.high, 9)) for r in got} == {"a": (2.5, 3.85), "b": (0.0, 0.0), "c": (7.0, 8.8)}
 
 
 def test_similarity_join_matches_all_pairs(spark):
@@ -112,8 +112,72 @@ def test_graph_merges_surface_forms(spark):
     assert (e.src, e.dst, e.relation, e.confidence, e.merge_count, e.source) == ("aspirin", "cox-1", "inhibit", 0.95, 2, "p2")
     s = G.build_summary(rel).first()
     assert (s.relations_added, s.relations_skipped) == (2, 1)
-    a, b = G.build_edges(rel.filter("source = 'p1'")).drop("n_sources"), G.build_edges(rel.filter("source = 'p2'")).drop("n_sources")
-    assert G.merge_edges(a, b).first().confidence == 0.95
+    a, b = (G.build_edges(rel.filter(f"source = '{p}'"), lists=True) for p in ("p1", "p2"))
+    e = G.merge_edges(a, b).first()
+    assert (e.confidence, e.all_sources, e.n_sources) == (0.95, ["p1", "p2"], 2)
+    assert "n_sources" not in G.merge_edges(a.drop("all_sources"), b).columns
+    assert {tuple(r) for r in G.edge_sources(rel).collect()} == {("aspirin", "cox-1", "inhibit", "p1"), ("aspirin", "cox-1", "inhibit", "p2")}
+
+
+def test_graph_merges_nodes(spark):
+    rows = [("ASPIRIN", "DRUG", "p1", "2024-01-02"), (" aspirin", "CHEMICAL", "p2", "2024-01-01"), ("aspirin", "DRUG", "p2", "2024-01-03"), ("pain", "SYMPTOM", "p3", "2024-01-01"), (" ", "X", "p3", "2024-01-01")]
+    m = spark.createDataFrame(rows, "text string, label string, source string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    none = spark.createDataFrame([], "subject string, object string, source string, ts timestamp")
+    whole = G.build_nodes(m, none, lists=True)
+    parts = [G.build_nodes(m.filter(c), none, lists=True) for c in ("ts = '2024-01-02'", "ts <> '2024-01-02'")]
+    rows_of = lambda df: sorted(tuple(r) for r in df.select(*whole.columns).collect())
+    assert rows_of(G.merge_nodes(*parts)) == rows_of(whole)
+    (a,) = [r for r in whole.collect() if r.id == "aspirin"]
+    assert (a.canonical_name, a.labels, a.mention_count, a.sources, a.n_sources) == (" aspirin", ["CHEMICAL", "DRUG"], 3, ["p1", "p2"], 2)
+    assert {tuple(r) for r in G.node_sources(m, none).collect()} == {("aspirin", "p1"), ("aspirin", "p2"), ("pain", "p3")}
+
+
+def test_mentions_of_rows_with_one_key(spark):
+    docs = spark.createDataFrame([(1, "Beta, gamma alpha"), (1, "gamma alpha"), (2, None), (2, "Alpha--beta ALPHA")], "id int, t string")
+    patterns = spark.createDataFrame([("A", "alpha"), ("B", "Alpha  Beta"), ("C", "...")], "label string, pattern string")
+    got = sorted(tuple(r) for r in G.extract_mentions(docs, "id", "t", patterns).collect())
+    assert got == [(1, "A", "alpha", 6, 11), (1, "A", "alpha", 12, 17), (2, "A", "alpha", 0, 5), (2, "A", "alpha", 12, 17), (2, "B", "alpha beta", 0, 11)]
+    assert "Exchange hashpartitioning(key" not in G.extract_mentions(docs, "id", "t", patterns)._jdf.queryExecution().toString()
+
+
+def test_keywords_of_rows_with_one_key(spark):
+    import collections
+    import random
+    import re
+
+    rng = random.Random(3)
+    texts = [None, "", "the and", "zeta zeta beta beta gamma"] + [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zetas", "theta"]) for _ in range(rng.randrange(1, 40))) for _ in range(40)]
+    rows = [(k % 3, t) for k, t in enumerate(texts)]
+    got = collections.Counter((r.id, tuple(r.keywords)) for r in T.extract_keywords_4(spark.createDataFrame(rows, "id int, t string"), "id", "t", 3).collect())
+    words = [(k, [w for w in re.findall("[a-zA-Z]{4,}", (t or "").lower()) if w not in T.STOP_4]) for k, t in rows]
+    assert got == collections.Counter((k, tuple(w for w, _ in collections.Counter(ws).most_common(3))) for k, ws in words if ws)
+
+
+def test_overlap_search_matches_sets(spark):
+    import random
+
+    from evidex.operators import blocks
+
+    rng = random.Random(5)
+    sets = {k: set(rng.sample(range(30), rng.randrange(0, 12))) | ({99} if k % 2 else set()) for k in range(70)}
+    rows = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "id long, keys array<long>").repartition(5)
+    asked = rows.filter("id % 3 = 0").withColumnRenamed("id", "query")
+    for measure in ("count", "tanimoto"):
+        value = lambda a, b: float(len(a & b)) if measure == "count" else len(a & b) / len(a | b)  # noqa: E731, B023
+        wanted = {q: sorted(((-value(sets[q], s), k) for k, s in sets.items() if k != q and sets[q] & s)) for q in sets if q % 3 == 0}
+        got = {(r.query, r.rank): (-r.score, r.id) for r in blocks.overlap_search(asked, rows, 4, measure, query_rows=7).collect()}
+        assert got == {(q, k + 1): x for q, xs in wanted.items() for k, x in enumerate(xs[:4])}
+        every = {(r.query, r.id): r.score for r in blocks.overlap_search(asked, rows, None, measure, 0.3 if measure == "tanimoto" else 2).collect()}
+        assert every == {(q, k): -s for q, xs in wanted.items() for s, k in xs if -s >= (0.3 if measure == "tanimoto" else 2)}
+
+
+def test_ranks_without_a_limit(spark):
+    from evidex.operators import repurposing as R
+
+    c = spark.createDataFrame([(k, (k * 7 % 13) / 13) for k in range(40)], "compound_id long, graph double").repartition(6)
+    a = {r.compound_id: r.rank for r in R.repurposing_candidates(c, {"graph": c}).collect()}
+    b = {r.compound_id: r.rank for r in R.repurposing_candidates(c, {"graph": c}, top=40).collect()}
+    assert a == b and sorted(a.values()) == list(range(1, 41))
 
 
 def edges(spark, *pairs):
@@ -233,5 +297,69 @@ def test_session_stream_returns_the_tail(spark, sf):
 
     rows = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     got = q_streams.QUERIES["x02_stream_session_windows"](spark, sf)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, X.session_windows(rows, "user_id").collect()))
+    batch = X.session_windows(rows, "user_id").select("user_id", F.unix_micros("start"), F.unix_micros("end"), "n")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
     assert got.agg(F.sum("n")).first()[0] == rows.count()
+
+
+def event_files(spark, folder, n):
+    """``n`` files of ten events of two users, in order."""
+    for k in range(n):
+        rows = spark.range(10).selectExpr(f"id + {10 * k} as event_id", "id % 2 as user_id", f"timestamp_seconds({1000 * k} + id) as ts")
+        rows.coalesce(1).write.parquet(folder, mode="append")
+    return spark.readStream.schema("event_id long, user_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@pytest.fixture
+def rocksdb(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("ttl,kept", [(0, 8), (1, 5)])
+def test_last_n_forgets_what_is_too_old(spark, rocksdb, tmp_path, ttl, kept):
+    import time
+
+    from evidex.streaming import streams as X
+
+    for n in (2, 1):
+        stream = event_files(spark, str(tmp_path / "in"), n)
+        got = X.upsert(X.last_n(stream, "user_id", "event_id", 8, ttl), X.replace(["key"]), ["key"], mode="update", path=str(tmp_path / "out"), once=True)
+        time.sleep(0.1)
+    assert {(r.key, r.kept) for r in got.collect()} == {(0, kept), (1, kept)}
+
+
+def test_upserts_by_bucket(spark, tmp_path):
+    from evidex.streaming import streams as X
+
+    stream = event_files(spark, str(tmp_path / "in"), 5).selectExpr("event_id % 17 as id", "event_id as at")
+    first = X.upsert(stream, X.new_only(["id"]), ["id"], lambda b: b.groupBy("id").agg(F.min("at").alias("at")), buckets=4)
+    assert {(r.id, r.at) for r in first.collect()} == {(k, k) for k in range(17)}
+    last = X.upsert(stream, X.replace(["id"]), ["id"], lambda b: b.groupBy("id").agg(F.max("at").alias("at")), buckets=4)
+    assert {(r.id, r.at) for r in last.collect()} == {(k % 17, k) for k in range(33, 50)}
+
+
+def test_exact_glob_of_a_stream(spark, tmp_path):
+    from evidex.streaming import streams as X
+
+    for name in ("events", "events_old"):
+        spark.range(3).selectExpr("id as event_id").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert X.run_to_end(X.file_stream(spark, str(tmp_path), "events")).count() == 3
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    class Conf:
+        get = staticmethod(lambda name, default=None: default)
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(RuntimeError):
+        G.shared_folder(Session)
