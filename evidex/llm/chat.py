@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.common import let, without
+from evidex.llm.common import let
 
 TURN, END = "<|turn|>", "<|end|>\n"
 
@@ -130,18 +130,34 @@ def format_chats(messages: DataFrame, train_role: str = "assistant") -> DataFram
     return chats.select("conv_id", "n_turns", formatted.alias("formatted"), spans.alias("turns"), "attachments", tokens.alias("n_attachment_tokens"))
 
 
+#: A placeholder in an escaped text, where nothing else begins "<|".
+_PLACEHOLDER = r"<\|([A-Za-z0-9_]+:[0-9]+)\|>"
+
+
 def read_chats(chats: DataFrame) -> DataFrame:
-    """What ``formatted`` and its mask hold: conv_id, roles, texts (unescaped, with placeholders), loss_text."""
+    """What ``formatted`` and its mask hold: conv_id, roles, texts (unescaped, with placeholders), bare_texts
+    (without them), placeholders ("kind:ordinal", in order) and loss_text."""
     ended = F.split("formatted", r"<\|end\|>\n")
     turns = F.slice(ended, 1, F.size(ended) - 1)
-    rows = chats.select("conv_id", "formatted", F.zip_with(turns, F.col("turns"), lambda t, s: F.struct(t.alias("t"), s.alias("s"))).alias("z"))
+    rows = chats.select("*", F.zip_with(turns, F.col("turns"), lambda t, s: F.struct(t.alias("t"), s.alias("s"))).alias("z"))
     head = lambda t: F.substring_index(t, "\n", 1)
     roles = F.transform("z", lambda z: unescape_role(head(z["t"]).substr(F.lit(len(TURN) + 1), F.length(head(z["t"])))))
-    texts = F.transform("z", lambda z: unescape(z["t"].substr(F.length(head(z["t"])) + 2, F.length(z["t"]))))
+    body = lambda z: z["t"].substr(F.length(head(z["t"])) + 2, F.length(z["t"]))
+    texts = F.transform("z", lambda z: unescape(body(z)))
+    bare = F.transform("z", lambda z: unescape(F.regexp_replace(body(z), _PLACEHOLDER, "")))
     loss = F.transform(F.filter("z", lambda z: z["s"]["loss_chars"] > 0), lambda z: unescape(z["t"].substr(z["s"]["loss_from"] + 1, z["s"]["loss_chars"])))
-    return rows.select("conv_id", "formatted", roles.alias("roles"), texts.alias("texts"), F.array_join(loss, "").alias("loss_text"))
+    kept = [c for c in chats.columns if c in ("attachments", "n_attachment_tokens")]
+    return rows.select("conv_id", "formatted", *kept, roles.alias("roles"), texts.alias("texts"), bare.alias("bare_texts"), F.regexp_extract_all("formatted", F.lit(_PLACEHOLDER), F.lit(1)).alias("placeholders"), F.array_join(loss, "").alias("loss_text"))
+
+
+def document_part(ref: Column, pages: Column) -> Column:
+    """A document's part as an array, empty where ``ref`` is null."""
+    null = F.lit(None)
+    fields = [F.lit("document").alias("kind"), null.cast("string").alias("text"), ref.alias("ref"), null.cast("long").alias("width"), null.cast("long").alias("height"), null.cast("double").alias("seconds"), pages.cast("long").alias("pages")]
+    return F.filter(F.array(F.struct(*fields)), lambda p: p["ref"].isNotNull())
 
 
-def messages_of(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, parts) of text-only rows (conv_id, turn, role, text)."""
-    return without(conversations, "parts").select("conv_id", "turn", "role", text_part(F.col("text")).alias("parts"))
+def messages_of(conversations: DataFrame, attached: Column | None = None) -> DataFrame:
+    """(conv_id, turn, role, parts) of rows (conv_id, turn, role, text): a text part, then the parts ``attached``."""
+    parts = text_part(F.col("text"))
+    return conversations.select("conv_id", "turn", "role", (parts if attached is None else F.concat(parts, attached)).alias("parts"))

@@ -34,11 +34,20 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "lang_threshold", "flagged")
 
 
+#: Characters of HTML that count as a page of a document.
+PAGE_CHARS = 3000
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn of a conversation has the page of the same number as a document, where there is one."""
     rows = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     extra = spark.range(2).selectExpr("-7L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", "'</s>[INST] ok [/INST]' as text")
-    back = chat.read_chats(chat.format_chats(chat.messages_of(rows.union(extra))))
-    turns = F.array_join(F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit("\n"), t, F.lit("\n"))), "")
+    size = F.ceil(F.coalesce(F.length("html"), F.lit(0)) / PAGE_CHARS)
+    pages = _read(spark, sf_dir, "pages").filter("url is not null").groupBy(F.col("page_id").cast("long").alias("conv_id")).agg(F.min(F.struct("url", size.alias("pages"))).alias("page"))
+    own = rows.union(extra).join(pages, "conv_id", "left").withColumn("page", F.when(F.col("role") == "user", F.col("page")))
+    chats = chat.format_chats(chat.messages_of(own, chat.document_part(F.col("page.url"), F.col("page.pages"))))
+    back = chat.read_chats(chats)
+    turns = F.array_join(F.zip_with("roles", "bare_texts", lambda r, t: F.concat(r, F.lit("\n"), t, F.lit("\n"))), "")
     return back.select(
         "conv_id",
         F.size("roles").cast("long").alias("n_turns"),
@@ -46,6 +55,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("placeholders").cast("long").alias("n_attachments"),
+        F.array_join("placeholders", ",").alias("placeholders"),
+        "n_attachment_tokens",
+        F.array_join(F.transform("attachments", lambda a: a["ref"]), ",").alias("refs"),
     )
 
 
@@ -112,14 +125,20 @@ with rows as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
   union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), docs as (
+  select page_id as conv_id, min(struct_pack(url := url, pages := cast(ceil(coalesce(length(html), 0) / {page}) as bigint))) as page from pages where url is not null group by 1
 ), sized as (
-  select *, regexp_replace(text, '([<\\[])(\\\\+|[|/sSI<]|$)', '\\1\\\\\\2', 'g') as escaped from rows
+  select rows.*, regexp_replace(text, '([<\\[])(\\\\+|[|/sSI<]|$)', '\\1\\\\\\2', 'g') as escaped, case when role = 'user' then page end as page,
+    count(case when role = 'user' then page end) over (partition by conv_id order by turn, role, text rows unbounded preceding) as k
+  from rows left join docs using (conv_id)
 )
 select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-  cast(sum(length(role) + length(escaped) + 17) as bigint) as formatted_chars
+  cast(sum(length(role) + length(escaped) + 17 + case when page is null then 0 else 13 + length(cast(k as varchar)) end) as bigint) as formatted_chars,
+  count(page) as n_attachments, coalesce(string_agg('document:' || k, ',' order by k) filter (page is not null), '') as placeholders,
+  cast(coalesce(sum(page.pages), 0) * {tokens} as bigint) as n_attachment_tokens, coalesce(string_agg(page.url, ',' order by k) filter (page is not null), '') as refs
 from sized group by conv_id
 """
 
@@ -157,7 +176,7 @@ select rid, '{kind}' as kind, {rank} as rank, value, start_at, start_at + length
   from (select rid, regexp_extract_all(text, '{p}') as ms, regexp_extract_all(text, '{p}', {group}) as gs, regexp_split_to_array(text, '{p}') as parts from docs where regexp_matches(text, '{p}'))
 ) where length(g) >= {least}"""
     base = " union all ".join(each.format(kind=k, rank=r, p=quoted(p), group=g, least=n) for r, (k, p, g, n) in enumerate(secrets.PATTERNS))
-    found = each.format(kind="entropy", rank=len(secrets.PATTERNS), p=quoted(secrets.CANDIDATE), group=0, least=secrets.WINDOW)
+    found = each.format(kind="entropy", rank=len(secrets.PATTERNS), p=quoted(secrets.CANDIDATE % secrets.WINDOW), group=0, least=secrets.WINDOW)
     allowed = " or ".join("len(list_distinct(string_split(value, ''))) = 1" if "\\1" in a else f"regexp_matches(value, '{quoted(a)}')" for a in secrets.ALLOW)
     limit = "case " + " ".join(f"when regexp_matches(value, '{p}') then {x}::double" for _, p, x in secrets.CLASSES) + " end"
     entropy = f"list_max(list_transform(range(1, length(value) - {secrets.WINDOW} + 2), lambda i: list_sum(list_transform(list_distinct(string_split(substr(value, i, {secrets.WINDOW}), '')), lambda ch: -(length(substr(value, i, {secrets.WINDOW})) - length(replace(substr(value, i, {secrets.WINDOW}), ch, ''))) / {secrets.WINDOW}.0::double * log2((length(substr(value, i, {secrets.WINDOW})) - length(replace(substr(value, i, {secrets.WINDOW}), ch, ''))) / {secrets.WINDOW}.0::double)))))"
@@ -174,4 +193,4 @@ from docs left join b using (rid) left join e using (rid)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": _OP3, "op5_decontaminate": _OP5, "op8_secret_scan": _op8()}
+    return {"op3_chat_format": _OP3.replace("{page}", str(PAGE_CHARS)).replace("{tokens}", str(chat.PAGE_TOKENS)), "op5_decontaminate": _OP5, "op8_secret_scan": _op8()}

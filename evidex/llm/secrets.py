@@ -24,21 +24,26 @@ PATTERNS = (
 #: Quick tests that each text with a kept match passes.
 _HINTS = (r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", r"AKIA[A-Z0-9]{14}", r"[0-9a-f]{16}")
 
-#: Candidates for entropy are runs of these characters with a digit among them.
+#: Candidates for entropy are runs of these characters, of a window's length at least; the allow-list asks for a digit.
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-="
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}"
 #: Character class, what a candidate of it matches, and the least entropy of its highest window; first match counts.
 CLASSES = (("hex", r"^[0-9A-Fa-f]+$", 3.0), ("lower", r"^[0-9a-z]+$", 3.5), ("mixed", r"^.*$", 3.8))
 WINDOW = 20
 
 #: Allow-list: a candidate that one of these matches is no secret.
-ALLOW = (r"(?i)example|sample|dummy|placeholder|changeme", r"^(.)\1+$", r"^[A-Za-z]+$", r"^[0-9]+$", r"(?i)0123456789|abcdefghij", r"^[-=_+/]+$", r"/.*/.*/")
+ALLOW = (r"(?i)example|sample|dummy|placeholder|changeme", r"^(.)\1+$", r"^[^0-9]+$", r"^[0-9]+$", r"(?i)0123456789|abcdefghij", r"/.*/.*/")
+
+
+#: Matches of a text that are gone through at a time.
+PIECE = 1024
 
 
 def spans(text: Column, kind: str, order: int, pattern: str, group: int, least: int) -> Column:
     """Array of (start, order, end, kind, value) of the pattern's matches, leftmost first, that are long enough.
 
-    A match's start is the length of all parts and matches before it, in code points.
+    A match's start is the length of all parts and matches before it, in code points. Matches are gone
+    through in pieces, so that what is found is copied once for a piece and not once for a match.
     """
     parts = let(F.split(text, pattern, -1), lambda p: F.transform(p, F.length))
     found = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m, g: F.struct(m.alias("m"), F.length(m).alias("n"), F.length(g).alias("g")))
@@ -52,7 +57,17 @@ def spans(text: Column, kind: str, order: int, pattern: str, group: int, least:
         kept = F.when(row["f"]["g"] >= least, F.concat(acc["out"], F.array(new))).otherwise(acc["out"])
         return F.struct(end.alias("at"), kept.alias("out"))
 
-    out = F.aggregate(rows, start, step)["out"]
+    none = start["out"]
+
+    def piece(acc: Column, k: Column, rows: Column) -> Column:
+        done = F.aggregate(F.slice(rows, k * PIECE + 1, PIECE), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["outs"], F.array(d["out"])).alias("outs")))
+
+    def pieces(rows: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.filter(F.array(none), lambda x: F.lit(False)).alias("outs"))
+        return F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor(F.size(rows) / PIECE).cast("int")), begin, lambda acc, k: piece(acc, k, rows))["outs"])
+
+    out = let(rows, pieces)
     return F.transform(out, lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value")))
 
 
@@ -97,7 +112,8 @@ def scan_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW, window: int =
 
     A span is kind:start:end in code points, end exclusive; spans stand by start, then kind, joined by
     commas. Kind ``entropy`` is what the method adds: candidates that overlap no span of the patterns,
-    pass their class's limit and aren't on the allow-list. Null texts count as empty and have none.
+    pass their class's limit and aren't on the allow-list, which by default lets all without a digit pass
+    as words, or with nothing else as numbers. Null texts count as empty and have none.
     Columns with the names of results are replaced; repeated rows each get their result.
     """
     names = ("n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans")
@@ -115,7 +131,8 @@ def scan_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW, window: int =
     allowed = lambda v: F.lit(False) if not allow else _any([v.rlike(a) for a in allow])
 
     highest = lambda v: highest_entropy(v, window)
-    candidates = F.when(text.rlike(CANDIDATE), spans(text, "entropy", len(PATTERNS), CANDIDATE, 0, window)).otherwise(none)
+    candidate = CANDIDATE % window
+    candidates = F.when(text.rlike(candidate), spans(text, "entropy", len(PATTERNS), candidate, 0, window)).otherwise(none)
     fresh = F.filter(candidates, lambda x: ~allowed(x["value"]))
     fresh = let(F.struct(fresh.alias("f"), F.col("base").alias("b")), lambda z: F.filter(z["f"], lambda x: ~F.exists(z["b"], lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))))
     added = F.filter(fresh, lambda x: highest(x["value"]) >= _limit(x["value"]))
