@@ -110,13 +110,14 @@ def _search(docs: DataFrame, text: str, patterns: list) -> DataFrame:
                 codes = number[codes].tolist() if len(codes) else []
                 spans, items = part.column("spans").to_pylist(), part.column("items").to_pylist()
                 for i in range(len(part)):
-                    own, found = codes[before[i] : before[i + 1]], []
+                    own, found, named = codes[before[i] : before[i + 1]], [], set(items[i])
                     for engine, lists in engines:
-                        for at, k in engine.search(own):
+                        hits = engine.search(own)
+                        for at, _ in hits:
                             found += (at, at + engine.m)
-                            items[i] += lists[k]
+                        named.update(*(lists[k] for k in {k for _, k in hits}))
                     if found:
-                        items[i] = sorted(set(items[i]))
+                        items[i] = sorted(named)
                         spans[i] = merged(spans[i] + found)
                 new = {"n": pa.array(np.diff(before)), "spans": pa.array(spans, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))}
                 yield pa.record_batch({c: new[c] if c in new else part.column(c) for c in part.schema.names})
