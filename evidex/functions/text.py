@@ -12,7 +12,7 @@ STOP_GENERAL = (
     "a", "an", "the", "and", "or", "but", "if", "then", "so", "of", "in", "on", "at", "to", "for", "with", "by", "from", "as", "is",
     "are", "was", "were", "be", "been", "being", "this", "that", "these", "those", "we", "you", "they", "he", "she", "it", "i",
 )
-#: Words that are no label by themselves, beyond those above.
+#: Words that are no label by themselves; the list begins with all of the general ones, which are given once.
 STOP_LABEL = STOP_GENERAL + (
     "our", "their", "its", "his", "her", "not", "no", "yes", "do", "does", "did", "have", "has", "had", "can", "could", "will", "would",
     "should", "may", "might", "must", "than", "also", "into", "onto", "such", "via", "per", "vs", "about", "between", "among", "within",
@@ -188,7 +188,7 @@ def count_occurrences(c: Column, term: Column | str) -> Column:
     return ((F.length(c) - F.length(F.replace(c, term, F.lit("")))) / F.length(term)).cast("int")
 
 
-_STATISTIC = r"(p\s*[<=>]\s*0?\.[0-9]+)|([0-9]+(\.[0-9]+)?\s*%\s*(ci|confidence))|(\bci\b\s*[:=]?\s*[0-9])|(\bn\s*=\s*[0-9]+)|(\bhr\s*[:=]\s*[0-9])|(\bor\s*[:=]\s*[0-9])"
+_STATISTIC = r"(p\s*[<=>]\s*0?\.\d+)|(\d+(\.\d+)?\s*%\s*(ci|confidence))|(\bci\b\s*[:=]?\s*\d)|(\bn\s*=\s*\d+)|(\bhr\s*[:=]\s*\d)|(\bor\s*[:=]\s*\d)"
 
 
 def is_meaningful_label(label: Column, most_chars: int = 50, most_words: int = 6) -> Column:

@@ -152,7 +152,24 @@ def _(s, d):
     return V.cluster_leader(A.store(s, d), 0.3)
 
 
-@query("e15_layout_2d", None)
+#: The first principal axis of a square matrix: squared 45 times over, it holds nothing else.
+_SQUARED = """{n}(k, m) as (select 0, m from {start} union all select k + 1, list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c) / s)) from (select k, m, list_sum(list_transform(range(1, len(m) + 1), lambda i: list_dot_product(m[i], m[i]))) as s from {n}) where k < 45)"""
+#: The axis itself, at length 1, its largest number positive.
+_LOADING = """{v} as (select list_transform(r, lambda x: x / sqrt(list_dot_product(r, r)) * sign(r[list_position(list_transform(r, lambda y: abs(y)), list_max(list_transform(r, lambda y: abs(y))))])) as v from (select m[list_position(d, list_max(d))] as r from (select m, list_transform(range(1, len(m) + 1), lambda i: m[i][i]) as d from {n} where k = 45)))"""
+
+
+@query(
+    "e15_layout_2d",
+    f"""with recursive dims as (select unnest(range(1, len(vector) + 1)) as i from (select vector from store limit 1)), centre as (select list(m order by i) as c from (select i, avg(vector[i]) as m from store, dims group by i)),
+flat as (select id, list_transform(range(1, len(vector) + 1), lambda i: vector[i] - c[i]) as x from store, centre),
+cov as (select list(r order by i) as m from (select i, list(s order by j) as r from (select a.i, b.i as j, sum(x[a.i] * x[b.i]) as s from flat, dims a, dims b group by 1, 2) group by 1)),
+{_SQUARED.format(n='p1', start='cov')}, {_LOADING.format(v='first', n='p1')},
+less as (select list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: m[i][j] - lambda1 * v[i] * v[j])) as m from (select m, v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) as lambda1 from cov, first)),
+{_SQUARED.format(n='p2', start='less')}, {_LOADING.format(v='second', n='p2')},
+placed as (select id, list_dot_product(x, first.v) as x, list_dot_product(x, second.v) as y from flat, first, second)
+select id, round(x / (select max(greatest(abs(x), abs(y))) from placed) * 400, 3) as x, round(y / (select max(greatest(abs(x), abs(y))) from placed) * 400, 3) as y from placed""",
+    "store",
+)
 def _(s, d):
     return V.layout_2d(A.store(s, d)).select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 

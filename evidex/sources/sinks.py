@@ -51,10 +51,6 @@ def ris(papers: DataFrame) -> DataFrame:
     return papers.select("ord", F.concat_ws("\n", lines).alias("entry"))
 
 
-def export_text(entries: DataFrame, path: str) -> None:
-    entries.select("entry").write.text(path, mode="overwrite")
-
-
 def export_graph_node_link(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Two JSON data sets, nodes and links, of a directed multigraph."""
     node_link(nodes, edges)[0].write.json(f"{path}/nodes", mode="overwrite")
