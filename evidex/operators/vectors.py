@@ -51,16 +51,18 @@ def _scores(q: np.ndarray, m: np.ndarray, metric: str) -> np.ndarray:
     return np.round(s, 9)
 
 
-def _sized(df: DataFrame, name: str) -> DataFrame:
-    return df.select(F.col(name).cast("long").alias(name), "vector", F.size("vector").alias("dims")).filter("vector is not null and dims > 0")
+def _sized(df: DataFrame, name: str, apart: str | None = None) -> DataFrame:
+    more = [F.col(apart).cast("long").alias("apart")] if apart else []
+    return df.select(F.col(name).cast("long").alias(name), "vector", F.size("vector").alias("dims"), *more).filter("vector is not null and dims > 0")
 
 
-def vector_search(store: DataFrame, queries: DataFrame, top_k: int, source_type: str | None = None, metric: str = "cosine", exclude_self: bool = True) -> DataFrame:
+def vector_search(store: DataFrame, queries: DataFrame, top_k: int, source_type: str | None = None, metric: str = "cosine", exclude_self: bool = True, apart: str | None = None) -> DataFrame:
     """(query, id, score, rank): the best ``top_k`` of ``store`` (id, vector) for each of ``queries`` (query, vector).
 
     Exact. Blocks of queries meet blocks of the store in tasks, which score them by one matrix product
     and keep ``top_k`` for each query, so the last shuffle carries top_k rows for a query and block, and
-    no pair is ever a row. Scores tie by id; only vectors of one length meet.
+    no pair is ever a row. Scores tie by id; only vectors of one length meet. With ``apart``, a column of
+    numbers that both have, rows with equal numbers there don't count as neighbours.
     """
     rows = store if source_type is None else store.filter(F.col("source_type") == source_type)
 
@@ -71,12 +73,14 @@ def vector_search(store: DataFrame, queries: DataFrame, top_k: int, source_type:
             q, m = _matrix(asked), _matrix(held)
             for k in range(0, len(ids), _PIECE):
                 s, at = _scores(q, m[k : k + _PIECE], metric), ids[k : k + _PIECE]
+                if apart:
+                    s[asked.column("apart").to_numpy()[:, None] == held.column("apart").to_numpy()[k : k + _PIECE][None]] = -np.inf
                 if exclude_self:
                     s[names[:, None] == at[None]] = -np.inf
                 best.add(s, at)
         return pa.table({"query": pa.array(names[best.query], pa.int64()), "id": pa.array(best.id, pa.int64()), "score": pa.array(best.score, pa.float64())})
 
-    found = block_join(_sized(queries, "query"), _sized(rows, "id"), work, "query long, id long, score double", key="dims")
+    found = block_join(_sized(queries, "query", apart), _sized(rows, "id", apart), work, "query long, id long, score double", key="dims")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= top_k)
 
@@ -177,12 +181,8 @@ def facet_embeddings(compounds: DataFrame, key: str, description: str, mechanism
 
 def similar_by_facet(store: DataFrame, queries: DataFrame, facet: str, top_k: int) -> DataFrame:
     """Neighbours within a facet from other sources: ``queries`` (query, vector) are ids of the store."""
-    own = store.select(F.col("id").alias("query"), F.col("source_id").alias("own")).join(queries.select("query"), "query", "left_semi")
-    # a source has a bounded number of chunks in a facet, so as many more neighbours are fetched
-    most = store.filter(F.col("source_type") == facet).groupBy("source_id").count().agg(F.max("count").alias("m")).first().m or 0
-    found = vector_search(store, queries, top_k + most, facet).drop("rank").join(own, "query").join(store.select("id", "source_id"), "id").filter("source_id <> own")
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= top_k).select("query", "id", "score", "rank")
+    own = store.select(F.col("id").alias("query"), "source_id")
+    return vector_search(store, queries.join(own, "query"), top_k, facet, apart="source_id")
 
 
 def profile_fields(compounds: DataFrame, key: str, fields: list[str]) -> DataFrame:
