@@ -5,14 +5,16 @@ begins at one of its lines. Prefix doubling sorts suffixes by their first 1, 2,
 pairs a suffix's rank with the rank of the suffix 2^k lines further on, sorts the distinct pairs by
 range over all tasks, and numbers them in that order. A rank that one suffix alone has ends its part
 in the search. Suffixes of one rank after round k are an interval of the suffix array whose longest
-common prefix is 2^k lines or more.
+common prefix is 2^k lines or more; equal ranks of the first 2^k and the last 2^k of n lines are the
+interval whose common prefix is n lines or more.
 
 A run counts from ``min_words`` words on. The shortest run of so many words that begins, or ends, at a
-line has fewer than ``min_words + 1`` lines, so the rounds end at log2(min_words). Two such runs are
-equal if their first 2^k and their last 2^k lines have equal ranks, for the largest 2^k that fits. A
-maximal repeated run of min_words words or more is exactly the union of the shortest runs inside it,
-from its lines' beginnings and ends; so deleting every shortest run that an equal one precedes
-deletes each maximal repeated run but its first copy.
+line has fewer than ``min_words + 1`` lines, so the rounds end at log2(min_words), and its interval
+names the first place where it stands. A maximal repeated run of min_words words or more is exactly the
+union of the shortest runs inside it, from its lines' beginnings and ends. So shortest runs whose first
+copies stand side by side are joined: the length of what results is the longest common prefix of the
+suffixes that begin at the run and at its first copy, and deleting all of them deletes each maximal
+repeated run but its first copy.
 """
 
 from __future__ import annotations
@@ -102,12 +104,25 @@ def _repeated(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _later(rows: DataFrame) -> DataFrame:
-    """Runs (d, t, pos, len) that an equal one precedes; rows have their class's ``first`` place."""
-    return rows.filter(F.struct(*PLACE) != F.col("first")).select(*PLACE, "len")
+    """Runs (d, t, pos, len, first) that an equal one precedes; rows have their interval's ``first`` place."""
+    return rows.filter(F.struct(*PLACE) != F.col("first")).select(*PLACE, "len", "first")
+
+
+def _joined(runs: DataFrame) -> DataFrame:
+    """Runs of one document that overlap or touch, and whose first copies do so in the same way, as one."""
+    at = runs.select("d", "t", "pos", (F.col("pos") + F.col("len")).alias("end"), F.col("first.d").alias("fd"), F.col("first.t").alias("ft"), (F.col("first.pos") - F.col("pos")).alias("shift"))
+    by = ("d", "t", "fd", "ft", "shift")
+    w = Window.partitionBy(*by).orderBy("pos")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    at = at.repartition("d", "t").withColumn("new", F.when(F.col("pos") <= reach, 0).otherwise(1))
+    at = at.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = at.groupBy(*by, "run").agg(F.min("pos").alias("pos"), F.max("end").alias("end"))
+    first = F.struct(F.col("fd").alias("d"), F.col("ft").alias("t"), (F.col("pos") + F.col("shift")).alias("pos"))
+    return whole.select(*PLACE, (F.col("end") - F.col("pos")).alias("len"), first.alias("first"))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(d, t, pos, len): every shortest run of lines that an equal run precedes."""
+    """(d, t, pos, len, first): repeated runs of lines that an equal run, at place ``first``, precedes."""
     if min_words < 1:
         raise ValueError("min_words is 1 at least")
     lines = cut(_lines(docs, min_words))
@@ -137,7 +152,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
-    return out
+    return _joined(out)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

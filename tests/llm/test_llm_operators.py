@@ -340,6 +340,22 @@ def test_line_dedup(spark, docs, rows, least):
     assert untouched <= {(r.doc_id, r.text) for r in got}
 
 
+def test_line_dedup_runs_are_whole(spark, docs, rows):
+    """A run equals the lines at its first copy, which stands before it; a copy of a document is one run; runs go as far as lines are equal."""
+    extra = "\n".join("line number %d of some words" % k for k in range(40))
+    more = spark.createDataFrame([(500, extra), (501, "before\n" + extra), (502, extra + "\nafter")], "doc_id long, text string")
+    runs = line_dedup.repeated_runs(docs.select("doc_id", "text").union(more)).collect()
+    lines = {}
+    for doc_id, text in [*((r[0], r[1]) for r in rows), (500, extra), (501, "before\n" + extra), (502, extra + "\nafter")]:
+        key = doc_id if doc_id is not None else (1 << 63) - 1, 42 if text is None else text_hash(text)
+        lines[key] = [x for x in (text or "").split("\n") if x.encode().split()]
+    for r in runs:
+        own, first = lines[r.d, r.t], lines[r.first.d, r.first.t]
+        assert own[r.pos : r.pos + r.len] == first[r.first.pos : r.first.pos + r.len] and len(own) >= r.pos + r.len
+        assert (r.first.d, r.first.t, r.first.pos) < (r.d, r.t, r.pos)
+    assert sorted((r.d, r.pos, r.len, r.first.d, r.first.pos) for r in runs if 500 <= r.d < 600) == [(501, 1, 40, 500, 0), (502, 0, 40, 500, 0)]
+
+
 def test_line_dedup_empty(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
