@@ -141,8 +141,8 @@ def _(s, d):
 
 
 #: The sequential loop itself: row after row, the list of leaders so far in hand.
-_LEADERS = f"""with recursive near as (select b.id, list(a.id order by a.id) as earlier from store a join store b on a.id < b.id where {_COS.format('a.vector', 'b.vector')} >= 0.3 group by 1),
-turn as (select s.id, row_number() over (order by s.id) as i, coalesce(n.earlier, []) as earlier from store s left join near n using (id)),
+_LEADERS = f"""with recursive near as materialized (select b.id, list(a.id order by a.id) as earlier from store a join store b on a.id < b.id where {_COS.format('a.vector', 'b.vector')} >= 0.3 group by 1),
+turn as materialized (select s.id, row_number() over (order by s.id) as i, coalesce(n.earlier, []) as earlier from store s left join near n using (id)),
 led(i, id, leader, leaders) as (select 0::bigint, null::bigint, null::bigint, []::bigint[] union all
   select i, id, coalesce(first, id), case when first is null then list_append(leaders, id) else leaders end from (select t.i, t.id, led.leaders, list_filter(t.earlier, lambda x: list_contains(led.leaders, x))[1] as first from led join turn t on t.i = led.i + 1))"""
 
