@@ -173,10 +173,10 @@ def _op8() -> str:
     each = """
 select rid, '{kind}' as kind, {rank} as rank, value, start_at, start_at + length(value) as end_at from (
   select rid, unnest(ms) as value, unnest(gs) as g, unnest(list_transform(range(1, len(ms) + 1), lambda i: coalesce(list_sum(list_transform(parts[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))) as start_at
-  from (select rid, regexp_extract_all(text, '{p}') as ms, regexp_extract_all(text, '{p}', {group}) as gs, regexp_split_to_array(text, '{p}') as parts from docs where regexp_matches(text, '{p}'))
+  from (select rid, regexp_extract_all(text, '{p}') as ms, regexp_extract_all(text, '{p}', {group}) as gs, regexp_split_to_array(text, '{p}') as parts from docs where regexp_matches(text, '{hint}'))
 ) where length(g) >= {least}"""
-    base = " union all ".join(each.format(kind=k, rank=r, p=quoted(p), group=g, least=n) for r, (k, p, g, n) in enumerate(secrets.PATTERNS))
-    found = each.format(kind="entropy", rank=len(secrets.PATTERNS), p=quoted(secrets.CANDIDATE % secrets.WINDOW), group=0, least=secrets.WINDOW)
+    base = " union all ".join(each.format(kind=k, rank=r, p=quoted(p), hint=quoted(secrets.HINTS[r]), group=g, least=n) for r, (k, p, g, n) in enumerate(secrets.PATTERNS))
+    found = each.format(kind="entropy", rank=len(secrets.PATTERNS), p=quoted(secrets.CANDIDATE % secrets.WINDOW), hint=secrets.CANDIDATE % secrets.WINDOW, group=0, least=secrets.WINDOW)
     allowed = " or ".join("len(list_distinct(string_split(value, ''))) = 1" if "\\1" in a else f"regexp_matches(value, '{quoted(a)}')" for a in secrets.ALLOW)
     limit = "case " + " ".join(f"when regexp_matches(value, '{p}') then {x}::double" for _, p, x in secrets.CLASSES) + " end"
     entropy = f"list_max(list_transform(range(1, length(value) - {secrets.WINDOW} + 2), lambda i: list_sum(list_transform(list_distinct(string_split(substr(value, i, {secrets.WINDOW}), '')), lambda ch: -(length(substr(value, i, {secrets.WINDOW})) - length(replace(substr(value, i, {secrets.WINDOW}), ch, ''))) / {secrets.WINDOW}.0::double * log2((length(substr(value, i, {secrets.WINDOW})) - length(replace(substr(value, i, {secrets.WINDOW}), ch, ''))) / {secrets.WINDOW}.0::double)))))"

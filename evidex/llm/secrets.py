@@ -22,7 +22,7 @@ PATTERNS = (
     ("hex", r"[0-9a-f]+", 0, 16),
 )
 #: Quick tests that each text with a kept match passes.
-_HINTS = (r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", r"AKIA[A-Z0-9]{14}", r"[0-9a-f]{16}")
+HINTS = (r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", r"AKIA[A-Z0-9]{14}", r"[0-9a-f]{16}")
 
 #: Candidates for entropy are runs of these characters, of a window's length at least; the allow-list asks for a digit.
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-="
@@ -120,7 +120,7 @@ def scan_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW, window: int =
     docs = without(docs, *names)
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,value:string>>)")
-    found = [F.when(text.rlike(hint), spans(text, kind, k, pattern, group, least)).otherwise(none) for k, ((kind, pattern, group, least), hint) in enumerate(zip(PATTERNS, _HINTS))]
+    found = [F.when(text.rlike(hint), spans(text, kind, k, pattern, group, least)).otherwise(none) for k, ((kind, pattern, group, least), hint) in enumerate(zip(PATTERNS, HINTS))]
     named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     text_name = f"c{docs.columns.index('text')}"
     named = named.select("*", F.col(text_name).alias("text"))
