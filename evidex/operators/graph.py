@@ -308,6 +308,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def graph_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row; zeros for an empty graph."""
+    nodes, edges = cut(nodes.select("id")), cut(edges.select("src", "dst"))  # read many times
     n = nodes.agg(F.count("*").alias("n_nodes"))
     m = edges.agg(F.count("*").alias("n_edges"))
     parts = connected_components(nodes, edges).agg(F.count_distinct("component").alias("n_components"))
@@ -334,7 +335,8 @@ def filtered_subgraph(nodes: DataFrame, edges: DataFrame, max_nodes: int = 50, m
     """(nodes, edges) worth showing: real labels, the ``max_nodes`` most important nodes, the ``max_edges``
     strongest edges between them, and five important ones without edges. Ties go by id; parallel edges
     are one. The screens that this was made for ask for 50 and 100 at most."""
-    named = nodes.filter(is_meaningful_label(F.col("canonical_name")))
+    edges = cut(edges.select("src", "dst", "confidence"))  # both are read many times
+    named = cut(nodes.filter(is_meaningful_label(F.col("canonical_name"))).select("id", weight))
     scored = node_importance(named, edges.join(named.select(F.col("id").alias("src")), "src", "left_semi").join(named.select(F.col("id").alias("dst")), "dst", "left_semi"), weight)
     enough = scored.filter(F.col("importance") >= least)
     scored = scored if enough.isEmpty() else enough
@@ -369,6 +371,7 @@ def typed(nodes: DataFrame) -> DataFrame:
 
 def _info(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, importance, degree, type) of every node, written once for a report."""
+    nodes = cut(nodes.select("id", "labels", "mention_count"))
     return cut(node_importance(nodes, edges).join(degrees(nodes, edges), "id").join(typed(nodes), "id"))
 
 
@@ -381,6 +384,7 @@ def entity_pair_report(nodes: DataFrame, edges: DataFrame, a: str, b: str, most:
     """One row about two entities: degree, importance, type and up to ``most`` successors of both, up to
     ``most`` shared ones, the shortest path, the ``top`` entities by importance, and the graph's size.
     What an entity that the graph lacks would have is null or empty."""
+    edges = cut(edges.select("src", "dst"))  # read many times
     ends, info = {"a": normalize_of(a), "b": normalize_of(b)}, _info(nodes, edges)
     after = {k: edges.filter(F.col("src") == e).select("dst").distinct() for k, e in ends.items()}
     own = info.agg(*[F.max(F.when(F.col("id") == e, F.col(c))).alias(f"{c}_{k}") for k, e in ends.items() for c in ("degree", "importance", "type")], F.count("*").alias("total_nodes"))
@@ -398,6 +402,7 @@ def normalize_of(name: str) -> str:
 
 def neighbor_report(nodes: DataFrame, edges: DataFrame, name: str, top: int = 20) -> DataFrame:
     """(degree, dst, type, relation, importance): the entity's degree and up to ``top`` successors, the most important first."""
+    edges = cut(edges.select("src", "dst", "relation"))  # read many times
     entity, info = normalize_of(name), _info(nodes, edges)
     own = info.filter(F.col("id") == entity).select("degree")
     out = edges.filter(F.col("src") == entity).select("dst", "relation").join(info.drop("degree").withColumnRenamed("id", "dst"), "dst")

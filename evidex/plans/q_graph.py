@@ -408,19 +408,19 @@ def _(s, d):
 _SHOWN = f"""named as (select * from nodes where id in (select id from ({LABEL_SQL.format(key='id', source="select id, trim(regexp_replace(canonical_name, '\\s+', ' ', 'g')) as n from nodes")}) where ok)),
 inside as (select * from edges where src in (select id from named) and dst in (select id from named)),
 deg as (select n.id, n.mention_count, count(e.id) / (select count(*) - 1 from named) as centrality from named n left join (select src as id from inside union all select dst from inside) e on e.id = n.id group by all), {_IMP},
-top as (select id, importance from imp order by importance desc, id limit 50), pairs as (select src, dst, max(confidence) as w from edges group by 1, 2),
-shown as (select src, dst, round(a.importance + b.importance + w, 6) as score from pairs join top a on a.id = src join top b on b.id = dst order by score desc, src, dst limit 100),
+top as (select id, importance from imp order by importance desc, id limit 120), pairs as (select src, dst, max(confidence) as w from edges group by 1, 2),
+shown as (select src, dst, round(a.importance + b.importance + w, 6) as score from pairs join top a on a.id = src join top b on b.id = dst order by score desc, src, dst limit 200),
 alone as (select * from top where id not in (select src from shown union select dst from shown) order by importance desc, id limit 5)"""
 
 
 @query("g30_filtered_subgraph", f"with {_GRAPH}, {_SHOWN} select src, dst, score from shown", *_VIEWS)
 def _(s, d):
-    return G.filtered_subgraph(*graph(s, d))[1]
+    return G.filtered_subgraph(*graph(s, d), 120, 200)[1]
 
 
 @query("g30_filtered_subgraph_nodes", f"with {_GRAPH}, {_SHOWN} select * from top where id in (select src from shown union select dst from shown) union all select * from alone", *_VIEWS)
 def _(s, d):
-    return G.filtered_subgraph(*graph(s, d))[0]
+    return G.filtered_subgraph(*graph(s, d), 120, 200)[0]
 
 
 @query("g31_node_type", "select event_id, case when event_type = 'view' then 'view' when event_id % 2 = 0 then 'even' else 'default' end as t from events")

@@ -204,8 +204,8 @@ _ONE_BYTE = "translate(lower({}), 'éèêàâçôûüäößñóíáúëïîùœ
 _A, _B = _ONE_BYTE.format("l.t"), _ONE_BYTE.format("m.title")
 _TITLED = f"""{_KEYED},
 loose as (select * from keyed where key is null),
-near as (select l.t, min(m.ord) as target from (select distinct lower(title) as t from loose where title <> '') l join merged m on m.title <> '' and abs(length(l.t) - length(m.title)) <= 0.1 * greatest(length(l.t), length(m.title))
-  and 1 - levenshtein({_A}, {_B}) / greatest(length(l.t), length(m.title)) > 0.9 group by l.t),
+near as (select l.t, min(m.ord) as target from (select distinct lower(title) as t from loose where title <> '') l join merged m on m.title <> '' and case when abs(length(l.t) - length(m.title)) <= 0.1 * greatest(length(l.t), length(m.title))
+  then 1 - levenshtein({_A}, {_B}) / greatest(length(l.t), length(m.title)) > 0.9 else false end group by l.t),
 rows as (select ord as target, ord, title, abstract, year, citation_count, source, is_open_access, keywords from merged
   union all select coalesce(target, ord), ord, title, abstract, year, citation_count, source, is_open_access, keywords from loose left join near on lower(title) = t),
 whole as (select target, min(ord) as ord, first(title order by ord) filter (title <> '') as title, first(abstract order by ord) filter (abstract <> '') as abstract, first(year order by ord) filter (year is not null) as year,
