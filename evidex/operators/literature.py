@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evidex.adapters import SOURCES
 from evidex.functions.text import any_in, count_occurrences
 from evidex.operators.blocks import overlap_search
+from evidex.operators.graph import cut
 
 MERGED = ("title", "abstract", "doi", "pmid", "pmcid", "year", "influential_citations", "reference_count", "is_open_access", "journal", "authors", "publication_type", "keywords", "pdf_url")
 
@@ -61,29 +62,48 @@ def title_pairs(left: DataFrame, right: DataFrame, least: float = 0.9) -> DataFr
     """
     if not 0.5 < least < 1:
         raise ValueError("least lies between 0.5 and 1")
-    distinct = lambda d: d.select(F.lower("title").alias("t")).filter("t <> ''").distinct()
+    one, other = _titles(left), _titles(right)
+    pairs = title_candidates(one, other, least).join(one.withColumnsRenamed({"id": "a", "t": "ta"}), "a").join(other.withColumnsRenamed({"id": "b", "t": "tb"}), "b")
+    longest = F.greatest(F.length("ta"), F.length("tb"))
+    limit = F.ceil(longest * (1 - least)).cast("int")
+    found = pairs.withColumn("edits", F.call_function("levenshtein", F.col("ta"), F.col("tb"), limit)).filter(F.col("edits") >= 0)
+    same = found.filter(1 - F.col("edits") / longest > least).select("a", "b")
+    rows = lambda d, key, name: d.select(_title_id(F.lower("title")).alias(key), F.col("ord").alias(name))
+    return same.join(rows(left, "a", "ord"), "a").join(rows(right, "b", "other"), "b").select("ord", "other")
+
+
+def _title_id(t: Column) -> Column:
+    """A title by 128 bits of hash, as the title itself would go along with each of its pieces."""
+    return F.unhex(F.md5(t))
+
+
+def _titles(papers: DataFrame) -> DataFrame:
+    """(id, t) of the distinct titles, written once."""
+    return cut(papers.select(F.lower("title").alias("t")).filter("t <> ''").distinct().select(_title_id(F.col("t")).alias("id"), "t"))
+
+
+def title_candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of ids of titles (id, t) that share a piece near its place, and may so be alike."""
     size, step, share = F.length("t"), -math.log(least), (1 - least) / least
     band = F.floor(F.log(size.cast("double")) / step).cast("int")
     # how far a title of the band can lie from any it may match: all edits of the longest one
     width = lambda b: F.ceil(F.exp((b + 1) * step) / least * share).cast("int")
     k = (F.ceil(size * share) - 1).cast("int")
     piece = F.floor(size / (k + 1)).cast("int")
-    cut_up = F.transform(F.sequence(F.lit(0), k), lambda i: F.struct((i * piece).alias("at"), F.substring(F.col("t"), i * piece + 1, piece).alias("gram")))
+    # characters as an array, bound once for a row: each substring of a long text would be looked for from its beginning
+    chars = lambda body: F.element_at(F.transform(F.array(F.split("t", "")), body), 1)
+    cut_up = chars(lambda c: F.transform(F.sequence(F.lit(0), k), lambda i: F.struct((i * piece).alias("at"), F.xxhash64(F.slice(c, i * piece + 1, piece)).alias("gram"))))
     near = F.sequence(band - 1, band + 1)
-    pieces = distinct(left).select(F.col("t").alias("a"), piece.alias("n"), k.alias("k"), near.alias("bands"), cut_up.alias("ps"))
+    pieces = left.select(F.col("id").alias("a"), piece.alias("n"), k.alias("k"), near.alias("bands"), cut_up.alias("ps"))
     pieces = pieces.select("a", "n", "k", "ps", F.explode("bands").alias("band")).select("a", "n", "k", "band", F.explode("ps").alias("p"))
     place = F.floor(F.col("p.at") / width(F.col("band")))
     pieces = pieces.select("a", "n", "k", "band", F.col("p.at").alias("at"), F.col("p.gram").alias("gram"), F.explode(F.sequence(place - 1, place + 1)).alias("bucket"))
-    sizes = distinct(left).select(piece.alias("n"), F.explode(near).alias("band")).distinct()  # a few piece lengths for each of about 200 bands
-    spread = distinct(right).withColumn("band", band).join(F.broadcast(sizes), "band").filter(F.length("t") >= F.col("n"))
-    grams = F.transform(F.sequence(F.lit(0), F.length("t") - F.col("n")), lambda i: F.struct(i.alias("at2"), F.substring(F.col("t"), i + 1, F.col("n")).alias("gram")))
-    placed = spread.select(F.col("t").alias("b"), "n", "band", F.explode(grams).alias("g")).select("b", "n", "band", "g.*").withColumn("bucket", F.floor(F.col("at2") / width(F.col("band"))))
-    close = pieces.join(placed, ["band", "bucket", "n", "gram"]).filter(F.abs(F.col("at") - F.col("at2")) <= F.col("k")).select("a", "b").distinct()
-    longest = F.greatest(F.length("a"), F.length("b"))
-    limit = F.ceil(longest * (1 - least)).cast("int")
-    found = close.withColumn("edits", F.call_function("levenshtein", F.col("a"), F.col("b"), limit)).filter(F.col("edits") >= 0)
-    same = found.filter(1 - F.col("edits") / longest > least).select("a", "b")
-    return same.join(left.select(F.lower("title").alias("a"), "ord"), "a").join(right.select(F.lower("title").alias("b"), F.col("ord").alias("other")), "b").select("ord", "other")
+    sizes = left.select(piece.alias("n"), F.explode(near).alias("band")).distinct()  # a few piece lengths for each of about 200 bands
+    spread = right.withColumn("band", band).join(F.broadcast(sizes), "band").filter(F.length("t") >= F.col("n"))
+    last = F.greatest(F.length("t") - F.col("n"), F.lit(0))
+    grams = chars(lambda c: F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("at2"), F.xxhash64(F.slice(c, i + 1, F.col("n"))).alias("gram"))))
+    placed = spread.select(F.col("id").alias("b"), "n", "band", grams.alias("gs")).select("b", "n", "band", F.explode("gs").alias("g")).select("b", "n", "band", "g.*").withColumn("bucket", F.floor(F.col("at2") / width(F.col("band"))))
+    return pieces.join(placed, ["band", "bucket", "n", "gram"]).filter(F.abs(F.col("at") - F.col("at2")) <= F.col("k")).select("a", "b").distinct()
 
 
 def dedupe_by_title(merged: DataFrame, loose: DataFrame, least: float = 0.9) -> DataFrame:
