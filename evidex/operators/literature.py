@@ -82,6 +82,10 @@ def _titles(papers: DataFrame) -> DataFrame:
     return cut(papers.select(F.lower("title").alias("t")).filter("t <> ''").distinct().select(_title_id(F.col("t")).alias("id"), "t"))
 
 
+#: Characters of a title that are cut into pieces at a time.
+STRETCH = 256
+
+
 def title_candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of ids of titles (id, t) that share a piece near its place, and may so be alike."""
     size, step, share = F.length("t"), -math.log(least), (1 - least) / least
@@ -90,18 +94,19 @@ def title_candidates(left: DataFrame, right: DataFrame, least: float) -> DataFra
     width = lambda b: F.ceil(F.exp((b + 1) * step) / least * share).cast("int")
     k = (F.ceil(size * share) - 1).cast("int")
     piece = F.floor(size / (k + 1)).cast("int")
-    # characters as an array, bound once for a row: each substring of a long text would be looked for from its beginning
-    chars = lambda body: F.element_at(F.transform(F.array(F.split("t", "")), body), 1)
-    cut_up = chars(lambda c: F.transform(F.sequence(F.lit(0), k), lambda i: F.struct((i * piece).alias("at"), F.xxhash64(F.slice(c, i * piece + 1, piece)).alias("gram"))))
+    cut_up = F.slice(F.regexp_extract_all("t", F.concat(F.lit("(?s).{"), piece.cast("string"), F.lit("}")), F.lit(0)), 1, k + 1)
     near = F.sequence(band - 1, band + 1)
-    pieces = left.select(F.col("id").alias("a"), piece.alias("n"), k.alias("k"), near.alias("bands"), cut_up.alias("ps"))
-    pieces = pieces.select("a", "n", "k", "ps", F.explode("bands").alias("band")).select("a", "n", "k", "band", F.explode("ps").alias("p"))
-    place = F.floor(F.col("p.at") / width(F.col("band")))
-    pieces = pieces.select("a", "n", "k", "band", F.col("p.at").alias("at"), F.col("p.gram").alias("gram"), F.explode(F.sequence(place - 1, place + 1)).alias("bucket"))
+    pieces = left.select(F.col("id").alias("a"), piece.alias("n"), k.alias("k"), near.alias("bands"), F.posexplode(cut_up).alias("i", "gram"))
+    pieces = pieces.select("a", "n", "k", (F.col("i") * F.col("n")).alias("at"), F.xxhash64("gram").alias("gram"), F.explode("bands").alias("band"))
+    place = F.floor(F.col("at") / width(F.col("band")))
+    pieces = pieces.select("a", "n", "k", "band", "at", "gram", F.explode(F.sequence(place - 1, place + 1)).alias("bucket"))
     sizes = left.select(piece.alias("n"), F.explode(near).alias("band")).distinct()  # a few piece lengths for each of about 200 bands
     spread = right.withColumn("band", band).join(F.broadcast(sizes), "band").filter(F.length("t") >= F.col("n"))
     last = F.greatest(F.length("t") - F.col("n"), F.lit(0))
-    grams = chars(lambda c: F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("at2"), F.xxhash64(F.slice(c, i + 1, F.col("n"))).alias("gram"))))
+    # a substring is looked for from the beginning, so long titles are first cut into stretches
+    inside = lambda c, j: F.transform(F.sequence(j * STRETCH, F.least(j * STRETCH + (STRETCH - 1), last)), lambda i: F.struct(i.alias("at2"), F.xxhash64(F.substring(c, i - j * STRETCH + 1, F.col("n"))).alias("gram")))
+    stretch = lambda j: F.element_at(F.transform(F.array(F.substring(F.col("t"), j * STRETCH + 1, F.lit(STRETCH) + F.col("n"))), lambda c: inside(c, j)), 1)
+    grams = F.flatten(F.transform(F.sequence(F.lit(0), F.floor(last / STRETCH).cast("int")), stretch))
     placed = spread.select(F.col("id").alias("b"), "n", "band", grams.alias("gs")).select("b", "n", "band", F.explode("gs").alias("g")).select("b", "n", "band", "g.*").withColumn("bucket", F.floor(F.col("at2") / width(F.col("band"))))
     return pieces.join(placed, ["band", "bucket", "n", "gram"]).filter(F.abs(F.col("at") - F.col("at2")) <= F.col("k")).select("a", "b").distinct()
 
