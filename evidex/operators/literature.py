@@ -63,7 +63,9 @@ def title_pairs(left: DataFrame, right: DataFrame, least: float = 0.9) -> DataFr
     if not 0.5 < least < 1:
         raise ValueError("least lies between 0.5 and 1")
     one, other = _titles(left), _titles(right)
-    pairs = title_candidates(one, other, least).join(one.withColumnsRenamed({"id": "a", "t": "ta"}), "a").join(other.withColumnsRenamed({"id": "b", "t": "tb"}), "b")
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = title_candidates(one, other, least).repartition(tasks, "a", "b")  # few bytes, but long to compare
+    pairs = pairs.join(one.withColumnsRenamed({"id": "a", "t": "ta"}), "a").join(other.withColumnsRenamed({"id": "b", "t": "tb"}), "b")
     longest = F.greatest(F.length("ta"), F.length("tb"))
     limit = F.ceil(longest * (1 - least)).cast("int")
     found = pairs.withColumn("edits", F.call_function("levenshtein", F.col("ta"), F.col("tb"), limit)).filter(F.col("edits") >= 0)
