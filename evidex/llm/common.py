@@ -49,9 +49,14 @@ def scratch(spark: SparkSession):
         yield
     finally:
         for path in _owned.pop():
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             spark.sql(f"drop table if exists `{path.rsplit('/', 1)[1].replace('-', '_')}`")
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            forget(spark, path)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes what stands at a path of the shared folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:

@@ -1,11 +1,12 @@
-"""The queries op1 to op10 over the given tables, and the SQL that DuckDB can check them by."""
+"""The queries op1 to op13 over the given tables, and the SQL that DuckDB can check them by."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidex.llm import byte_bpe, chat, decontaminate, line_dedup, quality, secrets, simhash, token_count, token_files, toxicity
+from evidex.llm import byte_bpe, centroids, chat, decontaminate, langid, line_dedup, quality, runs, secrets, simhash, token_count, token_files, toxicity
+from evidex.llm.common import let
 
 
 def vocabulary_path(name: str) -> str:
@@ -114,8 +115,43 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(_read(spark, sf_dir, "documents"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text): one in ten, by the hash of its doc_id, goes on from some word with a period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def planted(w):
+        n = F.size(w).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        again = F.transform(F.sequence(a, n - 1), lambda i: F.element_at(w, (a + (i - a) % p + 1).cast("int")))
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a.cast("int")), again), " ")
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    changed = let(words, lambda w: F.when(F.size(w) > 0, planted(w)).otherwise(F.lit("")))
+    return docs.withColumn("text", F.when((h % 10 == 0) & F.col("text").isNotNull(), changed).otherwise(F.col("text")))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_runs(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    digests = (F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return runs.find_runs(docs).select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", *digests, "n_words")
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_read(spark, sf_dir, "embeddings")).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = langid.fit_languages(docs.filter(~held))
+    return langid.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def queries() -> dict:
-    found = (op1_token_files, op2_toxicity, op3_chat_format, op4_quality_rules, op5_decontaminate, op6_simhash, op7_line_dedup, op8_secret_scan, op9_token_count, op10_byte_bpe)
+    found = (op1_token_files, op2_toxicity, op3_chat_format, op4_quality_rules, op5_decontaminate, op6_simhash, op7_line_dedup, op8_secret_scan, op9_token_count, op10_byte_bpe, op11_periodic_runs, op12_centroid_clusters, op13_language_id)
     return {f.__name__: f for f in found}
 
 
@@ -192,5 +228,25 @@ from docs left join b using (rid) left join e using (rid)
 """
 
 
+def _op12(k: int = 40, rounds: int = 5) -> str:
+    """Each round as two steps: every vector with every centroid, then the floors of the means."""
+    near = "a{r} as materialized (select rid, vec_id, v, best.d as d, best.n as n from (select rid, any_value(vec_id) as vec_id, any_value(v) as v, min(struct_pack(d := cast(list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c) as bigint), n := n)) as best from kept cross join c{r} group by rid))"
+    mean = """m{r} as (select n, list(cast((s - (((s % m) + m) % m)) // m as double) order by p) as c from (select n, p, cast(sum(x) as bigint) as s, count(*) as m from (select n, unnest(v) as x, unnest(range(1, 65)) as p from a{r}) group by n, p) group by n),
+c{q} as materialized (select n, coalesce(m{r}.c, c{r}.c) as c from c{r} left join m{r} using (n))"""
+    steps = ",\n".join(f"{near.format(r=r)},\n{mean.format(r=r, q=r + 1)}" for r in range(rounds))
+    return f"""
+with kept as materialized (
+  select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64
+), c0 as materialized (
+  select cast(row_number() over (order by h, v) - 1 as integer) as n, v as c from (select coalesce(sha256('2:' || vec_id), '~') as h, v from kept order by h, v limit {k})
+), {steps},
+{near.format(r=rounds)},
+shas as (select n, sha256(array_to_string(list_transform(c, lambda x: cast(cast(x as bigint) as varchar)), ',')) as centroid_sha256 from c{rounds})
+select vec_id, n as cluster, d as distance, cast(sum(d) over (partition by n) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia, centroid_sha256
+from a{rounds} join shas using (n)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": _OP3.replace("{page}", str(PAGE_CHARS)).replace("{tokens}", str(chat.PAGE_TOKENS)), "op5_decontaminate": _OP5, "op8_secret_scan": _op8()}
+    return {"op3_chat_format": _OP3.replace("{page}", str(PAGE_CHARS)).replace("{tokens}", str(chat.PAGE_TOKENS)), "op5_decontaminate": _OP5, "op8_secret_scan": _op8(), "op12_centroid_clusters": _op12()}
