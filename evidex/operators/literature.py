@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from evidex.adapters import SOURCES
 from evidex.functions.text import any_in, count_occurrences
 from evidex.operators.blocks import overlap_search
-from evidex.operators.graph import cut
+from evidex.operators.titles import title_pairs
 
 MERGED = ("title", "abstract", "doi", "pmid", "pmcid", "year", "influential_citations", "reference_count", "is_open_access", "journal", "authors", "publication_type", "keywords", "pdf_url")
 
@@ -51,68 +50,6 @@ def dedupe_by_identifier(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return merge_papers(keyed.filter("key is not null"), "key").drop("key"), keyed.filter("key is null").drop("key")
 
 
-def title_pairs(left: DataFrame, right: DataFrame, least: float = 0.9) -> DataFrame:
-    """(ord, other) of titles whose edit similarity passes ``least`` (over a half, under one).
-
-    A title within k edits keeps one of k + 1 equal pieces of the other whole, moved by k places at
-    most, so pieces are the blocks. Lengths fall into bands a factor of ``least`` wide and places into
-    buckets as wide as any title of the band can move; both are part of the key, so a piece that is
-    frequent meets only titles of its length that have it near its place. Candidates are compared
-    exactly; equal titles are compared once.
-    """
-    if not 0.5 < least < 1:
-        raise ValueError("least lies between 0.5 and 1")
-    one, other = _titles(left), _titles(right)
-    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = title_candidates(one, other, least).repartition(tasks, "a", "b")  # few bytes, but long to compare
-    pairs = pairs.join(one.withColumnsRenamed({"id": "a", "t": "ta"}), "a").join(other.withColumnsRenamed({"id": "b", "t": "tb"}), "b")
-    longest = F.greatest(F.length("ta"), F.length("tb"))
-    limit = F.ceil(longest * (1 - least)).cast("int")
-    found = pairs.withColumn("edits", F.call_function("levenshtein", F.col("ta"), F.col("tb"), limit)).filter(F.col("edits") >= 0)
-    same = found.filter(1 - F.col("edits") / longest > least).select("a", "b")
-    rows = lambda d, key, name: d.select(_title_id(F.lower("title")).alias(key), F.col("ord").alias(name))
-    return same.join(rows(left, "a", "ord"), "a").join(rows(right, "b", "other"), "b").select("ord", "other")
-
-
-def _title_id(t: Column) -> Column:
-    """A title by 128 bits of hash, as the title itself would go along with each of its pieces."""
-    return F.unhex(F.md5(t))
-
-
-def _titles(papers: DataFrame) -> DataFrame:
-    """(id, t) of the distinct titles, written once."""
-    return cut(papers.select(F.lower("title").alias("t")).filter("t <> ''").distinct().select(_title_id(F.col("t")).alias("id"), "t"))
-
-
-#: Characters of a title that are cut into pieces at a time.
-STRETCH = 256
-
-
-def title_candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of ids of titles (id, t) that share a piece near its place, and may so be alike."""
-    size, step, share = F.length("t"), -math.log(least), (1 - least) / least
-    band = F.floor(F.log(size.cast("double")) / step).cast("int")
-    # how far a title of the band can lie from any it may match: all edits of the longest one
-    width = lambda b: F.ceil(F.exp((b + 1) * step) / least * share).cast("int")
-    k = (F.ceil(size * share) - 1).cast("int")
-    piece = F.floor(size / (k + 1)).cast("int")
-    cut_up = F.slice(F.regexp_extract_all("t", F.concat(F.lit("(?s).{"), piece.cast("string"), F.lit("}")), F.lit(0)), 1, k + 1)
-    near = F.sequence(band - 1, band + 1)
-    pieces = left.select(F.col("id").alias("a"), piece.alias("n"), k.alias("k"), near.alias("bands"), F.posexplode(cut_up).alias("i", "gram"))
-    pieces = pieces.select("a", "n", "k", (F.col("i") * F.col("n")).alias("at"), F.xxhash64("gram").alias("gram"), F.explode("bands").alias("band"))
-    place = F.floor(F.col("at") / width(F.col("band")))
-    pieces = pieces.select("a", "n", "k", "band", "at", "gram", F.explode(F.sequence(place - 1, place + 1)).alias("bucket"))
-    sizes = left.select(piece.alias("n"), F.explode(near).alias("band")).distinct()  # a few piece lengths for each of about 200 bands
-    spread = right.withColumn("band", band).join(F.broadcast(sizes), "band").filter(F.length("t") >= F.col("n"))
-    last = F.greatest(F.length("t") - F.col("n"), F.lit(0))
-    # a substring is looked for from the beginning, so long titles are first cut into stretches
-    inside = lambda c, j: F.transform(F.sequence(j * STRETCH, F.least(j * STRETCH + (STRETCH - 1), last)), lambda i: F.struct(i.alias("at2"), F.xxhash64(F.substring(c, i - j * STRETCH + 1, F.col("n"))).alias("gram")))
-    stretch = lambda j: F.element_at(F.transform(F.array(F.substring(F.col("t"), j * STRETCH + 1, F.lit(STRETCH) + F.col("n"))), lambda c: inside(c, j)), 1)
-    grams = F.flatten(F.transform(F.sequence(F.lit(0), F.floor(last / STRETCH).cast("int")), stretch))
-    placed = spread.select(F.col("id").alias("b"), "n", "band", grams.alias("gs")).select("b", "n", "band", F.explode("gs").alias("g")).select("b", "n", "band", "g.*").withColumn("bucket", F.floor(F.col("at2") / width(F.col("band"))))
-    return pieces.join(placed, ["band", "bucket", "n", "gram"]).filter(F.abs(F.col("at") - F.col("at2")) <= F.col("k")).select("a", "b").distinct()
-
-
 def dedupe_by_title(merged: DataFrame, loose: DataFrame, least: float = 0.9) -> DataFrame:
     """``merged`` and those of ``loose`` whose title is like none of them; like ones join the first such row.
 

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.functions.text import normalize_text, sentences_with
-from evidex.operators.blocks import Best, block_join, lists
+from evidex.operators.blocks import QUERY_ROWS, Best, block_join
+from evidex.operators.graph import cut, write_cut
+from evidex.operators.nearest import build_index, matrix, scores, search_index, sized
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,47 +34,30 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)))
 
 
-def _matrix(table: pa.Table) -> np.ndarray:
-    flat, begins = lists(table.column("vector"))
-    return flat.astype(np.float64).reshape(len(begins) - 1, -1)
-
-
 #: Rows of a block that are scored at a time.
 _PIECE = 1024
 
 
-def _scores(q: np.ndarray, m: np.ndarray, metric: str) -> np.ndarray:
-    s = q @ m.T
-    if metric == "cosine":
-        scale = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(m, axis=1)[None]
-        s = np.divide(s, scale, out=np.zeros_like(s), where=scale > 0)
-    elif metric == "euclidean":
-        s = -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (m**2).sum(1)[None] - 2 * s, 0))
-    return np.round(s, 9)
-
-
-def _sized(df: DataFrame, name: str, apart: str | None = None) -> DataFrame:
-    more = [F.col(apart).cast("long").alias("apart")] if apart else []
-    return df.select(F.col(name).cast("long").alias(name), "vector", F.size("vector").alias("dims"), *more).filter("vector is not null and dims > 0")
-
-
 def vector_search(store: DataFrame, queries: DataFrame, top_k: int, source_type: str | None = None, metric: str = "cosine", exclude_self: bool = True, apart: str | None = None) -> DataFrame:
     """(query, id, score, rank): the best ``top_k`` of ``store`` (id, vector) for each of ``queries`` (query, vector).
 
-    Exact. Blocks of queries meet blocks of the store in tasks, which score them by one matrix product
-    and keep ``top_k`` for each query, so the last shuffle carries top_k rows for a query and block, and
-    no pair is ever a row. Scores tie by id; only vectors of one length meet. With ``apart``, a column of
-    numbers that both have, rows with equal numbers there don't count as neighbours.
+    Exact. Few queries are one block that meets blocks of the store in tasks, which score them by one
+    matrix product and keep ``top_k`` for each query, so no row of the store is copied and no pair is
+    ever a row; more than that go through a metric index (see ``nearest``). Scores tie by id; only
+    vectors of one length meet; rows and queries without an id or a vector are left out. With ``apart``,
+    a column of numbers that both have, rows with equal numbers there don't count as neighbours.
     """
     rows = store if source_type is None else store.filter(F.col("source_type") == source_type)
+    if queries.select("query").limit(QUERY_ROWS + 1).count() > QUERY_ROWS:
+        return search_index(build_index(rows, metric, apart), queries, top_k, exclude_self, apart)
 
     def work(asked: pa.Table, held: pa.Table) -> pa.Table:
         names, ids = asked.column("query").to_numpy(), held.column("id").to_numpy()
         best = Best(len(names), top_k)
         if len(names) and len(ids):
-            q, m = _matrix(asked), _matrix(held)
+            q, m = matrix(asked.column("vector")), matrix(held.column("vector"))
             for k in range(0, len(ids), _PIECE):
-                s, at = _scores(q, m[k : k + _PIECE], metric), ids[k : k + _PIECE]
+                s, at = scores(q, m[k : k + _PIECE], metric), ids[k : k + _PIECE]
                 if apart:
                     s[asked.column("apart").to_numpy()[:, None] == held.column("apart").to_numpy()[k : k + _PIECE][None]] = -np.inf
                 if exclude_self:
@@ -80,7 +65,7 @@ def vector_search(store: DataFrame, queries: DataFrame, top_k: int, source_type:
                 best.add(s, at)
         return pa.table({"query": pa.array(names[best.query], pa.int64()), "id": pa.array(best.id, pa.int64()), "score": pa.array(best.score, pa.float64())})
 
-    found = block_join(_sized(queries, "query", apart), _sized(rows, "id", apart), work, "query long, id long, score double", key="dims")
+    found = block_join(sized(queries, "query", apart), sized(rows, "id", apart), work, "query long, id long, score double", key="dims")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= top_k)
 
@@ -102,8 +87,8 @@ def find_similar(store: DataFrame, ids: DataFrame | list[int], top_k: int) -> Da
 
 
 def knn_all_pairs(store: DataFrame, k: int) -> DataFrame:
-    """k nearest for every row: all rows are the query set, block by block."""
-    return vector_search(store, store.select(F.col("id").alias("query"), "vector"), k)
+    """k nearest for every row: all rows are the query set of a metric index over themselves."""
+    return search_index(build_index(store), store.select(F.col("id").alias("query"), "vector"), k)
 
 
 def get_by_source(store: DataFrame, source_id: int) -> DataFrame:
@@ -215,47 +200,81 @@ def suggest_expansion(store: DataFrame, query_ids: DataFrame | list[int], presen
     return near.withColumn("place", place).filter(F.col("place") <= k).select("query", "id", "score")
 
 
-def threshold_pairs(store: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): ids with a < b whose cosine reaches the threshold, blocks of rows against blocks of rows."""
-
-    def work(asked: pa.Table, held: pa.Table) -> pa.Table:
-        names, ids, found = asked.column("query").to_numpy(), held.column("id").to_numpy(), [(np.zeros(0, np.int64),) * 2]
-        if len(names) and len(ids):
-            q, m = _matrix(asked), _matrix(held)
-            for k in range(0, len(ids), _PIECE):
-                at = ids[k : k + _PIECE]
-                i, j = np.nonzero((_scores(q, m[k : k + _PIECE], "cosine") >= threshold) & (names[:, None] < at[None]))
-                found.append((names[i], at[j]))
-        a, b = (np.concatenate(x) for x in zip(*found))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    rows = _sized(store, "id")
-    return block_join(rows.withColumnRenamed("id", "query"), rows, work, "a long, b long", key="dims")
+#: Rows of a block in which leaders are found one after the other, and bytes of their vectors at most.
+LEADER_ROWS, LEADER_BYTES = 16_384, 16 << 20
 
 
 def cluster_leader(store: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """(id, leader): the first row without a leader leads all later free rows that are near enough.
-
-    Rounds decide which rows lead: a row leads once every earlier neighbour is known to follow, and
-    follows once an earlier neighbour leads. Then each follower takes its earliest leading neighbour,
-    which is the sequential loop's result. Each round is written.
+    """(id, leader): the first row without a leader, in order of id, leads all later free rows that are near enough.
+
+    A round takes the first free rows, a block that one task can hold, and goes through them one after
+    the other; their leaders then take every other free row that is near one of them, the earliest one
+    first, and what is left is the next round's table. So every row is written once when it is decided and
+    once for each block of leaders before it, whatever the number of near pairs. Rows without an id or a
+    vector are left out, rows with one id are one, the least by its vector; vectors of different lengths
+    are never near.
     """
-    from evidex.operators.graph import cut
-
-    pairs = cut(threshold_pairs(store, threshold))
-    state = cut(store.select("id", F.lit(None).cast("boolean").alias("leads")))
-    while True:
-        free = state.filter("leads is null").select("id")
-        if free.isEmpty():
-            break
-        blocked = pairs.join(state.filter("leads is null or leads").select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        new = cut(free.join(blocked, "id", "left_anti"))
-        under = pairs.join(new.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        news = new.withColumn("new", F.lit(True)).union(under.join(new, "id", "left_anti").withColumn("new", F.lit(False)))
-        state = cut(state.join(news, "id", "left").select("id", F.coalesce("leads", "new").alias("leads")))
-    heads = state.filter("leads").select("id")
-    first = pairs.join(heads.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("first"))
-    return state.join(first, "id", "left").select("id", F.when(F.col("leads"), F.col("id")).otherwise(F.col("first")).alias("leader"))
+    spark = store.sparkSession
+    free = cut(sized(store, "id").groupBy("id").agg(F.min(F.struct("vector", "dims")).alias("r")).select("id", "r.*"))
+    done: list[str] = []
+    while (widest := free.agg(F.max("dims").alias("d")).first().d) is not None:
+        block = min(LEADER_ROWS, max(1, LEADER_BYTES // (8 * widest)))
+        head = cut(free.orderBy("id").limit(block))
+        last = head.agg(F.max("id")).first()[0]
+        decided = write_cut(head.repartition(1).mapInArrow(lambda batches: _led(batches, threshold), "id long, leader long"))
+        done.append(decided)
+        own = spark.read.schema("id long, leader long").parquet(decided).filter("id = leader").select("id")
+        lead = head.join(own, "id", "left_semi").orderBy("id").select("id", "vector").collect()  # a block at most
+        leaders: dict[int, list] = {}
+        for r in lead:
+            leaders.setdefault(len(r.vector), []).append((r.id, r.vector))
+        sent = spark.sparkContext.broadcast({n: (np.array([i for i, _ in x]), np.array([v for _, v in x], float)) for n, x in leaders.items()})
+        rest = cut(free.filter(F.col("id") > last).mapInArrow(lambda batches, sent=sent: _followers(batches, sent.value, threshold), free.withColumn("leader", F.lit(None).cast("long")).schema))
+        done.append(write_cut(rest.filter("leader is not null").select("id", "leader")))
+        free = cut(rest.filter("leader is null").drop("leader"))
+    return spark.read.schema("id long, leader long").parquet(*done) if done else spark.createDataFrame([], "id long, leader long")
+
+
+def _led(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """The sequential loop over a block: the first free row takes all near ones, then the next free row."""
+    held = list(batches)
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    ids, dims = table.column("id").to_numpy(), table.column("dims").to_numpy()
+    leader = np.full(len(ids), -1)
+    for x in np.unique(dims).tolist():
+        at = np.flatnonzero(dims == x)
+        m = matrix(pa.chunked_array([table.column("vector").take(pa.array(at)).combine_chunks()]))
+        order = np.argsort(ids[at])
+        at, m = at[order], m[order]
+        taken = np.full(len(at), -1)
+        for i in range(len(at)):
+            if taken[i] < 0:
+                near = (scores(m[i : i + 1], m[i:], "cosine")[0] >= threshold) & (taken[i:] < 0)
+                near[0] = True
+                taken[i:][near] = i
+        leader[at] = ids[at][taken]
+    yield pa.record_batch({"id": pa.array(ids), "leader": pa.array(leader)})
+
+
+def _followers(batches: Iterator[pa.RecordBatch], leaders: dict[int, tuple[np.ndarray, np.ndarray]], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows with the earliest of ``leaders`` that is near, or null."""
+    for whole in batches:
+        for a in range(0, len(whole), 1024):
+            batch = whole.slice(a, 1024)
+            dims = batch.column("dims").to_numpy()
+            found, known = np.zeros(len(dims), np.int64), np.zeros(len(dims), bool)
+            for x in np.unique(dims).tolist():
+                ids, m = leaders.get(x, (None, None))
+                open_ = np.flatnonzero(dims == x)
+                v = matrix(pa.chunked_array([batch.column("vector").take(pa.array(open_))]))
+                for k in range(0, len(m) if m is not None else 0, 1024):
+                    near = scores(v, m[k : k + 1024], "cosine") >= threshold
+                    hit = near.any(axis=1)
+                    found[open_[hit]], known[open_[hit]] = ids[k : k + 1024][near[hit].argmax(axis=1)], True
+                    open_, v = open_[~hit], v[~hit]
+            yield pa.record_batch({c: batch.column(c) for c in batch.schema.names} | {"leader": pa.array(found, mask=~known)})
 
 
 def layout_2d(store: DataFrame, width: float = 400.0) -> DataFrame:
