@@ -33,6 +33,24 @@ def block_join(queries: DataFrame, rows: DataFrame, work: Callable[[pa.Table, pa
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(work, schema)
 
 
+#: Most keys that spread_join sends to all tasks, and rows of one key that it leaves together.
+HOT_KEYS, TOGETHER = 100_000, 20_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, together: int = TOGETHER) -> DataFrame:
+    """``left`` joined with ``right`` by ``key``; rows of a frequent key are dealt over tasks.
+
+    A key of more right rows than ``together``, and than one in ``HOT_KEYS`` of all, is cut into parts of
+    about so many by a hash of the row, and its left rows are copied to each part.
+    """
+    bound = max(together, right.count() // HOT_KEYS)
+    hot = right.groupBy(key).count().filter(F.col("count") > bound).select(key, F.ceil(F.col("count") / bound).alias("_parts"))  # HOT_KEYS rows at most
+    parts = F.coalesce("_parts", F.lit(1).cast("long"))
+    dealt = right.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(*right.columns), parts)).drop("_parts")
+    copied = left.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return copied.join(dealt, [key, "_part"]).drop("_part")
+
+
 class Best:
     """The ``k`` best (score, then least id) of each query, fed with matrices of scores."""
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.functions.text import normalize_text, score_to_confidence
-from evidex.operators.blocks import overlap_search
+from evidex.operators.blocks import overlap_search, spread_join
+from evidex.operators.graph import cut
 
 #: The eight default target rules, by number: target id, name, type, gene, base confidence.
 TARGET_RULES = (
@@ -88,21 +89,44 @@ def similar_compounds(queries: DataFrame, bits: DataFrame, threshold: float = 0.
     return found.select("query", F.col("id").alias("compound_id"), F.col("score").alias("similarity"), "rank")
 
 
-def similarity_join(bits: DataFrame, threshold: float) -> DataFrame:
-    """All pairs (a, b, similarity) of different compounds with Tanimoto at ``threshold`` or more.
+#: Classes of bits that are counted for each set, to bound how many two sets can share.
+CLASSES = 16
 
-    Prefix filtering: bits are ordered from rare to common, and two sets as similar as that share one of
-    the first n - ceil(t n) + 1 bits of each; only those bits are joined, with sizes that can match,
-    and the candidates' whole sets are compared exactly.
-    """
+
+def _ordered_sets(bits: DataFrame) -> DataFrame:
+    """(compound_id, set, n, classes): bits from rare to common, how many there are, and how many of each class."""
+    bits = bits.select("compound_id", "bit").distinct()
     freq = bits.groupBy("bit").agg(F.count("*").alias("f"))
     sets = bits.join(freq, "bit").groupBy("compound_id").agg(F.array_sort(F.collect_list(F.struct("f", "bit"))).alias("fb"))
-    sets = sets.select("compound_id", F.transform("fb", lambda x: x["bit"]).alias("set"), F.size("fb").alias("n"))
-    keep = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")
-    prefix = sets.select("compound_id", "n", F.explode(F.slice("set", F.lit(1), F.greatest(keep, F.lit(1)))).alias("bit"))
-    a, b = prefix.toDF("a", "na", "bit"), prefix.toDF("b", "nb", "bit")
+    in_class = lambda k: F.size(F.filter("fb", lambda x: F.pmod(F.xxhash64(x["bit"]), F.lit(CLASSES)) == k))
+    return sets.select("compound_id", F.transform("fb", lambda x: x["bit"]).alias("set"), F.size("fb").alias("n"), F.array(*[in_class(k) for k in range(CLASSES)]).alias("classes"))
+
+
+def similarity_candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of ordered sets that can be as similar as ``threshold``: few more than those that are.
+
+    Two such sets share ceil(t / (1 + t) (na + nb)) bits, so they share one of the first n - ceil(t n) + 1
+    of each (prefix filter). Of the bits shared there all up to the last one are known, and after it there
+    can't be more than the shorter rest (positional filter); nor can they share more of a class of bits
+    than the one that has fewer (suffix filter). A bit that many prefixes have is dealt over tasks.
+    """
+    keep = F.greatest((F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"), F.lit(1))
+    prefix = sets.select("compound_id", "n", "classes", F.posexplode(F.slice("set", F.lit(1), keep)).alias("pos", "bit"))
+    a, b = prefix.toDF("a", "na", "ca", "pa", "bit"), prefix.toDF("b", "nb", "cb", "pb", "bit")
+    needed = F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
     fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    pairs = a.join(b, "bit").filter(fits).select("a", "b").distinct()
+    shared = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    at_most = 1 + F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+    met = spread_join(a, b, "bit").filter(fits & (at_most >= needed)).filter(shared >= needed)
+    known = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    rest = F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
+    return known.filter(F.col("c") + rest >= needed).select("a", "b")
+
+
+def similarity_join(bits: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b, similarity) of different compounds with Tanimoto at ``threshold`` or more; candidates are compared exactly."""
+    sets = cut(_ordered_sets(bits))
+    pairs = similarity_candidates(sets, threshold)
     both = pairs.join(sets.select(F.col("compound_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("compound_id").alias("b"), F.col("set").alias("y")), "b")
     return both.select("a", "b", tanimoto(F.col("x"), F.col("y")).alias("similarity")).filter(F.col("similarity") >= threshold)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import re
 import tempfile
 import uuid
@@ -245,33 +244,60 @@ def neighbors(edges: DataFrame) -> DataFrame:
 
 
 def shortest_path(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(found, path, length): breadth first from a; among shortest paths the least by its nodes in order.
+    """(found, path, length): breadth first from both ends; among shortest paths the least by its nodes in order.
 
-    The frontier holds a row for each newly reached node, joined with the edges and kept out of what
-    was reached before. A round writes its frontier and looks at it once; rounds end with the frontier.
+    A round extends the side with the smaller frontier by one step. Its rows are a node and, on the side of
+    ``b``, the least next node on the way there, so they have one size at any depth. Where the sides meet,
+    the nodes of the other side that lie on a shortest path get their next nodes level by level, and the
+    least path is read off from ``a`` on.
     """
     spark = edges.sparkSession
     a, b = normalize_of(a), normalize_of(b)
+    schema = "found boolean, path array<string>, length int"
     links = edges.select("src", "dst").distinct()
     known = links.filter((F.col("src").isin(a, b)) | F.col("dst").isin(a, b)).selectExpr("explode(array(src, dst)) as id").filter(F.col("id").isin(a, b)).distinct().count()
-    none = spark.createDataFrame([(False, [], 0)], "found boolean, path array<string>, length int")
+    none = spark.createDataFrame([(False, [], 0)], schema)
     if known < len({a, b}):
         return none
     if a == b:
-        return spark.createDataFrame([(True, [a], 0)], "found boolean, path array<string>, length int")
+        return spark.createDataFrame([(True, [a], 0)], schema)
     links = cut(links)
-    frontier = spark.createDataFrame([(a, [a])], "id string, path array<string>")
-    written = [write_cut(frontier)]
-    for step in itertools.count(1):
-        seen = spark.read.schema("id string").parquet(*written)
-        reached = links.join(frontier.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
-        written.append(write_cut(reached.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path"))))
-        frontier = spark.read.schema("id string, path array<string>").parquet(written[-1])
-        state = frontier.agg(F.count("*").alias("n"), F.max(F.when(F.col("id") == b, F.col("path"))).alias("path")).first()
-        if state.path is not None:
-            return spark.createDataFrame([(True, state.path, step)], "found boolean, path array<string>, length int")
-        if not state.n:
+    level = lambda path: spark.read.schema("id string, next string").parquet(path)
+    fore, back = ([write_cut(spark.createDataFrame([(end, None)], "id string, next string"))] for end in (a, b))
+    size = {0: 1, 1: 1}
+    while True:
+        side = int(size[1] < size[0])
+        own, other = (back, fore) if side else (fore, back)
+        here, there = ("dst", "src") if side else ("src", "dst")
+        reached = links.join(level(own[-1]).select(F.col("id").alias(here)), here).groupBy(F.col(there).alias("id")).agg(F.min(here).alias("next"))
+        seen = spark.read.schema("id string").parquet(*own)
+        own.append(write_cut(reached.join(seen, "id", "left_anti")))
+        size[side], met = level(own[-1]).join(level(other[-1]).select("id", F.lit(1).alias("met")), "id", "left").agg(F.count("*"), F.count("met")).first()
+        if met:
+            break
+        if not size[side]:
             return none
+    good = level(fore[-1]).join(level(back[-1]).select("id"), "id", "left_semi")  # all that are half way on a shortest path
+    ways = [level(x) for x in back[-2::-1]] if len(back) > 1 else []  # the next nodes from level to level, after the meeting
+    first = level(back[-1]).join(good.select("id"), "id", "left_semi")
+    before = []
+    for x in fore[-2::-1]:
+        step = links.join(good.select(F.col("id").alias("dst")), "dst").join(level(x).select(F.col("id").alias("src")), "src")
+        good = cut(step.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("next")))
+        before.append(good)
+    path, steps = [a], [*before[::-1], first, *ways]
+    for k in range(0, len(steps), READ_OFF):
+        at = spark.createDataFrame([(path[-1],)], "n0 string")
+        some = steps[k : k + READ_OFF]
+        for i, step in enumerate(some):
+            at = step.select(F.col("id").alias(f"n{i}"), F.col("next").alias(f"n{i + 1}")).join(F.broadcast(at), f"n{i}")  # a row of names
+        row = at.select(*[f"n{i + 1}" for i in range(len(some))]).first()
+        path += [x for x in row if x is not None]
+    return spark.createDataFrame([(True, path, len(path) - 1)], schema)
+
+
+#: Steps of a path that are read off in one job.
+READ_OFF = 6
 
 
 #: Parts that the rows of one component are dealt into when they look up its root.

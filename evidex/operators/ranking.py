@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -114,51 +115,165 @@ def ranking_statistics(scored: DataFrame, score: str = "composite") -> DataFrame
     return one.crossJoin(middle).select("n", "mean", "median", "std", "lowest", "highest")  # two tables of one row
 
 
+#: Cells that the criteria are divided into at most, and rows of a piece whose own front is taken.
+CELLS, PIECE = 65_536, 4096
+
+
 def _front(rows: np.ndarray) -> np.ndarray:
     """The distinct rows that no other dominates: by falling sums, as what dominates a row has a higher one."""
     rows = np.unique(rows, axis=0)
-    rows, best = rows[np.argsort(-rows.sum(axis=1), kind="stable")], []
-    while len(rows):
-        best.append(rows[0])
-        rows = rows[1:][~(rows[:1] >= rows[1:]).all(axis=1)]
-    return np.array(best).reshape(len(best), -1)
+    rows = rows[np.lexsort((*-rows.T[::-1], -rows.sum(axis=1)))]
+    best = rows[:0]
+    for k in range(0, len(rows), 256):
+        own = rows[k : k + 256]
+        own = own[~_beaten(own, best)]
+        best = np.vstack([best, own[~_beaten(own, own)]])
+    return best
+
+
+def _beaten(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which rows any of ``others`` dominates on the criteria that both have."""
+    lost = np.zeros(len(own), bool)
+    for k in range(0, len(others), 1024):
+        left = np.flatnonzero(~lost)
+        as_good, better = np.ones((len(left), len(others[k : k + 1024])), bool), np.zeros((len(left), len(others[k : k + 1024])), bool)
+        for x, y in zip(own[left].T, others[k : k + 1024].T):
+            gap = np.isnan(x)[:, None] | np.isnan(y)[None]
+            as_good &= (y[None] >= x[:, None]) | gap
+            better |= (y[None] > x[:, None]) & ~gap
+        lost[left] = (as_good & better).any(axis=1)
+    return lost
+
+
+def _grid(rows: DataFrame, criteria: list[str]) -> list[np.ndarray]:
+    """Boundaries of each criterion that deal its values evenly, as many as make ``CELLS`` cells at most."""
+    n, d = rows.count(), len(criteria)
+    steps = max(1, min(int(CELLS ** (1 / d) + 1e-9), math.ceil((n / 256) ** (1 / max(1, d - 1)))))
+    cuts = rows.approxQuantile(criteria, [k / steps for k in range(1, steps)], 0.25 / steps) if steps > 1 and n else [[]] * d
+    return [np.unique(c) for c in cuts]
+
+
+def _complete_front(rows: DataFrame, criteria: list[str], table, values) -> DataFrame:
+    """The front of distinct rows with every criterion, cell by cell.
+
+    A cell is dropped unseen if another lies above it on every criterion. Rows of what is left can only be
+    dominated by rows of cells that are as high everywhere, and those are few, as the front is thin: each
+    cell's front goes to the cells below it that are left, and is compared there. Cells are counted on
+    the driver, in a grid of ``CELLS`` at most.
+    """
+    spark, schema = rows.sparkSession, rows.schema
+    cuts = _grid(rows, criteria)
+    shape = tuple(len(c) + 1 for c in cuts)
+    cell_of = lambda v: np.ravel_multi_index([np.searchsorted(c, x, side="right") for c, x in zip(cuts, v.T)], shape)
+
+    def thin(batches):
+        for batch in batches:
+            v = values(batch)
+            for k in range(0, len(v), PIECE):
+                own = _front(v[k : k + PIECE])
+                t = table(own)
+                yield from t.append_column("cell", pa.array(cell_of(own))).to_batches()
+
+    celled = cut(rows.mapInArrow(thin, f"{_ddl(criteria)}, cell long"))
+    full = np.zeros(shape, bool)
+    full.ravel()[[r.cell for r in celled.select("cell").distinct().collect()]] = True  # CELLS rows at most
+    above = full.copy()
+    for axis in range(len(shape)):  # whether any cell as high everywhere has rows
+        above = np.flip(np.logical_or.accumulate(np.flip(above, axis), axis=axis), axis)
+    higher = np.zeros(shape, bool)
+    higher[tuple(slice(0, -1) for _ in shape)] = above[tuple(slice(1, None) for _ in shape)]
+    left = np.flatnonzero((full & ~higher).ravel())
+    places = np.array(np.unravel_index(left, shape)).T
+    sent = spark.sparkContext.broadcast((left, places))
+
+    def fan(batches):
+        """Rows of the cells that are left, for their own cell and for each lower one."""
+        cells, at = sent.value
+        for batch in batches:
+            own = np.flatnonzero(np.isin(batch.column("cell").to_numpy(), cells))
+            v, c = values(batch.take(pa.array(own))), batch.column("cell").to_numpy()[own]
+            for x in np.unique(c).tolist():
+                to = cells[(at <= at[np.searchsorted(cells, x)]).all(axis=1)]
+                mine = v[c == x]
+                for k in range(0, len(to), max(1, PIECE * 16 // len(mine))):
+                    some = to[k : k + max(1, PIECE * 16 // len(mine))]
+                    yield from table(np.tile(mine, (len(some), 1))).append_column("cell", pa.array(np.repeat(some, len(mine)))).append_column("own", pa.array(np.repeat(some == x, len(mine)))).to_batches()
+
+    sums = [F.col(c) for c in criteria]
+    first = celled.mapInArrow(fan, f"{_ddl(criteria)}, cell long, own boolean")
+    dealt = first.repartition("cell").sortWithinPartitions("cell", -reduce(lambda a, b: a + b, sums), *[-c for c in sums])
+
+    def settle(batches):
+        """Rows of a cell by falling sums, with those that may dominate them before them."""
+        cell, best = None, None
+        for batch in batches:
+            cells, own, v = batch.column("cell").to_numpy(), batch.column("own").to_numpy(zero_copy_only=False), values(batch)
+            ends = np.append(np.flatnonzero(np.diff(cells)) + 1, len(cells)) if len(cells) else []
+            a = 0
+            for b in map(int, ends):
+                if cells[a] != cell:
+                    cell, best = cells[a], v[:0]
+                for k in range(a, b, 256):
+                    rows_, mine = v[k : min(b, k + 256)], own[k : min(b, k + 256)]
+                    stays = ~_beaten(rows_, best)
+                    rows_, mine = rows_[stays], mine[stays]
+                    stays = ~_beaten(rows_, rows_)
+                    rows_, mine = rows_[stays], mine[stays]
+                    best = np.vstack([best, rows_])
+                    yield from table(rows_[mine]).to_batches()
+                a = b
+
+    return dealt.mapInArrow(settle, schema)
+
+
+def _ddl(criteria: list[str]) -> str:
+    return ", ".join(f"`{c}` double" for c in criteria)
 
 
 def pareto_frontier(wide: DataFrame, key: str, criteria: list[str]) -> DataFrame:
     """Keys of rows that no other row dominates: as good on every criterion that both have, better on one.
 
-    Higher is better. Equal rows are compared once. Rows with every criterion are first thinned out by
-    the front of each task's own rows. What is left of them, and rows with gaps, are compared block
-    with block, as dominance is not transitive among rows with gaps.
+    Higher is better; NaN is a gap, as null is. Equal rows are compared once. Rows with every criterion are reduced to their front
+    by a grid of cells. Dominance is not transitive between rows with different gaps, but it is among rows
+    with the same ones, and what dominates a row dominates all that it does; so rows with gaps are
+    reduced to the front of their own pattern first, and the fronts of different patterns are then
+    compared block with block.
     """
-    distinct = wide.select(*[F.col(c).cast("double").alias(c) for c in criteria]).distinct()
+    number = lambda x: F.when(~F.isnan(x.cast("double")), x.cast("double"))
+    distinct = wide.select(*[number(F.col(c)).alias(c) for c in criteria]).distinct()
     complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in criteria])
-    schema = ", ".join(f"`{c}` double" for c in criteria)
+    schema = _ddl(criteria)
     table = lambda rows: pa.table([pa.array(rows[:, i], pa.float64(), from_pandas=True) for i in range(len(criteria))], criteria)
     values = lambda t: np.column_stack([t.column(c).to_numpy(zero_copy_only=False).astype(float) for c in criteria])
-
-    def thin(batches):
-        best = np.zeros((0, len(criteria)))
-        for batch in batches:
-            best = _front(np.vstack([best, values(batch)]))
-        yield from table(best).to_batches()
-
-    def beaten(asked: pa.Table, held: pa.Table) -> pa.Table:
-        if not len(asked) or not len(held):
-            return table(np.zeros((0, len(criteria))))
-        mine, theirs = values(asked.select(criteria)), values(held.select(["o_" + c for c in criteria]).rename_columns(criteria))
-        lost = np.zeros(len(mine), bool)
-        for k in range(0, len(mine), 256):
-            own = mine[k : k + 256, None, :]
-            gap = np.isnan(own) | np.isnan(theirs[None])
-            lost[k : k + 256] = (((theirs[None] >= own) | gap).all(axis=2) & ((theirs[None] > own) & ~gap).any(axis=2)).any(axis=1)
-        return table(mine[lost])
-
-    tried = cut(distinct.filter(complete).mapInArrow(thin, schema).union(distinct.filter(~complete)))
-    lost = block_join(tried, tried.toDF(*["o_" + c for c in criteria]), beaten, schema, 4096, 4096).distinct()
-    same = lambda x, y: reduce(lambda a, b: a & b, [x[c].cast("double").eqNullSafe(y[c]) for c in criteria])
-    left = tried.join(lost, same(tried, lost), "left_anti")
-    return wide.join(left, same(wide, left), "left_semi").select(key)
+    pattern = lambda v: (np.isnan(v) * (1 << np.arange(v.shape[1]))).sum(axis=1)
+
+    def meet(same_pattern: bool):
+        def lost(asked: pa.Table, held: pa.Table) -> pa.Table:
+            if not len(asked) or not len(held):
+                return table(np.zeros((0, len(criteria))))
+            mine, theirs = values(asked.select(criteria)), values(held.select(["o_" + c for c in criteria]).rename_columns(criteria))
+            out, kinds, others = np.zeros(len(mine), bool), pattern(mine), pattern(theirs)
+            for x in np.unique(kinds).tolist():
+                own = np.flatnonzero(kinds == x)
+                out[own] = _beaten(mine[own], theirs[(others == x) == same_pattern])
+            return table(mine[out])
+
+        return lost
+
+    def against(rows: DataFrame, others: DataFrame, same_pattern: bool) -> DataFrame:
+        return block_join(rows, others.toDF(*["o_" + c for c in criteria]), meet(same_pattern), schema, PIECE, PIECE).distinct()
+
+    same = lambda x, y: reduce(lambda a, b: a & b, [number(x[c]).eqNullSafe(y[c]) for c in criteria])
+    minus = lambda rows, lost: rows.join(lost, same(rows, lost), "left_anti")
+    distinct = cut(distinct)
+    whole = cut(_complete_front(distinct.filter(complete), criteria, table, values))
+    gaps = distinct.filter(~complete)
+    if not gaps.isEmpty():
+        gaps = cut(minus(gaps, against(gaps, gaps, True)))
+        every = whole.union(gaps)
+        lost = against(whole, gaps, False).union(against(gaps, every, False)).distinct()
+        whole = minus(every, lost)
+    return wide.join(whole, same(wide, whole), "left_semi").select(key)
 
 
 def ranked_candidates(candidates: DataFrame, rankings: DataFrame, key: str, order: str) -> DataFrame:

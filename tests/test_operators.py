@@ -1,6 +1,7 @@
 """Rules on small literal tables: exact values, null rules and metamorphic checks."""
 
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +83,29 @@ def test_pareto_with_gaps_matches_brute_force(spark):
     assert got == {y[0] for y in rows if not any(beats(x, y) for x in rows)}
 
 
+def test_pareto_cells_match_brute_force(spark, monkeypatch):
+    """Many cells, equal sums, NaN and infinite values; then a front that holds every row."""
+    import random
+
+    rng = random.Random(6)
+    for d, n in ((1, 50), (2, 600), (4, 500)):
+        names = list("abcd")[:d]
+        rows = [(k, *[rng.choice([float(rng.randrange(30)), float(rng.randrange(30)), math.inf, -math.inf]) for _ in range(d)]) for k in range(n)]
+        got = {r.id for r in M.pareto_frontier(spark.createDataFrame(rows, f"id int, {', '.join(x + ' double' for x in names)}").repartition(4), "id", names).collect()}
+        beats = lambda x, y: all(p >= q for p, q in zip(x[1:], y[1:])) and x[1:] != y[1:]
+        assert got == {y[0] for y in rows if not any(beats(x, y) for x in rows)}
+    odd = spark.createDataFrame([(1, math.nan, 3.0), (2, None, 2.0), (3, 1.0, 1.0), (4, math.nan, 3.0)], "id int, a double, b double")
+    assert {r.id for r in M.pareto_frontier(odd, "id", ["a", "b"]).collect()} == {1, 4}
+
+
+def test_pareto_of_anti_correlated_rows(spark):
+    """200,000 rows, none of which dominates another: all with all would be 4 x 10^10 pairs."""
+    rows = spark.range(200_000).select("id", F.col("id").cast("double").alias("a"), (-F.col("id")).cast("double").alias("b"))
+    begun = time.time()
+    assert M.pareto_frontier(rows, "id", ["a", "b"]).count() == 200_000
+    assert time.time() - begun < 120
+
+
 def test_percentile_interpolates(spark):
     rows = [("a", float(v)) for v in (1, 2, 3, 4)] + [("b", None), ("c", 7.0), ("c", 7.0), ("c", 9.0)]
     got = M.percentiles(spark.createDataFrame(rows, "g string, v double").repartition(3), "g", "v", {"mid": 50, "high": 95}).collect()
@@ -100,6 +124,25 @@ def test_similarity_join_matches_all_pairs(spark):
         assert got == {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 9) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t}
 
 
+def test_similarity_join_with_a_bit_in_every_set(spark, monkeypatch):
+    """A bit that all sets have, and prefixes full of it: pairs stay right, few candidates are no pairs, hot bits are dealt out."""
+    import random
+
+    from evidex.operators import blocks
+
+    monkeypatch.setattr(blocks, "TOGETHER", 10)
+    monkeypatch.setattr(blocks.spread_join, "__defaults__", (10,))
+    rng = random.Random(3)
+    sets = {k: {0, *rng.sample(range(1, 60), rng.randrange(0, 12))} for k in range(150)}
+    bits = spark.createDataFrame([(k, b) for k, s in sets.items() for b in s], "compound_id int, bit int")
+    for t in (0.4, 0.7):
+        expected = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t}
+        assert {(r.a, r.b) for r in C.similarity_join(bits, t).collect()} == expected
+        found = {(r.a, r.b) for r in C.similarity_candidates(C._ordered_sets(bits), t).collect()}
+        prefix_only = {(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+        assert expected <= found and len(found) < len(prefix_only) / 4
+
+
 def test_lipinski_nulls(spark):
     df = spark.createDataFrame([(510.0, None, 6, 3), (100.0, 1.0, 1, 1)], "mw double, logp double, hbd int, hba int")
     verdict, checks = C.lipinski_verdict()
@@ -291,6 +334,31 @@ def test_shortest_path_of_many_steps(spark):
     assert (row.found, row.length, row.path) == (True, 52, ["n%02d" % k for k in range(53)])
 
 
+def test_shortest_path_is_the_least_of_many(spark):
+    """Random graphs against a search over all shortest paths."""
+    import random
+    from collections import deque
+
+    rng = random.Random(12)
+    for trial in range(4):
+        n = 14
+        pairs = sorted({(f"n{rng.randrange(n):02d}", f"n{rng.randrange(n):02d}") for _ in range(26)})
+        after = {}
+        for a, b in pairs:
+            after.setdefault(a, []).append(b)
+        edges = spark.createDataFrame(pairs, "src string, dst string").coalesce(1)
+        best, queue = {"n00": ["n00"]}, deque(["n00"])
+        while queue:  # paths of equal length come in order, so the first one is the least
+            x = queue.popleft()
+            for y in sorted(after.get(x, [])):
+                if y not in best:
+                    best[y] = [*best[x], y]
+                    queue.append(y)
+        goal = max(best, key=lambda x: (len(best[x]), x))
+        row = G.shortest_path(edges, "n00", goal).first()
+        assert (row.found, row.path) == (True, best[goal]) or "n00" not in {x for p in pairs for x in p}
+
+
 def test_session_stream_returns_the_tail(spark, sf):
     from evidex.plans import q_streams
     from evidex.streaming import streams as X
