@@ -102,14 +102,28 @@ def _syndrome(word):
     return total
 
 
+#: Pieces of the other half: with at most three differing bits there, one of four is equal.
+PIECES = 4
+
+
+def _pieces(which: int):
+    """(piece, its bits) of a half as one number, for each piece."""
+    word = _half(which)
+    return F.array(*[F.shiftright(word, 8 * j).bitwiseAND(F.lit(255)) + 256 * j for j in range(PIECES)])
+
+
 def anchors(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(homes, replicas) of distinct ``fp``: rows (half, anchor, fp)."""
+    """(homes, replicas) of distinct ``fp``: rows (half, anchor, piece, fp).
+
+    The half that differs least has one differing bit at most, so a home meets a replica at its anchor;
+    the other half then has three at most, and an equal piece.
+    """
     homes, replicas = [], []
     bit = lambda number: F.when(number == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, 0)") * F.pow(F.lit(2), number - 1).cast("long"))
     for which in (0, 1):
         rows = nodes.select("fp", _half(which).alias("word")).withColumn("s", _syndrome(F.col("word")))
         home = F.col("word").bitwiseXOR(bit(F.col("s")))
-        homes.append(rows.select(F.lit(which).alias("half"), home.alias("anchor"), "fp"))
+        homes.append(rows.select(F.lit(which).alias("half"), home.alias("anchor"), F.explode(_pieces(1 - which)).alias("piece"), "fp"))
         near = F.when(F.col("s") == 0, F.array(home)).otherwise(
             F.concat(
                 F.array(home),
@@ -119,7 +133,8 @@ def anchors(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
                 ),
             )
         )
-        replicas.append(rows.select(F.lit(which).alias("half"), F.explode(near).alias("anchor"), "fp"))
+        near_rows = rows.select(F.lit(which).alias("half"), F.explode(near).alias("anchor"), "fp")
+        replicas.append(near_rows.select("half", "anchor", F.explode(_pieces(1 - which)).alias("piece"), "fp"))
     return homes[0].union(homes[1]), replicas[0].union(replicas[1])
 
 
@@ -128,7 +143,7 @@ def links(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:
     if not 0 <= limit <= 3:
         raise ValueError("the anchors cover up to 3 differing bits")
     homes, replicas = anchors(nodes)
-    pairs = homes.withColumnRenamed("fp", "a").join(replicas.withColumnRenamed("fp", "b"), ["half", "anchor"])
+    pairs = homes.withColumnRenamed("fp", "a").join(replicas.withColumnRenamed("fp", "b"), ["half", "anchor", "piece"])
     return pairs.filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= limit)).select("a", "b").distinct()
 
 
