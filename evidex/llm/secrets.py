@@ -32,7 +32,7 @@ CLASSES = (("hex", r"^[0-9A-Fa-f]+$", 3.0), ("lower", r"^[0-9a-z]+$", 3.5), ("mi
 WINDOW = 20
 
 #: Allow-list: a candidate that one of these matches is no secret.
-ALLOW = (r"(?i)example|sample|dummy|placeholder|changeme", r"^(.)\1+$", r"^[^0-9]+$", r"^[0-9]+$", r"(?i)0123456789|abcdefghij", r"/.*/.*/")
+ALLOW = (r"(?i)example|placeholder|changeme", r"(^|[^A-Za-z])(?i:sample|dummy)([^A-Za-z]|$)", r"^(.)\1+$", r"^[^0-9]+$", r"^[0-9]+$", r"(?i)0123456789|abcdefghij", r"(/[a-z_-]{3,}){2}")
 
 
 #: Matches of a text that are gone through at a time.

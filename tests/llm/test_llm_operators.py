@@ -416,6 +416,13 @@ def test_secret_scan_empty_and_other_windows(spark, empty):
     assert secrets.scan_secrets(spark.createDataFrame([(1, "Zx9Kq2Lm8Rt5Vb1Nc7Wp4")], "doc_id long, text string"), window=16).first().spans == "entropy:0:21"
 
 
+def test_secret_scan_allow_list_tells_paths_and_words_from_keys(spark):
+    keys = ["Zq8/pL2+xV9/Rt4mN7/bW1cYd6Gh3Js5Kf0", "Zq8pL2xV9Rt4mN7bW1samplecYd6Gh3Js5Kf0"]
+    fine = ["/usr/local/lib/Zq8pL2xV9Rt4mN7bW1cYd6Gh3Js5Kf0", "Zq8pL2xV9Rt4mN7bW1-sample-cYd6Gh3Js5Kf0", "Zq8pL2xV9Rt4mN7bW1EXAMPLEcYd6Gh3Js5Kf0"]
+    docs = spark.createDataFrame([(k, f"a {t} b") for k, t in enumerate(keys + fine)], "doc_id int, text string")
+    assert [r.n_entropy for r in secrets.scan_secrets(docs).orderBy("doc_id").collect()] == [1, 1, 0, 0, 0]
+
+
 def test_entropy_of_windows(spark):
     texts = ["aB3+" * 12, "Zx9Kq2Lm8Rt5Vb1Nc7Wp4Ys6aaaaaaaaaaaaaaaa", "short", "é" * 30, "a" * 19 + "b" * 19]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", secrets.highest_entropy(F.col("t")).alias("e")).collect()
