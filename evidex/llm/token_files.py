@@ -128,7 +128,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
     Null and empty texts have only the end id. Null doc_ids come first; rows with one doc_id stand
     in the order of their texts' hashes, so repeated rows are all kept. An empty table writes no file.
     Other columns are not read. Manifest: file, n_docs, n_tokens, start (ids in all files before).
-    Rows are dealt by range of doc_id, hash of text and, among equal rows, the input split they come
+    Rows are dealt by range of doc_id, hash of text and, among equal rows, the input partition they come
     from, into ``n_files`` parts or as many as Spark finds fit; so one doc_id's rows fill as many files
     as they need. A task that runs again writes the same file under the same name.
     """
@@ -161,8 +161,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
             yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "file": [path], "n_docs": [len(n)], "n_tokens": [int(n.sum())]})
 
     order = ("doc_id", "hash", "split")
-    split = F.xxhash64(F.input_file_name(), F.input_file_block_start())
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), split.alias("split"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.spark_partition_id().alias("split"))
     ordered = keyed.repartitionByRange(*([n_files] if n_files else []), *order).select("doc_id", "text", F.spark_partition_id().alias("shard"), "hash", "split").sortWithinPartitions(*order).drop("hash", "split")
     files = sorted(ordered.mapInArrow(write, "shard int, file string, n_docs long, n_tokens long").collect())  # a row for each file
     rows, start = [], 0

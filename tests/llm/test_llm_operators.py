@@ -56,6 +56,12 @@ def test_token_files_deal_one_doc_id_over_files(spark):
     assert back.filter("doc_id = 7").count() == 3000 and back.count() == 4000
 
 
+def test_token_files_deal_equal_rows_over_files(spark):
+    docs = spark.range(4000, numPartitions=8).selectExpr("7L as doc_id", "'the same text' as text")
+    manifest = token_files.write_token_files(docs, shared_dir(spark, "tokens"), P.path("word_bpe_49k.json"), n_files=4)
+    assert manifest.count() == 4 and manifest.agg(F.sum("n_docs"), F.max("n_docs")).first()[:] == (4000, 1000)
+
+
 def test_token_files_give_views_of_the_map(spark, docs, tmp_path):
     import numpy as np
 
