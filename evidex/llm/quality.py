@@ -61,6 +61,8 @@ def features(codes: np.ndarray, distinct: pa.Array, before: np.ndarray, buckets:
 CHUNK = 1024
 #: Tasks that rows with one doc_id are dealt over when they meet the trusted ids.
 SALTS = 4
+#: Buckets of trusted ids that are sent to all tasks, to drop other documents before the shuffle.
+ID_BUCKETS = 1 << 20
 
 
 def _pack(counts: np.ndarray) -> bytes:
@@ -75,13 +77,17 @@ def trusted_texts(docs: DataFrame, trusted: DataFrame, folds: int = FOLDS) -> Da
     """(text, fold) of the rows of ``docs`` whose doc_id ``trusted`` has, written to the shared folder.
 
     A row comes once however often ``trusted`` names it; null doc_ids are never trusted; rows with one
-    doc_id are in one fold. Texts meet the trusted ids by a shuffle whatever the sizes, so the plan is
-    the same at every scale; rows with one doc_id are dealt over ``SALTS`` tasks by their text.
+    doc_id are in one fold. Rows whose doc_id falls into a bucket without a trusted id are dropped where
+    they are read; ``ID_BUCKETS`` numbers are all that this sends, and with many ids it drops fewer rows.
+    The others meet the ids by a shuffle; rows with one doc_id are dealt over ``SALTS`` tasks by their text.
     """
     salt = F.pmod(F.xxhash64("text"), F.lit(SALTS))
-    ids = trusted.select(F.col("doc_id").alias("_trusted")).filter("_trusted is not null").distinct()
+    ids = trusted.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("_trusted")).filter("_trusted is not null").distinct()
+    bucket = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(ID_BUCKETS)).cast("int")
+    held = cut(ids.select(bucket("_trusted").alias("_bucket")).distinct())
     ids = ids.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).hint("shuffle_hash")
     own = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    own = own.join(F.broadcast(held), bucket("doc_id") == F.col("_bucket"), "left_semi")
     own = own.join(ids, (F.col("doc_id") == F.col("_trusted")) & (salt == F.col("_salt")), "left_semi")
     return cut(own.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int").alias("fold")), "zstd")
 

@@ -62,6 +62,14 @@ def test_token_files_deal_equal_rows_over_files(spark):
     assert manifest.count() == 4 and manifest.agg(F.sum("n_docs"), F.max("n_docs")).first()[:] == (4000, 1000)
 
 
+def test_trusted_texts_drop_others_before_the_shuffle(spark, monkeypatch):
+    docs = spark.range(5000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    trusted = spark.range(0, 5000, 100).selectExpr("cast(id as int) as doc_id")
+    assert quality.trusted_texts(docs, trusted).count() == 50
+    monkeypatch.setattr(quality, "ID_BUCKETS", 4)  # full: drops nothing, and the join decides
+    assert quality.trusted_texts(docs, trusted).count() == 50
+
+
 def test_token_files_give_views_of_the_map(spark, docs, tmp_path):
     import numpy as np
 
