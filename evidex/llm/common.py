@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import re
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -31,24 +32,29 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         top = spark.sparkContext.getCheckpointDir()
     path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if _owned:
-        _owned[-1].append(path)
+    if owned := _owned(spark):
+        owned[-1].append(path)
     return path
 
 
-#: Paths of each open ``scratch``, innermost last.
-_owned: list[list[str]] = []
+_here = threading.local()
+
+
+def _owned(spark: SparkSession) -> list[list[str]]:
+    """Paths of each open ``scratch`` of this thread and session, innermost last."""
+    sessions = _here.__dict__.setdefault("sessions", {})
+    return sessions.setdefault(spark.sparkContext.applicationId + str(spark._jsparkSession.sessionUUID()), [])
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """Deletes, at its end, what operators wrote to the shared folder inside it; results that read it
     must be written by then. Paths that the caller asks for before the block stay."""
-    _owned.append([])
+    _owned(spark).append([])
     try:
         yield
     finally:
-        for path in _owned.pop():
+        for path in _owned(spark).pop():
             spark.sql(f"drop table if exists `{path.rsplit('/', 1)[1].replace('-', '_')}`")
             forget(spark, path)
 
@@ -67,20 +73,21 @@ def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Most keys that hot_join sends to all tasks.
+#: Keys that hot_join may send to all tasks in any case; with more shuffle partitions, four for each.
 HOT_KEYS = 2000
 
 
 def hot_join(rows: DataFrame, classes: DataFrame, key: list[str], n: int) -> DataFrame:
     """``rows`` (``n`` of them) joined with ``classes``, a row for each key with ``size``, how many rows have it.
 
-    Keys of more than one in ``HOT_KEYS`` rows can't be more than ``HOT_KEYS``: they go to all tasks,
-    and their rows stay where they are. Other rows meet their key by a shuffle, in which no key has
-    more than that share. ``size`` is dropped.
+    Keys of more than a quarter of a partition's share of the rows (or one in ``HOT_KEYS``) can't be more
+    than four for each partition: they go to all tasks, and their rows stay where they are. Other rows meet
+    their key by a shuffle, in which no key has more than that share. ``size`` is dropped.
     """
-    hot = classes.filter(F.col("size") > n / HOT_KEYS).drop("size").withColumn("_hot", F.lit(True))
+    most = max(HOT_KEYS, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = classes.filter(F.col("size") > n / most).drop("size").withColumn("_hot", F.lit(True))
     marked = rows.join(F.broadcast(hot), key, "left")
-    cold = marked.filter("_hot is null").select(*rows.columns).join(classes.filter(F.col("size") <= n / HOT_KEYS).drop("size"), key)
+    cold = marked.filter("_hot is null").select(*rows.columns).join(classes.filter(F.col("size") <= n / most).drop("size"), key)
     return marked.filter("_hot").drop("_hot").unionByName(cold)
 
 

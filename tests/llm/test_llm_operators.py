@@ -62,6 +62,28 @@ def test_token_files_deal_equal_rows_over_files(spark):
     assert manifest.count() == 4 and manifest.agg(F.sum("n_docs"), F.max("n_docs")).first()[:] == (4000, 1000)
 
 
+def test_scratch_belongs_to_its_thread(spark):
+    import threading
+    from pathlib import Path
+
+    from evidex.llm.common import cut, scratch
+
+    inside, paths = threading.Event(), []
+
+    def other():
+        inside.wait()
+        paths.append(shared_dir(spark, "other"))
+        spark.range(3).write.parquet(paths[0])
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with scratch(spark):
+        mine = cut(spark.range(3)).inputFiles()[0]
+        inside.set()
+        thread.join()
+    assert not Path(mine.removeprefix("file:/").join(["/", ""])).exists() and spark.read.parquet(paths[0]).count() == 3
+
+
 def test_trusted_texts_drop_others_before_the_shuffle(spark, monkeypatch):
     docs = spark.range(5000).selectExpr("id as doc_id", "concat('text ', id) as text")
     trusted = spark.range(0, 5000, 100).selectExpr("cast(id as int) as doc_id")
