@@ -2,29 +2,69 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidex.adapters import SOURCES
 from evidex.functions.text import any_in, count_occurrences
 from evidex.operators.blocks import overlap_search
+from evidex.operators.graph import cut
 from evidex.operators.titles import title_pairs
 
 MERGED = ("title", "abstract", "doi", "pmid", "pmcid", "year", "influential_citations", "reference_count", "is_open_access", "journal", "authors", "publication_type", "keywords", "pdf_url")
 
 
-def federated_union(sources: dict[str, DataFrame], selected: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(papers, status): the selected sources' rows, and a line about each; a missing source has none."""
-    spark = next(iter(sources.values())).sparkSession
-    known = [s for s in selected if s in sources]
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [sources[s].withColumn("source", F.lit(s)) for s in known])
-    names = spark.createDataFrame([(s, s in sources) for s in selected], "source string, known boolean")
-    counted = names.join(union.groupBy("source").count(), "source", "left")
-    n = F.coalesce("count", F.lit(0))
-    status = F.when(~F.col("known"), "Failed: unknown source").when(n > 0, F.concat(F.lit("OK ("), n.cast("string"), F.lit(" results)"))).otherwise("No results")
-    return union, counted.select("source", status.alias("status"), n.alias("n_results"))
+#: Sources that are scanned at a time.
+AT_ONCE = 4
+
+
+def federated_union(sources: dict[str, DataFrame | Callable[[], DataFrame]], selected: list[str], spark: SparkSession | None = None) -> tuple[DataFrame, DataFrame]:
+    """(papers, status): the selected sources' rows, and (source, status, n_results) of each.
+
+    A source is a table or a function that makes one, as a scan of files does. Each is scanned by itself and
+    written, several at a time, so that one that fails, when it is made or when it is read, gives no rows
+    and a status with the reason, and the others are as they would be without it. A name that isn't among
+    the sources is a failed one; a repeated one counts once.
+    """
+    tables = [x for x in sources.values() if isinstance(x, DataFrame)]
+    spark = spark or (tables[0].sparkSession if tables else SparkSession.getActiveSession())
+    selected = list(dict.fromkeys(selected))
+
+    def scan(name: str) -> tuple[str, str, int, DataFrame | None]:
+        if name not in sources:
+            return name, "Failed: unknown source", 0, None
+        try:
+            made = sources[name]
+            rows = cut((made if isinstance(made, DataFrame) else made()).withColumn("source", F.lit(name)))
+            n = rows.count()
+        except Exception as error:  # whatever a source raises is its outcome
+            return name, f"Failed: {reason(error)}", 0, None
+        return name, f"OK ({n} results)" if n else "No results", n, rows
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        outcomes = list(pool.map(inheritable_thread_target(spark)(scan), selected))
+    found = [rows for *_, rows in outcomes if rows is not None]
+    none = spark.createDataFrame([], "ord long, title string, source string")
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found) if found else none
+    return union, spark.createDataFrame([x[:3] for x in outcomes], "source string, status string, n_results long")
+
+
+def reason(error: Exception) -> str:
+    """The error class that Spark names, or else the error's own type."""
+    seen = error
+    while seen is not None:
+        name = seen.getCondition() if hasattr(seen, "getCondition") else None
+        if name and name not in ("FAILED_READ_FILE.NO_HINT", "TASK_WRITE_FAILED"):
+            return name
+        seen = seen.__cause__
+    found = re.findall(r"\[([A-Z_]+(?:\.[A-Z_]+)*)\]", str(error))
+    return found[-1] if found else type(error).__name__
 
 
 def identifier_key(doi: Column, pmid: Column) -> Column:

@@ -107,14 +107,18 @@ def unknown(store: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.select("id").distinct().join(store.select("id").distinct(), "id", "left_anti")
 
 
-def ingest_new_only(papers: DataFrame, stored: DataFrame) -> DataFrame:
-    """(ord, status): skipped_no_text, skipped_duplicate (stored already, or its ord came before) or new."""
+def ingest_new_only(papers: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(status, new rows, counts): (ord, status) of each paper, (ord, text) of those to ingest, and a row for each status.
+
+    A paper is skipped_no_text, skipped_duplicate (stored already, or its ord came before) or new.
+    """
     text = normalize_text(F.concat_ws(" ", "title", "abstract"))
     known = stored.select(F.col("source_id").alias("ord")).distinct().withColumn("known", F.lit(True))
     joined = papers.select("ord", text.alias("text")).join(known, "ord", "left")
     first = F.row_number().over(Window.partitionBy("ord").orderBy("text"))
     status = F.when(F.col("text").isNull(), "skipped_no_text").when(F.col("known") | (F.col("n") > 1), "skipped_duplicate").otherwise("new")
-    return joined.withColumn("n", first).select("ord", status.alias("status"))
+    marked = joined.withColumn("n", first).select("ord", status.alias("status"), "text")
+    return marked.select("ord", "status"), marked.filter("status = 'new'").select("ord", "text"), marked.groupBy("status").agg(F.count("*").alias("n"))
 
 
 def embed_keywords(text: Column, vocab) -> Column:
@@ -142,14 +146,34 @@ def embed_with(encoder: Callable, batch_size: int = 32):
     return encode
 
 
-def embed_with_cache(texts: DataFrame, cache: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
-    """(rows with key and hit, statistics): distinct keys meet the cache; a later equal text is a hit."""
-    keyed = texts.withColumn("key", key).filter("key is not null")
-    distinct = keyed.groupBy("key").agg(F.count("*").alias("n"))
-    known = cache.select("key").distinct().withColumn("cached", F.lit(True))
-    looked = distinct.join(known, "key", "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
-    stats = looked.agg(F.sum(F.when(F.col("cached"), F.col("n")).otherwise(F.col("n") - 1)).alias("hits"), F.count_if(~F.col("cached")).alias("misses"))
-    return looked, stats.withColumn("hit_rate", F.round(F.col("hits") / (F.col("hits") + F.col("misses")), 6))
+def embed_with_cache(texts: DataFrame, path: str, text: str, key: Column, encoder: Callable, batch_size: int = 32) -> tuple[DataFrame, DataFrame]:
+    """(rows with key and vector, statistics): texts by the cache at ``path``, which then has them all.
+
+    ``path`` is a versioned store (see ``sources.store``) of (key, vector), bucketed by key; it may be
+    new. Keys that it lacks go through ``encoder`` (a function from a pandas Series of texts to arrays),
+    once each, whatever the number of their rows, and are added as one batch. A later equal text is a
+    hit. Rows whose key is null have no vector and count nowhere.
+    """
+    from evidex.sources import store
+
+    spark = texts.sparkSession
+    keyed = texts.withColumn("key", key)
+    distinct = keyed.filter("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min(text).alias("_text"))
+    held = store.read_version(spark, path, store.snapshot(spark, path)[1])
+    known = (held if held is not None else spark.createDataFrame([], "key string, vector array<float>")).select("key", F.lit(True).alias("cached"))
+    looked = cut(distinct.join(known, "key", "left").withColumn("cached", F.coalesce("cached", F.lit(False))))
+    stats = looked.agg(F.coalesce(F.sum(F.when(F.col("cached"), F.col("n")).otherwise(F.col("n") - 1)), F.lit(0)).alias("hits"), F.count_if(~F.col("cached")).alias("misses"))
+    misses = looked.filter(~F.col("cached"))
+    if not misses.isEmpty():
+        fresh = cut(misses.select("key", embed_with(encoder, batch_size)("_text").alias("vector")))  # written, so that no part is encoded twice
+        try:
+            store.upsert_store(fresh, path, "key")
+        except ValueError:  # somebody else has encoded some of them meanwhile
+            own = store.read_store(spark, path).select("key")
+            store.upsert_store(fresh.join(own, "key", "left_anti"), path, "key")
+    vectors = store.read_version(spark, path, store.snapshot(spark, path)[1])
+    vectors = vectors if vectors is not None else spark.createDataFrame([], "key string, vector array<float>")
+    return keyed.join(vectors.select("key", "vector"), "key", "left"), stats.withColumn("hit_rate", F.coalesce(F.round(F.try_divide(F.col("hits"), F.col("hits") + F.col("misses")), 6), F.lit(0.0)))
 
 
 def facet_embeddings(compounds: DataFrame, key: str, description: str, mechanism, indication, placeholder: str = "") -> DataFrame:
@@ -296,4 +320,5 @@ def layout_2d(store: DataFrame, width: float = 400.0) -> DataFrame:
 
 
 def store_stats(store: DataFrame) -> DataFrame:
+    """Rows, dimensions and sources of each source type; a cache's hit rate is in ``embed_with_cache``'s statistics."""
     return store.groupBy("source_type").agg(F.count("*").alias("n"), F.min(F.size("vector")).alias("dims"), F.count_distinct("source_id").alias("n_sources"))

@@ -93,18 +93,50 @@ def _(s, d):
     return part("got", V.get(e, ids)).union(part("left", V.delete(e, ids))).union(part("unknown", unknown))
 
 
-@query("e08_ingest_new_only", "select ord, case when trim(title || ' ' || abstract) = '' then 'skipped_no_text' when ord % 2 = 0 then 'skipped_duplicate' else 'new' end as status from papers", "papers")
-def _(s, d):
+_INGEST = r"select ord, case when trim(title || ' ' || abstract) = '' then 'skipped_no_text' when ord % 2 = 0 then 'skipped_duplicate' else 'new' end as status, trim(regexp_replace(title || ' ' || abstract, '\s+', ' ', 'g')) as text from papers"
+
+
+def ingested(s, d):
     p = A.papers(s, d)
     return V.ingest_new_only(p, p.filter("ord % 2 = 0").select(F.col("ord").alias("source_id")))
 
 
-@query("e09_embed_with_cache", r"""with k as (select sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) as k, min(doc_id) as first_id, count(*) as n from documents group by 1), c as (select k, n, k in (select sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) from documents where doc_id % 4 = 0) as cached from k)
-select cast(sum(case when cached then n else n - 1 end) as bigint) as hits, count(*) filter (not cached) as misses, round(sum(case when cached then n else n - 1 end) / sum(n), 6) as hit_rate from c""")
+@query("e08_ingest_new_only", f"select ord, status from ({_INGEST})", "papers")
+def _(s, d):
+    return ingested(s, d)[0]
+
+
+@query("e08_ingest_new_rows", f"select ord, md5(text) as text from ({_INGEST}) where status = 'new'", "papers")
 def _(s, d):
-    docs = A.table(s, d, "documents")
+    return ingested(s, d)[1].select("ord", F.md5("text").alias("text"))
+
+
+@query("e08_ingest_counts", f"select status, count(*) as n from ({_INGEST}) group by 1", "papers")
+def _(s, d):
+    return ingested(s, d)[2]
+
+
+_CACHED = r"""k as (select sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) as k, min(doc_id) as first_id, count(*) as n from documents group by 1), c as (select k, n, k in (select sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) from documents where doc_id % 4 = 0) as cached from k)"""
+
+
+def cached(s, d):
+    """All documents through a cache that has every fourth one already."""
+    path = f"{G.shared_folder(s)}/cache-{uuid.uuid4().hex}"
+    docs = A.table(s, d, "documents").select("doc_id", "text")
+    encode = lambda texts: [[float(len(" ".join(t.split()))), float(t.count("e"))] for t in texts]
     key = T.text_hash(F.col("text"))
-    return V.embed_with_cache(docs.select("text"), docs.filter("doc_id % 4 = 0").select(key.alias("key")), key)[1]
+    V.embed_with_cache(docs.filter("doc_id % 4 = 0"), path, "text", key, encode)
+    return V.embed_with_cache(docs, path, "text", key, encode)
+
+
+@query("e09_embed_with_cache", f"with {_CACHED} select cast(sum(case when cached then n else n - 1 end) as bigint) as hits, count(*) filter (not cached) as misses, round(sum(case when cached then n else n - 1 end) / sum(n), 6) as hit_rate from c")
+def _(s, d):
+    return cached(s, d)[1]
+
+
+@query("e09_embed_with_cache_vectors", "select doc_id, (length(text) - length(replace(text, 'e', '')))::float as e_count from documents")
+def _(s, d):
+    return cached(s, d)[0].select("doc_id", F.element_at("vector", 2).alias("e_count"))
 
 
 _SENT = r"string_split(regexp_replace(trim(t), '([.!?])\s+', '\1' || chr(31), 'g'), chr(31))"
@@ -126,10 +158,13 @@ def _(s, d):
 _FIELDS = ("name", "brand", "kind", "hbd", "hba", "rot", "qed")
 
 
-@query("e12_compound_profile_fields", "with f as (" + " union all ".join(f"select compound_id, '{f}' as field, trim(cast({f} as varchar)) as text from compounds where {f} is not null" for f in _FIELDS if f != "qed") + ") select compound_id, field, text from f where not (compound_id % 2 = 0 and field = 'name')", "compounds")
+_FIELD_TEXT = {"qed": "case when qed is not null then case when qed = 0 then '0.0' else cast(qed as varchar) end end"}
+_PROFILE = "f as (select compound_id, " + ", ".join(f"trim({_FIELD_TEXT.get(f, f'cast({f} as varchar)')}) as {f}" for f in _FIELDS) + " from compounds)"
+
+
+@query("e12_compound_profile_fields", f"with {_PROFILE}, r as (" + " union all ".join(f"select compound_id, '{f}' as field, {f} as text from f where {f} is not null" for f in _FIELDS) + " union all select compound_id, 'combined', concat_ws(' | ', " + ", ".join(_FIELDS) + ") from f) select compound_id, field, text from r where not (compound_id % 2 = 0 and field = 'name')", "compounds")
 def _(s, d):
-    c = A.compounds(s, d)
-    fields = V.profile_fields(c, "compound_id", [f for f in _FIELDS if f != "qed"]).filter("field <> 'combined'")
+    fields = V.profile_fields(A.compounds(s, d), "compound_id", list(_FIELDS))
     return V.changed_profiles(fields, fields.filter("compound_id % 2 = 0 and field = 'name'"), "compound_id")
 
 
@@ -191,15 +226,18 @@ def _(s, d):
     return A.table(s, d, "documents").select("doc_id", encode("text").alias("v"))
 
 
-@query("k09_upsert_embedding_store", "select id, len(vector) as dims from store", "store")
+@query("k09_upsert_embedding_store", "select id, len(vector) as dims, case when id % 5 = 0 then 'replaced' when id % 2 = 0 then 'first' else 'second' end as source from store", "store")
 def _(s, d):
-    from evidex.sources import sinks
+    """Two batches, one of which is sent twice, and a third that replaces rows of both."""
+    from evidex.sources import sinks, store
 
     e, path = A.store(s, d).select("id", "vector"), f"{G.shared_folder(s)}/store-{uuid.uuid4().hex}"
-    e.filter("id % 2 = 0").write.parquet(path)
-    fresh, _ = sinks.new_embeddings(e, s.read.parquet(path))
-    sinks.upsert_embedding_store(fresh, path)
-    return s.read.parquet(path).select("id", F.size("vector").cast("long").alias("dims"))
+    tagged = lambda test, tag: e.filter(test).withColumn("source", F.lit(tag))
+    sinks.upsert_embedding_store(tagged("id % 2 = 0", "first"), path)
+    for _ in range(2):
+        sinks.upsert_embedding_store(tagged("id % 2 = 1", "second"), path, batch="second")
+    sinks.upsert_embedding_store(tagged("id % 5 = 0", "replaced"), path, replace=True)
+    return store.read_store(s, path).select("id", F.size("vector").cast("long").alias("dims"), "source")
 
 
 @query("k09_upsert_embedding_store_rejects", "select id, case when id % 2 = 0 then 'already stored' else 'repeated in the batch' end as reason from store where id % 2 = 0 or id % 5 = 0 union all select id, 'repeated in the batch' from store where id % 2 = 1 and id % 5 = 0 union all select id, 'already stored' from store where id % 2 = 0 and id % 5 = 0", "store")

@@ -316,14 +316,34 @@ def _(s, d):
     return L.result_metrics(A.papers(s, d))
 
 
-@query("s11_federated_union", "select source, 'OK (' || count(*) || ' results)' as status, count(*) as n_results from papers where source in ('pubmed', 'crossref') group by source union all select 'elsewhere', 'Failed: unknown source', 0", "papers")
+_SELECTED = ("pubmed", "crossref", "doaj", "openalex", "pmc", "europepmc", "semantic_scholar", "biorxiv", "medrxiv", "elsewhere")
+_FAILING = {"doaj": "MalformedPayload", "openalex": "PATH_NOT_FOUND", "elsewhere": "unknown source"}
+
+
+def federated(s, d):
+    """Nine sources, of which one has a payload that is no JSON and one isn't there, and a name that none has."""
+    from evidex.plans.q_sources import folder, land, named
+    from evidex.sources import papers as P
+
+    sources = L.split_by_source(A.papers(s, d))
+    path = land(sources["doaj"], "ord", named(bibjson=named(title="title")), lambda x: named(results=x))
+    s.createDataFrame([("{ no json",)], "value string").write.mode("append").text(path)
+    sources |= {"doaj": lambda: P.strict(s, path, P.scan_doaj_json), "openalex": lambda: P.strict(s, folder(s), P.scan_openalex_json)}
+    return L.federated_union(sources, list(_SELECTED), s)
+
+
+_OUTCOMES = "(values " + ", ".join(f"('{x}')" for x in _SELECTED) + ") v(source)"
+_REASONS = "case source " + " ".join(f"when '{k}' then 'Failed: {v}'" for k, v in _FAILING.items()) + " end"
+
+
+@query("s11_federated_union", f"select source, coalesce({_REASONS}, case when count(ord) = 0 then 'No results' else 'OK (' || count(ord) || ' results)' end) as status, case when {_REASONS} is null then count(ord) else 0 end as n_results from {_OUTCOMES} left join papers using (source) group by source", "papers")
 def _(s, d):
-    return L.federated_union(L.split_by_source(A.papers(s, d)), ["pubmed", "crossref", "elsewhere"])[1]
+    return federated(s, d)[1]
 
 
-@query("s11_federated_union_rows", "select ord, title, year, source from papers where source in ('pubmed', 'crossref')", "papers")
+@query("s11_federated_union_rows", "select ord, title, year, source from papers where source not in ('doaj', 'openalex')", "papers")
 def _(s, d):
-    return L.federated_union(L.split_by_source(A.papers(s, d)), ["pubmed", "crossref", "elsewhere"])[0].select("ord", "title", "year", "source")
+    return federated(s, d)[0].select("ord", "title", "year", "source")
 
 
 @query("s02_scan_pmc_ids", "select doc_id as ord, 'PMC Article ' || doc_id as title, cast(doc_id as varchar) as pmcid, true as is_open_access, 'https://www.ncbi.nlm.nih.gov/pmc/articles/' || doc_id || '/' as url from documents")

@@ -306,11 +306,12 @@ def _(s, d):
     return sinks.bibtex(A.papers(s, d))
 
 
-@query("k04_export_ris", "select ord, md5('TY  - JOUR' || chr(10) || 'AU  - ' || authors[1] || chr(10) || 'AU  - ' || authors[2] || chr(10) || 'TI  - ' || title || chr(10) || 'JO  - ' || journal || chr(10) || case when year is not null then 'PY  - ' || year || chr(10) else '' end || case when doi is not null then 'DO  - ' || doi || chr(10) else '' end || case when abstract <> '' then 'AB  - ' || abstract || chr(10) else '' end || 'ER  - ') as entry from papers", "papers")
+@query("k04_export_ris", "select ord, md5('TY  - JOUR' || chr(10) || 'AU  - ' || authors[1] || chr(10) || 'AU  - ' || authors[2] || chr(10) || 'TI  - ' || title || chr(10) || 'JO  - ' || journal || chr(10) || case when year is not null then 'PY  - ' || year || chr(10) else '' end || case when ord % 3 <> 1 then 'VL  - ' || ord % 40 || chr(10) else '' end || case when ord % 3 <> 2 then 'SP  - ' || ord % 900 || '-' || ord % 900 + 7 || chr(10) else '' end || case when doi is not null then 'DO  - ' || doi || chr(10) else '' end || case when abstract <> '' then 'AB  - ' || abstract || chr(10) else '' end || 'ER  - ') as entry from papers", "papers")
 def _(s, d):
     from evidex.sources import sinks
 
-    return sinks.ris(A.papers(s, d)).withColumn("entry", F.md5("entry"))
+    papers = A.papers(s, d).withColumn("volume", F.expr("case when ord % 3 <> 1 then cast(ord % 40 as string) end")).withColumn("pages", F.expr("case when ord % 3 <> 2 then concat(ord % 900, '-', ord % 900 + 7) end"))
+    return sinks.ris(papers).withColumn("entry", F.md5("entry"))
 
 
 def _exported(s, d, write, read):
@@ -320,19 +321,19 @@ def _exported(s, d, write, read):
     from evidex.operators.graph import shared_folder
 
     path = f"{shared_folder(s)}/export-{uuid.uuid4().hex}"
-    write(A.papers(s, d).drop("abstract"), path)
+    write(A.papers(s, d), path)
     return read(path)
 
 
-@query("k01_export_csv", "select cast(ord as varchar) as ord, title, array_to_string(authors, '; ') as authors, doi from papers", "papers")
+@query("k01_export_csv", "select cast(ord as varchar) as ord, title, array_to_string(authors, '; ') as authors, doi, md5(abstract) as abstract from papers", "papers")
 def _(s, d):
     from evidex.sources import sinks
 
-    return _exported(s, d, sinks.export_csv, lambda p: s.read.csv(p, header=True, escape='"').select("ord", F.coalesce("title", F.lit("")).alias("title"), "authors", "doi"))
+    return _exported(s, d, sinks.export_csv, lambda p: s.read.csv(p, header=True, escape='"', multiLine=True, maxCharsPerColumn=-1).select("ord", F.coalesce("title", F.lit("")).alias("title"), "authors", "doi", F.md5(F.coalesce("abstract", F.lit(""))).alias("abstract")))
 
 
-@query("k02_export_json", "select ord, title, authors, doi, year from papers", "papers")
+@query("k02_export_json", "select ord, title, authors, doi, year, md5(abstract) as abstract from papers", "papers")
 def _(s, d):
     from evidex.sources import sinks
 
-    return _exported(s, d, sinks.export_json, lambda p: s.read.schema("ord long, title string, authors array<string>, doi string, year int").json(p))
+    return _exported(s, d, sinks.export_json, lambda p: s.read.schema("ord long, title string, authors array<string>, doi string, year int, abstract string").json(p).withColumn("abstract", F.md5("abstract")))

@@ -47,19 +47,20 @@ _PEOPLE = "list_transform(authors, lambda a: split_part(a, ' ', 1) || ' ' || spl
 _TITLE = "coalesce(nullif(trim(title), ''), '(untitled)') as title"
 
 
-@query("s01_scan_pubmed_xml", f"select cast(ord as varchar) as pmid, {_TITLE}, case when ord % 10 <> 0 then year end as year, doi, pmcid, {_PEOPLE}, publication_type || ', Article' as publication_type, pmcid is not null as is_open_access, keywords as mesh_terms from papers", "papers")
+@query("s01_scan_pubmed_xml", f"select cast(ord as varchar) as pmid, {_TITLE}, case when ord % 10 <> 0 then year end as year, doi, pmcid, {_PEOPLE}, publication_type || ', Article' as publication_type, pmcid is not null as is_open_access, keywords as mesh_terms, md5(trim(trim(regexp_replace(abstract, '\\s+', ' ', 'g')) || ' End of ' || ord)) as abstract from papers", "papers")
 def _(s, d):
     p = A.papers(s, d)
     ids = F.array_compact(F.array(F.when(F.col("doi").isNotNull(), named(_VALUE="doi", _IdType=F.lit("doi"))), F.when(F.col("pmcid").isNotNull(), named(_VALUE="pmcid", _IdType=F.lit("pmc")))))
     people = F.transform("authors", lambda a: F.struct(F.substring_index(a, " ", -1).alias("LastName"), F.substring_index(a, " ", 1).alias("ForeName")))
+    parts = F.array(named(_VALUE="abstract", _Label=F.lit("BACKGROUND")), named(_VALUE=F.concat(F.lit("End of "), F.col("ord").cast("string")), _Label=F.lit("END")))
     article = named(
-        ArticleTitle="title", AuthorList=named(Author=people), Journal=named(Title="journal", JournalIssue=named(PubDate=named(Year=F.expr(_NUMBER)))),
+        ArticleTitle="title", Abstract=named(AbstractText=parts), AuthorList=named(Author=people), Journal=named(Title="journal", JournalIssue=named(PubDate=named(Year=F.expr(_NUMBER)))),
         PublicationTypeList=named(PublicationType=F.array(named(_VALUE="publication_type", _UI=F.lit("a")), named(_VALUE=F.lit("Article"), _UI=F.lit("b")))),
     )
     citation = named(PMID=named(_VALUE=F.col("ord").cast("string"), _Version=F.lit("1")), Article=article, MeshHeadingList=named(MeshHeading=F.transform("keywords", lambda k: F.struct(F.struct(k.alias("_VALUE"), F.lit("d").alias("_UI")).alias("DescriptorName")))))
     path = folder(s)
     p.select(citation.alias("MedlineCitation"), named(ArticleIdList=named(ArticleId=ids)).alias("PubmedData")).write.format("xml").option("rootTag", "PubmedArticleSet").option("rowTag", "PubmedArticle").save(path)
-    return P.scan_pubmed_xml(s, path).select("pmid", "title", "year", "doi", "pmcid", "authors", "publication_type", "is_open_access", "mesh_terms")
+    return P.scan_pubmed_xml(s, path).select("pmid", "title", "year", "doi", "pmcid", "authors", "publication_type", "is_open_access", "mesh_terms", F.md5(F.trim(F.regexp_replace("abstract", r"\s+", " "))).alias("abstract"))
 
 
 @query("s03_scan_europepmc_json", f"select doi, pmid, {_TITLE}, authors, case when ord % 10 <> 0 then year end as year, citation_count, is_open_access, abstract from papers", "papers")
@@ -69,23 +70,23 @@ def _(s, d):
     return P.scan_europepmc_json(s, path).select("doi", "pmid", "title", "authors", "year", "citation_count", "is_open_access", "abstract")
 
 
-@query("s04_scan_crossref_json", "select doi, 'Part ' || ord as title, " + _PEOPLE + ", year, journal, citation_count, reference_count from papers", "papers")
+@query("s04_scan_crossref_json", "select doi, trim(title || ' ' || ord) as title, " + _PEOPLE + ", year, journal, citation_count, reference_count, md5(abstract) as abstract from papers", "papers")
 def _(s, d):
     people = F.transform("authors", lambda a: F.struct(F.substring_index(a, " ", 1).alias("given"), F.substring_index(a, " ", -1).alias("family")))
     date = named(**{"date__parts": F.array(F.array("year"))})
     item = F.struct(
-        F.array(F.lit("Part"), F.col("ord").cast("string")).alias("title"), F.array("journal").alias("container-title"), people.alias("author"), F.when(F.col("ord") % 2 == 0, date).alias("published-print"),
+        F.array(F.coalesce("title", F.lit("")), F.col("ord").cast("string")).alias("title"), F.col("abstract").alias("abstract"), F.array("journal").alias("container-title"), people.alias("author"), F.when(F.col("ord") % 2 == 0, date).alias("published-print"),
         F.when(F.col("ord") % 2 == 1, date).alias("published-online"), F.col("doi").alias("DOI"), F.col("citation_count").alias("is-referenced-by-count"), F.col("reference_count").alias("references-count"),
     )
     path = land(A.papers(s, d), "ord", item, lambda x: named(message=named(items=x)))
-    return P.scan_crossref_json(s, path).select("doi", "title", "authors", "year", "journal", "citation_count", "reference_count")
+    return P.scan_crossref_json(s, path).select("doi", "title", "authors", "year", "journal", "citation_count", "reference_count", F.md5("abstract").alias("abstract"))
 
 
-@query("s05_scan_semantic_scholar_json", f"select doi, pmid, {_TITLE}, year, citation_count, influential_citations, reference_count, keywords, pdf_url from papers", "papers")
+@query("s05_scan_semantic_scholar_json", f"select doi, pmid, {_TITLE}, year, citation_count, influential_citations, reference_count, keywords, pdf_url, authors, md5(abstract) as abstract from papers", "papers")
 def _(s, d):
-    item = named(title="title", year="year", externalIds=named(DOI="doi", PubMed="pmid"), citationCount="citation_count", influentialCitationCount="influential_citations", referenceCount="reference_count", fieldsOfStudy="keywords", openAccessPdf=F.when(F.col("pdf_url").isNotNull(), named(url="pdf_url")))
+    item = named(title="title", abstract="abstract", authors=F.transform("authors", lambda a: F.struct(a.alias("name"))), year="year", externalIds=named(DOI="doi", PubMed="pmid"), citationCount="citation_count", influentialCitationCount="influential_citations", referenceCount="reference_count", fieldsOfStudy="keywords", openAccessPdf=F.when(F.col("pdf_url").isNotNull(), named(url="pdf_url")))
     path = land(A.papers(s, d), "ord", item, lambda x: named(data=x))
-    return P.scan_semantic_scholar_json(s, path).select("doi", "pmid", "title", "year", "citation_count", "influential_citations", "reference_count", "keywords", "pdf_url")
+    return P.scan_semantic_scholar_json(s, path).select("doi", "pmid", "title", "year", "citation_count", "influential_citations", "reference_count", "keywords", "pdf_url", "authors", F.md5("abstract").alias("abstract"))
 
 
 @query("s06_scan_openalex_json", f"select doi, {_TITLE}, year, citation_count, journal, list_transform(range(0, least(ord % 12, 8)), lambda i: 'c' || i) as keywords, is_open_access from papers", "papers")
@@ -96,13 +97,13 @@ def _(s, d):
     return P.scan_openalex_json(s, path).select("doi", "title", "year", "citation_count", "journal", "keywords", "is_open_access")
 
 
-@query("s07_scan_doaj_json", f"select doi, {_TITLE}, year, journal, keywords, pdf_url as url, true as is_open_access from papers", "papers")
+@query("s07_scan_doaj_json", f"select doi, {_TITLE}, year, journal, keywords, pdf_url as url, true as is_open_access, md5(abstract) as abstract from papers", "papers")
 def _(s, d):
     idents = F.array_compact(F.array(named(type=F.lit("issn"), id=F.lit("1")), F.when(F.col("doi").isNotNull(), named(type=F.lit("doi"), id=F.lit("first"))), F.when(F.col("doi").isNotNull(), named(type=F.lit("doi"), id="doi"))))
     links = F.array_compact(F.array(F.when(F.col("pdf_url").isNotNull(), named(type=F.lit("fulltext"), url="pdf_url"))))
-    item = named(bibjson=named(title="title", year=F.col("year").cast("string"), journal=named(title="journal"), keywords="keywords", identifier=idents, link=links))
+    item = named(bibjson=named(title="title", abstract="abstract", year=F.col("year").cast("string"), journal=named(title="journal"), keywords="keywords", identifier=idents, link=links))
     path = land(A.papers(s, d), "ord", item, lambda x: named(results=x))
-    return P.scan_doaj_json(s, path).select("doi", "title", "year", "journal", "keywords", "url", "is_open_access")
+    return P.scan_doaj_json(s, path).select("doi", "title", "year", "journal", "keywords", "url", "is_open_access", F.md5("abstract").alias("abstract"))
 
 
 @query("s08_scan_preprint_json", f"select {_TITLE}, abstract, authors, cast(year(dt) as int) as year, doi, keywords from (select *, date '2024-01-01' + cast(ord % 400 as int) as dt from papers) where dt between date '2024-12-01' - 180 and date '2024-12-01' and (contains(lower(title || ' ' || abstract), 'thand') or contains(lower(title || ' ' || abstract), 'quell'))", "papers")

@@ -6,9 +6,13 @@ missing fields are null, and one malformed value never drops its row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidex.operators.graph import cut
+
 TEXT = "array<string>"
 #: The columns that all sources have.
 COLUMNS = {
@@ -32,11 +36,28 @@ def conform(rows: DataFrame, source: str, **columns: Column) -> DataFrame:
 
 
 def _json(spark: SparkSession, path: str, schema: str, items: str) -> DataFrame:
-    """One row ``r`` for each element of the array at ``items``."""
-    whole = spark.read.schema(schema).json(path, multiLine=True)
+    """One row ``r`` for each element of the array at ``items``; a payload that is no JSON gives none (see ``strict``)."""
+    whole = spark.read.schema(f"{schema}, {CORRUPT} string").json(path, multiLine=True, columnNameOfCorruptRecord=CORRUPT)
     return whole.select(F.explode(items).alias("r"))
 
 
+#: Holds what isn't JSON.
+CORRUPT = "_corrupt"
+
+
+class MalformedPayload(ValueError):
+    """A landed payload is no JSON."""
+
+
+def strict(spark: SparkSession, path: str, scan: Callable[..., DataFrame], *args, **more) -> DataFrame:
+    """``scan`` of a path whose payloads must all be JSON: one that isn't is an error, as from a source that fails."""
+    whole = spark.read.schema(f"_any string, {CORRUPT} string").json(path, multiLine=True, columnNameOfCorruptRecord=CORRUPT)
+    bad = cut(whole.select(CORRUPT)).filter(F.col(CORRUPT).isNotNull()).limit(1)
+    if not bad.isEmpty():
+        raise MalformedPayload(path)
+    return scan(spark, path, *args, **more)
+
+
 def _title(c: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(UNTITLED))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidex.sources.store import upsert_store
+
 
 def flat(df: DataFrame) -> DataFrame:
     """Arrays of strings joined by "; ", other nested columns as JSON text."""
@@ -42,11 +44,12 @@ def bibtex(papers: DataFrame) -> DataFrame:
 
 
 def ris(papers: DataFrame) -> DataFrame:
-    """(ord, entry): a RIS record for each paper; lines of empty fields are left out."""
+    """(ord, entry): a RIS record for each paper; lines of empty fields, and of columns that ``papers`` lacks, are left out."""
     line = lambda tag, c: F.when(_text(c) != "", F.concat(F.lit(f"{tag}  - "), _text(c)))
+    more = [line(tag, c) for tag, c in (("VL", "volume"), ("SP", "pages")) if c in papers.columns]
     lines = F.concat(
         F.array(F.lit("TY  - JOUR")), F.transform("authors", lambda a: F.concat(F.lit("AU  - "), a)),
-        F.array_compact(F.array(F.concat(F.lit("TI  - "), _text("title")), F.concat(F.lit("JO  - "), _text("journal")), line("PY", "year"), line("DO", "doi"), line("AB", "abstract"))), F.array(F.lit("ER  - ")),
+        F.array_compact(F.array(F.concat(F.lit("TI  - "), _text("title")), F.concat(F.lit("JO  - "), _text("journal")), line("PY", "year"), *more, line("DO", "doi"), line("AB", "abstract"))), F.array(F.lit("ER  - ")),
     )
     return papers.select("ord", F.concat_ws("\n", lines).alias("entry"))
 
@@ -84,9 +87,10 @@ def new_embeddings(new: DataFrame, stored: DataFrame, key: str = "id") -> tuple[
     return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
 
 
-def upsert_embedding_store(new: DataFrame, path: str, key: str = "id") -> None:
-    """Append to a Parquet store; any rejected row is an error and nothing is written."""
-    fresh, rejected = new_embeddings(new, new.sparkSession.read.parquet(path), key)
-    if not rejected.isEmpty():
-        raise ValueError("the batch has ids that are stored or repeated")
-    fresh.write.parquet(path, mode="append")
+def upsert_embedding_store(new: DataFrame, path: str, key: str = "id", replace: bool = False, batch: str | None = None) -> int:
+    """Adds a batch to a versioned store (see ``store``), whole or not at all; the version that has it.
+
+    Rejected rows (see ``new_embeddings``) are an error, unless ``replace`` lets new rows take the place of
+    stored ones. Of two writers with one key the second fails, and readers see one version.
+    """
+    return upsert_store(new, path, key, replace, batch)
