@@ -52,7 +52,7 @@ class MalformedPayload(ValueError):
 def strict(spark: SparkSession, path: str, scan: Callable[..., DataFrame], *args, **more) -> DataFrame:
     """``scan`` of a path whose payloads must all be JSON: one that isn't is an error, as from a source that fails."""
     whole = spark.read.schema(f"_any string, {CORRUPT} string").json(path, multiLine=True, columnNameOfCorruptRecord=CORRUPT)
-    bad = cut(whole.select(CORRUPT)).filter(F.col(CORRUPT).isNotNull()).limit(1)
+    bad = cut(whole).filter(F.col(CORRUPT).isNotNull()).limit(1)
     if not bad.isEmpty():
         raise MalformedPayload(path)
     return scan(spark, path, *args, **more)
