@@ -98,8 +98,9 @@ def bucket_entities(mentions: DataFrame, key: str, groups: dict[str, str], least
     return first.groupBy(key, "category").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("words"))
 
 
-def extract_svo(docs: DataFrame, key: str, text: str, verbs: dict[str, str]) -> DataFrame:
-    """(key, sentence_no, subject, verb, object, passive, negated) by pattern: words around a known verb.
+def extract_svo(docs: DataFrame, key: str, text: str, verbs: dict[str, str], sentences: bool = False) -> DataFrame:
+    """(key, sentence_no, subject, verb, object, passive, negated) by pattern: words around a known verb; with
+    ``sentences`` also the sentence.
 
     The subject and the object are up to three words before and after the verb form; "is" or "was"
     before a form makes it passive, "not" or "no" in the sentence negates it.
@@ -110,7 +111,7 @@ def extract_svo(docs: DataFrame, key: str, text: str, verbs: dict[str, str]) ->
     each = docs.select(key, F.posexplode(split_sentences(F.col(text))).alias("sentence_no", "sentence"))
     hit = each.filter(F.col("sentence").rlike(pattern))
     g = lambda k: F.regexp_extract("sentence", pattern, k)
-    return hit.select(key, "sentence_no", normalize_text(g(1)).alias("subject"), F.element_at(lemma, F.lower(g(4))).alias("verb"), normalize_text(g(5)).alias("object"), (g(2) != "").alias("passive"), (g(3) != "").alias("negated"))
+    return hit.select(key, "sentence_no", normalize_text(g(1)).alias("subject"), F.element_at(lemma, F.lower(g(4))).alias("verb"), normalize_text(g(5)).alias("object"), (g(2) != "").alias("passive"), (g(3) != "").alias("negated"), *(["sentence"] if sentences else []))
 
 
 def relation_confidence(prep: Column, passive: Column, negated: Column) -> Column:
@@ -155,16 +156,33 @@ def _full(relations: DataFrame) -> DataFrame:
 def build_edges(relations: DataFrame, lists: bool = False) -> DataFrame:
     """One row for each (src, dst, relation): the highest confidence, the latest source, how often merged.
 
-    With ``lists`` an edge also has all_sources, a sorted array; ``edge_sources`` has them as rows.
+    Where ``relations`` have sentences, an edge has its first one by time (then in order of text) and
+    ``first_at``, when that was. With ``lists`` an edge also has all_sources, a sorted array; ``edge_sources`` has them as rows.
     """
     more = [F.array_sort(F.collect_set("source")).alias("all_sources")] if lists else []
+    more += _first_sentence("ts") if "sentence" in relations.columns else []
     return _full(relations).groupBy("src", "dst", "relation").agg(
         F.max("confidence").alias("confidence"), F.max("ts").alias("timestamp"), F.max_by("source", F.struct("ts", "source")).alias("source"),
         F.count("*").alias("merge_count"), F.count_distinct("source").alias("n_sources"), *more,
     )
 
 
-def build_summary(relations: DataFrame) -> DataFrame:
+def _first_sentence(at: str) -> list[Column]:
+    """The first sentence of a group by time, then by text, and its time; rows without a sentence don't count."""
+    has = F.col("sentence").isNotNull()
+    return [F.min_by("sentence", F.when(has, F.struct(at, "sentence"))).alias("sentence"), F.min(F.when(has, F.col(at))).alias("first_at")]
+
+
+def build_summary(relations: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
+    """One row: relations added and skipped, and, of given mentions (text), entities added and skipped."""
+    rows = _relation_counts(relations)
+    if mentions is None:
+        return rows
+    blank = normalize_node_id(F.col("text")).isNull()
+    return mentions.agg(F.count_if(~blank).alias("entities_added"), F.count_if(blank).alias("entities_skipped")).crossJoin(rows)  # two tables of one row
+
+
+def _relation_counts(relations: DataFrame) -> DataFrame:
     bad = normalize_node_id(F.col("subject")).isNull() | normalize_node_id(F.col("object")).isNull() | normalize_text(F.col("verb")).isNull()
     return relations.agg(F.count_if(~bad).alias("relations_added"), F.count_if(bad).alias("relations_skipped"))
 
@@ -189,6 +207,7 @@ def merge_edges(a: DataFrame, b: DataFrame) -> DataFrame:
     lists = "all_sources" in a.columns and "all_sources" in b.columns
     merged = rows.groupBy("src", "dst", "relation").agg(
         F.max("confidence").alias("confidence"), F.max("timestamp").alias("timestamp"), F.max_by("source", F.struct("timestamp", "source")).alias("source"), F.sum("merge_count").alias("merge_count"), *([_united("all_sources").alias("all_sources")] if lists else []),
+        *(_first_sentence("first_at") if "sentence" in rows.columns else []),
     )
     return merged.withColumn("n_sources", F.size("all_sources").cast("long")) if lists else merged
 
@@ -204,12 +223,60 @@ def merge_nodes(a: DataFrame, b: DataFrame) -> DataFrame:
     return merged.withColumn("n_sources", F.size("sources").cast("long")) if lists else merged
 
 
-def process_papers(papers: DataFrame, relations: DataFrame) -> DataFrame:
-    """(ord, source, status, n_relations) of each paper: no abstract means skipped."""
-    counts = relations.groupBy("ord").agg(F.count("*").alias("n"))
-    blank = normalize_text(F.col("abstract")).isNull()
-    joined = papers.join(counts, "ord", "left")
-    return joined.select("ord", F.coalesce("pmid", "doi", F.lit("unknown")).alias("source"), F.when(blank, "skipped").otherwise("processed").alias("status"), F.coalesce("n", F.lit(0)).alias("n_relations"))
+def paper_source(papers: DataFrame) -> Column:
+    return F.coalesce("pmid", "doi", F.lit("unknown"))
+
+
+def process_papers(papers: DataFrame, patterns: DataFrame, verbs: dict[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, status) of papers (ord, abstract, pmid, doi, ts): mentions and relations found, built into a graph.
+
+    status is (ord, source, status, n_mentions, n_relations); a paper with a blank abstract is skipped.
+    Edges have the first sentence that says so.
+    """
+    source = papers.select("ord", paper_source(papers).alias("source"), "ts", "abstract", normalize_text(F.col("abstract")).isNull().alias("blank"))
+    source = cut(source)  # read for mentions, for relations and for the status
+    texts = source.filter("not blank").select("ord", "abstract")
+    about = source.select("ord", "source", "ts")
+    mentions = cut(extract_mentions(texts, "ord", "abstract", patterns))
+    found = extract_svo(texts, "ord", "abstract", verbs, sentences=True)
+    relations = cut(found.withColumn("confidence", relation_confidence(F.lit(False), F.col("passive"), F.col("negated"))))
+    counts = lambda rows, name: rows.groupBy("ord").agg(F.count("*").alias(name))
+    status = source.join(counts(mentions, "n_mentions"), "ord", "left").join(counts(relations, "n_relations"), "ord", "left")
+    status = status.select("ord", "source", F.when(F.col("blank"), "skipped").otherwise("processed").alias("status"), *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_mentions", "n_relations")])
+    named, said = mentions.join(about, "ord"), relations.join(about, "ord")
+    return build_nodes(named, said), build_edges(said), status
+
+
+def update_graph(papers: DataFrame, patterns: DataFrame, verbs: dict[str, str], path: str) -> DataFrame:
+    """Adds to the graph at ``path`` what papers say that it hasn't seen, and gives their status; see ``process_papers``.
+
+    Nodes, edges and the ledger of papers are versioned stores. Papers of the ledger aren't processed again,
+    and the batch's name depends on its papers alone; so a run that stopped half way and runs again goes on
+    with the stores that it hasn't reached, and a run without new papers adds nothing.
+    """
+    from evidex.sources import store
+
+    spark = papers.sparkSession
+    seen = store.read_version(spark, f"{path}/ledger", store.snapshot(spark, f"{path}/ledger")[1])
+    fresh = cut(papers if seen is None else papers.join(seen.select("ord"), "ord", "left_anti"))
+    n, mark = fresh.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("ord")), F.lit(0))).first()
+    nodes, edges, status = process_papers(fresh, patterns, verbs)
+    if n:
+        batch = f"{n}-{mark & (1 << 64) - 1:x}"
+        edge_id = F.sha2(F.concat_ws("|", "src", "relation", "dst"), 256).alias("edge_id")
+        store.upsert_store(cut(nodes.drop("n_sources")), f"{path}/nodes", "id", batch=batch, merge=merge_nodes)
+        merge = lambda held, new: merge_edges(held, new).select("*", edge_id)
+        store.upsert_store(cut(edges.drop("n_sources").select("*", edge_id)), f"{path}/edges", "edge_id", batch=batch, merge=merge)
+        store.upsert_store(cut(status), f"{path}/ledger", "ord", batch=batch)
+    return status
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, ledger) that ``update_graph`` has made."""
+    from evidex.sources import store
+
+    nodes, edges, ledger = (store.read_store(spark, f"{path}/{x}") for x in ("nodes", "edges", "ledger"))
+    return nodes, edges.drop("edge_id"), ledger
 
 
 def node_exists(nodes: DataFrame, names: DataFrame) -> DataFrame:
@@ -458,7 +525,16 @@ def sync_embeddings(texts: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.join(stored.select("source_id").distinct(), "source_id", "left_anti")
 
 
-def question_support(hits: DataFrame, edges: DataFrame) -> DataFrame:
-    """(query, id, neighbors): each entity hit (query, id) with its sorted neighbours, either way."""
-    links = edges.select(F.col("src").alias("id"), F.col("dst").alias("n")).union(edges.select("dst", "src")).distinct()
-    return hits.join(links, "id", "left").groupBy("query", "id").agg(F.array_sort(F.collect_set("n")).alias("neighbors"))
+def question_support(questions: DataFrame, store: DataFrame, edges: DataFrame, top: int = 5) -> DataFrame:
+    """(query, node, score, rank, neighbors): the ``top`` nodes for each question, with their sorted neighbours, either way.
+
+    ``questions`` are (query, vector), ``store`` has (id, node, vector) of nodes. Only edges of nodes that
+    were hit are gathered, once for each such node.
+    """
+    from evidex.operators.vectors import vector_search
+
+    hits = vector_search(store, questions, top, exclude_self=False)
+    hits = cut(hits.join(store.select(F.col("id").cast("long").alias("id"), "node"), "id"))
+    links = edges.select(F.col("src").alias("node"), F.col("dst").alias("n")).union(edges.select("dst", "src"))
+    near = links.join(hits.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.array_sort(F.collect_set("n")).alias("neighbors"))
+    return hits.join(near, "node", "left").select("query", "node", "score", "rank", F.coalesce("neighbors", F.array().cast("array<string>")).alias("neighbors"))

@@ -248,14 +248,20 @@ def _(s, d):
     return sinks.new_embeddings(e.union(e.filter("id % 5 = 0")), e.filter("id % 2 = 0"))[1].select("id", "reason")
 
 
-@query("g01_extract_mentions", r"""with p as (select * from (values ('CONJ', 'and the', 2), ('PREP', 'of', 1), ('NOUN', 'la', 1)) v(label, words, n)),
+_MENTIONED = r"""with p as (select * from (values ('CONJ', 'and the', 2), ('PREP', 'of', 1), ('NOUN', 'la', 1)) v(label, words, n)),
 t as (select doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) as t, generate_subscripts(regexp_extract_all(text, '[\p{L}\p{N}]+'), 1) as pos, unnest(list_transform(regexp_split_to_array(text, '[\p{L}\p{N}]+')[1:-2], lambda x: length(x))) as g from documents),
 e as (select *, sum(g + length(t)) over (partition by doc_id order by pos) as en from t),
 w as (select doc_id, lower(t) as words, en - length(t) as start_char, en as end_char from e union all select doc_id, lower(t) || ' ' || lower(lead(t) over x), en - length(t), lead(en) over x from e window x as (partition by doc_id order by pos))
-select doc_id, label, words as text, cast(start_char as bigint) as start_char, cast(end_char as bigint) as end_char from w join p using (words)""")
+select doc_id, label, words as text, cast(start_char as bigint) as start_char, cast(end_char as bigint) as end_char from w join p using (words)"""
+
+
+def mention_patterns(s):
+    return s.createDataFrame([("CONJ", "And  the"), ("PREP", "of"), ("NOUN", "LA"), ("BAD", "..")], "label string, pattern string")
+
+
+@query("g01_extract_mentions", _MENTIONED)
 def _(s, d):
-    patterns = s.createDataFrame([("CONJ", "And  the"), ("PREP", "of"), ("NOUN", "LA"), ("BAD", "..")], "label string, pattern string")
-    return G.extract_mentions(A.table(s, d, "documents"), "doc_id", "text", patterns)
+    return G.extract_mentions(A.table(s, d, "documents"), "doc_id", "text", mention_patterns(s))
 
 
 @query("g02_bucket_entities", """with c as (select user_id, case event_type when 'click' then 'drugs' when 'view' then 'diseases' when 'signup' then 'genes' else 'other' end as category, cast(event_id % 50 as varchar) as word, min(event_id) as pos from events where value >= 0.5 group by all)
@@ -269,10 +275,14 @@ _SVO = r"(?i)((?:[\p{L}\p{N}-]+\s+){1,3}?)((?:is|was|are|were)\s+)?((?:not|no)\s
 _SPACED = r"nullif(trim(regexp_replace(regexp_extract(sentence, '{0}', {1}), '\s+', ' ', 'g')), '')"
 
 
-@query("g03_extract_svo", f"""with sent as (select doc_id, unnest(l) as sentence, unnest(range(len(l))) as sentence_no from (select doc_id, {_SENT.replace('(t)', '(text)')} as l from documents))
-select doc_id, cast(sentence_no as int) as sentence_no, {_SPACED.format(_SVO, 1)} as subject, 'be' as verb, {_SPACED.format(_SVO, 5)} as object, regexp_extract(sentence, '{_SVO}', 2) <> '' as passive, regexp_extract(sentence, '{_SVO}', 3) <> '' as negated from sent where regexp_matches(sentence, '{_SVO}')""")
+_VERBS = {"was": "be", "is": "be", "are": "be"}
+_RELATED = f"""with sent as (select doc_id, unnest(l) as sentence, unnest(range(len(l))) as sentence_no from (select doc_id, {_SENT.replace('(t)', '(text)')} as l from documents))
+select doc_id, cast(sentence_no as int) as sentence_no, {_SPACED.format(_SVO, 1)} as subject, 'be' as verb, {_SPACED.format(_SVO, 5)} as object, regexp_extract(sentence, '{_SVO}', 2) <> '' as passive, regexp_extract(sentence, '{_SVO}', 3) <> '' as negated, sentence from sent where regexp_matches(sentence, '{_SVO}')"""
+
+
+@query("g03_extract_svo", f"select * exclude (sentence) from ({_RELATED})")
 def _(s, d):
-    return G.extract_svo(A.table(s, d, "documents"), "doc_id", "text", {"was": "be", "is": "be", "are": "be"})
+    return G.extract_svo(A.table(s, d, "documents"), "doc_id", "text", _VERBS)
 
 
 @query("g04_relation_confidence", "select l_orderkey, l_linenumber, round(0.75::double - 0.15::double * cast(l_returnflag = 'R' as int) - 0.05::double * cast(l_linestatus = 'F' as int) - 0.2::double * cast(l_tax > 0.05 as int), 2) as c from lineitem")
@@ -315,9 +325,17 @@ def _(s, d):
     return G.node_sources(mentions(s, d), A.graph_relations(s, d))
 
 
-@query("g07_build_edges", f"with {_EDGES.format('relations')} select src, dst, relation, confidence, cast(epoch(timestamp) as bigint) as timestamp, source, merge_count, all_sources, len(all_sources) as n_sources from edges", "relations")
+_SAID = "said as (select *, subject || ' ' || verb || ' ' || object || ' by ' || source as sentence from relations)"
+_FIRST = "first as (select lower(subject) as src, lower(object) as dst, lower(verb) as relation, arg_min(sentence, (ts, sentence)) as sentence from said group by all)"
+
+
+def said(s, d):
+    return A.relations(s, d).withColumn("sentence", F.concat_ws(" ", "subject", "verb", "object", F.lit("by"), "source"))
+
+
+@query("g07_build_edges", f"with {_EDGES.format('relations')}, {_SAID}, {_FIRST} select src, dst, relation, confidence, cast(epoch(timestamp) as bigint) as timestamp, source, merge_count, all_sources, len(all_sources) as n_sources, sentence from edges join first using (src, dst, relation)", "relations")
 def _(s, d):
-    return G.build_edges(A.relations(s, d), lists=True).withColumn("timestamp", F.unix_timestamp("timestamp"))
+    return G.build_edges(said(s, d), lists=True).withColumn("timestamp", F.unix_timestamp("timestamp")).drop("first_at")
 
 
 @query("g07_edge_sources", f"with {_EDGES.format('graph_relations')} select src, dst, relation, unnest(all_sources) as source from edges", *_VIEWS)
@@ -325,15 +343,42 @@ def _(s, d):
     return G.edge_sources(A.graph_relations(s, d))
 
 
-@query("g08_build_summary", "select count(*) filter (cast(source as bigint) % 7 <> 0) as relations_added, count(*) filter (cast(source as bigint) % 7 = 0) as relations_skipped from relations", "relations")
+@query("g08_build_summary", "select * from (select count(*) filter (cast(source as bigint) % 7 <> 0) as relations_added, count(*) filter (cast(source as bigint) % 7 = 0) as relations_skipped from relations), (select count(*) filter (s_suppkey % 3 > 0) as entities_added, count(*) filter (s_suppkey % 3 = 0) as entities_skipped from supplier)", "relations")
+def _(s, d):
+    entities = A.table(s, d, "supplier").select(F.when(F.col("s_suppkey") % 3 > 0, F.col("s_name")).otherwise(" ").alias("text"))
+    return G.build_summary(A.relations(s, d).withColumn("subject", F.when(F.col("source").cast("long") % 7 == 0, " ").otherwise(F.col("subject"))), entities)
+
+
+#: What the graph of all papers holds: mentions by patterns, relations by verbs, each with its paper's source and time.
+_PAPERS = rf"""about as (select ord, coalesce(pmid, doi, 'unknown') as source, timestamp '2024-01-01' + to_days(cast(ord as int)) as ts, case when trim(regexp_replace(abstract, '\s+', ' ', 'g')) = '' then 'skipped' else 'processed' end as status from papers),
+mentioned as ({_MENTIONED}), related as ({_RELATED}),
+m as (select doc_id as ord, label, text, source, ts from mentioned join about on doc_id = ord),
+r as (select doc_id as ord, subject, verb, object, source, ts, round(0.75::double - 0.05::double * cast(passive as int) - 0.2::double * cast(negated as int), 2) as confidence, trim(regexp_replace(sentence, '\s+', ' ', 'g')) as sentence from related join about on doc_id = ord)"""
+
+
+def grown(s, d):
+    """The graph of all papers, in two runs, with a third one that finds nothing new."""
+    path = f"{G.shared_folder(s)}/papers-{uuid.uuid4().hex}"
+    papers = A.papers(s, d).withColumn("ts", F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(ord as int))"))
+    for rows in (papers.filter("ord % 3 = 0"), papers, papers):
+        G.update_graph(rows, mention_patterns(s), _VERBS, path)
+    return G.read_graph(s, path)
+
+
+@query("g09_process_papers", f"with {_PAPERS} select ord, source, status, (select count(*) from m where m.ord = about.ord) as n_mentions, (select count(*) from r where r.ord = about.ord) as n_relations from about", "papers")
 def _(s, d):
-    return G.build_summary(A.relations(s, d).withColumn("subject", F.when(F.col("source").cast("long") % 7 == 0, " ").otherwise(F.col("subject"))))
+    return grown(s, d)[2]
 
 
-@query("g09_process_papers", "with r as (select doc_id as ord, k from documents, range(1, 6) t(k) where k <= doc_id % 5) select ord, coalesce(pmid, doi, 'unknown') as source, case when trim(abstract) = '' then 'skipped' else 'processed' end as status, count(k) as n_relations from papers left join r using (ord) group by all", "papers")
+@query("g09_process_papers_nodes", f"with {_PAPERS} select lower(text) as id, arg_min(text, (ts, text)) as canonical_name, list_sort(list(distinct label)) as labels, count(*) as mention_count, cast(epoch(min(ts)) as bigint) as first_seen, cast(epoch(max(ts)) as bigint) as last_seen from (select text, label, ts from m union all select subject, 'UNKNOWN', ts from r union all select object, 'UNKNOWN', ts from r) where text is not null group by 1", "papers")
 def _(s, d):
-    p = A.papers(s, d)
-    return G.process_papers(p, p.select("ord", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k")).filter("k <= ord % 5"))
+    return grown(s, d)[0].withColumns({"first_seen": F.unix_timestamp("first_seen"), "last_seen": F.unix_timestamp("last_seen")})
+
+
+@query("g09_process_papers_edges", f"with {_PAPERS} select lower(subject) as src, lower(object) as dst, lower(verb) as relation, max(confidence) as confidence, cast(epoch(max(ts)) as bigint) as timestamp, arg_max(source, (ts, source)) as source, count(*) as merge_count, md5(arg_min(sentence, (ts, sentence))) as sentence, cast(epoch(min(ts)) as bigint) as first_at from r where subject is not null and object is not null group by 1, 2, 3", "papers")
+def _(s, d):
+    spaced = F.md5(T.normalize_text(F.col("sentence")))
+    return grown(s, d)[1].withColumns({"timestamp": F.unix_timestamp("timestamp"), "first_at": F.unix_timestamp("first_at"), "sentence": spaced})
 
 
 @query("g10_remove_entity", f"with {_GRAPH} select (select count(*) from nodes where id <> 'france') as n_nodes, (select count(*) from edges where src <> 'france' and dst <> 'france') as n_edges", *_VIEWS)
@@ -522,10 +567,14 @@ def _(s, d):
     return G.sync_embeddings(G.relation_texts(edges), stored)
 
 
-@query("g37_question_support", f"with {_GRAPH}, l as (select src as id, dst as n from edges union select dst, src from edges) select n_regionkey as query, lower(n_name) as id, (select list_sort(list(distinct n)) from l where l.id = lower(n_name)) as neighbors from nation", *_VIEWS)
+@query("g37_question_support", f"with {_GRAPH}, l as (select src as id, dst as n from edges union select dst, src from edges), v as (select vec_id as id, lower(s_name) as node, embedding::double[] as vector from embeddings join supplier on s_suppkey = vec_id union all select vec_id, lower(n_name), embedding::double[] from embeddings join nation on n_nationkey + 1000 = vec_id % 1025 and vec_id < 2050), hits as (select q.vec_id as query, v.node, {_COS.format('q.embedding::double[]', 'v.vector')} as score, row_number() over (partition by q.vec_id order by {_COS.format('q.embedding::double[]', 'v.vector')} desc, v.id) as rank from embeddings q, v where q.vec_id % 20 = 0 qualify rank <= 5) select query, node, score, rank, coalesce((select list_sort(list(distinct n)) from l where l.id = node), []) as neighbors from hits", *_VIEWS)
 def _(s, d):
-    hits = A.table(s, d, "nation").select(F.col("n_regionkey").alias("query"), F.lower("n_name").alias("id"))
-    return G.question_support(hits, graph(s, d)[1])
+    e = A.store(s, d)
+    named = lambda t, number, name: A.table(s, d, t).select(number.cast("long").alias("k"), F.lower(name).alias("node"))
+    suppliers = e.join(named("supplier", F.col("s_suppkey"), "s_name"), F.col("id") == F.col("k"))
+    nations = e.filter("id < 2050").join(named("nation", F.col("n_nationkey") + 1000, "n_name"), F.col("id") % 1025 == F.col("k"))
+    vectors = suppliers.select("id", "node", "vector").union(nations.select("id", "node", "vector"))
+    return G.question_support(asked(e), vectors, graph(s, d)[1])
 
 
 def exported(s, d):

@@ -30,18 +30,13 @@ def _(s, d):
 
 @query("x02_stream_session_windows", "with g as (select user_id, ts, case when ts - lag(ts) over w < interval 1 hour then 0 else 1 end as new from events window w as (partition by user_id order by ts)), n as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from g) select user_id, cast(epoch_us(min(ts)) as bigint) as start, cast(epoch_us(max(ts)) as bigint) + 3600000000 as end, count(*) as n from n group by user_id, k")
 def _(s, d):
-    return X.run_complete(X.session_windows(events(s, d), "user_id")).select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
+    return X.run_sessions(events(s, d), "user_id").withColumnRenamed("key", "user_id")
 
 
 @query("x03_stream_last_n", "with l as (select user_id as key, event_id, ts, row_number() over (partition by user_id order by ts desc, event_id desc) as back from events) select key, count(*) as kept, arg_max(event_id, back) as oldest, arg_min(event_id, back) as newest from l where back <= 20 group by 1")
 def _(s, d):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = s.conf.get(name)
-    s.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with X.rocksdb(s):
         return X.upsert(X.last_n(events(s, d), "user_id", "event_id", 20), X.replace(["key"]), ["key"], mode="update")
-    finally:
-        s.conf.set(name, before)
 
 
 @query("x04_stream_graph_upsert", "select cast(user_id as varchar) as src, cast(event_id % 10 as varchar) as dst, event_type as relation, max(value) as confidence, count(*) as merge_count from events group by 1, 2, 3")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,11 +91,12 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def upsert_store(new: DataFrame, path: str, key: str = "id", replace: bool = False, batch: str | None = None, before_publish=None) -> int:
+def upsert_store(new: DataFrame, path: str, key: str = "id", replace: bool = False, batch: str | None = None, merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None, before_publish: Callable[[], None] | None = None) -> int:
     """Adds the rows of ``new`` to the store at ``path``; the version that has them.
 
     A null key, or one that is twice in the batch, is an error. So is a key that is stored already, unless
     ``replace``: then the new row takes its place, and the buckets of the batch's keys are written anew.
+    Or ``merge`` makes the rows of these buckets from those that are held there and the new ones.
     Either all rows of a batch are in a version or none. ``batch`` names the batch: one that a version has
     already is not added again. ``before_publish`` is called between writing and publishing.
     """
@@ -112,14 +114,14 @@ def upsert_store(new: DataFrame, path: str, key: str = "id", replace: bool = Fal
         rows = new.withColumn("bucket", bucket)
         touched = {r.bucket for r in rows.select("bucket").distinct().collect()}  # as many as there are buckets
         held = read_version(spark, path, content, touched)
-        if held is not None and not replace and not new.select(key).join(held.select(key), key, "left_semi").isEmpty():
+        if held is not None and not replace and not merge and not new.select(key).join(held.select(key), key, "left_semi").isEmpty():
             _drop(spark, path, written)
             raise ValueError("the batch has keys that are stored")
-        if replace and held is not None:  # what is kept depends on the version
+        if (replace or merge) and held is not None:  # what is kept depends on the version
             _drop(spark, path, written)
             written = None
-            rest = held.join(new.select(key), key, "left_anti")
-            rows = new.unionByName(rest).withColumn("bucket", bucket)
+            rows = merge(held, new) if merge else new.unionByName(held.join(new.select(key), key, "left_anti"))
+            rows = rows.select(*held.columns).withColumn("bucket", bucket)
         if written is None:
             written = f"data/{batch}-{uuid.uuid4().hex[:8]}"
             rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{written}")
@@ -128,7 +130,7 @@ def upsert_store(new: DataFrame, path: str, key: str = "id", replace: bool = Fal
         folders = {b: list(own) for b, own in content["folders"].items()}
         for b in touched:
             mine = f"{written}/bucket={b}"
-            folders[str(b)] = [mine] if replace else [*folders.get(str(b), []), mine]
+            folders[str(b)] = [mine] if replace or merge else [*folders.get(str(b), []), mine]
         schema = content["schema"] or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema)
         now = {"buckets": content["buckets"], "schema": schema, "folders": folders, "batches": [*content["batches"], batch][-1000:]}
         if publish(spark, path, version + 1, now):

@@ -7,6 +7,7 @@ rewrites the buckets that it touches, and one that runs again writes the same ro
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -37,6 +38,99 @@ def session_windows(stream: DataFrame, key: str, gap: str = "1 hour", watermark:
     return rows.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+class Sessions(StatefulProcessor):
+    """The open sessions of a key: first and last event and number, as a list of hardly ever more than one.
+
+    Events join the sessions that they lie within a gap of, and may so make two into one. A timer at each
+    session's end emits it, when the watermark has passed it, and drops it from the state.
+    """
+
+    def __init__(self, gap_us: int):
+        self.gap = gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "first long, last long, n long")
+
+    def _held(self) -> list[tuple[int, int, int]]:
+        return [tuple(x) for x in self.open.get()] if self.open.exists() else []
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        held = self._held()
+        for part in rows:
+            merged: list[tuple[int, int, int]] = []
+            for first, last, n in sorted([*held, *[(t, t, 1) for t in part["at"].tolist()]]):
+                if merged and first < merged[-1][1] + self.gap:
+                    a, b, m = merged[-1]
+                    merged[-1] = a, max(b, last), m + n
+                else:
+                    merged.append((first, last, n))
+            held = merged
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t if isinstance(t, int) else t[0])
+        for _, last, _ in held:
+            self.handle.registerTimer(-(-(last + self.gap) // 1000))
+        self.open.put(held)
+        yield pd.DataFrame({"key": [], "start": [], "end": [], "n": []}).astype("int64")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, held = expiredTimerInfo.getExpiryTimeInMs() * 1000, self._held()
+        done = [x for x in held if x[1] + self.gap <= now]
+        left = [x for x in held if x[1] + self.gap > now]
+        if left:
+            self.open.put(left)
+        else:
+            self.open.clear()
+        yield pd.DataFrame({"key": [key[0]] * len(done), "start": [x[0] for x in done], "end": [x[1] + self.gap for x in done], "n": [x[2] for x in done]}).astype("int64")
+
+    def close(self) -> None:
+        pass
+
+
+def closed_sessions(stream: DataFrame, key: str, gap_seconds: int = 3600, watermark: str = "1 hour") -> DataFrame:
+    """(key, start, end, n; start and end in microseconds): each session of a key, once, when it is over.
+
+    State holds the sessions that are still open, and nothing else. Rows later than the watermark are
+    dropped. Needs the RocksDB state store.
+    """
+    rows = stream.withWatermark("ts", watermark).select(F.col(key).cast("long").alias("key"), F.unix_micros("ts").alias("at"), "ts")
+    return rows.groupBy("key").transformWithStateInPandas(Sessions(gap_seconds * 1_000_000), "key long, start long, end long, n long", "Append", "eventTime")
+
+
+def run_sessions(stream: DataFrame, key: str, gap_seconds: int = 3600, watermark: str = "1 hour", path: str | None = None) -> DataFrame:
+    """Drains a stream of events into closed sessions, and reads them with those that are still open.
+
+    Closed ones are appended to a table of ``path`` and gone from the state; open ones are read from the
+    state itself, and a later run over the same path goes on with them.
+    """
+    spark = stream.sparkSession
+    path = path or f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
+    sessions = closed_sessions(stream, key, gap_seconds, watermark)
+    with rocksdb(spark):
+        q = sessions.writeStream.outputMode("append").format("parquet").option("path", f"{path}/closed").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        closed = spark.read.schema(sessions.schema).parquet(f"{path}/closed")
+        return closed.unionByName(open_sessions(spark, path, gap_seconds))
+
+
+def open_sessions(spark: SparkSession, path: str, gap_seconds: int) -> DataFrame:
+    """The sessions that the state at ``path`` holds."""
+    held = spark.read.format("statestore").option("path", f"{path}/state").option("stateVarName", "open").load()
+    return held.select(F.col("key.key").alias("key"), F.col("list_element").alias("x")).select("key", F.col("x.first").alias("start"), (F.col("x.last") + gap_seconds * 1_000_000).alias("end"), F.col("x.n").alias("n"))
+
+
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession):
+    """The state store that arbitrary state needs, for the queries that start inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def component_metrics(stream: DataFrame, window: str = "1 day", slide: str | None = None, watermark: str = "1 hour") -> DataFrame:
     """Requests, failures and mean latency of each component by window, tumbling or sliding."""
     w = F.window("ts", window, slide) if slide else F.window("ts", window)

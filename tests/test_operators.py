@@ -370,6 +370,24 @@ def test_session_stream_returns_the_tail(spark, sf):
     assert got.agg(F.sum("n")).first()[0] == rows.count()
 
 
+def test_session_state_holds_open_sessions_only(spark, tmp_path):
+    """Files come one after the other: closed sessions leave the state, and a later run goes on with open ones."""
+    from evidex.streaming import streams as X
+
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def arrive(name, events):
+        rows = [(u, f"2024-01-01 {h:02d}:{m:02d}:00") for u, h, m in events]
+        spark.createDataFrame(rows, "user long, at string").selectExpr("user", "cast(at as timestamp) as ts").coalesce(1).write.parquet(f"{source}/{name}")
+        stream = spark.readStream.schema("user long, ts timestamp").option("recursiveFileLookup", "true").parquet(source)
+        return sorted((r.key, (r.end - r.start) // 60_000_000, r.n) for r in X.run_sessions(stream, "user", 1800, "10 minutes", path).collect())
+
+    assert arrive("a", [(1, 8, 0), (1, 8, 20), (2, 8, 5), (1, 9, 0), (3, 8, 50)]) == [(1, 30, 1), (1, 50, 2), (2, 30, 1), (3, 30, 1)]
+    assert X.open_sessions(spark, path, 1800).count() == 2  # of 1 and 3; the watermark stands at 8:50
+    assert arrive("b", [(3, 9, 10), (1, 9, 40), (2, 12, 0), (2, 8, 10)]) == [(1, 30, 1), (1, 30, 1), (1, 50, 2), (2, 30, 1), (2, 30, 1), (3, 50, 2)]
+    assert [r.key for r in X.open_sessions(spark, path, 1800).collect()] == [2]  # 8:10 came too late and is dropped
+
+
 def event_files(spark, folder, n):
     """``n`` files of ten events of two users, in order."""
     for k in range(n):
