@@ -164,13 +164,15 @@ def quantiles(rows: DataFrame, group: str, value: str, places: dict[str, Callabl
     """(group, names of ``places``): values at places of each group's sorted values.
 
     A place is a function of the group's size that gives a number from 0; between two whole numbers the
-    value lies between theirs in proportion. Equal values are one row, and the rows of a group, however
-    many, are spread over all tasks by their order.
+    value lies between theirs in proportion. Equal values are one row. Up to ``FEW_VALUES`` rows are put in
+    order group by group; more, however many a group has, are spread over all tasks by their order.
     """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
-    run = numbered(counts, "_at", "_g", "_v", size="_c")
-    sizes = run.groupBy("_g").agg(F.min("_at").alias("_first"), F.sum("_c").alias("_size"))
-    run = run.join(sizes, "_g").withColumn("_at", F.col("_at") - F.col("_first"))
+    if counts.limit(FEW_VALUES + 1).count() <= FEW_VALUES:
+        w = Window.partitionBy("_g").orderBy("_v")
+        run = counts.withColumns({"_at": F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"), "_size": F.sum("_c").over(Window.partitionBy("_g"))})
+    else:
+        run = _placed(counts)
     at = lambda p: F.max(F.when((F.col("_at") <= p) & (p < F.col("_at") + F.col("_c")), F.col("_v")))
     ends = {}
     for name, place in places.items():
@@ -179,3 +181,14 @@ def quantiles(rows: DataFrame, group: str, value: str, places: dict[str, Callabl
     found = run.groupBy("_g").agg(*[c.alias(n) for n, c in ends.items()])
     between = [(F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_p")).alias(n) for n in places]
     return found.select(F.col("_g").alias(group), *between)
+
+
+#: Distinct values that are put in order without being written.
+FEW_VALUES = 1 << 20
+
+
+def _placed(counts: DataFrame) -> DataFrame:
+    """Counts with each value's place in its group (_at) and the group's size, by an order over all tasks."""
+    run = numbered(counts, "_at", "_g", "_v", size="_c")
+    sizes = run.groupBy("_g").agg(F.min("_at").alias("_first"), F.sum("_c").alias("_size"))
+    return run.join(sizes, "_g").withColumn("_at", F.col("_at") - F.col("_first"))

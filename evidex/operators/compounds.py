@@ -28,11 +28,14 @@ GROUPS = ("Carboxylic Acid", "Ester", "Amide", "Aldehyde", "Ketone", "Alcohol",
 LIMITS = (("mw", 500, 0.1), ("logp", 5, 0.1), ("hbd", 5, 0.2), ("hba", 10, 0.2))
 
 
-def validate_compounds(compounds: DataFrame, key: str, structure: str) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, rejects with a reason)."""
+def validate_compounds(compounds: DataFrame, key: str, structure: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, rejects with a reason). With ``strict`` it is an error if there are rows and all are rejected."""
     blank = lambda c: normalize_text(F.col(c).cast("string")).isNull()
     marked = compounds.withColumn("reason", F.when(blank(key), "missing compound id").when(blank(structure), "missing structure"))
-    return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
+    valid, rejects = marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
+    if strict and valid.isEmpty() and not rejects.isEmpty():
+        raise ValueError("all compounds are rejected")
+    return valid, rejects
 
 
 def _over(prefix: str = "") -> list[Column]:
@@ -174,6 +177,43 @@ def toxicity_assessment(compounds: DataFrame, alerts: DataFrame) -> DataFrame:
     return joined.withColumns({"endpoints": F.create_map(*pairs), "toxicity_score": score, "toxicity_level": level, "toxicity_confidence": sure, "violations": v})
 
 
+#: The sentences that explain an assessment.
+OVERALL = "Overall toxicity risk score is %s (category: %s)."
+COMPLIANT = "Compound is fully compliant with Lipinski's Rule of Five."
+VIOLATES = "Compound violates %d of Lipinski's Rule of Five criteria (MW=%s, LogP=%s), which may indicate reduced drug-likeness and elevated risk."
+ALERTS = "%d PAINS/Brenk structural alert(s) detected: %s. These substructures are associated with assay interference or known reactivity and toxicity liabilities."
+NO_ALERTS = "No PAINS or Brenk structural alerts were detected."
+LIPOPHILIC = "Calculated LogP of %s exceeds 3.0, indicating elevated lipophilicity that is commonly associated with off-target binding and hepatotoxicity risk."
+QED_LOW = "QED drug-likeness score of %s is relatively low, suggesting the compound's overall physicochemical profile is less favorable for further development."
+QED_FINE = "QED drug-likeness score of %s indicates a reasonably favorable physicochemical profile."
+
+
+def digits(c: Column, n: int) -> Column:
+    """A number with ``n`` digits after the point."""
+    return F.round(c.cast("decimal(38,9)"), n).cast(f"decimal(30,{n})").cast("string")
+
+
+def toxicity_explanations(assessed: DataFrame, names: str = "alert_names") -> DataFrame:
+    """Adds explanations to assessed compounds: overall, rule of five, alerts by name, lipophilicity and drug-likeness.
+
+    ``names`` is an array of the alerts' names, if the table has it. A null QED counts as 0.5, as in the score;
+    null properties are shown as such.
+    """
+    listed = F.coalesce(names, F.array().cast("array<string>")) if names in assessed.columns else F.array().cast("array<string>")
+    shown = lambda c, n: F.coalesce(digits(F.col(c), n), F.lit("null"))
+    qed = F.coalesce("qed", F.lit(0.5))
+    lines = F.array_compact(
+        F.array(
+            F.format_string(OVERALL, digits(F.col("toxicity_score"), 2), "toxicity_level"),
+            F.when(F.col("violations") == 0, COMPLIANT).otherwise(F.format_string(VIOLATES, "violations", shown("mw", 1), shown("logp", 2))),
+            F.when(F.size(listed) > 0, F.format_string(ALERTS, F.size(listed), F.array_join(listed, ", "))).otherwise(NO_ALERTS),
+            F.when(F.col("logp") > 3, F.format_string(LIPOPHILIC, shown("logp", 2))),
+            F.when(qed < 0.5, F.format_string(QED_LOW, digits(qed, 2))).otherwise(F.format_string(QED_FINE, digits(qed, 2))),
+        )
+    )
+    return assessed.withColumn("explanations", lines)
+
+
 def screening_funnel(flags: DataFrame, stages: list[str]) -> DataFrame:
     """(stage, passed, failed, skipped) by boolean columns, null where a stage was skipped."""
     one = flags.agg(*[F.struct(F.count_if(F.col(s)).alias("passed"), F.count_if(~F.col(s)).alias("failed"), F.count_if(F.col(s).isNull()).alias("skipped")).alias(s) for s in stages])

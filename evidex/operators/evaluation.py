@@ -1,8 +1,9 @@
-"""Retrieval metrics over runs and relevance tables, and statistics of recorded runs."""
+"""Retrieval metrics over runs and relevance tables (or judged runs), and statistics of recorded runs."""
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,54 +12,77 @@ from evidex.functions.text import strings
 from evidex.operators.blocks import quantiles
 
 
-def _hits(runs: DataFrame, qrels: DataFrame) -> DataFrame:
-    """(query, item, rank, hit) of each retrieved item."""
-    rel = qrels.select("query", "item").distinct().withColumn("rel", F.lit(True))
-    return runs.join(rel, ["query", "item"], "left").select("query", "item", "rank", F.coalesce("rel", F.lit(False)).alias("hit"))
+class Judged(NamedTuple):
+    """A run with its judgements: (query, item, rank, hit) of each retrieved item, (query, n_rel) of each query."""
 
+    hits: DataFrame
+    queries: DataFrame
 
-def _every_query(runs: DataFrame, qrels: DataFrame) -> DataFrame:
-    n = qrels.select("query", "item").distinct().groupBy("query").agg(F.count("*").alias("n_rel"))
-    return runs.select("query").union(qrels.select("query")).distinct().join(n, "query", "left").withColumn("n_rel", F.coalesce("n_rel", F.lit(0)))
 
+def judge(runs: DataFrame, qrels: DataFrame) -> Judged:
+    """``runs`` (query, item, rank) by relevance rows (query, item)."""
+    known = qrels.select("query", "item").distinct()
+    hits = runs.join(known.withColumn("rel", F.lit(True)), ["query", "item"], "left").select("query", "item", "rank", F.coalesce("rel", F.lit(False)).alias("hit"))
+    n = known.groupBy("query").agg(F.count("*").alias("n_rel"))
+    every = runs.select("query").union(qrels.select("query")).distinct().join(n, "query", "left").withColumn("n_rel", F.coalesce("n_rel", F.lit(0)))
+    return Judged(hits, every)
 
-def precision_recall_f1(runs: DataFrame, qrels: DataFrame) -> DataFrame:
+
+def judge_by_label(runs: DataFrame, labels: DataFrame, queries: DataFrame) -> Judged:
+    """``runs`` where all other rows of ``labels`` (id, label) with a query's label are relevant to it.
+
+    Relevant rows are counted by label, and only retrieved items are looked up: no row is made for a query and
+    each relevant item. ``queries`` (query) are ids of ``labels``; a null label has none beside it.
+    """
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    asked = queries.select("query").distinct().join(labels.select(F.col("id").alias("query"), F.col("label").alias("own")), "query", "left")
+    every = asked.join(sizes.withColumnRenamed("label", "own"), "own", "left").select("query", "own", (F.coalesce("size", F.lit(1)) - 1).alias("n_rel"))
+    hits = runs.join(asked, "query", "left").join(labels.select(F.col("id").alias("item"), "label"), "item", "left")
+    hits = hits.select("query", "item", "rank", F.coalesce((F.col("own") == F.col("label")) & (F.col("query") != F.col("item")), F.lit(False)).alias("hit"))
+    return Judged(hits, every.drop("own"))
+
+
+def _judged(runs: DataFrame | Judged, qrels: DataFrame | None) -> Judged:
+    return runs if isinstance(runs, Judged) else judge(runs, qrels)
+
+
+def precision_recall_f1(runs: DataFrame | Judged, qrels: DataFrame | None = None) -> DataFrame:
     """Each query's precision, recall and F1; 0 where nothing is retrieved or relevant."""
-    got = _hits(runs, qrels).groupBy("query").agg(F.count("*").alias("n"), F.count_if("hit").alias("h"), F.count_distinct(F.when(F.col("hit"), F.col("item"))).alias("d"))
-    j = _every_query(runs, qrels).join(got, "query", "left")
+    got = _judged(runs, qrels).hits.groupBy("query").agg(F.count("*").alias("n"), F.count_if("hit").alias("h"), F.count_distinct(F.when(F.col("hit"), F.col("item"))).alias("d"))
+    j = _judged(runs, qrels).queries.join(got, "query", "left")
     zero = F.lit(0.0)
     p, r = F.coalesce(F.try_divide("h", "n"), zero), F.coalesce(F.try_divide("d", "n_rel"), zero)
     return j.select("query", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), zero).alias("f1"))
 
 
-def average_precision(runs: DataFrame, qrels: DataFrame) -> DataFrame:
+def average_precision(runs: DataFrame | Judged, qrels: DataFrame | None = None) -> DataFrame:
     w = Window.partitionBy("query").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    gained = _hits(runs, qrels).withColumn("seen", F.sum(F.col("hit").cast("int")).over(w)).filter("hit")
+    gained = _judged(runs, qrels).hits.withColumn("seen", F.sum(F.col("hit").cast("int")).over(w)).filter("hit")
     summed = gained.groupBy("query").agg(F.sum(F.col("seen") / F.col("rank")).alias("s"))
-    return _every_query(runs, qrels).join(summed, "query", "left").select("query", F.coalesce(F.try_divide(F.coalesce("s", F.lit(0.0)), "n_rel"), F.lit(0.0)).alias("ap"))
+    return _judged(runs, qrels).queries.join(summed, "query", "left").select("query", F.coalesce(F.try_divide(F.coalesce("s", F.lit(0.0)), "n_rel"), F.lit(0.0)).alias("ap"))
 
 
-def mean_average_precision(runs: DataFrame, qrels: DataFrame) -> DataFrame:
+def mean_average_precision(runs: DataFrame | Judged, qrels: DataFrame | None = None) -> DataFrame:
     """One row; queries without a relevant item count with 0."""
     return average_precision(runs, qrels).agg(F.coalesce(F.avg("ap"), F.lit(0.0)).alias("map"))
 
 
-def ndcg(runs: DataFrame, qrels: DataFrame, k: int = 10, discount: str = "log2") -> DataFrame:
+def ndcg(runs: DataFrame | Judged, qrels: DataFrame | None = None, k: int = 10, discount: str = "log2") -> DataFrame:
     """Each query's NDCG at k with discount log2(rank + 1) or rank + 1."""
     weight = lambda i: math.log2(i + 1) if discount == "log2" else i + 1.0
     ideal = [0.0]
     for i in range(1, k + 1):
         ideal.append(ideal[-1] + 1 / weight(i))
     d = F.log2(F.col("rank") + 1) if discount == "log2" else F.col("rank") + 1.0
-    gained = _hits(runs, qrels).filter(F.col("hit") & (F.col("rank") <= k)).groupBy("query").agg(F.sum(1 / d).alias("dcg"))
+    gained = _judged(runs, qrels).hits.filter(F.col("hit") & (F.col("rank") <= k)).groupBy("query").agg(F.sum(1 / d).alias("dcg"))
     table = F.array(*[F.lit(x) for x in ideal])
     best = F.element_at(table, (F.least("n_rel", F.lit(k)) + 1).cast("int"))
-    return _every_query(runs, qrels).join(gained, "query", "left").select("query", F.coalesce(F.try_divide(F.coalesce("dcg", F.lit(0.0)), best), F.lit(0.0)).alias("ndcg"))
+    return _judged(runs, qrels).queries.join(gained, "query", "left").select("query", F.coalesce(F.try_divide(F.coalesce("dcg", F.lit(0.0)), best), F.lit(0.0)).alias("ndcg"))
 
 
-def mean_reciprocal_rank(runs: DataFrame, qrels: DataFrame) -> DataFrame:
-    first = _hits(runs, qrels).groupBy("query").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("r"))
-    return _every_query(runs, qrels).join(first, "query", "left").agg(F.coalesce(F.avg(F.coalesce(1 / F.col("r"), F.lit(0.0))), F.lit(0.0)).alias("mrr"))
+def mean_reciprocal_rank(runs: DataFrame | Judged, qrels: DataFrame | None = None) -> DataFrame:
+    first = _judged(runs, qrels).hits.groupBy("query").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("r"))
+    return _judged(runs, qrels).queries.join(first, "query", "left").agg(F.coalesce(F.avg(F.coalesce(1 / F.col("r"), F.lit(0.0))), F.lit(0.0)).alias("mrr"))
 
 
 def accuracy(rows: DataFrame, predicted: str, truth: str) -> DataFrame:

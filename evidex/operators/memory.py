@@ -27,8 +27,10 @@ def retain_last_n(messages: DataFrame, most: int = 200) -> tuple[DataFrame, Data
     return kept, counts
 
 
-def prune_expired(messages: DataFrame, ttl_seconds: int, now: Column) -> DataFrame:
-    return messages.filter(F.unix_timestamp("created_at") >= F.unix_timestamp(now) - ttl_seconds)
+def prune_expired(messages: DataFrame, ttl_seconds: int, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(kept rows, one row: evicted): rows from before ``ttl_seconds`` ago go; those without a time go too."""
+    young = F.coalesce(F.unix_timestamp("created_at") >= F.unix_timestamp(now) - ttl_seconds, F.lit(False))
+    return messages.filter(young), messages.agg(F.count_if(~young).alias("evicted"))
 
 
 def keyword_search(records: DataFrame, query: str, kinds: list[str] | None = None, conversation: int | None = None, limit: int = 20) -> DataFrame:
@@ -56,8 +58,11 @@ def sessions_of(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conversation_id").agg(F.max("created_at").alias("updated_at"), F.count("*").alias("n_messages"))
 
 
-def list_conversations(sessions: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    return sessions.orderBy(F.desc("updated_at"), "conversation_id").offset(offset).limit(limit)
+def list_conversations(sessions: DataFrame, limit: int, offset: int = 0, user: str | int | None = None, status: str | None = None) -> DataFrame:
+    """A page of conversations, the newest first; of one user (user_id) or status where these are given."""
+    rows = sessions if user is None else sessions.filter(F.col("user_id") == user)
+    rows = rows if status is None else rows.filter(F.col("status") == status)
+    return rows.orderBy(F.desc("updated_at"), "conversation_id").offset(offset).limit(limit)
 
 
 def conversation_summary(messages: DataFrame) -> DataFrame:
@@ -71,7 +76,10 @@ def conversation_summary(messages: DataFrame) -> DataFrame:
 
 
 def conversation_stats(sessions: DataFrame) -> DataFrame:
-    return sessions.agg(F.count("*").alias("n_conversations"), F.sum("n_messages").alias("n_messages"), F.round(F.avg("n_messages"), 6).alias("mean_messages"))
+    """One row: conversations, messages and their mean; where sessions have them, also users and numbers by status."""
+    more = [F.count_distinct("user_id").alias("n_users")] if "user_id" in sessions.columns else []
+    more += [F.count_if(F.col("status") == x).alias(x) for x in ("active", "completed", "expired")] if "status" in sessions.columns else []
+    return sessions.agg(F.count("*").alias("n_conversations"), F.coalesce(F.sum("n_messages"), F.lit(0)).alias("n_messages"), F.coalesce(F.round(F.avg("n_messages"), 6), F.lit(0.0)).alias("mean_messages"), *more)
 
 
 def session_expiry(sessions: DataFrame, now: Column, timeout_seconds: int = 3600) -> DataFrame:
@@ -90,9 +98,15 @@ def render_transcript(messages: DataFrame, last_turns: int | None = None, most_c
     return rows.groupBy("conversation_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("transcript"))
 
 
-def user_limits(sessions: DataFrame, user: str, most: int) -> DataFrame:
-    """Users with ``most`` active conversations or more."""
-    return sessions.groupBy(user).agg(F.count("*").alias("n")).filter(F.col("n") >= most)
+def user_limits(sessions: DataFrame, user: str, most: int, status: str | None = None) -> DataFrame:
+    """Users with ``most`` conversations or more; with ``status`` only active ones count."""
+    rows = sessions if status is None else sessions.filter(F.col(status) == "active")
+    return rows.groupBy(user).agg(F.count("*").alias("n")).filter(F.col("n") >= most)
+
+
+def full_conversations(messages: DataFrame, most: int) -> DataFrame:
+    """(conversation_id, n) of conversations at the limit of messages or beyond."""
+    return messages.groupBy("conversation_id").agg(F.count("*").alias("n")).filter(F.col("n") >= most)
 
 
 def evict_oldest(records: DataFrame, keys: list[str], most: int, status: str | None = None) -> DataFrame:

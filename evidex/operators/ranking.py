@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidex.functions.text import clamp, score_to_confidence
+from evidex.functions.text import clamp
 from evidex.operators.blocks import block_join, quantiles
 from evidex.operators.graph import cut
 
@@ -32,6 +32,28 @@ def criteria_long(wide: DataFrame, key: str, criteria: list[str]) -> DataFrame:
     return wide.unpivot([key], criteria, "criterion", "value").filter("value is not null")
 
 
+#: The six criteria, and the column of its evidence that each one takes.
+EVIDENCE = (
+    ("structural_similarity", "similarity", "similarity"), ("target_confidence", "targets", "confidence"), ("toxicity_risk", "toxicity", "toxicity_score"),
+    ("drug_likeness", "properties", "qed"), ("lipinski_violations", "properties", "violations"), ("repurposing_evidence", "repurposing", "score"),
+)
+
+
+def criteria_from_evidence(key: str, evidence: dict[str, DataFrame], custom: DataFrame | None = None) -> DataFrame:
+    """(key, criterion, value) of the six criteria from evidence tables, and of ``custom`` ones (key, criterion, value).
+
+    ``evidence`` has any of similarity, targets, toxicity, properties and repurposing; what a table lacks
+    makes no row. Of several rows of a candidate the highest value counts, so of targets the strongest.
+    A custom value outside 0 to 1 is an error.
+    """
+    parts = [evidence[table].groupBy(key).agg(F.max(F.col(column).cast("double")).alias("value")).select(key, F.lit(name).alias("criterion"), "value") for name, table, column in EVIDENCE if table in evidence]
+    if custom is not None:
+        inside = F.col("value").between(0, 1)
+        checked = F.when(inside | F.col("value").isNull(), F.col("value").cast("double")).otherwise(F.raise_error(F.lit("a custom value lies between 0 and 1")).cast("double"))
+        parts.append(custom.select(key, "criterion", checked.alias("value")))
+    return reduce(DataFrame.union, parts).filter("value is not null")
+
+
 def _ends(long: DataFrame, *aggs) -> DataFrame:
     """``long`` beside its criteria's aggregates, a row for each criterion (few, so sent to all tasks)."""
     return long.join(F.broadcast(long.groupBy("criterion").agg(*aggs)), "criterion")
@@ -100,6 +122,12 @@ def rank_top_k(scored: DataFrame, key: str, k: int, score: str = "composite") ->
     return scored.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def filtered_out(scored: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """One row: how many candidates there are, how many pass the filters, and how many don't."""
+    both = scored.select(key).distinct().join(kept.select(key).distinct().withColumn("_kept", F.lit(True)), key, "left")
+    return both.agg(F.count("*").alias("total"), F.count("_kept").alias("kept"), (F.count("*") - F.count("_kept")).alias("filtered_out"))
+
+
 def explanations(normalized: DataFrame, scored: DataFrame, key: str) -> DataFrame:
     """(key, lines): the overall line, then criteria by weight with their share of it."""
     total = F.sum("weight").over(Window.partitionBy(key))
@@ -109,7 +137,25 @@ def explanations(normalized: DataFrame, scored: DataFrame, key: str) -> DataFram
     return scored.join(lines, key).select(key, F.concat(head, F.transform("ls", lambda x: x["line"])).alias("lines"))
 
 
-def ranking_statistics(scored: DataFrame, score: str = "composite") -> DataFrame:
+def ranking_statistics(scored: DataFrame, score: str = "composite", level: str | None = None, normalized: DataFrame | None = None) -> DataFrame:
+    """One row about the scores; with ``level`` (a column) also confidence_distribution, how many have each level
+    (null: unknown), and with ``normalized`` (criterion, normalized) the mean of each criterion. Empty: zeros."""
+    rows = _score_statistics(scored, score)
+    if level:
+        counts = scored.groupBy(F.coalesce(F.col(level), F.lit("unknown")).alias("k")).agg(F.count("*").alias("v"))
+        rows = rows.crossJoin(counts.agg(_as_map().alias("confidence_distribution")))  # tables of one row
+    if normalized is not None:
+        means = normalized.groupBy(F.col("criterion").alias("k")).agg(F.avg("normalized").alias("v"))
+        rows = rows.crossJoin(means.agg(_as_map().alias("criterion_averages")))
+    return rows
+
+
+def _as_map() -> Column:
+    """Rows (k, v) as one map, in order of k."""
+    return F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v"))))
+
+
+def _score_statistics(scored: DataFrame, score: str) -> DataFrame:
     one = scored.agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.coalesce(F.stddev_pop(score), F.lit(0.0)).alias("std"), F.min(score).alias("lowest"), F.max(score).alias("highest"))
     middle = quantiles(scored.withColumn("_all", F.lit(0)), "_all", score, {"median": lambda n: (n - 1) / 2}).agg(F.max("median").alias("median"))
     return one.crossJoin(middle).select("n", "mean", "median", "std", "lowest", "highest")  # two tables of one row
@@ -287,7 +333,3 @@ def percentiles(rows: DataFrame, group: str, value: str, asked: dict[str, float]
     found = quantiles(rows, group, value, {n: at(p) for n, p in asked.items()})
     every = rows.select(group).distinct().join(found, group, "left")
     return every.select(group, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in asked])
-
-
-def level(score: Column) -> Column:
-    return score_to_confidence(score)

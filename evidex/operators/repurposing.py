@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidex.functions.text import clamp, score_to_confidence
 from evidex.operators.blocks import numbered
-from evidex.operators.compounds import similar_compounds
+from evidex.operators.compounds import digits, similar_compounds
 
 #: Weights of the four kinds of evidence.
 WEIGHTS = (("structural", 0.25), ("overlap", 0.30), ("embedding", 0.20), ("graph", 0.25))
@@ -49,14 +49,22 @@ def structural_evidence(candidates: DataFrame, bits: DataFrame, query: DataFrame
 
 
 def repurposing_candidates(candidates: DataFrame, evidence: dict[str, DataFrame], least: float = 0.0, top: int | None = None) -> DataFrame:
-    """Ranked candidates: weighted evidence, where what is missing counts as 0."""
+    """Ranked candidates: weighted evidence, where what is missing counts as 0.
+
+    criteria is what each kind gives, notes say what there is and what it says: the paths of graph
+    evidence, where its table has them, and the kinds without evidence.
+    """
     joined = candidates.select("compound_id")
     for kind, _ in WEIGHTS:
-        joined = joined.join(evidence[kind].select("compound_id", kind), "compound_id", "left") if kind in evidence else joined.withColumn(kind, F.lit(None).cast("double"))
+        more = ["paths"] if kind == "graph" and "paths" in evidence.get("graph", candidates).columns else []
+        joined = joined.join(evidence[kind].select("compound_id", kind, *more), "compound_id", "left") if kind in evidence else joined.withColumn(kind, F.lit(None).cast("double"))
     parts = {k: F.coalesce(k, F.lit(0.0)) for k, _ in WEIGHTS}
     score = F.least(F.lit(1.0), F.round(sum((w * parts[k] for k, w in WEIGHTS), F.lit(0.0)), 6))
     criteria = F.create_map(*[x for k, c in parts.items() for x in (F.lit(k), c)])
-    scored = joined.select("compound_id", score.alias("score"), criteria.alias("criteria")).filter(F.col("score") >= least)
+    said = [F.when(F.col(k) > 0, F.format_string(k + " evidence %s (weight %s)", digits(F.col(k), 2), F.lit(str(w)))).otherwise(f"no {k} evidence") for k, w in WEIGHTS]
+    paths = [F.when(F.size("paths") > 0, F.concat(F.lit("relations: "), F.array_join("paths", "; ")))] if "paths" in joined.columns else []
+    notes = F.array_compact(F.array(*said, *paths))
+    scored = joined.select("compound_id", score.alias("score"), criteria.alias("criteria"), notes.alias("notes")).filter(F.col("score") >= least)
     order = [F.desc("score"), F.asc("compound_id")]
     scored = scored.withColumn("level", score_to_confidence(F.col("score")))
     if top:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from evidex import adapters as A
+from evidex.functions.text import score_to_confidence
 from evidex.operators import compounds as C
 from evidex.operators import ranking as M
 from evidex.operators import repurposing as R
@@ -148,6 +149,28 @@ def _(s, d):
     return assessed(s, d).select("compound_id", "toxicity_score", "toxicity_level", "toxicity_confidence")
 
 
+def _sql(text):
+    return text.replace("'", "''")
+
+
+_DIGITS = "cast(round(cast({0} as decimal(38,9)), {1}) as varchar)"
+_EXPLAINED = f"""named as (select l_partkey as compound_id, list_sort(list(distinct 'alert ' || l_orderkey % 5)) as names from lineitem where l_returnflag = 'R' group by 1),
+said as (select compound_id, list_filter([
+  printf('{_sql(C.OVERALL)}', {_DIGITS.format('toxicity_score', 2)}, toxicity_level),
+  case when violations = 0 then '{_sql(C.COMPLIANT)}' else printf('{_sql(C.VIOLATES)}', violations, {_DIGITS.format('mw', 1)}, {_DIGITS.format('logp', 2)}) end,
+  case when len(names) > 0 then printf('{_sql(C.ALERTS)}', len(names), array_to_string(names, ', ')) else '{_sql(C.NO_ALERTS)}' end,
+  case when logp > 3 then printf('{_sql(C.LIPOPHILIC)}', {_DIGITS.format('logp', 2)}) end,
+  case when coalesce(qed, 0.5) < 0.5 then printf('{_sql(C.QED_LOW)}', {_DIGITS.format('coalesce(qed, 0.5)', 2)}) else printf('{_sql(C.QED_FINE)}', {_DIGITS.format('coalesce(qed, 0.5)', 2)}) end], lambda x: x is not null) as explanations
+  from tox left join named using (compound_id))"""
+
+
+@query("c15_toxicity_explanations", f"with {_TOX}, {_EXPLAINED} select compound_id, explanations from said", "compounds", "alerts")
+def _(s, d):
+    line = A.table(s, d, "lineitem").filter("l_returnflag = 'R'")
+    names = line.groupBy(F.col("l_partkey").alias("compound_id")).agg(F.array_sort(F.collect_set(F.concat(F.lit("alert "), F.col("l_orderkey") % 5))).alias("alert_names"))
+    return C.toxicity_explanations(assessed(s, d).join(names, "compound_id", "left")).select("compound_id", "explanations")
+
+
 @query("c17_screening_funnel", f"""with f as (select compound_id % 10 <> 0 as valid, qed > 0.3 as scored, case when compound_id % 10 <> 0 then {_VIOL} = 0 end as ranked from compounds)
 select 'valid' as stage, count(*) filter (valid) as passed, count(*) filter (not valid) as failed, count(*) filter (valid is null) as skipped from f
 union all select 'scored', count(*) filter (scored), count(*) filter (not scored), count(*) filter (scored is null) from f
@@ -194,6 +217,12 @@ def similarities(s, d):
 _STRUCT = "structural as (select b.compound_id, round(count(*) / (any_value(n.n) + any_value(m.n) - count(*)), 9) as structural from bits q join bits b using (bit) join (select compound_id, count(*) as n from bits group by 1) n on n.compound_id = q.compound_id join (select compound_id, count(*) as n from bits group by 1) m on m.compound_id = b.compound_id where q.compound_id = 1 and b.compound_id <> 1 group by 1)"
 
 
+def structural_hits(s, d):
+    """Compounds that share a bit with compound 1."""
+    one = s.range(1, 2).toDF("query")
+    return C.similar_compounds(one, A.bits(s, d)).select("compound_id", F.round("similarity", 9).alias("similarity"))
+
+
 def structural(s, d):
     c, b = A.compounds(s, d), A.bits(s, d)
     q = b.filter("compound_id = 1").select(F.col("compound_id").alias("query")).distinct()
@@ -219,6 +248,27 @@ def _(s, d):
     return repurposed(s, d, 50).select("compound_id", "score", "level", "rank")
 
 
+#: Relations of compounds with a disease.
+_NET = "net as (select p_partkey as compound_id, least(1, 0.5 + p_size / 100.0::double) as graph, ['drug ' || p_partkey || ' treats fever'] as paths from part where p_size % 5 = 0)"
+_NOTE = "case when coalesce({0}, 0) > 0 then '{0} evidence ' || cast(round(cast({0} as decimal(38,9)), 2) as varchar) || ' (weight {1})' else 'no {0} evidence' end"
+_FOUR = f"""{_NET}, four as (select compound_id, least(1.0::double, round({' + '.join(f'{w}::double * coalesce({k}, 0)' for k, w in R.WEIGHTS)}, 6)) as score,
+  list_filter([{', '.join(_NOTE.format(k, w) for k, w in R.WEIGHTS)}, case when len(paths) > 0 then 'relations: ' || array_to_string(paths, '; ') end], lambda x: x is not null) as notes
+  from compounds left join structural using (compound_id) left join overlap using (compound_id) left join emb using (compound_id) left join net using (compound_id))"""
+
+
+def network(s, d):
+    part = A.table(s, d, "part").filter("p_size % 5 = 0")
+    edges = part.select(F.concat(F.lit("drug "), "p_partkey").alias("src"), F.lit("treats").alias("relation"), F.lit("fever").alias("dst"), (0.5 + F.col("p_size") / 100).alias("confidence"))
+    return R.graph_score(edges, "fever").select(F.substring_index("candidate", " ", -1).cast("long").alias("compound_id"), "graph", "paths")
+
+
+@query("r05_repurposing_four_kinds", f"with {_PRED}, {_OVER}, {_STRUCT}, {_EVIDENCE}, {_FOUR} select compound_id, score, notes, row_number() over (order by score desc, compound_id) as rank from four qualify rank <= 100", "compounds", "bits", "matches")
+def _(s, d):
+    c = A.compounds(s, d)
+    kinds = {"structural": structural(s, d), "overlap": overlap(s, d), "embedding": R.embedding_evidence(c.select("compound_id"), similarities(s, d)), "graph": network(s, d)}
+    return R.repurposing_candidates(c, kinds, 0.0, 100).select("compound_id", "score", "notes", "rank")
+
+
 CRITERIA = ["qed", "logp", "tpsa", "mw"]
 WEIGHTS = (("qed", 0.4, True), ("logp", 0.2, False), ("tpsa", 0.3, True), ("mw", 0.1, False))
 _LONG = "weights as (select * from (values " + ", ".join(f"('{n}', {w}::double, {str(h).lower()})" for n, w, h in WEIGHTS) + ") v(criterion, weight, higher_is_better)),\nlong as (select * from (" + " union all ".join(f"select compound_id, '{c}' as criterion, {c} as value from compounds where {c} is not null" for c in CRITERIA) + ") join weights using (criterion))"
@@ -238,6 +288,24 @@ _FLIP = "case when higher_is_better then x else 1 - x end"
 _MINMAX = f"normed as (select *, {_FLIP} as normalized from (select *, case when max(value) over (partition by criterion) = min(value) over (partition by criterion) then 1 else (value - min(value) over (partition by criterion)) / (max(value) over (partition by criterion) - min(value) over (partition by criterion)) end as x from long))"
 
 
+_SIX = " union all ".join(
+    [
+        "select compound_id, 'structural_similarity' as criterion, structural as value from structural", "select compound_id, 'target_confidence', max(confidence) from predictions group by 1", "select compound_id, 'toxicity_risk', toxicity_score from tox",
+        "select compound_id, 'drug_likeness', qed from compounds where qed is not null", f"select compound_id, 'lipinski_violations', cast({_VIOL} as double) from compounds", "select compound_id, 'repurposing_evidence', score from repurposed where score >= 0.1",
+        "select compound_id, 'novelty', (compound_id % 11) / 10.0::double from compounds where compound_id % 2 = 0",
+    ]
+)
+
+
+@query("m01_criteria_from_evidence", f"with {_PRED}, {_OVER}, {_STRUCT}, {_EVIDENCE}, {_TOX} {_SIX}", "compounds", "bits", "matches", "alerts")
+def _(s, d):
+    c, tox = A.compounds(s, d), assessed(s, d)
+    repurposing = repurposed(s, d, None).select("compound_id", "score")
+    evidence = {"similarity": structural_hits(s, d), "targets": predictions(s, d), "toxicity": tox, "properties": tox, "repurposing": repurposing}
+    custom = c.filter("compound_id % 2 = 0").select("compound_id", F.lit("novelty").alias("criterion"), (F.col("compound_id") % 11 / 10).alias("value"))
+    return M.criteria_from_evidence("compound_id", evidence, custom)
+
+
 @query("m02_normalize_min_max", f"with {_LONG}, {_MINMAX} select compound_id, criterion, round(normalized, 9) as normalized from normed", "compounds")
 def _(s, d):
     return M.normalize_min_max(long(s, d)).select("compound_id", "criterion", F.round("normalized", 9).alias("normalized"))
@@ -282,7 +350,7 @@ def confidences(s, d):
     covered = long(s, d).groupBy("compound_id").agg(F.count("*").alias("covered"))
     levels = predictions(s, d).groupBy("compound_id").agg(F.avg(M.ordinal(F.col("level"), M.CONFIDENCE_ORDER)).alias("lv"))
     c = M.candidate_confidence(F.col("covered"), len(CRITERIA), F.col("lv"))
-    return covered.join(levels, "compound_id", "left").select("compound_id", c.alias("confidence"), M.level(F.round(c, 9)).alias("confidence_level"))
+    return covered.join(levels, "compound_id", "left").select("compound_id", c.alias("confidence"), score_to_confidence(F.round(c, 9)).alias("confidence_level"))
 
 
 @query("m07_candidate_confidence", f"with {_LONG}, {_PRED}, {_CONF} select compound_id, round(confidence, 6) as confidence, {_LEVEL.format('round(confidence, 9)')} as confidence_level from conf", "compounds", "matches")
@@ -314,6 +382,12 @@ def _(s, d):
     return M.rank_top_k(composite(s, d).withColumn("composite", F.round("composite", 6)), "compound_id", 100)
 
 
+@query("m09_filtered_out", f"with {_ALL} select count(*) as total, count(*) filter ({_KEPT}) as kept, count(*) filter (not ({_KEPT})) as filtered_out from scored_all", "compounds", "matches", "alerts")
+def _(s, d):
+    every = scored(s, d)
+    return M.filtered_out(every, M.ranking_filter(every, 0.3, "moderate", True, "medium"), "compound_id")
+
+
 @query("m10_explanations", f"""with {_LONG}, {_MINMAX}, {_SUM} select compound_id, list_concat([printf('Overall score %.3f', any_value(composite))], list(printf('%s: %.3f (weight %.1f%%)', criterion, round(normalized, 6), 100 * weight / tw) order by weight desc, criterion)) as lines
 from (select *, sum(weight) over (partition by compound_id) as tw from normed) join summed using (compound_id) group by 1""", "compounds")
 def _(s, d):
@@ -327,6 +401,13 @@ def _(s, d):
     return t.withColumns({c: F.round(c, 6) for c in ("mean", "median", "std")})
 
 
+@query("m11_ranking_distributions", f"with {_ALL} select (select list(k || ':' || n order by k) from (select confidence_level as k, count(*) as n from scored_all group by 1)) as confidence_distribution, (select list(criterion || ':' || round(m, 6) order by criterion) from (select criterion, avg(normalized) as m from normed group by 1)) as criterion_averages", "compounds", "matches", "alerts")
+def _(s, d):
+    t = M.ranking_statistics(scored(s, d), level="confidence_level", normalized=M.normalize_min_max(long(s, d)))
+    shown = lambda c, f: F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit(":"), f(e["value"]).cast("string")))
+    return t.select(shown("confidence_distribution", lambda v: v).alias("confidence_distribution"), shown("criterion_averages", lambda v: F.round(v, 6)).alias("criterion_averages"))
+
+
 _DOM = " and ".join(f"coalesce(b.{c} >= a.{c}, true)" for c in ("qed", "tpsa", "logp"))
 _BETTER = " or ".join(f"coalesce(b.{c} > a.{c}, false)" for c in ("qed", "tpsa", "logp"))
 
@@ -372,13 +453,22 @@ def _(s, d):
     return C.predict_with(A.compounds(s, d), rules, light).select("compound_id", "target_id", "confidence")
 
 
-@query("k08_export_ranking_csv", f"with {_LONG}, {_MINMAX}, {_SUM}, {_TOX}, r as (select compound_id, composite, row_number() over (order by composite desc, compound_id) as rank from summed qualify rank <= 100) select rank, compound_id, name, composite, mw, logp, toxicity_level from r join compounds using (compound_id) left join (select compound_id, toxicity_level from tox) using (compound_id)", "compounds", "alerts")
+_SHEET = "{_L}, r as (select compound_id, composite, row_number() over (order by composite desc, compound_id) as rank from summed qualify rank <= 100), priced as (select * from tox where compound_id % 3 > 0)".replace("{_L}", f"{_LONG}, {_MINMAX}, {_SUM}, {_TOX}")
+_TEXT = "cast(round(cast({0} as decimal(38,9)), {1}) as varchar)"
+
+
+@query(
+    "k08_export_ranking_csv",
+    f"with {_SHEET} select rank, compound_id, coalesce(name, '') as name, coalesce(brand, '') as structure, {_TEXT.format('composite', 3)} as score, 'ranked' as status, coalesce({_TEXT.format('c.mw', 2)}, '') as mw, coalesce({_TEXT.format('c.logp', 2)}, '') as logp, {_VIOL.replace('mw', 'c.mw').replace('logp', 'c.logp').replace('hbd', 'c.hbd').replace('hba', 'c.hba')} as violations, coalesce(p.toxicity_level, '') as toxicity_level, coalesce({_TEXT.format('p.toxicity_score', 3)}, '') as toxicity_score from r join compounds c using (compound_id) left join (select compound_id, toxicity_level, toxicity_score from priced) p using (compound_id)",
+    "compounds",
+    "alerts",
+)
 def _(s, d):
     from evidex.sources import sinks
 
     r = M.rank_top_k(composite(s, d).withColumn("composite", F.round("composite", 6)), "compound_id", 100)
     path = f"{shared_folder(s)}/ranking-{uuid.uuid4().hex}"
-    sinks.export_csv(sinks.ranking_rows(r, A.compounds(s, d), assessed(s, d)).select("rank", "compound_id", "name", "composite", "mw", "logp", "toxicity_level"), path)
-    return s.read.schema("rank long, compound_id long, name string, composite double, mw double, logp double, toxicity_level string").csv(path, header=True, escape='"')
-
-
+    sheet = sinks.ranking_sheet(r, A.compounds(s, d).withColumn("violations", C.lipinski_violations()), assessed(s, d).filter("compound_id % 3 > 0"), structure="brand", status=F.lit("ranked"))
+    sinks.export_csv(sheet, path)
+    schema = "rank long, compound_id long, name string, structure string, score string, status string, mw string, logp string, violations int, toxicity_level string, toxicity_score string"
+    return s.read.schema(schema).csv(path, header=True, escape='"').fillna("")

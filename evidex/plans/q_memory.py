@@ -111,9 +111,7 @@ def runs(s, d):
     e = A.store(s, d)
     own = e.filter("id % 20 = 0").select(F.col("id").alias("query"), "vector")
     found = V.vector_search(e, own, 10).select("query", F.col("id").alias("item"), "rank")
-    label = e.select("id", "source_type")
-    rel = label.toDF("query", "t").filter("query % 20 = 0").join(label.toDF("item", "t"), "t").filter("query <> item").select("query", "item")
-    return found, rel
+    return E.judge_by_label(found, e.select("id", F.col("source_type").alias("label")), own)
 
 
 _RUNS = """runs as (select q.id as query, s.id as item, row_number() over (partition by q.id order by round(list_cosine_similarity(q.vector, s.vector), 9) desc, s.id) as rank from store q, store s where q.id % 20 = 0 and q.id <> s.id qualify rank <= 10),
@@ -123,24 +121,24 @@ hits as (select r.*, q.item is not null as hit from runs r left join qrels q usi
 
 @query("v01_precision_recall_f1", f"with {_RUNS}, pr as (select query, count(*) filter (hit) / count(*) as p, count(*) filter (hit) / any_value(n_rel) as r from hits join rel using (query) group by 1) select query, round(p, 9) as precision, round(r, 9) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 9) as f1 from pr", "store")
 def _(s, d):
-    return E.precision_recall_f1(*runs(s, d)).select("query", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+    return E.precision_recall_f1(runs(s, d)).select("query", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query("v02_mean_average_precision", f"with {_RUNS}, c as (select query, rank, hit, count(*) filter (hit) over (partition by query order by rank) as seen from hits) select round(avg(ap), 9) as map from (select query, sum(case when hit then seen / rank else 0 end) / any_value(n_rel) as ap from c join rel using (query) group by 1)", "store")
 def _(s, d):
-    return E.mean_average_precision(*runs(s, d)).select(F.round("map", 9).alias("map"))
+    return E.mean_average_precision(runs(s, d)).select(F.round("map", 9).alias("map"))
 
 
 @query("v03_ndcg", f"with {_RUNS}, g as (select query, sum(case when hit then 1 / log2(rank + 1) else 0 end) as a, sum(case when hit then 1 / (rank + 1.0) else 0 end) as b, least(any_value(n_rel), 10) as k from hits join rel using (query) group by 1) select query, round(a / (select sum(1 / log2(i + 1)) from range(1, 11) t(i) where i <= k), 9) as log2, round(b / (select sum(1 / (i + 1.0)) from range(1, 11) t(i) where i <= k), 9) as linear from g", "store")
 def _(s, d):
-    r, q = runs(s, d)
-    a, b = E.ndcg(r, q), E.ndcg(r, q, 10, "linear").withColumnRenamed("ndcg", "b")
+    r = runs(s, d)
+    a, b = E.ndcg(r), E.ndcg(r, discount="linear").withColumnRenamed("ndcg", "b")
     return a.join(b, "query").select("query", F.round("ndcg", 9).alias("log2"), F.round("b", 9).alias("linear"))
 
 
 @query("v04_mean_reciprocal_rank", f"with {_RUNS} select round(avg(coalesce(1 / r, 0)), 9) as mrr from (select query, min(rank) filter (hit) as r from hits group by 1)", "store")
 def _(s, d):
-    return E.mean_reciprocal_rank(*runs(s, d)).select(F.round("mrr", 9).alias("mrr"))
+    return E.mean_reciprocal_rank(runs(s, d)).select(F.round("mrr", 9).alias("mrr"))
 
 
 @query("v05_accuracy", "select round(avg(cast(quality = 1 - toxic as int)), 9) as accuracy from labels")
@@ -203,18 +201,26 @@ def _(s, d):
 
 @query("w03_prune_expired", "select id from messages where created_at >= timestamp '2024-01-03 00:00:00' - to_seconds(90000)", "messages")
 def _(s, d):
-    return M.prune_expired(A.messages(s, d), 90000, F.to_timestamp(F.lit("2024-01-03 00:00:00"))).select("id")
+    return M.prune_expired(A.messages(s, d), 90000, F.to_timestamp(F.lit("2024-01-03 00:00:00")))[0].select("id")
 
 
-_REC = "rec as (select 'message' as kind, id, conversation_id, content from messages union all select 'task', task_id, request_id, agent || ' ' || status from tasks)"
+@query("w03_evicted", "select count(*) as evicted from messages where created_at < timestamp '2024-01-03 00:00:00' - to_seconds(90000)", "messages")
+def _(s, d):
+    return M.prune_expired(A.messages(s, d), 90000, F.to_timestamp(F.lit("2024-01-03 00:00:00")))[1]
+
+
+_REC = "rec as (select 'message' as kind, id, conversation_id, content from messages union all select 'task', task_id, request_id, agent || ' ' || status from tasks union all select 'result', event_id, user_id, component || case when success then ' done' else ' urgent' end from latencies union all select 'entity', p_partkey, p_size, p_name || ' ' || p_type from part)"
 
 
 def records(s, d):
     m = A.messages(s, d).select(F.lit("message").alias("kind"), "id", "conversation_id", "content")
-    return m.union(A.tasks(s, d).select(F.lit("task"), "task_id", "request_id", F.concat_ws(" ", "agent", "status")))
+    tasks = A.tasks(s, d).select(F.lit("task"), "task_id", "request_id", F.concat_ws(" ", "agent", "status"))
+    results = A.latencies(s, d).select(F.lit("result"), "event_id", "user_id", F.concat("component", F.when(F.col("success"), " done").otherwise(" urgent")))
+    entities = A.table(s, d, "part").select(F.lit("entity"), "p_partkey", "p_size", F.concat_ws(" ", "p_name", "p_type"))
+    return m.union(tasks).union(results).union(entities)
 
 
-@query("w04_keyword_search", f"with {_REC}, s as (select *, round((cast(contains(lower(content), 'pending') as int) + cast(contains(lower(content), 'tion') as int) + cast(contains(lower(content), 'urgent') as int)) / 3, 6) as score from rec) select kind, id, score, case when length(trim(content)) > 160 then rtrim(substr(trim(content), 1, 159)) || '…' else trim(content) end as snippet from s where score > 0 order by score desc, kind, id limit 50", "messages", "tasks")
+@query("w04_keyword_search", f"with {_REC}, s as (select *, round((cast(contains(lower(content), 'pending') as int) + cast(contains(lower(content), 'tion') as int) + cast(contains(lower(content), 'urgent') as int)) / 3, 6) as score from rec) select kind, id, score, case when length(trim(content)) > 160 then rtrim(substr(trim(content), 1, 159)) || '…' else trim(content) end as snippet from s where score > 0 order by score desc, kind, id limit 50", "messages", "tasks", "latencies")
 def _(s, d):
     return M.keyword_search(records(s, d), "Urgent tion pending", limit=50)
 
@@ -232,6 +238,35 @@ def _(s, d):
     return M.list_conversations(M.sessions_of(A.messages(s, d)), 10, 20).select("conversation_id", "n_messages")
 
 
+#: Conversations with a user and a status: idle ones are expired, of the others those that end with the assistant completed.
+_OWNED = _SESS + ", owned as (select s.*, conversation_id % 7 as user_id, case when updated_at < timestamp '2024-01-02 00:00:00' then 'expired' when n_messages % 2 = 0 then 'completed' else 'active' end as status from sess s)"
+
+
+def owned(s, d):
+    status = F.when(F.col("updated_at") < F.to_timestamp(F.lit("2024-01-02 00:00:00")), "expired").when(F.col("n_messages") % 2 == 0, "completed").otherwise("active")
+    return M.sessions_of(A.messages(s, d)).withColumns({"user_id": F.col("conversation_id") % 7, "status": status})
+
+
+@query("w06_list_conversations_of_user", f"with {_OWNED} select conversation_id, n_messages from owned where user_id = 3 and status = 'completed' order by updated_at desc, conversation_id limit 5 offset 1", "messages")
+def _(s, d):
+    return M.list_conversations(owned(s, d), 5, 1, user=3, status="completed").select("conversation_id", "n_messages")
+
+
+@query("w08_conversation_stats_by_status", f"with {_OWNED} select count(*) as n_conversations, cast(sum(n_messages) as bigint) as n_messages, round(avg(n_messages), 6) as mean_messages, count(distinct user_id) as n_users, count(*) filter (status = 'active') as active, count(*) filter (status = 'completed') as completed, count(*) filter (status = 'expired') as expired from owned", "messages")
+def _(s, d):
+    return M.conversation_stats(owned(s, d))
+
+
+@query("w11_user_limits_active", f"with {_OWNED} select user_id, count(*) as n from owned where status = 'active' group by 1 having count(*) >= 2", "messages")
+def _(s, d):
+    return M.user_limits(owned(s, d), "user_id", 2, "status")
+
+
+@query("w11_full_conversations", "select conversation_id, count(*) as n from messages group by 1 having count(*) >= 6", "messages")
+def _(s, d):
+    return M.full_conversations(A.messages(s, d), 6)
+
+
 @query("w07_conversation_summary", "with f as (select conversation_id, arg_min(content, (created_at, id)) as f from messages where role = 'user' group by 1) select m.conversation_id, count(*) filter (role = 'user') as n_user, count(*) filter (role = 'assistant') as n_assistant, count(*) as n, cast(epoch(min(created_at)) as bigint) as first_at, cast(epoch(max(created_at)) as bigint) as last_at, any_value(case when length(f) > 50 then substr(f, 1, 50) || '...' else coalesce(f, '') end) as title from messages m left join f using (conversation_id) group by m.conversation_id", "messages")
 def _(s, d):
     return M.conversation_summary(A.messages(s, d)).withColumns({"first_at": F.unix_timestamp("first_at"), "last_at": F.unix_timestamp("last_at")})

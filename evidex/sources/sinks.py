@@ -77,6 +77,20 @@ def ranking_rows(rankings: DataFrame, compounds: DataFrame, toxicity: DataFrame)
     return rankings.join(compounds, "compound_id").join(tox, "compound_id", "left").orderBy("rank")
 
 
+def ranking_sheet(rankings: DataFrame, compounds: DataFrame, toxicity: DataFrame, structure: str, status: Column, score: str = "composite") -> DataFrame:
+    """The eleven columns of a ranking: rank, compound, name, structure, score, status, weight, lipophilicity,
+    violations, toxicity level and score; numbers as text with fixed digits, a missing side as an empty one."""
+    from evidex.operators.compounds import digits
+
+    rows = ranking_rows(rankings, compounds, toxicity)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    shown = lambda c, n: F.coalesce(digits(F.col(c), n), F.lit(""))
+    return rows.select(
+        "rank", "compound_id", text("name").alias("name"), text(structure).alias("structure"), shown(score, 3).alias("score"), F.coalesce(status, F.lit("pending")).alias("status"), shown("mw", 2).alias("mw"),
+        shown("logp", 2).alias("logp"), text("violations").alias("violations"), text("toxicity_level").alias("toxicity_level"), shown("toxicity_score", 3).alias("toxicity_score"),
+    )
+
+
 def new_embeddings(new: DataFrame, stored: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """(rows to append, rejected rows with a reason): ids stored already or twice in the batch are rejected."""
     counts = new.groupBy(key).agg(F.count("*").alias("_n"))
