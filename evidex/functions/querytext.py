@@ -123,24 +123,28 @@ def boolean_match(text: Column, parsed: Column) -> Column:
     return needed & ~F.exists(parsed["must_not"], has) & ((F.size(parsed["should"]) == 0) | F.exists(parsed["should"], has))
 
 
-#: Most queries that documents are matched with at a time.
+#: Queries that documents are matched with at a time.
 MOST_QUERIES = 1000
 
 
 def match_queries(docs: DataFrame, text: str, queries: DataFrame) -> DataFrame:
-    """(docs' columns, query_id) for each match.
+    """(docs' columns, query_id) for each match with ``queries`` (query_id, query).
 
-    ``queries`` (query_id, query) is a stated set of up to ``MOST_QUERIES``, more is an error; each row
-    holds them as one literal array and keeps those that it matches.
+    Up to ``MOST_QUERIES`` are one literal array that each row looks through. More are parsed and gathered
+    into blocks of so many by Spark, and each row meets each block once, so their number has no bound.
     """
     stated = queries.select("query_id", "query").limit(MOST_QUERIES + 1).collect()
-    if len(stated) > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries at a time")
     if not stated:
         return docs.withColumn("query_id", F.lit(None).cast(queries.schema["query_id"].dataType)).limit(0)
-    each = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), parse_boolean_query(F.lit(r.query)).alias("p")) for r in stated])
-    hits = F.transform(F.filter(each, lambda x: boolean_match(F.col(text), x["p"])), lambda x: x["query_id"])
-    return docs.withColumn("query_id", F.explode(hits))
+    ids = lambda each: F.transform(F.filter(each, lambda x: boolean_match(F.col(text), x["p"])), lambda x: x["query_id"])
+    if len(stated) <= MOST_QUERIES:
+        each = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), parse_boolean_query(F.lit(r.query)).alias("p")) for r in stated])
+        return docs.withColumn("query_id", F.explode(ids(each)))
+    n = -(-queries.count() // MOST_QUERIES)
+    parsed = queries.select(F.pmod(F.xxhash64("query_id", "query"), F.lit(n)).alias("_block"), F.struct("query_id", parse_boolean_query(F.col("query")).alias("p")).alias("q"))
+    blocks = parsed.groupBy("_block").agg(F.collect_list("q").alias("_each"))  # about MOST_QUERIES each
+    met = docs.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(blocks, "_block")
+    return met.withColumn("query_id", F.explode(ids(F.col("_each")))).drop("_block", "_each")
 
 
 def intents(q: Column) -> Column:

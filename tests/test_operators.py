@@ -12,6 +12,7 @@ from evidex.operators import compounds as C
 from evidex.operators import evaluation as E
 from evidex.operators import graph as G
 from evidex.operators import literature as L
+from evidex.operators import memory as W
 from evidex.operators import ranking as M
 from evidex.operators import vectors as V
 
@@ -295,6 +296,74 @@ def test_boolean_queries(spark):
     assert one(spark, Q.route_first_match, "tell me about paper 3", "compare a and b", "hello") == ["paper_detail", "compare", "general"]
 
 
+def test_queries_beyond_a_block(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"word{k % 7} and word{k % 5}") for k in range(40)], "id int, t string")
+    asked = spark.createDataFrame([(k, f"word{k % 9} NOT word{k % 4}") for k in range(50)] + [(99, None)], "query_id int, query string")
+    few = sorted((r.id, r.query_id) for r in Q.match_queries(docs, "t", asked).collect())
+    monkeypatch.setattr(Q, "MOST_QUERIES", 8)
+    assert sorted((r.id, r.query_id) for r in Q.match_queries(docs, "t", asked).collect()) == few and len(few) > 40
+
+
+def test_hashed_embedding_by_hand(spark):
+    """Words by their hash bucket, counts to length 1; blank texts have no row."""
+    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.functions import vector_to_array
+
+    texts = {1: "b a  A a", 2: " ", 3: None, 4: "x"}
+    df = spark.createDataFrame(list(texts.items()), "id int, t string")
+    got = {r.id: r.v for r in V.embed_hashed_table(df, "id", "t", 16).select("id", vector_to_array("vector").alias("v")).collect()}
+    tf = HashingTF(inputCol="w", outputCol="o", numFeatures=16)
+    expected = {}
+    for k in (1, 4):
+        v = [0.0] * 16
+        for w in texts[k].lower().split():
+            v[tf.indexOf(w)] += 1
+        size = math.sqrt(sum(x * x for x in v))
+        expected[k] = [x / size for x in v]
+    assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k]) for k in got)
+
+
+def test_judgements_by_label_equal_judgements_by_rows(spark):
+    labels = spark.createDataFrame([(k, None if k == 11 else f"l{k % 3}") for k in range(12)], "id long, label string")
+    runs = spark.createDataFrame([(q, (q * 5 + r * 3) % 14, r) for q in (0, 3, 4, 11, 77) for r in range(1, 6)], "query long, item long, rank long")
+    asked = spark.createDataFrame([(q,) for q in (0, 3, 4, 7, 11, 77)], "query long")
+    own = labels.toDF("query", "l").join(asked, "query")
+    qrels = own.join(labels.toDF("item", "l"), "l").filter("query <> item").select("query", "item")
+    rows, by = E.judge(runs, qrels.union(spark.createDataFrame([(11, 500), (77, 500)], "query long, item long"))), E.judge_by_label(runs, labels, asked)
+    hits = lambda j: sorted((r.query, r.item, r["rank"], r.hit) for r in j.hits.collect())
+    assert hits(rows) == hits(by)
+    n = {r.query: r.n_rel for r in by.queries.collect()}
+    assert n == {0: 3, 3: 3, 4: 3, 7: 3, 11: 0, 77: 0}
+    assert {r.query: r.precision for r in E.precision_recall_f1(by).collect()}[0] == {r.query: r.precision for r in E.precision_recall_f1(rows).collect()}[0]
+
+
+def test_quantiles_of_many_values(spark, monkeypatch):
+    from evidex.operators import blocks
+
+    rows = spark.range(500).selectExpr("id % 3 as g", "cast(id * 7 % 100 as double) as v")
+    ask = {"mid": lambda n: (n - 1) / 2, "low": lambda n: F.floor(n * 0.1).cast("double")}
+    few = sorted(map(tuple, blocks.quantiles(rows, "g", "v", ask).collect()))
+    monkeypatch.setattr(blocks, "FEW_VALUES", 10)
+    assert sorted(map(tuple, blocks.quantiles(rows, "g", "v", ask).collect())) == few
+
+
+def test_criteria_limits_and_rejects(spark):
+    with pytest.raises(Exception, match="between 0 and 1"):
+        M.criteria_from_evidence("id", {}, spark.createDataFrame([(1, "x", 1.5)], "id int, criterion string, value double")).collect()
+    targets = spark.createDataFrame([(1, 0.2), (1, 0.9), (2, None)], "id int, confidence double")
+    assert [tuple(r) for r in M.criteria_from_evidence("id", {"targets": targets}).collect()] == [(1, "target_confidence", 0.9)]
+    bad = spark.createDataFrame([(None, "CC"), (2, " ")], "id int, smiles string")
+    with pytest.raises(ValueError):
+        C.validate_compounds(bad, "id", "smiles", strict=True)
+    assert C.validate_compounds(bad.limit(0), "id", "smiles", strict=True)[0].count() == 0
+    t = C.toxicity_explanations(spark.createDataFrame([(0.5, "moderate", 0, None, None, None, ["a", "b"])], "toxicity_score double, toxicity_level string, violations int, mw double, logp double, qed double, alert_names array<string>")).first()
+    assert len(t.explanations) == 4 and "2 PAINS/Brenk structural alert(s) detected: a, b." in t.explanations[2] and "0.50 indicates" in t.explanations[3]
+    stats = M.ranking_statistics(spark.createDataFrame([(0.5, None), (0.7, "high")], "composite double, level string"), level="level").first()
+    assert stats.confidence_distribution == {"high": 1, "unknown": 1}
+    gone = W.prune_expired(spark.createDataFrame([(1, None)], "id int, created_at timestamp"), 5, F.current_timestamp())
+    assert gone[0].count() == 0 and gone[1].first().evicted == 1
+
+
 def test_title_dedupe_finds_all_close_titles(spark):
     import random
 
