@@ -139,11 +139,15 @@ def overlap_search(queries: DataFrame, rows: DataFrame, top: int | None, measure
         q, i, s = (np.concatenate(x) for x in zip(*found)) if found else (best.query, best.id, best.score)
         return pa.table({"query": pa.array(names[q], pa.int64()), "id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    asked = queries.select(F.col("query").cast("long").alias("query"), "keys")
-    held = rows.select(F.col("id").cast("long").alias("id"), "keys")
+    asked = cut(queries.select(F.col("query").cast("long").alias("query"), "keys"))  # both are counted and then joined
+    held = cut(rows.select(F.col("id").cast("long").alias("id"), "keys"))
     found = block_join(asked, held, work, "query long, id long, score double", query_rows)
+    if top is None:  # a query may have any number of hits
+        run = numbered(found, "_at", "query", F.desc("score"), "id")
+        first = run.groupBy("query").agg(F.min("_at").alias("_first"))
+        return run.join(first, "query").select("query", "id", "score", (F.col("_at") - F.col("_first") + 1).cast("long").alias("rank"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")).cast("long"))
-    return ranked if top is None else ranked.filter(F.col("rank") <= top)
+    return ranked.filter(F.col("rank") <= top)
 
 
 def numbered(df: DataFrame, name: str, *order: Column | str, size: str | None = None) -> DataFrame:

@@ -93,16 +93,16 @@ def similar_compounds(queries: DataFrame, bits: DataFrame, threshold: float = 0.
 
 
 #: Classes of bits that are counted for each set, to bound how many two sets can share.
-CLASSES = 16
+CLASSES = 8
 
 
 def _ordered_sets(bits: DataFrame) -> DataFrame:
-    """(compound_id, set, n, classes): bits from rare to common, how many there are, and how many of each class."""
+    """(compound_id, set, n, k0, k1, ...): bits from rare to common, how many there are, and how many of each class."""
     bits = bits.select("compound_id", "bit").distinct()
     freq = bits.groupBy("bit").agg(F.count("*").alias("f"))
-    sets = bits.join(freq, "bit").groupBy("compound_id").agg(F.array_sort(F.collect_list(F.struct("f", "bit"))).alias("fb"))
-    in_class = lambda k: F.size(F.filter("fb", lambda x: F.pmod(F.xxhash64(x["bit"]), F.lit(CLASSES)) == k))
-    return sets.select("compound_id", F.transform("fb", lambda x: x["bit"]).alias("set"), F.size("fb").alias("n"), F.array(*[in_class(k) for k in range(CLASSES)]).alias("classes"))
+    classes = [F.count_if(F.pmod(F.xxhash64("bit"), F.lit(CLASSES)) == k).cast("int").alias(f"k{k}") for k in range(CLASSES)]
+    sets = bits.join(freq, "bit").groupBy("compound_id").agg(F.array_sort(F.collect_list(F.struct("f", "bit"))).alias("fb"), *classes)
+    return sets.select("compound_id", F.transform("fb", lambda x: x["bit"]).alias("set"), F.size("fb").alias("n"), *[f"k{k}" for k in range(CLASSES)])
 
 
 def similarity_candidates(sets: DataFrame, threshold: float) -> DataFrame:
@@ -114,11 +114,13 @@ def similarity_candidates(sets: DataFrame, threshold: float) -> DataFrame:
     than the one that has fewer (suffix filter). A bit that many prefixes have is dealt over tasks.
     """
     keep = F.greatest((F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"), F.lit(1))
-    prefix = sets.select("compound_id", "n", "classes", F.posexplode(F.slice("set", F.lit(1), keep)).alias("pos", "bit"))
-    a, b = prefix.toDF("a", "na", "ca", "pa", "bit"), prefix.toDF("b", "nb", "cb", "pb", "bit")
+    ks = [f"k{k}" for k in range(CLASSES)]
+    prefix = sets.select("compound_id", "n", F.posexplode(F.slice("set", F.lit(1), keep)).alias("pos", "bit"), *ks)
+    prefix = cut(prefix)  # read for both sides, and to count
+    a, b = prefix.toDF("a", "na", "pa", "bit", *["a" + k for k in ks]), prefix.toDF("b", "nb", "pb", "bit", *["b" + k for k in ks])
     needed = F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
     fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    shared = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    shared = sum((F.least("a" + k, "b" + k) for k in ks[1:]), F.least("a" + ks[0], "b" + ks[0]))
     at_most = 1 + F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
     met = spread_join(a, b, "bit").filter(fits & (at_most >= needed)).filter(shared >= needed)
     known = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))

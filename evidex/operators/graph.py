@@ -85,7 +85,9 @@ def extract_mentions(docs: DataFrame, key: str, text: str, patterns: DataFrame)
             yield pa.record_batch({"key": batch.column("key").take(pa.array(row, pa.int64())), "gram": pa.array(grams, pa.string()), "n": pa.array(counts, pa.int32()), "start_char": pa.array(starts, pa.int64()), "end_char": pa.array(ends, pa.int64())})
 
     schema = named.select("key", F.lit("").alias("gram"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("start_char"), F.lit(0).cast("long").alias("end_char")).schema
-    return named.mapInArrow(find, schema).join(known, ["gram", "n"]).select(F.col("key").alias(key), "label", F.col("gram").alias("text"), "start_char", "end_char")
+    salt = F.pmod(F.xxhash64("key", "start_char"), F.lit(SALTS)).alias("salt")  # a frequent phrase is dealt over tasks
+    copies = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return named.mapInArrow(find, schema).select("*", salt).join(copies, ["gram", "n", "salt"]).select(F.col("key").alias(key), "label", F.col("gram").alias("text"), "start_char", "end_char")
 
 
 def bucket_entities(mentions: DataFrame, key: str, groups: dict[str, str], least: float = 0.5) -> DataFrame:
@@ -367,7 +369,7 @@ def shortest_path(edges: DataFrame, a: str, b: str) -> DataFrame:
 READ_OFF = 6
 
 
-#: Parts that the rows of one component are dealt into when they look up its root.
+#: Parts that the rows of one component, or of one phrase, are dealt into when they look up what it has.
 SALTS = 16
 
 

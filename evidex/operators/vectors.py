@@ -319,6 +319,8 @@ def layout_2d(store: DataFrame, width: float = 400.0) -> DataFrame:
     return placed.crossJoin(most).select("id", (F.col("x") / F.col("m") * width).alias("x"), (F.col("y") / F.col("m") * width).alias("y"))
 
 
-def store_stats(store: DataFrame) -> DataFrame:
-    """Rows, dimensions and sources of each source type; a cache's hit rate is in ``embed_with_cache``'s statistics."""
-    return store.groupBy("source_type").agg(F.count("*").alias("n"), F.min(F.size("vector")).alias("dims"), F.count_distinct("source_id").alias("n_sources"))
+def store_stats(store: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+    """Rows, dimensions and sources of each source type; with ``cache``, the row of statistics that
+    ``embed_with_cache`` gives, also hits, misses and hit_rate."""
+    rows = store.groupBy("source_type").agg(F.count("*").alias("n"), F.min(F.size("vector")).alias("dims"), F.count_distinct("source_id").alias("n_sources"))
+    return rows if cache is None else rows.crossJoin(F.broadcast(cache.select("hits", "misses", "hit_rate")))  # one row

@@ -220,6 +220,11 @@ def _(s, d):
     return V.store_stats(A.store(s, d)).withColumn("dims", F.col("dims").cast("long"))
 
 
+@query("e17_store_stats_with_cache", f"with {_CACHED}, h as (select cast(sum(case when cached then n else n - 1 end) as bigint) as hits, count(*) filter (not cached) as misses, sum(n) as total from c) select source_type, count(*) as n, any_value(hits) as hits, any_value(misses) as misses, any_value(round(hits / total, 6)) as hit_rate from (select cast(label as varchar) as source_type from embeddings), h group by 1")
+def _(s, d):
+    return V.store_stats(A.store(s, d), cached(s, d)[1]).select("source_type", "n", "hits", "misses", "hit_rate")
+
+
 @query("u05_encoder", "select doc_id, [length(text)::float, (length(text) - length(replace(text, 'e', '')))::float] as v from documents")
 def _(s, d):
     encode = V.embed_with(lambda texts: [[float(len(t)), float(t.count("e"))] for t in texts])
