@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidex.sources.store import upsert_store
+from evidex.sources.store import is_store, upsert_store
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -105,6 +105,14 @@ def upsert_embedding_store(new: DataFrame, path: str, key: str = "id", replace:
     """Adds a batch to a versioned store (see ``store``), whole or not at all; the version that has it.
 
     Rejected rows (see ``new_embeddings``) are an error, unless ``replace`` lets new rows take the place of
-    stored ones. Of two writers with one key the second fails, and readers see one version.
+    stored ones. Of two writers with one key the second fails, and readers see one version. A plain
+    Parquet folder is checked and appended to instead, without these guarantees, and has version 0.
     """
-    return upsert_store(new, path, key, replace, batch)
+    spark = new.sparkSession
+    if is_store(spark, path):
+        return upsert_store(new, path, key, replace, batch)
+    fresh, rejected = new_embeddings(new, spark.read.parquet(path), key)
+    if replace or not rejected.isEmpty():
+        raise ValueError("the batch has ids that are stored or repeated" if not replace else "rows of a plain folder can't be replaced")
+    fresh.write.parquet(path, mode="append")
+    return 0

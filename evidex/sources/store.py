@@ -36,6 +36,12 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
 
 
+def is_store(spark: SparkSession, path: str) -> bool:
+    """Whether there is a store at ``path``, or nothing yet; a folder of plain files is none."""
+    fs, at = _hadoop(spark, path)
+    return not fs.exists(at) or bool(_versions(spark, path)) or fs.exists(_hadoop(spark, f"{path}/data")[1])
+
+
 def _read_text(spark: SparkSession, path: str) -> str:
     fs, at = _hadoop(spark, path)
     stream = fs.open(at)
