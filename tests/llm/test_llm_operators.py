@@ -241,6 +241,22 @@ def test_decontaminate(spark, rows, docs, block):
     assert kept.count() == sum(n for k, n in expected.items() if not k[-1])
 
 
+def test_decontaminate_window_of_many_items(spark):
+    """One window in 3000 items, more than a block of windows, and in most documents, which are all alike."""
+    line = "please answer the question below in one short sentence only"
+    items = spark.range(3000).select(F.col("id").alias("item_id"), F.lit(line).alias("text")).union(spark.createDataFrame([(9000, "a line of its own that no other item has")], "item_id long, text string"))
+    docs = spark.range(400).selectExpr("id as doc_id", f"if(id % 4 = 0, 'clean text', '{line} and more') as text")
+    own = decontaminate.windows_of(items)
+    assert (own.count(), own.select("window").distinct().count(), own.select("words", "n").distinct().count()) == (3001, 2, 2)
+    got = decontaminate.find_benchmark(docs, items, block_windows=1).select("doc_id", "n_hit", "n_items", "items_sha256", "items").collect()
+    names = sorted(map(str, range(3000)))
+    digest = {k: hashlib.sha256(",".join(names if k else []).encode()).hexdigest() for k in (0, 1)}
+    assert sorted(r.doc_id for r in got) == list(range(400))
+    for r in got:
+        hit = r.doc_id % 4 != 0
+        assert (r.n_hit, r.n_items, r.items_sha256, r["items"]) == ((10, 3000, digest[1], names) if hit else (0, 0, digest[0], []))
+
+
 def test_decontaminate_empty(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_benchmark(empty, none).count() == 0
@@ -493,6 +509,14 @@ def test_token_counts_tie_rules():
                 assert counter.count(t)[0] == len(reference.encode(t, add_special_tokens=False).ids), t
 
 
+def test_token_counts_keep_extra_columns(spark):
+    """A column with the result's name in another case is replaced; others stay, repeated rows too."""
+    rows = [(1, "aab", "x", 7), (1, "aab", "x", 7), (2, None, None, None), (3, "", "y", 8)]
+    got = token_count.count_tokens(spark.createDataFrame(rows, "doc_id long, text string, lang string, N_TOKENS int"), [("a", -1.0), ("b", -1.0), ("▁", -1.0)], False)
+    assert sorted(c.lower() for c in got.columns).count("n_tokens") == 1 and {"doc_id", "text", "lang"} <= set(got.columns)
+    assert collections.Counter((r.doc_id, r.text, r.lang, r.n_tokens) for r in got.collect()) == {(1, "aab", "x", 4): 2, (2, None, None, 0): 1, (3, "", "y", 0): 1}
+
+
 def test_token_counts_empty(spark, empty):
     assert token_count.count_tokens(empty, [("a", -1.0)], False).count() == 0
 
@@ -543,6 +567,15 @@ def test_chat_round_trip(spark):
         assert sum(t.chars for t in r.turns) == len(r.formatted)
 
 
+def test_chat_of_very_many_turns(spark):
+    n = 20_000
+    turns = spark.range(n).selectExpr("3L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "if(id % 1000 = 1, '<|end|>', concat('turn ', id)) as text")
+    got = chat.read_chats(chat.format_chats(chat.messages_of(turns.repartition(4)))).collect()
+    texts = ["<|end|>" if k % 1000 == 1 else f"turn {k}" for k in range(n)]
+    assert [(r.conv_id, len(r.roles), r.bare_texts) for r in got] == [(3, n, texts)]
+    assert got[0].loss_text == "".join(texts[1::2])
+
+
 def test_chat_attachments(spark):
     image = ("image", None, "a.png", 56, 29, None, None)
     parts = [text("look <"), text("|end|>\n"), image, ("audio", None, "b.wav", None, None, 2.0, None), None, text("and"), ("document", None, "c.pdf", None, None, None, 3), ("3d<", "ignored", "d", None, None, None, None)]
