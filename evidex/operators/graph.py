@@ -111,7 +111,7 @@ def extract_svo(docs: DataFrame, key: str, text: str, verbs: dict[str, str], sen
     lemma = F.create_map(*[F.lit(x) for pair in verbs.items() for x in pair])
     pattern = rf"(?i)((?:[\p{{L}}\p{{N}}-]+\s+){{1,3}}?)((?:is|was|are|were)\s+)?((?:not|no)\s+)?\b({forms})\b(?:\s+by)?\s+((?:[\p{{L}}\p{{N}}-]+\s*){{1,3}})"
     each = docs.select(key, F.posexplode(split_sentences(F.col(text))).alias("sentence_no", "sentence"))
-    hit = each.filter(F.col("sentence").rlike(pattern))
+    hit = each.filter(F.col("sentence").rlike(rf"(?i)\b(?:{forms})\b") & F.col("sentence").rlike(pattern))  # the first is quick, and most sentences end there
     g = lambda k: F.regexp_extract("sentence", pattern, k)
     return hit.select(key, "sentence_no", normalize_text(g(1)).alias("subject"), F.element_at(lemma, F.lower(g(4))).alias("verb"), normalize_text(g(5)).alias("object"), (g(2) != "").alias("passive"), (g(3) != "").alias("negated"), *(["sentence"] if sentences else []))
 
@@ -262,6 +262,8 @@ def update_graph(papers: DataFrame, patterns: DataFrame, verbs: dict[str, str],
     seen = store.read_version(spark, f"{path}/ledger", store.snapshot(spark, f"{path}/ledger")[1])
     fresh = cut(papers if seen is None else papers.join(seen.select("ord"), "ord", "left_anti"))
     n, mark = fresh.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("ord")), F.lit(0))).first()
+    if not n and seen is not None:  # nothing new: the status has no rows
+        return seen.limit(0)
     nodes, edges, status = process_papers(fresh, patterns, verbs)
     if n:
         batch = f"{n}-{mark & (1 << 64) - 1:x}"

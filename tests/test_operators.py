@@ -518,3 +518,20 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark):
 
     with pytest.raises(RuntimeError):
         G.shared_folder(Session)
+
+
+def test_update_graph_without_new_papers(spark, tmp_path):
+    """A second run over the same papers has a status without rows and publishes nothing."""
+    from evidex.sources import store
+
+    schema = "ord long, abstract string, pmid string, doi string, ts timestamp"
+    papers = spark.createDataFrame([(1, "Aspirin inhibits cox. Nothing else.", "7", None, None), (2, None, None, "10.1/x", None)], schema)
+    patterns = spark.createDataFrame([("DRUG", "aspirin")], "label string, pattern string")
+    path, verbs = str(tmp_path / "papers"), {"inhibits": "inhibit"}
+    first = G.update_graph(papers, patterns, verbs, path)
+    versions = [store.snapshot(spark, f"{path}/{x}")[0] for x in ("nodes", "edges", "ledger")]
+    again = G.update_graph(papers, patterns, verbs, path)
+    assert sorted((r.ord, r.status, r.n_mentions, r.n_relations) for r in first.collect()) == [(1, "processed", 1, 1), (2, "skipped", 0, 0)]
+    assert again.columns == first.columns and again.count() == 0
+    assert versions == [1, 1, 1] == [store.snapshot(spark, f"{path}/{x}")[0] for x in ("nodes", "edges", "ledger")]
+    assert [(r.src, r.relation, r.dst) for r in G.read_graph(spark, path)[1].collect()] == [("aspirin", "inhibit", "cox")]
