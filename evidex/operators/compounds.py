@@ -92,40 +92,48 @@ def similar_compounds(queries: DataFrame, bits: DataFrame, threshold: float = 0.
     return found.select("query", F.col("id").alias("compound_id"), F.col("score").alias("similarity"), "rank")
 
 
-#: Classes of bits that are counted for each set, to bound how many two sets can share.
-CLASSES = 8
+#: Longs of a set's sketch, which bounds how many bits two sets can share.
+SKETCH = 4
 
 
 def _ordered_sets(bits: DataFrame) -> DataFrame:
-    """(compound_id, set, n, k0, k1, ...): bits from rare to common, how many there are, and how many of each class."""
+    """(compound_id, set, n, s0, s1, ...): bits from rare to common, how many there are, and a sketch.
+
+    A sketch has 64 * SKETCH places; each bit of the set turns one of them over, by its hash.
+    """
     bits = bits.select("compound_id", "bit").distinct()
     freq = bits.groupBy("bit").agg(F.count("*").alias("f"))
-    classes = [F.count_if(F.pmod(F.xxhash64("bit"), F.lit(CLASSES)) == k).cast("int").alias(f"k{k}") for k in range(CLASSES)]
-    sets = bits.join(freq, "bit").groupBy("compound_id").agg(F.array_sort(F.collect_list(F.struct("f", "bit"))).alias("fb"), *classes)
-    return sets.select("compound_id", F.transform("fb", lambda x: x["bit"]).alias("set"), F.size("fb").alias("n"), *[f"k{k}" for k in range(CLASSES)])
+    place = F.pmod(F.xxhash64("bit"), F.lit(64 * SKETCH)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), place % 64)
+    sketch = [F.bit_xor(F.when(F.floor(place / 64) == k, one).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(SKETCH)]
+    sets = bits.join(freq, "bit").groupBy("compound_id").agg(F.array_sort(F.collect_list(F.struct("f", "bit"))).alias("fb"), *sketch)
+    return sets.select("compound_id", F.transform("fb", lambda x: x["bit"]).alias("set"), F.size("fb").alias("n"), *[f"s{k}" for k in range(SKETCH)])
 
 
 def similarity_candidates(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of ordered sets that can be as similar as ``threshold``: few more than those that are.
 
     Two such sets share ceil(t / (1 + t) (na + nb)) bits, so they share one of the first n - ceil(t n) + 1
-    of each (prefix filter). Of the bits shared there all up to the last one are known, and after it there
-    can't be more than the shorter rest (positional filter); nor can they share more of a class of bits
-    than the one that has fewer (suffix filter). A bit that many prefixes have is dealt over tasks.
+    of the larger and of the first n - ceil(2 t / (1 + t) n) + 1 of the smaller (prefix filter). Of the bits
+    shared there all up to the last one are known, and after it there can't be more than the shorter rest
+    (positional filter). Places in which their sketches differ are bits that only one of them has, which
+    bounds the shared ones before anything is grouped. A bit that many prefixes have is dealt over tasks.
     """
-    keep = F.greatest((F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"), F.lit(1))
-    ks = [f"k{k}" for k in range(CLASSES)]
-    prefix = sets.select("compound_id", "n", F.posexplode(F.slice("set", F.lit(1), keep)).alias("pos", "bit"), *ks)
+    first = lambda share: F.greatest((F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).cast("int"), F.lit(1))
+    ks = [f"s{k}" for k in range(SKETCH)]
+    prefix = sets.select("compound_id", "n", F.posexplode(F.slice("set", F.lit(1), first(threshold))).alias("pos", "bit"), *ks)
     prefix = cut(prefix)  # read for both sides, and to count
-    a, b = prefix.toDF("a", "na", "pa", "bit", *["a" + k for k in ks]), prefix.toDF("b", "nb", "pb", "bit", *["b" + k for k in ks])
+    small = prefix.filter(F.col("pos") < first(2 * threshold / (1 + threshold)))
+    a, b = small.toDF("a", "na", "pa", "bit", *["a" + k for k in ks]), prefix.toDF("b", "nb", "pb", "bit", *["b" + k for k in ks])
     needed = F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    shared = sum((F.least("a" + k, "b" + k) for k in ks[1:]), F.least("a" + ks[0], "b" + ks[0]))
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    fits = smaller & (F.col("na") >= threshold * F.col("nb") - 1e-9)
+    apart = sum((F.bit_count(F.col("a" + k).bitwiseXOR(F.col("b" + k))) for k in ks[1:]), F.bit_count(F.col("a" + ks[0]).bitwiseXOR(F.col("b" + ks[0]))))
     at_most = 1 + F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    met = spread_join(a, b, "bit").filter(fits & (at_most >= needed)).filter(shared >= needed)
+    met = spread_join(a, b, "bit").filter(fits & (at_most >= needed) & (F.col("na") + F.col("nb") - apart >= 2 * needed))
     known = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     rest = F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
-    return known.filter(F.col("c") + rest >= needed).select("a", "b")
+    return known.filter(F.col("c") + rest >= needed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def similarity_join(bits: DataFrame, threshold: float) -> DataFrame:

@@ -144,6 +144,20 @@ def test_similarity_join_with_a_bit_in_every_set(spark, monkeypatch):
         assert expected <= found and len(found) < len(prefix_only) / 4
 
 
+def test_similarity_candidates_of_large_sets(spark):
+    """Sets of 30 bits with bits in common everywhere: hardly a pair is a candidate that isn't alike."""
+    import random
+
+    rng = random.Random(4)
+    sets = {k: set(rng.sample(range(200), 30)) for k in range(300)}
+    sets |= {1000 + k: (s - set(sorted(s)[:5])) | {500 + k} for k, s in list(sets.items())[:20]}
+    bits = spark.createDataFrame([(k, b) for k, s in sets.items() for b in s], "compound_id int, bit int")
+    alike = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.45}
+    found = {(r.a, r.b) for r in C.similarity_candidates(C._ordered_sets(bits), 0.45).collect()}
+    assert alike <= found and len(alike) >= 20 and len(found) < 2 * len(alike)
+    assert {(r.a, r.b) for r in C.similarity_join(bits, 0.45).collect()} == alike
+
+
 def test_lipinski_nulls(spark):
     df = spark.createDataFrame([(510.0, None, 6, 3), (100.0, 1.0, 1, 1)], "mw double, logp double, hbd int, hba int")
     verdict, checks = C.lipinski_verdict()
