@@ -549,3 +549,29 @@ def test_update_graph_without_new_papers(spark, tmp_path):
     assert again.columns == first.columns and again.count() == 0
     assert versions == [1, 1, 1] == [store.snapshot(spark, f"{path}/{x}")[0] for x in ("nodes", "edges", "ledger")]
     assert [(r.src, r.relation, r.dst) for r in G.read_graph(spark, path)[1].collect()] == [("aspirin", "inhibit", "cox")]
+
+
+def test_overlap_search_in_large_blocks(spark):
+    """Rows are copied by how many keys the queries have, not by how many queries there are; few or many shared keys."""
+    import random
+
+    import pyarrow as pa
+
+    from evidex.operators import blocks
+
+    rng = random.Random(6)
+    for span in (5000, 12):  # few pairs share a key; most do
+        sets = {k: rng.sample(range(span), rng.randrange(1, 10)) for k in range(3000)}
+        rows = spark.createDataFrame(list(sets.items()), "id long, keys array<long>").repartition(4)
+        asked = rows.filter("id % 2 = 0").withColumnRenamed("id", "query")
+        table = lambda part, name: pa.table({name: pa.array(part, pa.int64()), "keys": pa.array([sets[k] for k in part], pa.list_(pa.int64()))})  # noqa: E731, B023
+        pairs = list(blocks._shared(table(range(0, 3000, 2), "query"), table(range(3000), "id")))
+        assert {q is None for q, *_ in pairs} == {span == 12}
+        found = blocks.overlap_search(asked, rows, 3, "tanimoto")
+        plan = found._jdf.queryExecution().toString()
+        assert "sequence(cast(0 as bigint), cast(0 as bigint)" in plan or "sequence(0, 0" in plan or "[0]" in plan
+        got = {(r.query, r.rank): (r.id, round(r.score, 9)) for r in found.collect()}
+        for q in range(0, 3000, 150):
+            s = set(sets[q])
+            best = sorted((-len(s & set(x)) / len(s | set(x)), k) for k, x in sets.items() if k != q and s & set(x))[:3]
+            assert {r: x for (a, r), x in got.items() if a == q} == {n + 1: (k, round(-v, 9)) for n, (v, k) in enumerate(best)}
