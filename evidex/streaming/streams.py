@@ -41,8 +41,9 @@ def session_windows(stream: DataFrame, key: str, gap: str = "1 hour", watermark:
 class Sessions(StatefulProcessor):
     """The open sessions of a key: first and last event and number, as a list of hardly ever more than one.
 
-    Events join the sessions that they lie within a gap of, and may so make two into one. A timer at each
-    session's end emits it, when the watermark has passed it, and drops it from the state.
+    Events join the sessions that they lie within a gap of, and may so make two into one. A key has one
+    timer, at the end of its first session. When the watermark has passed that, all sessions that are over
+    are emitted at once and dropped from the state, so timers grow with keys and not with sessions.
     """
 
     def __init__(self, gap_us: int):
@@ -55,8 +56,12 @@ class Sessions(StatefulProcessor):
     def _held(self) -> list[tuple[int, int, int]]:
         return [tuple(x) for x in self.open.get()] if self.open.exists() else []
 
+    def _end(self, session: tuple[int, int, int]) -> int:
+        return -(-(session[1] + self.gap) // 1000)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         held = self._held()
+        before = self._end(held[0]) if held else None
         for part in rows:
             merged: list[tuple[int, int, int]] = []
             for first, last, n in sorted([*held, *[(t, t, 1) for t in part["at"].tolist()]]):
@@ -66,19 +71,20 @@ class Sessions(StatefulProcessor):
                 else:
                     merged.append((first, last, n))
             held = merged
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t if isinstance(t, int) else t[0])
-        for _, last, _ in held:
-            self.handle.registerTimer(-(-(last + self.gap) // 1000))
+        if self._end(held[0]) != before:
+            for t in list(self.handle.listTimers()) if before is not None else ():
+                self.handle.deleteTimer(t if isinstance(t, int) else t[0])
+            self.handle.registerTimer(self._end(held[0]))
         self.open.put(held)
         yield pd.DataFrame({"key": [], "start": [], "end": [], "n": []}).astype("int64")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, held = expiredTimerInfo.getExpiryTimeInMs() * 1000, self._held()
+        now, held = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000, self._held()
         done = [x for x in held if x[1] + self.gap <= now]
         left = [x for x in held if x[1] + self.gap > now]
         if left:
             self.open.put(left)
+            self.handle.registerTimer(self._end(left[0]))
         else:
             self.open.clear()
         yield pd.DataFrame({"key": [key[0]] * len(done), "start": [x[0] for x in done], "end": [x[1] + self.gap for x in done], "n": [x[2] for x in done]}).astype("int64")

@@ -575,3 +575,42 @@ def test_overlap_search_in_large_blocks(spark):
             s = set(sets[q])
             best = sorted((-len(s & set(x)) / len(s | set(x)), k) for k, x in sets.items() if k != q and s & set(x))[:3]
             assert {r: x for (a, r), x in got.items() if a == q} == {n + 1: (k, round(-v, 9)) for n, (v, k) in enumerate(best)}
+
+
+def test_a_key_has_one_session_timer():
+    """However many sessions are open, one timer stands, and one call emits all that are over."""
+    import types
+
+    import pandas as pd
+
+    from evidex.streaming import streams as X
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.calls, self.held = [], 0, []
+
+        def getListState(self, *_):
+            return types.SimpleNamespace(exists=lambda: bool(self.held), get=lambda: iter(self.held), put=lambda x: setattr(self, "held", list(x)), clear=lambda: setattr(self, "held", []))
+
+        def listTimers(self):
+            return iter([(t,) for t in self.timers])
+
+        def registerTimer(self, t):
+            self.calls += 1
+            self.timers.append(t)
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+    handle, sessions = Handle(), X.Sessions(1_000_000)
+    sessions.init(handle)
+    at = [k * 10_000_000 for k in range(1, 51)]
+    list(sessions.handleInputRows((7,), iter([pd.DataFrame({"at": at})]), None))
+    assert (handle.timers, handle.calls) == ([11_000], 1)
+    list(sessions.handleInputRows((7,), iter([pd.DataFrame({"at": [10_500_000]})]), None))
+    assert handle.timers == [11_500]
+    handle.timers.clear()  # it expires
+    clock = types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 491_500)
+    (out,) = sessions.handleExpiredTimer((7,), clock, types.SimpleNamespace(getExpiryTimeInMs=lambda: 11_500))
+    assert out.to_numpy().tolist() == [[7, t, t + 1_000_000 + 500_000 * (t == at[0]), 1 + (t == at[0])] for t in at[:49]]
+    assert (len(handle.held), handle.timers) == (1, [501_000])
