@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidex.functions.text import clamp, is_meaningful_label, normalize_text, split_sentences
@@ -532,13 +532,16 @@ def sync_embeddings(texts: DataFrame, stored: DataFrame) -> DataFrame:
 def question_support(questions: DataFrame, store: DataFrame, edges: DataFrame, top: int = 5) -> DataFrame:
     """(query, node, score, rank, neighbors): the ``top`` nodes for each question, with their sorted neighbours, either way.
 
-    ``questions`` are (query, vector), ``store`` has (id, node, vector) of nodes. Only edges of nodes that
-    were hit are gathered, once for each such node.
+    ``questions`` are (query, vector), ``store`` has (id, node, vector) of nodes. An id has one vector and may
+    stand for several nodes, each of which is a hit by itself; scores tie by id, then node. Only edges of
+    nodes that were hit are gathered, once for each such node.
     """
     from evidex.operators.vectors import vector_search
 
-    hits = vector_search(store, questions, top, exclude_self=False)
-    hits = cut(hits.join(store.select(F.col("id").cast("long").alias("id"), "node"), "id"))
+    found = vector_search(store.select("id", "vector").distinct(), questions, top, exclude_self=False).drop("rank")
+    named = found.join(store.select(F.col("id").cast("long").alias("id"), "node"), "id")
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "id", "node")
+    hits = cut(named.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= top))
     links = edges.select(F.col("src").alias("node"), F.col("dst").alias("n")).union(edges.select("dst", "src"))
     near = links.join(hits.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.array_sort(F.collect_set("n")).alias("neighbors"))
     return hits.join(near, "node", "left").select("query", "node", "score", "rank", F.coalesce("neighbors", F.array().cast("array<string>")).alias("neighbors"))

@@ -614,3 +614,11 @@ def test_a_key_has_one_session_timer():
     (out,) = sessions.handleExpiredTimer((7,), clock, types.SimpleNamespace(getExpiryTimeInMs=lambda: 11_500))
     assert out.to_numpy().tolist() == [[7, t, t + 1_000_000 + 500_000 * (t == at[0]), 1 + (t == at[0])] for t in at[:49]]
     assert (len(handle.held), handle.timers) == (1, [501_000])
+
+
+def test_question_support_of_ids_with_several_nodes(spark):
+    store = spark.createDataFrame([(1, "b", [1.0, 0.0]), (1, "a", [1.0, 0.0]), (2, "c", [1.0, 0.1]), (3, "d", [0.0, 1.0])], "id long, node string, vector array<float>")
+    asked = spark.createDataFrame([(9, [1.0, 0.0])], "query long, vector array<float>")
+    edges = spark.createDataFrame([("a", "x"), ("y", "a")], "src string, dst string")
+    got = [(r["rank"], r.node, r.neighbors) for r in G.question_support(asked, store, edges, 3).orderBy("rank").collect()]
+    assert got == [(1, "a", ["x", "y"]), (2, "b", []), (3, "c", [])]
