@@ -7,6 +7,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,12 +129,23 @@ def filtered_out(scored: DataFrame, kept: DataFrame, key: str) -> DataFrame:
     return both.agg(F.count("*").alias("total"), F.count("_kept").alias("kept"), (F.count("*") - F.count("_kept")).alias("filtered_out"))
 
 
+def fixed(c: Column, places: int) -> Column:
+    """A double with so many places, rounded from its exact value as C and Python do; Java rounds its shortest decimal form."""
+
+    @F.pandas_udf("string")
+    def text(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: f"{v:.{places}f}")
+
+    return F.coalesce(F.when(c.isNotNull(), text(c.cast("double"))), F.lit("null"))
+
+
 def explanations(normalized: DataFrame, scored: DataFrame, key: str) -> DataFrame:
     """(key, lines): the overall line, then criteria by weight with their share of it."""
     total = F.sum("weight").over(Window.partitionBy(key))
-    line = F.format_string("%s: %.3f (weight %.1f%%)", "criterion", "normalized", 100 * F.col("weight") / total)
+    normalized = normalized.withColumns({"_share": fixed(100 * F.col("weight") / total, 1), "_value": fixed(F.col("normalized"), 3)})
+    line = F.format_string("%s: %s (weight %s%%)", "criterion", "_value", "_share")
     lines = normalized.withColumn("line", line).groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "criterion", "line"))).alias("ls"))
-    head = F.array(F.format_string("Overall score %.3f", "composite"))
+    head = F.array(F.concat(F.lit("Overall score "), fixed(F.col("composite"), 3)))
     return scored.join(lines, key).select(key, F.concat(head, F.transform("ls", lambda x: x["line"])).alias("lines"))
 
 
