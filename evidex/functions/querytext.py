@@ -147,6 +147,10 @@ def match_queries(docs: DataFrame, text: str, queries: DataFrame) -> DataFrame:
     return met.withColumn("query_id", F.explode(ids(F.col("_each")))).drop("_block", "_each")
 
 
+#: A capital and small letters that no other letter, digit or underscore of any script touches.
+NAME = r"(?:^|[^\p{L}\p{N}_])[A-Z][a-z]{2,}(?:$|[^\p{L}\p{N}_])"
+
+
 def intents(q: Column) -> Column:
     """Array of intents by keywords and patterns, with fall-backs, or unknown."""
     low = F.lower(q)
@@ -156,7 +160,7 @@ def intents(q: Column) -> Column:
     late = F.array_compact(
         F.array(
             F.when(q.rlike(STRUCTURE_RUN), F.lit("smiles_analysis")),
-            F.when(q.rlike(r"\b[A-Z][a-z]{2,}\b") & ((words <= 5) | low.rlike(r"^(tell|what|about)\s+(me\s+)?about")), F.lit("drug_info")),
+            F.when(q.rlike(NAME) & ((words <= 5) | low.rlike(r"^(tell|what|about)\s+(me\s+)?about")), F.lit("drug_info")),
             F.when(any_in(low, ("paper", "publication", "research", "study", "journal")), F.lit("literature_search")),
         )
     )

@@ -87,7 +87,7 @@ def _intent(i):
 
 
 _INTENTS = f"{_TURNS}, direct as (" + " union all ".join(f"select id, q, '{i}' as intent from turns where {_intent(i)}" for i in Q.INTENT_KEYWORDS) + f"""), rest as (select * from turns where id not in (select id from direct)),
-late as (select id, 'smiles_analysis' as intent from rest where regexp_matches(q, '{Q.STRUCTURE_RUN}') union all select id, 'drug_info' from rest where regexp_matches(q, '\\b[A-Z][a-z]{{2,}}\\b') and (len(list_filter(regexp_split_to_array(q, '\\s+'), lambda w: w <> '')) <= 5 or regexp_matches(lower(q), '^(tell|what|about)\\s+(me\\s+)?about'))
+late as (select id, 'smiles_analysis' as intent from rest where regexp_matches(q, '{Q.STRUCTURE_RUN}') union all select id, 'drug_info' from rest where regexp_matches(q, '{Q.NAME}') and (len(list_filter(regexp_split_to_array(q, '\\s+'), lambda w: w <> '')) <= 5 or regexp_matches(lower(q), '^(tell|what|about)\\s+(me\\s+)?about'))
   union all select id, 'literature_search' from rest where {_any('lower(q)', ('paper', 'publication', 'research', 'study', 'journal'))}),
 found as (select id, intent from direct union all select * from late union all select id, 'unknown' from rest where id not in (select id from late))"""
 

@@ -622,3 +622,29 @@ def test_question_support_of_ids_with_several_nodes(spark):
     edges = spark.createDataFrame([("a", "x"), ("y", "a")], "src string, dst string")
     got = [(r["rank"], r.node, r.neighbors) for r in G.question_support(asked, store, edges, 3).orderBy("rank").collect()]
     assert got == [(1, "a", ["x", "y"]), (2, "b", []), (3, "c", [])]
+
+
+def test_explanations_round_exact_values(spark):
+    """0.0535 and 0.8155 are doubles below and above what they are written as; 12.25 is exactly between."""
+    rows = spark.createDataFrame([(1, "a", 0.0535, 12.25), (1, "b", 0.8155, 87.75)], "id int, criterion string, normalized double, weight double")
+    scored = spark.createDataFrame([(1, 0.6325), (1, None)], "id int, composite double")
+    got = {tuple(r.lines) for r in M.explanations(rows, scored, "id").collect()}
+    lines = (f"b: {0.8155:.3f} (weight {87.75:.1f}%)", f"a: {0.0535:.3f} (weight {12.25:.1f}%)")
+    assert got == {(f"Overall score {0.6325:.3f}", *lines), ("Overall score null", *lines)}
+
+
+def test_names_end_where_no_letter_follows(spark):
+    """A letter with an accent belongs to the word, in the query and in its SQL."""
+    import duckdb
+
+    from evidex.functions import querytext as Q
+    from evidex.plans import q_memory
+
+    texts = ["Que\u00ed se \u00f1 ci\u00f3nrrdoos.", "\u00e9Abcd x", "Abc_ x", "Abcd", "x Abcd.", "a-Abc", None]
+    rows = spark.createDataFrame([(k, 0, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = {(r.id, r.intent) for r in Q.detect_intents(rows.selectExpr("conv_id * 1000 + turn as id", "text"), "id", "text").collect()}
+    db = duckdb.connect()
+    db.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    db.executemany("insert into conversations values (?, ?, ?, ?)", [tuple(r) for r in rows.collect()])
+    assert got == set(db.execute(q_memory.SQL["q05_detect_intents"]).fetchall())
+    assert {i for i, intent in got if intent == "drug_info"} == {3000, 4000, 5000}
