@@ -154,7 +154,9 @@ def entities_context(text: Column, compat: bool = False) -> Column:
     suffix = "mab|nib|prazole|statin|cillin|azole|olol|pril|sartan|vir|umab|ximab"
     genes = F.filter(F.regexp_extract_all(text, F.lit(r"\b[A-Z][A-Z0-9]{1,7}[0-9]?\b"), F.lit(0)), lambda g: F.length(g) >= 3)
     drugs = F.regexp_extract_all(text, F.lit(rf"(?i)\b[A-Za-z]{{3,}}({suffix})\b"), F.lit(1 if compat else 0))
-    near = [F.slice(F.regexp_extract_all(text, F.lit(rf"(?i)\b[A-Za-z0-9_\s]{{0,20}}{d}[A-Za-z0-9_\s]{{0,20}}\b"), F.lit(0)), 1, 5) for d in DISEASES + DISEASES_MORE]
+    around = lambda d: F.slice(F.regexp_extract_all(text, F.lit(rf"(?i)\b[A-Za-z0-9_\s]{{0,20}}{d}[A-Za-z0-9_\s]{{0,20}}\b"), F.lit(0)), 1, 5)
+    low, none = F.lower(text), F.array().cast("array<string>")
+    near = [F.when(F.contains(low, F.lit(d)), around(d)).otherwise(none) for d in DISEASES + DISEASES_MORE]  # the pattern is slow where the word is missing
     diseases = F.transform(F.concat(*near), lambda d: F.trim(d))
     top = lambda a: F.slice(F.array_sort(F.array_distinct(a)), 1, 10)
     return F.map_filter(F.create_map(F.lit("genes"), top(genes), F.lit("drugs"), top(drugs), F.lit("diseases"), top(diseases)), lambda k, v: F.size(v) > 0)
