@@ -648,3 +648,11 @@ def test_names_end_where_no_letter_follows(spark):
     db.executemany("insert into conversations values (?, ?, ?, ?)", [tuple(r) for r in rows.collect()])
     assert got == set(db.execute(q_memory.SQL["q05_detect_intents"]).fetchall())
     assert {i for i, intent in got if intent == "drug_info"} == {3000, 4000, 5000}
+
+
+def test_entities_of_texts_without_diseases_are_quick(spark):
+    """A long text in which no disease occurs: the patterns around diseases are passed by."""
+    rows = spark.createDataFrame([(1, "many words and no more " * 90_000), (2, "a Lung CANCER here"), (3, None), (4, "")], "id int, t string")
+    assert str(T.entities_context(F.col("t"))).count("contains(") >= len(T.DISEASES + T.DISEASES_MORE)
+    got = {r.id: r.m.get("diseases") for r in rows.select("id", T.entities_context(F.col("t")).alias("m")).collect()}
+    assert got == {1: None, 2: ["a Lung CANCER here"], 3: None, 4: None}
