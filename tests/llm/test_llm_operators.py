@@ -706,6 +706,18 @@ def test_toxicity_sample_has_its_bounds(spark):
     assert toxicity.fit_classifier(docs, labels, most_toxic=3, most_clean=4)
 
 
+def test_toxicity_learns_from_all_labels(spark, monkeypatch):
+    """Texts of any length are learnt from, and all shards: each of these words marks toxic rows of one part alone."""
+    filler = "the sea is calm and the walk is long "
+    docs = [(k, filler * (600 if k % 4 == 0 else 1) + (("poison" if k % 4 == 0 else "venom") if k % 8 < 2 else "water")) for k in range(480)]
+    labels = spark.createDataFrame([(k, int(k % 8 < 2)) for k, _ in docs], "doc_id long, toxic int")
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    for size in (5000, 120):
+        monkeypatch.setattr(toxicity, "SHARD_ROWS", size)
+        got = toxicity.score_toxicity(docs, toxicity.fit_classifier(docs, labels)).collect()
+        assert all(r.predicted == int(r.doc_id % 8 < 2) for r in got)
+
+
 def test_toxicity_odd_rows(spark, docs, rows, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     some = spark.createDataFrame([(9, 1), (9, 0), (10, 1), (20, 0), (21, None), (None, 1), (25, 0)], "doc_id long, toxic int")
