@@ -39,6 +39,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_cut(df))
 
 
+#: Rows of a batch of texts that goes to Python: Spark's own 10,000 take hundreds of MB in each task.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the memory of batches of texts, unless the session sets its own number of rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "-1") == "-1":  # nobody has set it
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def normalize_node_id(c: Column) -> Column:
     return F.lower(normalize_text(c))
 
@@ -61,22 +72,32 @@ def extract_mentions(docs: DataFrame, key: str, text: str, patterns: DataFrame)
     sizes = sorted(r.n for r in known.select("n").distinct().collect())  # a row for each pattern length
     slots = np.zeros(SLOTS, bool)
     slots[[r.slot for r in known.select(F.pmod(F.crc32("gram"), F.lit(SLOTS)).alias("slot")).distinct().collect()]] = True  # SLOTS rows at most
-    sent = spark.sparkContext.broadcast(np.packbits(slots))
+    starts = np.zeros(SLOTS, bool)  # words that some pattern begins with
+    starts[[r.slot for r in known.select(F.pmod(F.crc32(F.substring_index("gram", " ", 1)), F.lit(SLOTS)).alias("slot")).distinct().collect()]] = True
+    sent = spark.sparkContext.broadcast((np.packbits(slots), np.packbits(starts)))
+    small_batches(spark)
     named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        tokens, passes = regex.compile(r"[\p{L}\p{N}]+"), np.unpackbits(sent.value).astype(bool)
+        tokens, (passes, begins) = regex.compile(r"[\p{L}\p{N}]+"), [np.unpackbits(x).astype(bool) for x in sent.value]
+        at = lambda gram: zlib.crc32(gram.encode("utf-8", "surrogatepass")) % SLOTS
         for batch in batches:
             row, grams, counts, starts, ends = [], [], [], [], []
+            first: dict[str, bool] = {}  # whether some pattern may begin with a word of the batch
             for i, t in enumerate(batch.column("text").to_pylist()):
                 spans = [m.span() for m in tokens.finditer(t or "")]
                 own = [t[a:b].lower() for a, b in spans]
+                for word in set(own).difference(first):
+                    first[word] = bool(begins[at(word)])
+                places = [k for k, word in enumerate(own) if first[word]]
                 for n in sizes:
-                    for k in range(len(own) - n + 1):
+                    for k in places:
+                        if k + n > len(own):
+                            break
                         gram = own[k] if n == 1 else " ".join(own[k : k + n])
-                        if passes[zlib.crc32(gram.encode("utf-8", "surrogatepass")) % SLOTS]:
+                        if passes[at(gram)]:
                             row.append(i)
                             grams.append(gram)
                             counts.append(n)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evidex.functions.text import normalize_text, sentences_with
 from evidex.operators.blocks import QUERY_ROWS, Best, block_join
-from evidex.operators.graph import cut, write_cut
+from evidex.operators.graph import cut, small_batches, write_cut
 from evidex.operators.nearest import build_index, matrix, scores, search_index, sized
 
 
@@ -157,6 +157,7 @@ def embed_with_cache(texts: DataFrame, path: str, text: str, key: Column, encode
     from evidex.sources import store
 
     spark = texts.sparkSession
+    small_batches(spark)
     keyed = texts.withColumn("key", key)
     distinct = keyed.filter("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min(text).alias("_text"))
     held = store.read_version(spark, path, store.snapshot(spark, path)[1])

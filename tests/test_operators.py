@@ -656,3 +656,23 @@ def test_entities_of_texts_without_diseases_are_quick(spark):
     assert str(T.entities_context(F.col("t"))).count("contains(") >= len(T.DISEASES + T.DISEASES_MORE)
     got = {r.id: r.m.get("diseases") for r in rows.select("id", T.entities_context(F.col("t")).alias("m")).collect()}
     assert got == {1: None, 2: ["a Lung CANCER here"], 3: None, 4: None}
+
+
+def test_texts_go_to_python_in_small_batches(spark, tmp_path):
+    """An encoder, and the search for phrases, never get more than 1000 texts at once, unless the session says so."""
+    from pyspark.sql import functions as F
+
+    from evidex.operators import graph as G
+    from evidex.operators import vectors as V
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    texts = spark.range(0, 3000, 1, 1).selectExpr("id", "concat('And the word ', id) as text")
+    spark.conf.unset(name)
+    sizes = V.embed_with_cache(texts, str(tmp_path / "cache"), "text", F.md5("text"), lambda batch: [[float(len(batch))] for _ in batch], batch_size=5000)[0]
+    assert sizes.agg(F.max(F.element_at("vector", 1))).first()[0] <= 1000
+    spark.conf.unset(name)
+    patterns = spark.createDataFrame([("A", "and THE"), ("B", "word 7"), ("C", "the"), ("D", "7")], "label string, pattern string")
+    found = G.extract_mentions(texts, "id", "text", patterns)
+    assert spark.conf.get(name) == "1000"
+    got = {r.label: r.n for r in found.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    assert got == {"A": 3000, "B": 1, "C": 3000, "D": 1}
