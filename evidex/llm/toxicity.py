@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from evidex.llm.common import coded, cut, slices, small_batches, without, word_table, words_of
 
@@ -39,6 +40,8 @@ COUNTED = 500
 #: Digits of the log odds that thresholds are chosen among, so that a language has a bounded number of them.
 DIGITS = 2
 BATCH, RATE = 32, 0.05
+#: Most bits of the filter that rows pass before they meet their labels.
+ID_BITS = 1 << 27
 #: Passes over the rows of a single shard: as many as show the network so many texts, within these bounds.
 SHOWN, LEAST_EPOCHS, MOST_EPOCHS = 15_000, 3, 40
 
@@ -272,6 +275,25 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made()
 
 
+def may_be_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is one of the distinct ``ids`` (id), and a few others, picked where they are read.
+
+    Sixteen bits or so for each id, set by hash, go to all tasks, ``ID_BITS`` (16 MB) at most; beyond that
+    more of the other rows pass. Ids of types whose hashes don't agree all pass.
+    """
+    ours, theirs = docs.schema["doc_id"].dataType, ids.schema["id"].dataType
+    whole = all(isinstance(t, IntegralType) for t in (ours, theirs))
+    if ours != theirs and not whole:
+        return docs
+    n = min(ID_BITS, 1 << max(15, (16 * ids.count()).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long") if whole else F.col(c)), F.lit(n)) + 1
+    held = ids.select(slot("id").alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))
+    at = F.bitmap_bit_position("_slot").cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = docs.withColumn("_slot", slot("doc_id")).join(F.broadcast(cut(held)), F.bitmap_bucket_number("_slot") == F.col("_part"))
+    return met.filter(F.getbit(byte, at % 8) == 1).select(*docs.columns)
+
+
 def fit_classifier(docs: DataFrame, labels: DataFrame, most_toxic: int | None = None, most_clean: int | None = None, most_chars: int | None = None) -> bytes:
     """A fitted network and thresholds, pickled. ``labels`` (doc_id, toxic) are the ones to learn from.
 
@@ -288,8 +310,11 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, most_toxic: int | None =
     if most_chars is not None:
         rows = rows.filter(F.length("text") <= most_chars)
 
+    known = cut(known)
+    rows = may_be_among(rows, known)
+
     def labelled(rows: DataFrame) -> DataFrame:
-        found = rows.join(known, F.col("doc_id") == F.col("id")).select("doc_id", "text", "lang", F.col("toxic").cast("long").alias("toxic"))
+        found = rows.join(known.hint("merge"), F.col("doc_id") == F.col("id")).select("doc_id", "text", "lang", F.col("toxic").cast("long").alias("toxic"))
         for test, most in (("toxic = 1", most_toxic), ("toxic <> 1", most_clean)):
             if most is not None:
                 first = found.filter(test).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "lang").limit(most)

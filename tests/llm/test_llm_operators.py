@@ -718,6 +718,21 @@ def test_toxicity_learns_from_all_labels(spark, monkeypatch):
         assert all(r.predicted == int(r.doc_id % 8 < 2) for r in got)
 
 
+def test_toxicity_rows_without_label_are_dropped_before_the_join(spark, monkeypatch):
+    """Only what passes is shuffled: all labelled rows, with copies, and few others, for ids of any type."""
+    plain = spark.range(20_000).selectExpr("id as doc_id", "'x' as text").union(spark.createDataFrame([(40, "copy"), (None, "none"), (-3, "own")], "doc_id long, text string"))
+    ids = spark.range(0, 20_000, 40).union(spark.createDataFrame([(-3,)], "id long"))
+    wanted = sorted([*range(0, 20_000, 40), 40, -3])
+    for kind in ("long", "int", "string"):
+        docs = plain.withColumn("doc_id", F.col("doc_id").cast(kind))
+        held = ids if kind != "string" else ids.select(F.col("id").cast("string").alias("id"))
+        got = [int(r.doc_id) for r in toxicity.may_be_among(docs, held).filter("doc_id is not null").collect()]
+        assert sorted(k for k in got if k % 40 == 0 or k == -3) == wanted and len(got) < 2 * len(wanted)
+    assert toxicity.may_be_among(plain, ids.select(F.col("id").cast("string").alias("id"))).count() == plain.count()
+    monkeypatch.setattr(toxicity, "ID_BITS", 1 << 15)
+    assert {r.doc_id for r in toxicity.may_be_among(plain, ids).collect()} >= set(wanted)
+
+
 def test_toxicity_odd_rows(spark, docs, rows, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     some = spark.createDataFrame([(9, 1), (9, 0), (10, 1), (20, 0), (21, None), (None, 1), (25, 0)], "doc_id long, toxic int")
