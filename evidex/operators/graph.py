@@ -152,7 +152,7 @@ def build_nodes(mentions: DataFrame, relations: DataFrame, lists: bool = False)
     more = [F.array_sort(F.collect_set("source")).alias("sources")] if lists else []
     return rows.groupBy("id").agg(
         F.min_by("text", F.struct("ts", "text")).alias("canonical_name"), F.array_sort(F.collect_set("label")).alias("labels"), F.count("*").alias("mention_count"),
-        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count_distinct("source").alias("n_sources"), *more,
+        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), (F.size(F.collect_set("source")).cast("long") if lists else F.count_distinct("source")).alias("n_sources"), *more,
     )
 
 
@@ -186,7 +186,7 @@ def build_edges(relations: DataFrame, lists: bool = False) -> DataFrame:
     more += _first_sentence("ts") if "sentence" in relations.columns else []
     return _full(relations).groupBy("src", "dst", "relation").agg(
         F.max("confidence").alias("confidence"), F.max("ts").alias("timestamp"), F.max_by("source", F.struct("ts", "source")).alias("source"),
-        F.count("*").alias("merge_count"), F.count_distinct("source").alias("n_sources"), *more,
+        F.count("*").alias("merge_count"), (F.size(F.collect_set("source")).cast("long") if lists else F.count_distinct("source")).alias("n_sources"), *more,
     )
 
 

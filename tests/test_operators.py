@@ -379,6 +379,18 @@ def test_criteria_limits_and_rejects(spark):
     assert gone[0].count() == 0 and gone[1].first().evicted == 1
 
 
+def test_lists_of_sources_are_counted_without_a_second_shuffle(spark):
+    """n_sources is the size of the list that is made anyway; null sources don't count."""
+    rel = spark.createDataFrame([("A", "has", "B", 0.5, s, t) for t, s in enumerate(["p1", "p2", "p1", None])] + [("C", "has", "D", 0.5, None, 9)], "subject string, verb string, object string, confidence double, source string, ts int")
+    none = spark.createDataFrame([], "text string, label string, source string, ts int")
+    edges, nodes = G.build_edges(rel, lists=True), G.build_nodes(none, rel, lists=True)
+    assert sorted((r.src, r.n_sources, r.all_sources) for r in edges.collect()) == [("a", 2, ["p1", "p2"]), ("c", 0, [])]
+    assert sorted((r.id, r.n_sources) for r in nodes.collect()) == [("a", 2), ("b", 2), ("c", 0), ("d", 0)]
+    assert edges.schema["n_sources"].dataType == G.build_edges(rel).schema["n_sources"].dataType
+    for df in (edges, nodes):
+        assert df._jdf.queryExecution().sparkPlan().toString().count("partial_count(") <= 1 and "distinct" not in df._jdf.queryExecution().sparkPlan().toString().lower()
+
+
 def test_title_dedupe_finds_all_close_titles(spark):
     import random
 
