@@ -132,8 +132,9 @@ def extract_svo(docs: DataFrame, key: str, text: str, verbs: dict[str, str], sen
     lemma = F.create_map(*[F.lit(x) for pair in verbs.items() for x in pair])
     pattern = rf"(?i)((?:[\p{{L}}\p{{N}}-]+\s+){{1,3}}?)((?:is|was|are|were)\s+)?((?:not|no)\s+)?\b({forms})\b(?:\s+by)?\s+((?:[\p{{L}}\p{{N}}-]+\s*){{1,3}})"
     each = docs.select(key, F.posexplode(split_sentences(F.col(text))).alias("sentence_no", "sentence"))
-    hit = each.filter(F.col("sentence").rlike(rf"(?i)\b(?:{forms})\b") & F.col("sentence").rlike(pattern))  # the first is quick, and most sentences end there
-    g = lambda k: F.regexp_extract("sentence", pattern, k)
+    found = F.regexp_extract("sentence", pattern, 0)  # never empty; a search in it alone finds the same groups, as none looks beyond its ends
+    hit = each.filter(F.col("sentence").rlike(rf"(?i)\b(?:{forms})\b")).withColumn("found", found).filter("found <> ''")  # the first is quick, and most sentences end there
+    g = lambda k: F.regexp_extract("found", pattern, k)
     return hit.select(key, "sentence_no", normalize_text(g(1)).alias("subject"), F.element_at(lemma, F.lower(g(4))).alias("verb"), normalize_text(g(5)).alias("object"), (g(2) != "").alias("passive"), (g(3) != "").alias("negated"), *(["sentence"] if sentences else []))
 
 
@@ -256,8 +257,16 @@ def process_papers(papers: DataFrame, patterns: DataFrame, verbs: dict[str, str]
     status is (ord, source, status, n_mentions, n_relations); a paper with a blank abstract is skipped.
     Edges have the first sentence that says so.
     """
-    source = papers.select("ord", paper_source(papers).alias("source"), "ts", "abstract", normalize_text(F.col("abstract")).isNull().alias("blank"))
-    source = cut(source)  # read for mentions, for relations and for the status
+    return _processed(_landed(papers), patterns, verbs)
+
+
+def _landed(papers: DataFrame) -> DataFrame:
+    """(ord, source, ts, abstract, blank) written, dealt over tasks: a table of papers may be one file of one row group, which a single task would read."""
+    source = papers.select("ord", paper_source(papers).alias("source"), "ts", "abstract", (~F.coalesce(F.col("abstract").rlike(r"\S"), F.lit(False))).alias("blank"))
+    return cut(source.repartition("ord"))  # read for mentions, for relations and for the status
+
+
+def _processed(source: DataFrame, patterns: DataFrame, verbs: dict[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     texts = source.filter("not blank").select("ord", "abstract")
     about = source.select("ord", "source", "ts")
     mentions = cut(extract_mentions(texts, "ord", "abstract", patterns))
@@ -281,11 +290,11 @@ def update_graph(papers: DataFrame, patterns: DataFrame, verbs: dict[str, str],
 
     spark = papers.sparkSession
     seen = store.read_version(spark, f"{path}/ledger", store.snapshot(spark, f"{path}/ledger")[1])
-    fresh = cut(papers if seen is None else papers.join(seen.select("ord"), "ord", "left_anti"))
+    fresh = _landed(papers if seen is None else papers.join(seen.select("ord"), "ord", "left_anti"))
     n, mark = fresh.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("ord")), F.lit(0))).first()
     if not n and seen is not None:  # nothing new: the status has no rows
         return seen.limit(0)
-    nodes, edges, status = process_papers(fresh, patterns, verbs)
+    nodes, edges, status = _processed(fresh, patterns, verbs)
     if n:
         batch = f"{n}-{mark & (1 << 64) - 1:x}"
         edge_id = F.sha2(F.concat_ws("|", "src", "relation", "dst"), 256).alias("edge_id")

@@ -584,6 +584,43 @@ def test_update_graph_without_new_papers(spark, tmp_path):
     assert [(r.src, r.relation, r.dst) for r in G.read_graph(spark, path)[1].collect()] == [("aspirin", "inhibit", "cox")]
 
 
+def test_papers_of_one_file_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    """A table of papers that one task reads is searched by several."""
+    import random
+
+    rng = random.Random(16)
+    rows = [(k, f"Aspirin inhibits cox{k}. {rng.randbytes(3000).hex()}", str(k), None, None) for k in range(2500)]
+    papers = spark.createDataFrame(rows, "ord long, abstract string, pmid string, doi string, ts timestamp").coalesce(1)
+    patterns = spark.createDataFrame([("DRUG", "aspirin")], "label string, pattern string")
+    parts, search = [], G.extract_svo
+
+    def counted(docs, *args, **named):
+        parts.append(docs.select(F.spark_partition_id()).distinct().count())
+        return search(docs, *args, **named)
+
+    monkeypatch.setattr(G, "extract_svo", counted)
+    status = G.update_graph(papers, patterns, {"inhibits": "inhibit"}, str(tmp_path / "papers"))
+    assert parts[0] > 1
+    assert status.filter("n_mentions = 1 and n_relations = 1").count() == 2500
+
+
+def test_svo_in_what_was_found(spark):
+    """Groups found in the found stretch are those that are found in the sentence."""
+    verbs = {"was": "be", "is": "be", "are": "be"}
+    texts = [
+        "a b c d was e f g h i", "x is not is y", "It is not was by the old red fox-hound, no", "was was was was was", "is is", "a is", "is b", "not no is by by by", "No one was  by\thim \n again", "Über-été IS 日本語 x1-2 - -",
+        "this island wasis is-was are-", "the cat was, is not  are by bye", "a  b   was are no was by x.", "- is -", "a was bywas c", "1 2 3 4 is 5 6 7 8 was 9", "", None,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    pattern = r"(?i)((?:[\p{L}\p{N}-]+\s+){1,3}?)((?:is|was|are|were)\s+)?((?:not|no)\s+)?\b(was|are|is)\b(?:\s+by)?\s+((?:[\p{L}\p{N}-]+\s*){1,3})"
+    each = docs.select("id", F.posexplode(T.split_sentences(F.col("t"))).alias("n", "s")).filter(F.col("s").rlike(pattern))
+    g = lambda k: F.regexp_extract("s", pattern, k)
+    whole = each.select("id", "n", T.normalize_text(g(1)), T.normalize_text(g(5)), g(2) != "", g(3) != "")
+    got = G.extract_svo(docs, "id", "t", verbs).select("id", "sentence_no", "subject", "object", "passive", "negated")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+    assert got.count() > 10
+
+
 def test_overlap_search_in_large_blocks(spark):
     """Rows are copied by how many keys the queries have, not by how many queries there are; few or many shared keys."""
     import random
