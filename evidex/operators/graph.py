@@ -54,6 +54,11 @@ def normalize_node_id(c: Column) -> Column:
     return F.lower(normalize_text(c))
 
 
+def _bare_id(c: Column) -> Column:
+    """``normalize_node_id``, but empty where that is null for white space; made in a generator and filtered behind it, it is worked out once a row."""
+    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+
+
 #: Slots of the filter that phrases of texts pass before they meet the dictionary.
 SLOTS = 1 << 20
 
@@ -150,21 +155,34 @@ def build_nodes(mentions: DataFrame, relations: DataFrame, lists: bool = False)
     ``node_sources`` has them as rows.
     """
     rows = _ends(mentions, relations)
-    more = [F.array_sort(F.collect_set("source")).alias("sources")] if lists else []
-    return rows.groupBy("id").agg(
-        F.min_by("text", F.struct("ts", "text")).alias("canonical_name"), F.array_sort(F.collect_set("label")).alias("labels"), F.count("*").alias("mention_count"),
-        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), (F.size(F.collect_set("source")).cast("long") if lists else F.count_distinct("source")).alias("n_sources"), *more,
+    if lists:
+        return rows.withColumn("id", normalize_node_id(F.col("text"))).filter("id is not null").groupBy("id").agg(
+            F.min_by("text", F.struct("ts", "text")).alias("canonical_name"), F.array_sort(F.collect_set("label")).alias("labels"), F.count("*").alias("mention_count"),
+            F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.size(F.collect_set("source")).cast("long").alias("n_sources"), F.array_sort(F.collect_set("source")).alias("sources"),
+        )
+    # numbers only, so each task adds up its rows by hash before any are sorted or shuffled; sources are told apart in two columns
+    spelt = rows.groupBy("text", "label").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.bool_or(F.col("ts").isNull()).alias("undated"))
+    nodes = spelt.withColumn("id", normalize_node_id(F.col("text"))).filter("id is not null").groupBy("id").agg(
+        F.min_by("text", F.struct(F.when(~F.col("undated"), F.col("first")), "text")).alias("canonical_name"), F.array_sort(F.collect_set("label")).alias("labels"),
+        F.sum("n").alias("mention_count"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen"),
     )
+    return _with_n_sources(nodes, node_sources(mentions, relations), "id")
 
 
 def _ends(mentions: DataFrame, relations: DataFrame) -> DataFrame:
-    end = lambda c: relations.select(F.col(c).alias("text"), F.lit("UNKNOWN").alias("label"), "source", "ts")
-    return mentions.select("text", "label", "source", "ts").union(end("subject")).union(end("object")).withColumn("id", normalize_node_id(F.col("text"))).filter("id is not null")
+    ends = relations.select(F.explode(F.array("subject", "object")).alias("text"), F.lit("UNKNOWN").alias("label"), "source", "ts")  # both from one reading
+    return mentions.select("text", "label", "source", "ts").union(ends)
+
+
+def _with_n_sources(rows: DataFrame, sources: DataFrame, *key: str) -> DataFrame:
+    """``rows``, one for each key, with how many rows of ``sources`` have it."""
+    return rows.join(sources.groupBy(*key).agg(F.count("*").alias("n_sources")), list(key), "left").withColumn("n_sources", F.coalesce("n_sources", F.lit(0)))
 
 
 def node_sources(mentions: DataFrame, relations: DataFrame) -> DataFrame:
     """(id, source): where each node was seen, a row for each."""
-    return _ends(mentions, relations).select("id", "source").filter("source is not null").distinct()
+    seen = lambda rows, *names: rows.filter("source is not null").select(F.explode(F.array(*[_bare_id(F.col(n)) for n in names])).alias("id"), "source")
+    return seen(mentions, "text").union(seen(relations, "subject", "object")).filter("id <> ''").distinct()
 
 
 def edge_sources(relations: DataFrame) -> DataFrame:
@@ -173,8 +191,9 @@ def edge_sources(relations: DataFrame) -> DataFrame:
 
 
 def _full(relations: DataFrame) -> DataFrame:
-    rows = relations.withColumns({"src": normalize_node_id(F.col("subject")), "dst": normalize_node_id(F.col("object")), "relation": F.lower(normalize_text(F.col("verb")))})
-    return rows.filter("src is not null and dst is not null and relation is not null")
+    ids = F.struct(_bare_id(F.col("subject")).alias("src"), _bare_id(F.col("object")).alias("dst"), _bare_id(F.col("verb")).alias("relation"))
+    others = [c for c in relations.columns if c not in ("src", "dst", "relation")]
+    return relations.select(*others, F.inline(F.array(ids))).filter("src <> '' and dst <> '' and relation <> ''")
 
 
 def build_edges(relations: DataFrame, lists: bool = False) -> DataFrame:
@@ -183,12 +202,20 @@ def build_edges(relations: DataFrame, lists: bool = False) -> DataFrame:
     Where ``relations`` have sentences, an edge has its first one by time (then in order of text) and
     ``first_at``, when that was. With ``lists`` an edge also has all_sources, a sorted array; ``edge_sources`` has them as rows.
     """
-    more = [F.array_sort(F.collect_set("source")).alias("all_sources")] if lists else []
-    more += _first_sentence("ts") if "sentence" in relations.columns else []
-    return _full(relations).groupBy("src", "dst", "relation").agg(
+    rows, key = _full(relations), ("src", "dst", "relation")
+    said = "sentence" in relations.columns
+    if not lists and not said:  # a row for each source first, by hash, as it holds numbers only; then each source counts once
+        each = rows.groupBy(*key, "source").agg(F.max("confidence").alias("confidence"), F.max("ts").alias("timestamp"), F.count("*").alias("n"))
+        return each.groupBy(*key).agg(
+            F.max("confidence").alias("confidence"), F.max("timestamp").alias("timestamp"), F.max_by("source", F.struct("timestamp", "source")).alias("source"),
+            F.sum("n").alias("merge_count"), F.count("source").alias("n_sources"),
+        )
+    more = [F.size(F.collect_set("source")).cast("long").alias("n_sources"), F.array_sort(F.collect_set("source")).alias("all_sources")] if lists else []
+    edges = rows.groupBy(*key).agg(
         F.max("confidence").alias("confidence"), F.max("ts").alias("timestamp"), F.max_by("source", F.struct("ts", "source")).alias("source"),
-        F.count("*").alias("merge_count"), (F.size(F.collect_set("source")).cast("long") if lists else F.count_distinct("source")).alias("n_sources"), *more,
+        F.count("*").alias("merge_count"), *more, *(_first_sentence("ts") if said else []),
     )
+    return edges if lists else _with_n_sources(edges, edge_sources(relations), *key)
 
 
 def _first_sentence(at: str) -> list[Column]:

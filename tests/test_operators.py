@@ -621,6 +621,44 @@ def test_svo_in_what_was_found(spark):
     assert got.count() > 10
 
 
+def test_graph_counts_sources_without_a_distinct_count(spark):
+    """Nodes and edges of odd rows, against loops; rows are added up by hash before they are shuffled."""
+    import random
+    from datetime import datetime
+
+    rng = random.Random(19)
+    names = ["a", " A", "a\t b", "A  b", "b\n", " ", "", None, "\u00c4 x", "c", "d  e\x0b"]
+    days = [None, datetime(2020, 1, 1), datetime(2021, 1, 1), datetime(2022, 1, 1)]
+    pick = lambda: (rng.choice(names), rng.choice(["is", "IS ", " ", None]), rng.choice(names), rng.choice([None, 0.1, 0.5]), rng.choice([None, "p1", "p2", "p3"]), rng.choice(days))
+    said, seen = [pick() for _ in range(400)], [(rng.choice(names), rng.choice(["X", "Y", None]), rng.choice([None, "p1", "p9"]), rng.choice(days)) for _ in range(40)]
+    rel = spark.createDataFrame(said, "subject string, verb string, object string, confidence double, source string, ts timestamp")
+    m = spark.createDataFrame(seen, "text string, label string, source string, ts timestamp")
+    norm = lambda x: " ".join(x.split()).lower() or None if x is not None else None
+    first = lambda x: (x is not None, x if x is not None else 0)  # nulls come first
+    most = lambda xs: max((x for x in xs if x is not None), default=None)
+    least = lambda xs: min((x for x in xs if x is not None), default=None)
+    nodes, edges = {}, {}
+    for text, label, source, ts in seen + [(t, "UNKNOWN", r[4], r[5]) for r in said for t in (r[0], r[2])]:
+        nodes.setdefault(norm(text), []).append((text, label, source, ts))
+    for s, v, o, c, source, ts in said:
+        if norm(s) and norm(v) and norm(o):
+            edges.setdefault((norm(s), norm(o), norm(v)), []).append((c, source, ts))
+    nodes.pop(None)
+    n_sources = lambda rows, i: len({r[i] for r in rows} - {None})
+    want_nodes = [(k, min(r, key=lambda x: (first(x[3]), x[0]))[0], sorted({x[1] for x in r} - {None}), len(r), least(x[3] for x in r), most(x[3] for x in r), n_sources(r, 2)) for k, r in nodes.items()]
+    want_edges = [(*k, most(x[0] for x in r), most(x[2] for x in r), max(r, key=lambda x: (first(x[2]), first(x[1])))[1], len(r), n_sources(r, 1)) for k, r in edges.items()]
+    got_nodes, got_edges = G.build_nodes(m, rel), G.build_edges(rel)
+    assert got_nodes.columns == ["id", "canonical_name", "labels", "mention_count", "first_seen", "last_seen", "n_sources"]
+    assert sorted(map(tuple, got_nodes.collect()), key=str) == sorted(want_nodes, key=str) and len(want_nodes) > 5
+    assert sorted(map(tuple, got_edges.collect()), key=str) == sorted(want_edges, key=str) and len(want_edges) > 20
+    worded = G.build_edges(rel.withColumn("sentence", F.lit("s")))
+    assert sorted(map(tuple, worded.select(*got_edges.columns).collect()), key=str) == sorted(want_edges, key=str)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for df in (got_nodes, got_edges, worded):
+        assert "distinct" not in plan(df)
+    assert "Join" not in plan(got_nodes.drop("n_sources")) + plan(worded.drop("n_sources"))  # a count that nobody asks for isn't made
+
+
 def test_overlap_search_in_large_blocks(spark):
     """Rows are copied by how many keys the queries have, not by how many queries there are; few or many shared keys."""
     import random
