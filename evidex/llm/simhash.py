@@ -143,7 +143,7 @@ def links(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:
     if not 0 <= limit <= 3:
         raise ValueError("the anchors cover up to 3 differing bits")
     homes, replicas = anchors(nodes)
-    pairs = homes.withColumnRenamed("fp", "a").join(replicas.withColumnRenamed("fp", "b"), ["half", "anchor", "piece"])
+    pairs = homes.withColumnRenamed("fp", "a").hint("merge").join(replicas.withColumnRenamed("fp", "b"), ["half", "anchor", "piece"])
     return pairs.filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= limit)).select("a", "b").distinct()
 
 
@@ -152,10 +152,14 @@ SALTS = 16
 
 
 def salted_join(rows: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``one`` (a row for each key), a key's rows dealt by ``by`` over SALTS tasks."""
+    """``rows`` joined with ``one`` (a row for each key), a key's rows dealt by ``by`` over SALTS tasks.
+
+    Like the other joins here, it is a merge join by a hint: Spark takes a table for as large as the files it
+    was read from, however many rows a generator makes of each, and would send all of them to the driver.
+    """
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
     copies = one.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return dealt.join(copies, [key, "salt"], how).drop("salt")
+    return dealt.join(copies.hint("merge"), [key, "salt"], how).drop("salt")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -190,7 +194,7 @@ def _classes(docs: DataFrame, shingle: int, limit: int) -> tuple[DataFrame, int]
     pairs = cut(links(nodes.select("fp"), limit))
     roots = components(pairs)
     degree = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").join(degree, "fp", "left")
+    joined = nodes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").join(degree.hint("merge"), "fp", "left")
     joined = joined.select("fp", "size", "least_id", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = salted_join(joined, least, "root", "fp").select("fp", "size", "component_id", "n_links", "root")

@@ -342,6 +342,16 @@ def test_components_of_long_paths(spark):
     assert got == {k: k // n * n for k in range(2 * n)}
 
 
+def test_simhash_joins_are_not_broadcast(spark, tmp_path):
+    """Rows of a generator: the file that they are made from is small, and they are not."""
+    pairs = spark.range(2000).selectExpr("xxhash64(id) as fp", "xxhash64(id + 1) as other", "id as node", "id div 2 as root")
+    pairs.write.parquet(str(tmp_path / "fps"))
+    small = spark.read.parquet(str(tmp_path / "fps"))
+    for df in (simhash.links(small.select("fp")), simhash.salted_join(small.select("node", "root"), small.select(F.col("node").alias("root"), "other"), "root", "node", "left")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_simhash_empty(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
