@@ -801,3 +801,22 @@ def test_blank_texts_have_a_vector(spark, tmp_path):
     for name in ("e09_embed_with_cache", "e09_embed_with_cache_vectors", "e17_store_stats_with_cache"):
         df = q_graph.QUERIES[name](spark, str(tmp_path))
         assert sorted(map(tuple, df.collect())) == sorted(db.execute(f"select {', '.join(df.columns)} from ({q_graph.SQL[name]})").fetchall()), name
+
+
+def test_keys_that_most_rows_share_are_counted_quickly():
+    """A thousand million shared keys, counted by a product of matrices beside keys that few share."""
+    import numpy as np
+    import pyarrow as pa
+
+    from evidex.operators import blocks
+
+    def table(first, n):
+        rows = [np.append(np.arange(500), 10_000 + (first + k) % 700) for k in range(n)]
+        return pa.table({"keys": pa.array(rows, pa.list_(pa.int64()))})
+
+    began, seen = time.time(), np.zeros((1000, 2000), np.int64)
+    for q, r, counts in blocks._shared(table(0, 1000), table(350, 2000)):
+        assert q is None
+        seen[:, r] = counts
+    assert time.time() - began < 10
+    assert (seen == 500 + (np.arange(1000)[:, None] % 700 == np.arange(350, 2350)[None] % 700)).all()
