@@ -96,7 +96,7 @@ def dedupe_by_title(merged: DataFrame, loose: DataFrame, least: float = 0.9) ->
     A joined row adds its source and citation count, and fills fields that the row lacks.
     """
     heads = loose.groupBy(F.lower("title").alias("t")).agg(F.min("title").alias("title"), F.min("ord").alias("ord"))
-    pairs = title_pairs(heads, merged, least).groupBy("ord").agg(F.min("other").alias("target"))
+    pairs = title_pairs(heads, merged, least, first=True).select("ord", F.col("other").alias("target"))
     target = heads.join(pairs, "ord").select("t", "target")
     marked = loose.withColumn("t", F.lower("title")).join(target, "t", "left").drop("t")
     rows = merged.drop("n_merged").withColumn("target", F.col("ord")).unionByName(marked.withColumn("target", F.coalesce("target", "ord")), allowMissingColumns=True)

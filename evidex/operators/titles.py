@@ -10,6 +10,7 @@ their places: pairs that share fewer are never compared.
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidex.operators.graph import cut
+from evidex.operators.graph import cut, small_batches
 
 #: Buckets that pieces are counted in; the counts of all of them are sent to all tasks.
 BUCKETS = 1 << 18
@@ -268,24 +269,72 @@ def title_candidates(left: DataFrame, right: DataFrame, least: float) -> DataFra
     return a.groupBy(*by).cogroup(b.groupBy(*by)).applyInArrow(work, "a binary, b binary").distinct()
 
 
-def title_pairs(left: DataFrame, right: DataFrame, least: float = 0.9) -> DataFrame:
-    """(ord, other) of titles whose edit similarity passes ``least`` (over a half, under one).
-
-    Candidates by rare pieces are compared exactly; equal titles are compared once, and empty ones never.
+def distance(a: str, b: str, most: int) -> int | None:
+    """Edits between two texts, None beyond ``most``: a column of differences at a time, as bits of two numbers (Myers)."""
+    if abs(len(a) - len(b)) > most:
+        return None
+    begin = len(os.path.commonprefix((a, b)))
+    a, b = a[begin:], b[begin:]
+    end = len(os.path.commonprefix((a[::-1], b[::-1])))
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    if not a or not b:
+        return max(len(a), len(b))  # no more than most, as lengths differ by no more
+    has: dict[str, int] = {}
+    for k, c in enumerate(a):
+        has[c] = has.get(c, 0) | 1 << k
+    whole, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    more, less, edits = whole, 0, len(a)
+    for left, c in zip(range(len(b) - 1, -1, -1), b):
+        same = has.get(c, 0)
+        across = (((same & more) + more) ^ more) | same
+        up, down = less | (whole & ~(across | more)), more & across
+        edits += 1 if up & last else -1 if down & last else 0
+        if edits - left > most:
+            return None  # each character that is left takes one edit off at most
+        up, down = (up << 1 | 1) & whole, (down << 1) & whole
+        same |= less
+        more, less = down | (whole & ~(same | up)), up & same
+    return edits
+
+
+def title_pairs(left: DataFrame, right: DataFrame, least: float = 0.9, first: bool = False) -> DataFrame:
+    """(ord, other) of titles whose edit similarity passes ``least`` (over a half, under one); with ``first``, only the least other.
+
+    Candidates by rare pieces are compared exactly; equal titles are compared once, and empty ones never. With
+    ``first`` those of a title are compared in order of ``other``, and none after one that is alike.
     """
     if not 0.5 < least < 1:
         raise ValueError("least lies between 0.5 and 1")
     one, other = _titles(left), _titles(right)
+    small_batches(left.sparkSession)
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = title_candidates(one, other, least).join(one.withColumnsRenamed({"id": "a", "t": "ta"}), "a")
-    pairs, texts = (df.repartition(tasks, "b") for df in (pairs, other.withColumnsRenamed({"id": "b", "t": "tb"})))  # few bytes, but long to compare
-    pairs = pairs.join(texts, "b")
-    longest = F.greatest(F.length("ta"), F.length("tb"))
-    limit = F.ceil(longest * (1 - least)).cast("int")
-    found = pairs.withColumn("edits", F.call_function("levenshtein", F.col("ta"), F.col("tb"), limit)).filter(F.col("edits") >= 0)
-    same = found.filter(1 - F.col("edits") / longest > least).select("a", "b")
     rows = lambda d, key, name: d.select(_title_id(F.lower("title")).alias(key), F.col("ord").alias(name))
-    return same.join(rows(left, "a", "ord"), "a").join(rows(right, "b", "other"), "b").select("ord", "other")
+    texts = other.withColumnsRenamed({"id": "b", "t": "tb"})
+    pairs = title_candidates(one, other, least)
+    if first:
+        pairs = pairs.join(rows(right, "b", "other").groupBy("b").agg(F.min("other").alias("other")), "b")
+    order = ["a", "other", "b"] if first else ["a", "b"]
+    pairs = pairs.join(texts, "b").repartition(tasks, "a")  # few bytes, but long to compare
+    pairs = pairs.join(one.withColumnsRenamed({"id": "a", "t": "ta"}).repartition(tasks, "a"), "a").sortWithinPartitions(*order)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = None
+        for batch in batches:
+            a, alike = batch.column("a").to_pylist(), []
+            for i, (x, y) in enumerate(zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())):
+                if first and a[i] == found:
+                    continue
+                longest = max(len(x), len(y))
+                edits = distance(x, y, math.ceil(longest * (1 - least)))
+                if edits is not None and 1 - edits / longest > least:
+                    found = a[i]
+                    alike.append(i)
+            yield batch.select(order).take(pa.array(alike, pa.int64()))
+
+    same = pairs.select(*order, "ta", "tb").mapInArrow(compare, pairs.select(*order).schema).join(rows(left, "a", "ord"), "a")
+    if first:
+        return same.select("ord", "other")
+    return same.join(rows(right, "b", "other"), "b").select("ord", "other")
 
 
 def _title_id(t: Column) -> Column:

@@ -820,3 +820,33 @@ def test_keys_that_most_rows_share_are_counted_quickly():
         seen[:, r] = counts
     assert time.time() - began < 10
     assert (seen == 500 + (np.arange(1000)[:, None] % 700 == np.arange(350, 2350)[None] % 700)).all()
+
+
+def test_only_the_first_like_title_is_compared(spark):
+    """Distances equal the table's; with ``first`` a title's least like one comes out, after as few comparisons as that takes."""
+    import random
+
+    from evidex.operators import titles
+
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(4)
+    for _ in range(400):
+        a = "".join(rng.choice("abé😀") for _ in range(rng.randrange(12)))
+        b = "".join(c for c in a if rng.random() < 0.8) + rng.choice(["", "a", "xyz"])
+        want, most = table(a, b), rng.randrange(8)
+        assert titles.distance(a, b, most) == (want if want <= most else None)
+    base = "a title that is long enough to be like another one of its kind"
+    right = spark.createDataFrame([(k, base + "!" * (k % 3)) for k in range(1, 60)] + [(60, "another title that is like none of the others here")], "ord long, title string")
+    left = spark.createDataFrame([(100, base + "?"), (101, base.upper()), (102, "nothing like these")], "ord long, title string")
+    every = {(r.ord, r.other) for r in titles.title_pairs(left, right).collect()}
+    assert every == {(o, k) for o in (100, 101) for k in range(1, 60)}
+    assert {(r.ord, r.other) for r in titles.title_pairs(left, right, first=True).collect()} == {(100, 1), (101, 1)}
+    plan = titles.title_pairs(left, right, first=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" not in plan
