@@ -62,13 +62,13 @@ class Best:
         self.k, self.floor = k, np.full(n, -np.inf)
         self.query, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        """``scores``: a row for each query, a column for each of ``ids``; minus infinity for no score."""
-        low = self.floor
+    def add(self, scores: np.ndarray, ids: np.ndarray, queries: np.ndarray | None = None) -> None:
+        """``scores``: a row for each query (or each of ``queries``), a column for each of ``ids``; minus infinity for no score."""
+        low = self.floor if queries is None else self.floor[queries]
         if scores.shape[1] > self.k:
             low = np.maximum(low, np.partition(scores, -self.k, axis=1)[:, -self.k])
         i, j = np.nonzero((scores >= low[:, None]) & np.isfinite(scores))
-        self.add_pairs(i, ids[j], scores[i, j])
+        self.add_pairs(i if queries is None else queries[i], ids[j], scores[i, j])
 
     def add_pairs(self, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """The same for scores of single pairs."""
